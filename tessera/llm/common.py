@@ -111,33 +111,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts end to end, offsets); null texts are empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    n = len(texts)
+    if texts.null_count:
+        texts = texts.fill_null("")
+    texts = texts.cast(pa.large_string())
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=n + 1, offset=8 * texts.offset)
+    first, last = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
+    return data, offsets - first
+
+
+def runs(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the longest runs of one kind other than 0; a text's end ends a run."""
+    if not len(kinds):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.ones(len(kinds) + 1, bool)
+    change[1:-1] = kinds[1:] != kinds[:-1]
+    change[offsets] = True
+    at = np.flatnonzero(change)
+    starts, ends = at[:-1], at[1:]
+    ink = kinds[starts] != 0
+    return starts[ink], ends[ink]
+
+
+def hash_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each segment: a polynomial over its bytes with its length mixed in. Starts must not fall."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    out = np.empty(len(starts), np.uint64)
+    block, at = 1 << 20, 0  # in blocks, so that the powers of the multiplier stay few
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + block, side="right")))
+        top = int(ends[to - 1])
+        up, down = powers(top - base + 1)
+        total = np.empty(top - base + 1, np.uint64)
+        total[0] = 0
+        np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * up[: top - base], out=total[1:])
+        s, e = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = to
+    return out
+
+
 class Words:
-    """The words of a batch of texts, by bytes: starts, ends and lengths of each word and the words of each text.
+    """The words of a batch of texts, by bytes: starts, ends and hashes of each word and the words of each text.
 
     Words are the longest runs outside [\\x20\\x09-\\x0D]. ``lower`` folds A-Z only. Null texts count as empty.
     """
 
     def __init__(self, texts: pa.Array, lower: bool = True):
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        n = len(texts)
-        texts = texts.cast(pa.large_string()).fill_null("") if texts.null_count else texts.cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=n + 1, offset=8 * texts.offset) if n else np.zeros(1, np.int64)
-        first, last = int(offsets[0]), int(offsets[-1])
-        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[first:last] if n and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-        self.offsets = offsets - first
-        self.raw = data
-        self.data = ASCII_LOWER[data] if lower else data
-        ink = ~SPACES[data]
-        begins = ink.copy()
-        begins[1:] &= ~ink[:-1]
-        inner = self.offsets[(self.offsets > 0) & (self.offsets < len(data))]
-        begins[inner] |= ink[inner]  # a text's first byte begins a word
-        stops = ink.copy()
-        stops[:-1] &= ~ink[1:]
-        stops[inner - 1] |= ink[inner - 1]
-        self.starts = np.flatnonzero(begins)
-        self.ends = np.flatnonzero(stops) + 1
+        self.raw, self.offsets = buffers(texts)
+        self.data = ASCII_LOWER[self.raw] if lower else self.raw
+        self.starts, self.ends = runs((~SPACES)[self.raw], self.offsets)
         #: words of text i: bounds[i] to bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.bounds)
@@ -149,24 +181,7 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """64 bits for each word: a polynomial over its bytes with its length mixed in."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        out = np.empty(len(self.starts), np.uint64)
-        # in blocks, so that the powers of the multiplier stay few
-        block, at, low = 1 << 22, 0, 0
-        while at < len(self.starts):
-            base = int(self.starts[at])
-            to = max(at + 1, int(np.searchsorted(self.ends, base + block, side="right")))
-            top = int(self.ends[to - 1])
-            up, down = powers(top - base + 1)
-            total = np.empty(top - base + 1, np.uint64)
-            total[0] = 0
-            np.cumsum((self.data[base:top].astype(np.uint64) + np.uint64(1)) * up[: top - base], out=total[1:])
-            s, e = self.starts[at:to] - base, self.ends[at:to] - base
-            out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            at = to
-        return out
+        return hash_segments(self.data, self.starts, self.ends)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
