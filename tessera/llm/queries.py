@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, urls, warc
+from . import bpe, jaccard, langid, mixing, quality, urls, warc
 
 
 def queries():
@@ -26,4 +26,4 @@ def oracle_sql():
     return {"op5_warc_revisits": warc.ORACLE, "op6_mix_sources": mixing.ORACLE}
 
 
-OPERATORS = [langid.op1_language_id, bpe.op4_bpe, warc.op5_warc_revisits, mixing.op6_mix_sources, quality.op7_quality_rules, urls.op8_url_rules]
+OPERATORS = [langid.op1_language_id, jaccard.op3_ngram_jaccard, bpe.op4_bpe, warc.op5_warc_revisits, mixing.op6_mix_sources, quality.op7_quality_rules, urls.op8_url_rules]
