@@ -4,6 +4,8 @@
 2. Prefix filtering: two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of each, in one fixed order that puts
    shingles found often last. Classes that share such a shingle with another of a fitting size meet in the cluster of the smallest
    class with it.
+   Parity bit maps of the sets, whose Hamming distance is never more than the sets' difference, then tell who surely links with nobody
+   there, before any text is moved.
 3. Within a cluster (or a block of a large one) DivideSkip finds the classes that reach the required overlap: the short inverted lists
    are merged with a heap that skips, the long ones are probed by bisection. What is already in the cluster's main component is
    found by the others' searches and does no search itself, so a large group of near copies never becomes all its pairs.
@@ -95,6 +97,54 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def parity(part: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the shingles: whether it occurs an odd number of times. As many bits as shingles or more, a power of two."""
+    bits = max(256, 1 << (len(part) - 1).bit_length())
+    odd = np.bincount((part & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def fold(maps: np.ndarray) -> np.ndarray:
+    """The maps of half as many bits."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] ^ maps[:, half:]
+
+
+def may_link(sizes: np.ndarray, maps: list[bytes]) -> np.ndarray:
+    """Which sets have another one of a fitting size whose map is near enough. Sets that do link always have."""
+    n = len(sizes)
+    words = np.array([len(x) // 8 for x in maps])
+    if float(n) * n * words.mean() > 4e9:  # too many to compare; all stay
+        return np.ones(n, bool)
+    order = np.argsort(sizes, kind="stable")
+    size, words = sizes[order].astype(np.int64), words[order]
+    level, row = {}, np.zeros(n, np.int64)
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        level[int(w)] = (int(at[0]), np.frombuffer(b"".join(maps[order[k]] for k in at), np.uint64).reshape(len(at), int(w)))
+        row[at] = np.arange(len(at))
+    folded = {w // 2: (first, fold(m)) for w, (first, m) in level.items() if w > 4}
+    near = np.zeros(n, bool)
+    high = np.searchsorted(size, NUM * size // DEN, side="right")
+    for i in range(n):
+        w = int(words[i])
+        mine = level[w][1][row[i]]
+        for first, block in (level[w], folded.get(w, (0, None))):
+            if block is None:
+                continue
+            a, b = max(i + 1, first), min(int(high[i]), first + len(block))
+            if a < b:
+                apart = np.bitwise_count(block[a - first : b - first] ^ mine).sum(axis=1, dtype=np.int64)
+                both = size[i] + size[a:b]
+                close = apart <= both - 2 * -(-DEN * both // (NUM + DEN))
+                if close.any():
+                    near[i] = True
+                    near[a:b] |= close
+    out = np.zeros(n, bool)
+    out[order] = near
+    return out
+
+
 class Forest:
     def __init__(self, n: int):
         self.up, self.size = list(range(n)), [1] * n
@@ -235,10 +285,13 @@ def links(names: np.ndarray, parts: list[np.ndarray], main: int | None = None) -
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Rows (kind 0: doc, size, class) of each text, and (kind 1: shingle, sets) of shingles often found in a block of rows."""
+    """Rows (kind 0: doc, size, class, bit map) of each text, and (kind 1: shingle, sets) of shingles often found in a block of rows.
+
+    A task gives a class's bit map with one of its rows.
+    """
 
-    def out(kind, a, b, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
+    def out(kind, a, b, c, bits=None):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(bits or [None] * len(a), pa.binary())], ["kind", "a", "b", "c", "bits"])
 
     def often(held):
         keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -251,19 +304,21 @@ def _scan(docs: DataFrame) -> DataFrame:
             for part in slices(batch, 1):
                 sets = sets_of(part.column(1))
                 names = [class_of(x) if len(x) else None for x in sets]
-                yield out(0, part.column(0), list(map(len, sets)), names)
-                for name, x in zip(names, sets, strict=True):
+                maps = [None] * len(sets)
+                for k, (name, x) in enumerate(zip(names, sets, strict=True)):
                     if name is not None and name not in seen:
                         seen.add(name)
                         held.append(x)
                         size += len(x)
+                        maps[k] = parity(x).tobytes()
+                yield out(0, part.column(0), list(map(len, sets)), names, maps)
                 if size > 4_000_000:
                     yield out(1, *often(held))
                     held, seen, size = [], set(), 0
         if held:
             yield out(1, *often(held))
 
-    return docs.mapInArrow(run, "kind int, a long, b long, c long")
+    return docs.mapInArrow(run, "kind int, a long, b long, c long, bits binary")
 
 
 def _prefixes(docs: DataFrame, often) -> DataFrame:
@@ -346,6 +401,23 @@ def _clusters(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(run, "leader long, cls long, n int").groupBy("leader", "cls").agg(F.first("n").alias("n"))
 
 
+def _sift(clusters: DataFrame, maps: DataFrame) -> DataFrame:
+    """The clusters without the classes whose bit maps show that they link with nobody there, under the smallest class left."""
+
+    def run(batches):
+        for table in grouped(batches, 1):
+            if table.num_rows < 2:
+                continue
+            cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
+            near = may_link(n, table.column("bits").to_pylist())
+            if near.any():
+                left = cls[near]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), left.min())), pa.array(left), pa.array(n[near].astype(np.int32))], ["leader", "cls", "n"])
+
+    joined = clusters.join(maps, "cls").select("leader", "cls", "n", "bits")
+    return joined.repartition("leader").sortWithinPartitions("leader").mapInArrow(run, "leader long, cls long, n int").groupBy("leader", "cls").agg(F.first("n").alias("n"))
+
+
 def _texts(docs: DataFrame, wanted) -> DataFrame:
     """(cls, text) of the classes that the bit map names, once for each task."""
 
@@ -439,7 +511,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys, counts = top.token.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)
     order = np.argsort(keys)
     often = spark.sparkContext.broadcast((keys[order], counts[order]))
-    pairs = written(_clusters(_prefixes(docs, often)))
+    maps = scan.where("kind = 0 and bits is not null").select(F.col("c").alias("cls"), "bits").dropDuplicates(["cls"])
+    pairs = written(_sift(_clusters(_prefixes(docs, often)), maps))
     wanted = spark.sparkContext.broadcast(_bit_map(pairs))
     texts = _texts(docs, wanted).dropDuplicates(["cls"])
     large = pairs.groupBy("leader").agg(F.sum(F.col("n").cast("long")).alias("total")).where(F.col("total") > BLOCK).select("leader", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
