@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, langid, mixing, neardup, quality, urls, warc
+from . import bpe, html, jaccard, langid, lm, mixing, neardup, quality, urls, warc
 
 
 def queries():
@@ -26,4 +26,4 @@ def oracle_sql():
     return {"op5_warc_revisits": warc.ORACLE, "op6_mix_sources": mixing.ORACLE}
 
 
-OPERATORS = [langid.op1_language_id, html.op2_html_text, jaccard.op3_ngram_jaccard, bpe.op4_bpe, warc.op5_warc_revisits, mixing.op6_mix_sources, quality.op7_quality_rules, urls.op8_url_rules, neardup.op9_embedding_neardup]
+OPERATORS = [langid.op1_language_id, html.op2_html_text, jaccard.op3_ngram_jaccard, bpe.op4_bpe, warc.op5_warc_revisits, mixing.op6_mix_sources, quality.op7_quality_rules, urls.op8_url_rules, neardup.op9_embedding_neardup, lm.op10_lm_score]
