@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, langid, lm, mixing, neardup, quality, urls, warc
+import corpus_pipeline
 
+from . import bpe, common, html, jaccard, langid, lm, mixing, neardup, quality, urls, warc
 
-def queries():
-    from . import common
 
+def queries():
     def shipped(f):
         def run(spark, sf_dir):
             common.ship(spark)
@@ -16,8 +16,6 @@ def queries():
         return run
 
     found = {f.__name__: shipped(f) for f in OPERATORS}
-    import corpus_pipeline
-
     found["pipeline"] = shipped(corpus_pipeline.run)
     return found
 
