@@ -1,11 +1,15 @@
-"""All registered queries of the engine."""
+"""All registered queries of the engine, and the SQL that they are held against."""
 
 from __future__ import annotations
 
+from .operators import greedy, learned, relational, similarity
+
+MODULES = (relational, similarity, greedy, learned)
+
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
