@@ -301,7 +301,7 @@ def _summaries(docs: DataFrame, tree) -> DataFrame:
 
 
 def _packed(docs: DataFrame, alphabet, buckets: int) -> DataFrame:
-    """(bucket, docs, train, words, doc, times): the rare words of some rows, by bucket of word, in binary columns."""
+    """(bucket, slice, docs, train, words, doc, times): the rare words of a slice of rows, by bucket of word, in binary columns."""
 
     def run(batches):
         for batch in batches:
@@ -330,17 +330,21 @@ def _packed(docs: DataFrame, alphabet, buckets: int) -> DataFrame:
                     h, owner, times, bucket = h[order], owner[order], times[order], bucket[order]
                     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
                     keys, train = _row_keys(some), (crc_mod(some.column(0).to_pylist(), 10) != 0).astype(np.uint8)
-                    rows = []
+                    name, rows = int(mix(np.array([np.add.reduce(mix(keys.view(np.uint64)))], np.uint64)).view(np.int64)[0]), []
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                         mine, doc = np.unique(owner[a:b], return_inverse=True)
-                        rows.append((int(bucket[a]), keys[mine].tobytes(), train[mine].tobytes(), h[a:b].tobytes(), doc.astype(np.uint16).tobytes(), times[a:b].astype(np.uint16).tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "docs", "train", "words", "doc", "times"])
+                        rows.append((int(bucket[a]), name, keys[mine].tobytes(), train[mine].tobytes(), h[a:b].tobytes(), doc.astype(np.uint16).tobytes(), times[a:b].astype(np.uint16).tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, (pa.int32(), pa.int64())[k] if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "slice", "docs", "train", "words", "doc", "times"])
 
-    return docs.mapInArrow(run, "bucket int, docs binary, train binary, words binary, doc binary, times binary")
+    return docs.mapInArrow(run, "bucket int, slice long, docs binary, train binary, words binary, doc binary, times binary")
 
 
 def _rare(packed: DataFrame) -> DataFrame:
-    """(key, logs, known): what each bucket's words add to each row."""
+    """(key, logs, known): what the rare words add to each row.
+
+    A bucket answers each slice in one row of packed numbers, and a slice adds up its buckets' answers, so that a row's words do not
+    become a row for every bucket.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
@@ -354,9 +358,17 @@ def _rare(packed: DataFrame) -> DataFrame:
         c = counts[word]
         logs = np.bincount(doc, weights=times * np.log10(c + 0.1), minlength=len(keys))
         known = np.bincount(doc, weights=times * (c > 0), minlength=len(keys)).astype(np.int64)
-        return pa.table({"key": keys, "logs": logs, "known": known})
+        cut = lambda v: [x.tobytes() for x in np.split(v, start[1:])]
+        return pa.table({"slice": table.column("slice"), "docs": table.column("docs"), "logs": pa.array(cut(logs), pa.binary()), "known": pa.array(cut(known), pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+        keys, at = np.unique(read("docs", np.int64), return_inverse=True)
+        logs, known = np.bincount(at, weights=read("logs", np.float64)), np.bincount(at, weights=read("known", np.int64))
+        return pa.table({"key": keys, "logs": logs, "known": known.astype(np.int64)})
 
-    return packed.groupBy("bucket").applyInArrow(count, "key long, logs double, known long")
+    answers = packed.groupBy("bucket").applyInArrow(count, "slice long, docs binary, logs binary, known binary")
+    return answers.groupBy("slice").applyInArrow(add, "key long, logs double, known long")
 
 
 def score(docs: DataFrame) -> DataFrame:
