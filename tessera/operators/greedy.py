@@ -1,2 +1,179 @@
+"""Order-dependent selections: each works on the candidates of one query, a few thousand rows at most, gathered by query id.
+
+The candidates come out of a distributed top-k first; what is gathered for one query is bounded by its k, never by the table.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import functions as F
+
+from ..functions import vec
+from ..sources.tables import items, vectors
+from .similarity import band_pairs, block_neighbours, neighbours, seed_vector
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+#: Batch of the near-copy filter, bucket of the walk, and its weights.
+BATCH, BUCKET, STEP_WEIGHT, ANCHOR_WEIGHT = 50, 50, 0.7, 0.3
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _angles(m: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    norms = np.maximum(np.linalg.norm(m) * np.linalg.norm(rows, axis=1), 1e-300)
+    return 1 - rows @ m / norms
+
+
+def keep_apart(v: np.ndarray, lookback: int = 1, threshold: float = 0.01) -> list[int]:
+    """Places kept in order: a row goes if it is closer than the threshold to one of the last kept ones.
+
+    Of more than BATCH rows, batches are filtered in turn; within a batch a row is held against the ``lookback`` kept before the batch
+    and every row kept in it.
+    """
+    kept: list[int] = []
+    if len(v) <= BATCH:
+        for k in range(len(v)):
+            near = kept[-lookback:] if lookback else []
+            if not near or (_angles(v[k], v[near]) >= threshold).all():
+                kept.append(k)
+        return kept
+    for low in range(0, len(v), BATCH):
+        before = kept[-lookback:] if lookback else []
+        now: list[int] = []
+        for k in range(low, min(low + BATCH, len(v))):
+            near = before + now
+            if not near or (_angles(v[k], v[near]) >= threshold).all():
+                now.append(k)
+        kept += now
+    return kept
+
+
+def walk(v: np.ndarray, dist: np.ndarray, author: list[str], n: int) -> list[int]:
+    """Places of a walk: rows by distance from the anchor in buckets, from one to the next by the least of weighted steps, an author once a bucket."""
+    order = np.lexsort((np.arange(len(dist)), dist))
+    out: list[int] = []
+    for low in range(0, len(order), BUCKET):
+        if len(out) >= n:
+            break
+        pool, used = list(order[low : low + BUCKET]), set()
+        while pool and len(out) < n:
+            free = [k for k in pool if author[k] not in used]
+            if not free:
+                break
+            cost = ANCHOR_WEIGHT * dist[free] + (STEP_WEIGHT * _angles(v[out[-1]], v[free]) if out else 0)
+            best = free[int(np.argmin(cost))]
+            out.append(best)
+            pool.remove(best)
+            used.add(author[best])
+    return out
+
+
+def slerp(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """On the arc from a to b; on the line where they are parallel."""
+    ua, ub = a / max(np.linalg.norm(a), 1e-300), b / max(np.linalg.norm(b), 1e-300)
+    angle = np.arccos(np.clip(ua @ ub, -1, 1))
+    if angle < 1e-6:
+        return (1 - t) * a + t * b
+    return (np.sin((1 - t) * angle) * a + np.sin(t * angle) * b) / np.sin(angle)
+
+
+#: The circle of fifths.
+FIFTHS = {k: i for i, k in enumerate(["C", "G", "D", "A", "E", "B", "F#", "C#", "G#", "D#", "A#", "F"])}
+
+
+def order_items(tempo: np.ndarray, energy: np.ndarray, key: list[str]) -> list[int]:
+    """From the row at the energies' lower quartile, always to the nearest by tempo, energy and key (0.35, 0.35, 0.30)."""
+    if not len(tempo):
+        return []
+    start = int(np.argsort(energy, kind="stable")[len(energy) // 4])
+    out, left = [start], [k for k in range(len(tempo)) if k != start]
+    while left:
+        at = out[-1]
+        gap = [min(abs(FIFTHS.get(key[k], 0) - FIFTHS.get(key[at], 0)), 12 - abs(FIFTHS.get(key[k], 0) - FIFTHS.get(key[at], 0))) / 6 for k in left]
+        cost = 0.35 * np.minimum(1, np.abs(tempo[left] - tempo[at]) / 80) + 0.35 * np.abs(energy[left] - energy[at]) + 0.30 * np.array(gap)
+        out.append(left.pop(int(np.argmin(cost))))
+    return out
+
+
+def candidates(spark, sf_dir, k: int = 120) -> DataFrame:
+    """(query_id, item_id, dist, v, author, title) of the neighbours of every 50th item."""
+    df = vectors(spark, sf_dir)
+    found = block_neighbours(df, df.where("item_id % 50 = 0"), k)
+    i = items(spark, sf_dir).select("item_id", "author", "title", "tempo", "price")
+    return found.join(df.select("item_id", "v"), "item_id").join(i, "item_id", "left")
+
+
+@query
+def near_dup_lookback(spark, sf_dir):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dist", "item_id"]).reset_index(drop=True)
+        kept = keep_apart(np.stack(pdf.v.to_numpy()), 1, 0.6)
+        return pdf.loc[kept, ["query_id", "item_id"]].assign(place=range(len(kept)))
+
+    return candidates(spark, sf_dir).groupBy("query_id").applyInPandas(run, "query_id long, item_id long, place int")
+
+
+@query
+def radius_walk(spark, sf_dir):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dist", "item_id"]).reset_index(drop=True)
+        out = walk(np.stack(pdf.v.to_numpy()), pdf.dist.to_numpy(), pdf.author.fillna("").tolist(), 30)
+        return pdf.loc[out, ["query_id", "item_id"]].assign(place=range(len(out)))
+
+    return candidates(spark, sf_dir).groupBy("query_id").applyInPandas(run, "query_id long, item_id long, place int")
+
+
+@query
+def song_path(spark, sf_dir):
+    """Ten steps on the arc between two items; the nearest item of each step that is not yet on the path."""
+    df = vectors(spark, sf_dir)
+    a, b = np.array(seed_vector(df, 0)), np.array(seed_vector(df, 1))
+    steps = spark.createDataFrame([(-1 - k, [float(x) for x in slerp(a, b, (k + 1) / 11)]) for k in range(10)], "item_id long, v array<double>")
+    near = block_neighbours(df.where("item_id not in (0, 1)"), steps, 12).select((-1 - F.col("query_id")).alias("step"), "item_id", "dist").toPandas()  # 120 rows
+    used, rows = set(), [(0, 0)]
+    for step, some in near.sort_values(["step", "dist", "item_id"]).groupby("step"):
+        pick = next((int(x) for x in some.item_id if x not in used), None)
+        if pick is not None:
+            used.add(pick)
+            rows.append((int(step) + 1, pick))
+    return spark.createDataFrame([*rows, (11, 1)], "step int, item_id long")
+
+
+@query
+def playlist_order(spark, sf_dir):
+    keys = list(FIFTHS)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["dist", "item_id"]).head(40).reset_index(drop=True)
+        out = order_items(pdf.tempo.fillna(0).to_numpy(float) * 4, (pdf.price.fillna(900).to_numpy(float) % 100) / 100, [keys[int(x) % 12] for x in pdf.item_id])
+        return pdf.loc[out, ["query_id", "item_id"]].assign(place=range(len(out)))
+
+    return candidates(spark, sf_dir, 40).groupBy("query_id").applyInPandas(run, "query_id long, item_id long, place int")
+
+
+@query
+def alchemy_sampled(spark, sf_dir):
+    """Softmax sampling without replacement in one pass: the largest of score / T plus Gumbel noise from a seed."""
+    df = vectors(spark, sf_dir)
+    near = neighbours(df.where("item_id not in (1, 2)"), seed_vector(df, 1), 200)
+    u = (F.pmod(F.xxhash64("item_id", F.lit(42)), F.lit(1 << 52)) + 1) / float((1 << 52) + 2)
+    return near.select("item_id", "dist", (-F.col("dist") / 0.1 - F.log(-F.log(u))).alias("g")).orderBy(F.desc("g"), "item_id").limit(20).select("item_id", F.round("dist", 6).alias("dist"))
+
+
+@query
+def merge_forest(spark, sf_dir):
+    """Each item joins its nearest earlier match; merged items are not targets. A star per component of confirmed pairs."""
+    df = vectors(spark, sf_dir)
+    v = df.select("item_id", "v")
+    pairs = band_pairs(df, 64, 19, 18).join(v.select(F.col("item_id").alias("a_id"), F.col("v").alias("av")), "a_id").join(v.select(F.col("item_id").alias("b_id"), F.col("v").alias("bv")), "b_id")
+    d = pairs.select("a_id", "b_id", vec.angular(F.col("av"), F.col("bv")).alias("d")).where("d <= 0.7")
+    best = d.groupBy("b_id").agg(F.min(F.struct("d", "a_id")).alias("m")).select("b_id", F.col("m.a_id").alias("a_id"))
+    free = best.join(best.select(F.col("b_id").alias("a_id")), "a_id", "left_anti")
+    return free.select(F.col("b_id").alias("item_id"), F.col("a_id").alias("merged_into"))

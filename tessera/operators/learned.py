@@ -1,2 +1,203 @@
+"""Fitted operators: inverted-file index, clustering, mixtures, projection."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import functions as F
+
+from ..functions import vec
+from ..sources.scratch import cut
+from ..sources.tables import items, vectors
+from .similarity import block_neighbours
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+#: The index is fitted on so many rows for each cell at most, those with the smallest hash of their id; every row is indexed.
+FIT_ROWS, MAX_CELLS = 50, 8192
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def build_index(df: DataFrame, cells: int | None = None, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(rows with their cell, cell centres). Cells: 8 times the root of the rows, within bounds."""
+    n = df.count()
+    cells = cells or max(1, min(MAX_CELLS, n, round(8 * math.sqrt(n))))
+    some = df.orderBy(F.xxhash64("item_id")).limit(cells * FIT_ROWS).select(array_to_vector("v").alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=8, initMode="random", distanceMeasure="cosine").fit(some)
+    return model.transform(df.withColumn("features", array_to_vector("v"))).select("item_id", "v", F.col("prediction").alias("cell")), np.array(model.clusterCenters())
+
+
+def probe(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """(query_id, item_id, dist): the k nearest rows of each query's nprobe nearest cells. Cells prune files of an index written by cell."""
+
+    def near(batches):
+        c = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+        for pdf in batches:
+            if len(pdf):
+                q = np.stack(pdf.v.to_numpy())
+                best = np.argsort(-(q @ c.T), axis=1)[:, :nprobe]
+                yield pd.DataFrame({"query_id": np.repeat(pdf.item_id.to_numpy(), best.shape[1]), "q": [v for v in pdf.v for _ in range(best.shape[1])], "cell": best.ravel()})
+
+    asked = queries.select("item_id", "v").mapInPandas(near, "query_id long, q array<double>, cell int")
+    pairs = indexed.join(asked, "cell").where("item_id <> query_id").select("query_id", "item_id", vec.angular(F.col("v"), F.col("q")).alias("dist"))
+    r = F.row_number().over(W.partitionBy("query_id").orderBy("dist", "item_id"))
+    return pairs.withColumn("r", r).where(F.col("r") <= k)
+
+
+@query
+def ivf_recall(spark, sf_dir):
+    """Recall of the index against the exact search, for every 20th item."""
+    df = vectors(spark, sf_dir)
+    indexed, centres = build_index(df, cells=32)
+    q = df.where("item_id % 20 = 0")
+    got, want = probe(indexed, centres, q, 10, 20), block_neighbours(df, q, 10)
+    hits = want.join(got.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
+    return hits.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
+@query
+def kmeans_playlists(spark, sf_dir):
+    """Clusters, their members near the centre, three of an author at most."""
+    df = vectors(spark, sf_dir)
+    model = KMeans(k=10, seed=1, maxIter=10).fit(df.select(array_to_vector("v").alias("features")))
+    centres = F.array(*[vec.literal(c) for c in model.clusterCenters()])
+    own = model.transform(df.withColumn("features", array_to_vector("v"))).select("item_id", F.col("prediction").alias("cluster"), vec.euclid(F.col("v"), F.element_at(centres, F.col("prediction") + 1)).alias("d"))
+    r = F.row_number().over(W.partitionBy("cluster", "author").orderBy("d", "item_id"))
+    return own.join(items(spark, sf_dir).select("item_id", "author"), "item_id").withColumn("r", r).where("r <= 3").select("cluster", "item_id", "author", F.round("d", 6).alias("dist"))
+
+
+@query
+def cluster_metrics(spark, sf_dir):
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz, each mapped to 0 to 1."""
+    df = vectors(spark, sf_dir).withColumn("features", array_to_vector("v"))
+    model = KMeans(k=8, seed=1, maxIter=10).fit(df)
+    p = model.transform(df)
+    silhouette = ClusteringEvaluator().evaluate(p)
+    c = np.array(model.clusterCenters())
+    centres = F.array(*[vec.literal(x) for x in c])
+    spread = p.select("prediction", vec.euclid(F.col("v"), F.element_at(centres, F.col("prediction") + 1)).alias("d")).groupBy("prediction").agg(F.avg("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("w"), F.count("*").alias("n")).orderBy("prediction").collect()
+    at, s, n = [r.prediction for r in spread], np.array([r.s for r in spread]), np.array([r.n for r in spread])
+    c = c[at]
+    gap = np.linalg.norm(c[:, None] - c[None], axis=2)
+    np.fill_diagonal(gap, np.inf)
+    db = ((s[:, None] + s[None]) / gap).max(axis=1).mean()
+    mean = (n[:, None] * c).sum(axis=0) / n.sum()
+    ch = ((n * ((c - mean) ** 2).sum(axis=1)).sum() / (len(c) - 1)) / (sum(r.w for r in spread) / (n.sum() - len(c)))
+    return spark.createDataFrame([((silhouette + 1) / 2, 1 / (1 + float(db)), 1 - math.exp(-float(ch) / 500))], "silhouette double, davies_bouldin double, calinski_harabasz double")
+
+
+def mixture(v: np.ndarray, most: int = 4, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, means) of a spherical mixture whose number of parts has the least BIC; under 5 rows a part each."""
+    n, dim = v.shape
+    if n < 5:
+        return np.full(n, 1 / n), v
+    best, rng = None, np.random.default_rng(seed)
+    for k in range(1, min(most, n) + 1):
+        mean, var, w = v[rng.choice(n, k, replace=False)], np.full(k, v.var() + 1e-6), np.full(k, 1 / k)
+        for _ in range(30):
+            ll = np.log(w) - 0.5 * dim * np.log(2 * np.pi * var) - ((v[:, None] - mean[None]) ** 2).sum(axis=2) / (2 * var)
+            top = ll.max(axis=1, keepdims=True)
+            total = top[:, 0] + np.log(np.exp(ll - top).sum(axis=1))
+            r = np.exp(ll - total[:, None])
+            size = r.sum(axis=0) + 1e-9
+            mean, w = r.T @ v / size[:, None], size / size.sum()
+            var = (r * ((v[:, None] - mean[None]) ** 2).sum(axis=2)).sum(axis=0) / (size * dim) + 1e-6
+        bic = -2 * total.sum() + (k * (dim + 2) - 1) * np.log(n)
+        if best is None or bic < best[0]:
+            best = (bic, w, mean)
+    return best[1], best[2]
+
+
+@query
+def gmm_bic(spark, sf_dir):
+    """A mixture for each author. Authors' rows are few; a huge one is thinned to its smallest hashes before the fit, as the model only needs a sample."""
+    v = vectors(spark, sf_dir).join(items(spark, sf_dir).select("item_id", "author"), "item_id")
+    r = F.row_number().over(W.partitionBy("author").orderBy(F.xxhash64("item_id")))
+    some = v.withColumn("r", r).where("r <= 2000")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item_id")
+        w, m = mixture(np.stack(pdf.v.to_numpy()))
+        return pd.DataFrame({"author": pdf.author.iloc[0], "component": range(len(w)), "weight": w.round(6), "norm": np.linalg.norm(m, axis=1).round(6)})
+
+    return some.groupBy("author").applyInPandas(fit, "author string, component int, weight double, norm double")
+
+
+@query
+def gaussian_mixture(spark, sf_dir):
+    df = vectors(spark, sf_dir).withColumn("raw", array_to_vector("v"))
+    p = PCA(k=4, inputCol="raw", outputCol="features").fit(df).transform(df)
+    m = GaussianMixture(k=5, seed=1, maxIter=20).fit(p)
+    return m.transform(p).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query
+def pca_map(spark, sf_dir):
+    """Two coordinates, centred and scaled to -1 to 1."""
+    df = vectors(spark, sf_dir).withColumn("features", array_to_vector("v"))
+    p = PCA(k=2, inputCol="features", outputCol="xy").fit(df).transform(df).select("item_id", vector_to_array("xy").alias("xy")).select("item_id", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+    m = p.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).first()
+    top = p.agg(F.greatest(F.max(F.abs(F.col("x") - m.mx)), F.max(F.abs(F.col("y") - m.my)))).first()[0] or 1.0
+    return p.select("item_id", F.round((F.col("x") - m.mx) / top, 6).alias("x"), F.round((F.col("y") - m.my) / top, 6).alias("y"))
+
+
+@query
+def genre_tree(spark, sf_dir):
+    """Edges of genre, cluster, item: k-means in each genre by nearest of a few centres."""
+    df = vectors(spark, sf_dir)
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item_id").reset_index(drop=True)
+        v = np.stack(pdf.v.to_numpy())
+        k = max(1, min(6, len(v) // 20))
+        c = v[np.linspace(0, len(v) - 1, k).astype(int)]
+        for _ in range(10):
+            own = ((v[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.stack([v[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
+        return pd.DataFrame({"genre": pdf.genre, "cluster": own, "item_id": pdf.item_id})
+
+    # the fit is on a bounded sample of each genre; all rows take the nearest of its centres in the join below
+    r = F.row_number().over(W.partitionBy("genre").orderBy(F.xxhash64("item_id")))
+    fitted = df.withColumn("r", r).where("r <= 5000").groupBy("genre").applyInPandas(split, "genre int, cluster int, item_id long")
+    means = fitted.join(df.select("item_id", "v"), "item_id").select("genre", "cluster", F.posexplode("v").alias("at", "x")).groupBy("genre", "cluster", "at").agg(F.avg("x").alias("x"))
+    means = means.groupBy("genre", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("c"))
+    near = df.join(F.broadcast(means), "genre").groupBy("genre", "item_id").agg(F.min_by("cluster", F.struct(vec.euclid(F.col("v"), F.col("c")), F.col("cluster"))).alias("cluster"))
+    name = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    leaf = near.select(name("g", F.col("genre"), "/c", F.col("cluster")).alias("parent"), name("i", F.col("item_id")).alias("child"), F.lit("item").alias("kind"))
+    folder = near.select("genre", "cluster").distinct().select(name("g", F.col("genre")).alias("parent"), name("g", F.col("genre"), "/c", F.col("cluster")).alias("child"), F.lit("cluster").alias("kind"))
+    return leaf.unionByName(folder)
+
+
+@query
+def dbscan_labels(spark, sf_dir):
+    """Density clusters: links under eps, cores with enough links, core components by the smallest id, borders with their least core."""
+    df = vectors(spark, sf_dir)
+    eps, least = 0.62, 3
+    near = cut(block_neighbours(df, df, 64).where(F.col("dist") <= eps).select("query_id", "item_id"))
+    core = cut(near.groupBy("query_id").count().where(F.col("count") >= least).select("query_id"))
+    links = near.join(core, "query_id", "left_semi")
+    inner = links.join(core.withColumnRenamed("query_id", "item_id"), "item_id", "left_semi").select("query_id", "item_id")
+    both = cut(inner.union(inner.select("item_id", "query_id")).toDF("a", "b").distinct())
+    label = cut(core.select(F.col("query_id").alias("a"), F.col("query_id").alias("l")))
+    while True:  # least label of neighbours, then that of the label: rounds grow as the log of a cluster's width
+        step = cut(both.join(label.withColumnRenamed("a", "b"), "b").select("a", "l").union(label).groupBy("a").agg(F.min("l").alias("l")))
+        after = cut(step.join(step.select(F.col("a").alias("l"), F.col("l").alias("m")), "l", "left").select("a", F.coalesce("m", "l").alias("l")))
+        done = after.join(label.withColumnRenamed("l", "was"), "a").where("l <> was").limit(1).count() == 0
+        label = after
+        if done:
+            break
+    border = links.join(label.withColumnRenamed("a", "query_id"), "query_id").groupBy("item_id").agg(F.min("l").alias("border"))
+    out = df.select("item_id").join(label.withColumnRenamed("a", "item_id"), "item_id", "left").join(border, "item_id", "left")
+    return out.select("item_id", F.coalesce("l", "border", F.lit(-1)).cast("long").alias("cluster"))
