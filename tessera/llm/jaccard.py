@@ -542,7 +542,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     joined = least.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("root"))
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.where("root <> cls or least is not null").join(roots, "root").select("cls", "component_id")
+    named = joined.join(roots, "root").select("cls", "component_id")
     full = rows.where("cls is not null").join(named, "cls").select("doc_id", "n_shingles", "component_id", "cls")
     return full.unionByName(rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "cls"))
 

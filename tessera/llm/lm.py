@@ -214,7 +214,7 @@ def _states(state: np.ndarray, n: np.ndarray, c: np.ndarray, parent: np.ndarray)
     p = n / c[state]
     gain = np.bincount(state, weights=p * np.log(p / parent), minlength=size)
     rest, rest_parent = np.maximum(0, 1 - seen / np.maximum(c, 1)), np.clip(1 - np.bincount(state, weights=parent, minlength=size), 1e-12, 1)
-    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest_parent), 0)
+    gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest_parent), 0)
     kept = (c > 0) & (seen > 0) & (gain * c >= GAIN)
     base = np.where(kept, c + LAMBDA, 0.0)
     return kept, np.where(kept, (c - seen + LAMBDA) / np.maximum(c + LAMBDA, 1), 1.0), base

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gzip
-import io
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,16 +79,15 @@ def resolve_revisits(records: DataFrame, permitted=PERMITTED) -> DataFrame:
 def parse_warc(data: bytes) -> Iterator[dict]:
     """The response and revisit records of a WARC file, plain or gzipped by record; a damaged tail ends the file."""
     if data[:2] == b"\x1f\x8b":
-        try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError):
-            stream, parts = gzip.GzipFile(fileobj=io.BytesIO(data)), []
+        parts = []
+        while data[:2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
             try:
-                while block := stream.read(1 << 16):
-                    parts.append(block)
-            except (OSError, EOFError):
-                pass
-            data = b"".join(parts)
+                parts.append(member.decompress(data))  # what there is of a cut member
+            except zlib.error:
+                break
+            data = member.unused_data
+        data = b"".join(parts)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
