@@ -27,7 +27,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + BLANK + r"\p
 END = "</w>"
 MARK = "\ue000"  # ends a word inside the automaton
 #: Words kept with their ids by a worker; older ones go by halves.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -125,7 +125,7 @@ class Bpe:
                 fits = known.get(key)
                 if fits is None:
                     fits = known[key] = compatible(before, token)
-                    if len(known) > 2_000_000:
+                    if len(known) > 400_000:
                         known.clear()
                 if not fits:
                     continue
@@ -284,7 +284,7 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         batched = _encoder(path, sent.value)
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 2 << 20):
                 ids, edges = batched.encode(part.column(1).to_pylist())
                 edges, flat = pa.array(edges, pa.int32()), pa.array(ids)
                 tokens = pa.ListArray.from_arrays(edges, batched.tokens.take(flat))

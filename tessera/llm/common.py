@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,12 +21,21 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[ord("A") : ord("Z") + 1] += 32
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that they import it wherever the driver runs from."""
+    """Send this package to the executors once a context, so that they import it wherever the driver runs from, and bound Arrow's batches."""
+    # few texts at a time between the JVM and Python; long ones count by their bytes
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     context = spark.sparkContext
     if getattr(context, "_tessera_shipped", False):
         return
@@ -221,7 +231,7 @@ def crc_mod(ids, n: int) -> np.ndarray:
     return np.array([zlib.crc32(str(x).encode()) % n if x is not None else -1 for x in ids], dtype=np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about ``limit`` bytes of text each, and one row at least."""
     n = batch.num_rows
     if not n:
@@ -235,6 +245,14 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator
         to = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its tasks, beside others in the same container."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 # --- bounded sums --------------------------------------------------------------------------------------------

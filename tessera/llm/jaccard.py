@@ -312,7 +312,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                         size += len(x)
                         maps[k] = parity(x).tobytes()
                 yield out(0, part.column(0), list(map(len, sets)), names, maps)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out(1, *often(held))
                     held, seen, size = [], set(), 0
         if held:

@@ -53,7 +53,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Sums:
     """Counts of keys of one task, merged now and then."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 1_500_000):
         self.limit, self.held, self.size = limit, [], 0
 
     def add(self, keys: np.ndarray):
@@ -305,7 +305,7 @@ def _packed(docs: DataFrame, alphabet, buckets: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 16 << 20):
+            for part in slices(batch, 1, 8 << 20):
                 for low in range(0, part.num_rows, 60_000):
                     some = part.slice(low, 60_000)
                     h, bounds = tokens(some.column(1))
