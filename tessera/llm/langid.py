@@ -28,6 +28,8 @@ PROBES = 3
 LETTERS = np.zeros(256, dtype=np.uint8)
 LETTERS[[c for c in range(128) if chr(c).isalpha()]] = 1
 LETTERS[0x80:] = 1
+#: Bytes of text at a time: all n-grams of a piece's distinct words are held at once, at about 80 bytes for each of theirs.
+PIECE = 1 << 20
 
 
 def word_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,10 +45,10 @@ def word_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     total = int(size.sum())
     stream = np.full(total + max(SIZES), 0x20, np.uint64)
     inner = np.arange(total) - np.repeat(begin, size)
-    middle = (inner > 0) & (inner < np.repeat(size, size) - 1)
-    stream[:total][middle] = data[(np.repeat(s, size) + inner - 1)[middle]]
     left = np.repeat(size, size) - inner  # bytes up to the word's closing blank
-    word = np.repeat(np.arange(len(s)), size)
+    middle = (inner > 0) & (left > 1)
+    stream[:total][middle] = data[(np.repeat(s, size) + inner - 1)[middle]]
+    word = np.repeat(np.arange(len(s), dtype=np.int32), size)
     found, of, key = [], [], np.zeros(total, np.uint64)
     for n in range(1, max(SIZES) + 1):
         key = (key << np.uint64(8)) | stream[n - 1 : n - 1 + total]
@@ -143,7 +145,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             learn = (crc_mod(batch.column(0).to_pylist(), 4) != 2) & np.asarray(batch.column(2).is_valid())
-            for part in slices(batch.filter(pa.array(learn)), 1):
+            for part in slices(batch.filter(pa.array(learn)), 1, PIECE):
                 owner, which, keys, of = word_grams(part.column(1))
                 names = np.array(part.column(2).to_pylist(), dtype=object)
                 words = int(which.max()) + 1 if len(which) else 0
@@ -197,7 +199,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, PIECE):
                 lang, score = told.value.predict(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(crc_mod(part.column(0).to_pylist(), 4) == 2), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -212,7 +214,7 @@ def keep_known(docs: DataFrame, model: Model | None = None, min_score: float = 0
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, PIECE):
                 lang, score = told.value.predict(part.column(at))
                 yield part.filter(pa.array((np.array(lang, dtype=object) != "und") & (score >= min_score)))
 
