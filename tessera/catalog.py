@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import greedy, learned, relational, similarity
+from .operators import curation, greedy, learned, relational, similarity
 
-MODULES = (relational, similarity, greedy, learned)
+MODULES = (relational, curation, similarity, greedy, learned)
 
 
 def queries():

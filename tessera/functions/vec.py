@@ -97,3 +97,16 @@ def sign_bits(a: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def best_aligned(a: Column, b: Column, reach: int, least: int) -> Column:
+    """The best share of equal places of two arrays over shifts of up to ``reach``, with ``least`` places in common; null if there are none."""
+
+    def share(shift):
+        x = F.slice(a, max(1, 1 - shift), F.greatest(F.lit(0), F.size(a)))
+        y = F.slice(b, max(1, 1 + shift), F.greatest(F.lit(0), F.size(b)))
+        n = F.least(F.size(x), F.size(y))
+        same = F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
+        return F.when(n >= least, same / n)
+
+    return F.array_max(F.array(*[share(k) for k in range(-reach, reach + 1)]))

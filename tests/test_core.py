@@ -6,14 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog
-from tessera.functions import tags, text, vec
-from tessera.operators import greedy, learned, similarity
+from tessera.functions import schedule, tags, text, vec
+from tessera.operators import curation, greedy, learned, similarity
 from tessera.plans import spec
 from tessera.sources import tables
 from tessera.streaming import events
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["knn_dedupe_artist_cap", "dominant_label_hist", "server_metrics", "upsert_merge", "tier_match", "soft_rerank", "hyperbolic_niche", "sessions_by_user", "knn_batch_topk", "catalogue_search"]
+SOME = ["knn_dedupe_artist_cap", "dominant_label_hist", "server_metrics", "upsert_merge", "tier_match", "soft_rerank", "hyperbolic_niche", "sessions_by_user", "knn_batch_topk", "catalogue_search", "resolve_seeds", "proportional_allocation", "axis_votes", "prune_guard", "cron_hits"]
 
 
 def plain(rows):
@@ -104,3 +104,27 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert plain(got) == plain(batch.groupBy("event_type").count().collect())
     events.to_table(events.latest(s, "user_id"), "t_latest", "complete", str(tmp_path / "c2"))
     assert spark.sql("SELECT count(*) FROM t_latest").first()[0] == batch.select("user_id").distinct().count()
+
+
+def test_schedules(spark):
+    assert schedule.cron_field("*/20,5", 0, 59) == {0, 20, 40, 5} and schedule.cron_field("*", 1, 12) is None and schedule.cron_field("2-8/3", 0, 59) == {2, 5, 8}
+    for wrong in ("60", "5-2", "*/0", "x"):
+        with pytest.raises(ValueError):
+            schedule.cron_field(wrong, 0, 59)
+    at = spark.sql("SELECT timestamp_ntz'2024-01-07 03:15:00' AS t")  # a Sunday, the 7th
+    fits = lambda e: at.select(schedule.cron(e, F.col("t"))).first()[0]
+    assert fits("15 3 * * 0") and fits("15 3 * * 7") and fits("15 3 7 * 1") and not fits("15 3 8 * 1") and not fits("15 3 * 2 *")
+
+
+def test_aligned_match_and_ring(spark):
+    a = [k % 3 for k in range(60)]
+    df = spark.createDataFrame([(a, a[2:] + [0, 0]), (a[:20], a[:20])], "a array<int>, b array<int>")
+    got = [r[0] for r in df.select(vec.best_aligned(F.col("a"), F.col("b"), 12, 40)).collect()]
+    assert got[0] == 1.0 and got[1] is None
+    assert spark.range(1).select(schedule.ring(F.lit(11), F.lit(0)), schedule.ring(F.lit(0), F.lit(7))).first()[:] == (1, 5)
+
+
+def test_guards(spark):
+    df = spark.range(3)
+    assert curation.unless_emptied(df, F.col("id") > 5).count() == 3 and curation.unless_emptied(df, F.col("id") > 1).count() == 1
+    assert [r.id for r in curation.keyset_page_of(df, "id", 0, 1).collect()] == [1]
