@@ -6,8 +6,9 @@ their next-word distribution diverges from their parent's. A state's distributio
     P(x | s) = (n(s, x) + m(s) P(x | parent)) / (c(s) + LAMBDA),   m(s) = c(s) + LAMBDA - sum of the kept n(s, x)
 
 Every token is scored by the state of its longest suffix. For a word outside the alphabet n(s, x) is 0, so only factors m / (c + LAMBDA)
-meet its root probability; frequent words and states are sent to all tasks (their number is bounded by the shares below), the counts of
-all other words are found by dealing their occurrences, packed, to buckets of words.
+meet its root probability. Words and states are tables by hash that grow with the input, dealt to buckets; a slice of rows sends each
+bucket its distinct keys, packed, and gets back what is known of them. What is sent to all tasks are filters of bounded size, which only
+spare questions. grow() and Tree make the same model in one process, from symbols; the tests hold score() to them.
 """
 
 from __future__ import annotations
@@ -20,20 +21,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, crc_mod, hash_segments, mix, slices, written
+from .common import Words, crc_mod, mix, slices, written
 
 #: The end token's hash.
 END = np.uint64(0xE0E0_5EED_0000_0001)
-#: A word of the alphabet makes up this share of the tokens at least (so there are 200,000 at most), and occurs so often.
-SYMBOL_SHARE, SYMBOL_MIN = 5e-6, 32
-#: The same for a context with its next word; contexts, too, occur so often.
-NEXT_SHARE, NEXT_MIN = 1e-6, 8
+#: A word of the alphabet occurs so often, and so does a context with its next word, whatever the input's size.
+SYMBOL_MIN, NEXT_MIN = 32, 8
 #: Nats that a state must gain over its parent, on all its occurrences, to be kept.
 GAIN = 20.0
 LAMBDA = 4.0
+#: Of a symbol in grow().
 BITS = 18
-#: Rare occurrences that one task counts.
+#: Training tokens for each bucket of the table of words and states.
 BUCKET = 4_000_000
+#: Sets a state's hash apart from that of the same words as a word or a pair.
+STATE = 0x5EED_57A7_E000_0000
+#: Filters have so many bits, as a power of 2, at most; a hash sets those at these shifts (which leave out the lowest bit).
+SIEVE_BITS, SHIFTS = 27, (1, 32)
+RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,21 +91,134 @@ def _counted(keys, n):
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
+def learning(batches):
+    """(hashes of the tokens, bounds) of the training rows, in pieces."""
+    for batch in batches:
+        learn = batch.filter(pa.array(crc_mod(batch.column(0).to_pylist(), 10) != 0))
+        for part in slices(learn, 1, 1 << 20):
+            yield tokens(part.column(1))
+
+
 def unigrams(docs: DataFrame) -> DataFrame:
-    """(word, n, times): a row for each frequent word (times 1), and for the others how many words have each count n (word null)."""
+    """(key, n) of each word of the training rows."""
 
     def run(batches):
         sums = Sums()
-        for batch in batches:
-            learn = batch.filter(pa.array(crc_mod(batch.column(0).to_pylist(), 10) != 0))
-            for part in slices(learn, 1):
-                for found in sums.add(tokens(part.column(1))[0]):
-                    yield _counted(*found)
+        for h, _ in learning(batches):
+            for found in sums.add(h):
+                yield _counted(*found)
+        for found in sums.rest():
+            yield _counted(*found)
+
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Sieve:
+    """A filter of 64-bit hashes: it lets all that were put in pass, and few others. Its size is bounded; a fuller one only sieves less."""
+
+    bits: int
+    words: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for shift in SHIFTS:
+            at = (keys >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+        return out
+
+
+def sieve(keys: DataFrame):
+    """The broadcast filter of a column of hashes."""
+    bits = min(SIEVE_BITS, max(10, (16 * keys.count()).bit_length()))
+    at = F.explode(F.array(*[F.expr(f"shiftrightunsigned(key, {k}) & {(1 << bits) - 1}L") for k in SHIFTS]))
+    words = keys.select(at.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        word, out = table.column("word").to_numpy(), np.zeros(1 << 16, np.int64)
+        out[word & 65535] = table.column("bits").to_numpy()
+        return pa.table({"block": pa.array([int(word[0]) >> 16], pa.int32()), "words": pa.array([out.tobytes()], pa.binary())})
+
+    found = np.zeros(max(1 << 16, 1 << bits - 6), np.uint64)
+    blocks = words.groupBy(F.expr("shiftright(word, 16)")).applyInArrow(pack, "block int, words binary")
+    for r in blocks.collect():  # 2 ** (SIEVE_BITS - 22) rows of 512 kB at most
+        found[r.block << 16 : r.block + 1 << 16] = np.frombuffer(r.words, np.uint64)
+    words = found
+    return keys.sparkSession.sparkContext.broadcast(Sieve(bits, words))
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    return mix(mix(a) * np.uint64(5) + b)
+
+
+def spans(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, trio, two, three): the hashes of each token with the one before it and with the two before it, and whether there are any.
+
+    The lowest bit of a pair's hash is 0, that of a trio's 1.
+    """
+    two, three = np.ones(len(h), bool), np.ones(len(h), bool)
+    two[bounds[:-1]] = False
+    three[bounds[:-1]] = three[np.minimum(bounds[:-1] + 1, bounds[1:] - 1)] = False
+    before = np.roll(h, 1)
+    pair = joined(before, h) & ~np.uint64(1)
+    return pair, joined(np.roll(pair, 1), h) | np.uint64(1), two, three
+
+
+def _frequent_spans(h, bounds, words):
+    """spans() with only those of words that pass the filter."""
+    pair, trio, two, three = spans(h, bounds)
+    in_ = words.has(h)
+    two &= in_ & np.roll(in_, 1)
+    return pair, trio, two, three & two & np.roll(in_, 2)
+
+
+def contexts(docs: DataFrame, words, pairs=None) -> DataFrame:
+    """(key, n) of each word of the alphabet with the one before it; given the filter of the frequent pairs, with the two before it.
+
+    A trio is no more frequent than its pairs, so one with a rare pair need not be counted.
+    """
+
+    def run(batches):
+        sums = Sums()
+        for h, bounds in learning(batches):
+            pair, trio, two, three = _frequent_spans(h, bounds, words.value)
+            if pairs is not None:
+                often = pairs.value.has(pair)
+                pair, two = trio, three & often & np.roll(often, 1)
+            for found in sums.add(pair[two]):
+                yield _counted(*found)
         for found in sums.rest():
             yield _counted(*found)
 
-    words = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return words.groupBy(F.when(F.col("n") >= SYMBOL_MIN, F.col("key")).alias("word"), "n").agg(F.count("*").alias("times"))
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def parts(docs: DataFrame, words, frequent) -> DataFrame:
+    """(key, head, tail) of the contexts that pass the filter: a pair's two words, or a trio's first and its last pair."""
+
+    def run(batches):
+        seen = np.zeros(1 << 21, np.uint64)  # the last key at each place: one named twice does no harm
+        for h, bounds in learning(batches):
+            pair, trio, two, three = _frequent_spans(h, bounds, words.value)
+            keys, head, tail = (np.concatenate((x[two], y[three])) for x, y in ((pair, trio), (np.roll(h, 1), np.roll(pair, 1)), (h, pair)))
+            place = (keys >> np.uint64(8) & np.uint64(len(seen) - 1)).astype(np.int64)
+            at = np.flatnonzero(seen[place] != keys)
+            at = at[frequent.value.has(keys[at])]
+            at = at[np.unique(keys[at], return_index=True)[1]]
+            seen[place[at]] = keys[at]
+            yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (keys, head, tail)], ["key", "head", "tail"])
+
+    return docs.mapInArrow(run, "key long, head long, tail long").dropDuplicates(["key"])
+
+
+def kept_states(rows: DataFrame) -> DataFrame:
+    """(head, share, base) of the states kept, from (head, n, c, parent) of their next words: _states() on a table."""
+    p = F.col("n") / F.col("c")
+    found = rows.groupBy("head").agg(F.first("c").alias("c"), F.sum("n").alias("seen"), F.sum(p * F.log(p / F.col("parent"))).alias("gain"), F.sum("parent").alias("parent"))
+    rest, other = F.greatest(F.lit(0.0), 1 - F.col("seen") / F.col("c")), F.greatest(F.lit(1e-12), F.least(F.lit(1.0), 1 - F.col("parent")))
+    gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / other)).otherwise(0.0)
+    return found.where(gain * F.col("c") >= GAIN).select("head", ((F.col("c") - F.col("seen") + LAMBDA) / (F.col("c") + LAMBDA)).alias("share"), (F.col("c") + LAMBDA).alias("base"))
 
 
 def symbols_of(h: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
@@ -122,29 +240,6 @@ def history(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return one, two
 
 
-def contexts(docs: DataFrame, alphabet) -> DataFrame:
-    """(key, n) of each context of one or two alphabet words with its next one: symbols of BITS bits each, the longer ones with bit 62."""
-
-    def run(batches):
-        words = alphabet.value
-        sums = Sums()
-        for batch in batches:
-            learn = batch.filter(pa.array(crc_mod(batch.column(0).to_pylist(), 10) != 0))
-            for part in slices(learn, 1):
-                h, bounds = tokens(part.column(1))
-                x = symbols_of(h, words)
-                a, b = history(x, bounds)
-                pair = (x >= 0) & (a >= 0)
-                trio = pair & (b >= 0)
-                keys = np.concatenate((a[pair] << BITS | x[pair], 1 << 62 | b[trio] << 2 * BITS | a[trio] << BITS | x[trio]))
-                for found in sums.add(keys):
-                    yield _counted(*found)
-        for found in sums.rest():
-            yield _counted(*found)
-
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 @dataclass
 class Tree:
     """The alphabet with its counts and the states: of one word by symbol, of two by sorted key."""
@@ -254,121 +349,119 @@ def grow(total: int, distinct: int, alphabet: np.ndarray, counts: np.ndarray, ke
     return tree
 
 
-def fit(docs: DataFrame) -> Tree:
-    """The tree of all training rows."""
-    counted = written(unigrams(docs))
-    sums = counted.agg(F.sum(F.col("n") * F.col("times")), F.sum("times")).first()
-    total, distinct = int(sums[0] or 0), int(sums[1] or 0)
-    top = counted.where(F.col("word").isNotNull() & (F.col("n") >= max(SYMBOL_MIN, int(total * SYMBOL_SHARE)))).select("word", "n").toPandas()
-    common.drop_written(counted)
-    words, counts = top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    frequent = contexts(docs, sent).where(F.col("n") >= max(NEXT_MIN, int(total * NEXT_SHARE))).toPandas()
-    return grow(total, distinct, words, counts, frequent.key.to_numpy(np.int64), frequent.n.to_numpy(np.int64))
-
-
-def _row_keys(part: pa.RecordBatch) -> np.ndarray:
-    """A name for each row, of its id and its text: rows alike in both share it, and their scores."""
-    ids = part.column(0).cast(pa.int64()).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.int64)
-    data, offsets = common.buffers(part.column(1))
-    text = np.zeros(len(ids), np.uint64)
-    full = offsets[1:] > offsets[:-1]
-    text[full] = hash_segments(data, offsets[:-1][full], offsets[1:][full])
-    return mix(mix(ids.view(np.uint64)) * np.uint64(5) + text).view(np.int64)
-
+def _facts(one: DataFrame, states: DataFrame) -> DataFrame:
+    """(key, value): a state's share of its parent, and n / base over the root's probability for each next word."""
+    own = states.select(F.expr(f"head ^ {STATE}L").alias("key"), F.col("share").alias("value"))
+    return own.unionByName(one.where("base is not null").select("key", (F.col("n") / F.col("base") / F.col("root")).alias("value")))
 
-def _summaries(docs: DataFrame, tree) -> DataFrame:
-    """What the tree alone says of each row: n_tokens, its gains, and of the frequent words the logs of the counts and their number."""
 
-    def run(batches):
-        t = tree.value
-        for batch in batches:
-            for part in slices(batch, 1):
-                h, bounds = tokens(part.column(1))
-                x, gain = t.gains(h, bounds)
-                known = x >= 0
-                logs = np.zeros(len(h))
-                if known.any():
-                    logs[known] = np.log10(t.counts[x[known]] + 0.1)
-                add = lambda v: np.add.reduceat(v, bounds[:-1]) if len(bounds) > 1 else v[:0]
-                mod = crc_mod(part.column(0).to_pylist(), 10)
-                arrays = [pa.array(_row_keys(part)), part.column(0), pa.array(mod == 0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(add(gain)), pa.array(add(logs)), pa.array(add(known.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "held_out", "n_tokens", "gain", "logs", "known"])
-
-    return docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, gain double, logs double, known long")
-
-
-def _packed(docs: DataFrame, alphabet, buckets: int) -> DataFrame:
-    """(bucket, slice, docs, train, words, doc, times): the rare words of a slice of rows, by bucket of word, in binary columns."""
+def fit(docs: DataFrame) -> tuple[int, int, DataFrame, DataFrame]:
+    """(tokens, distinct words, (key, n) of the words, (key, value) of the states) of all training rows. Both tables grow with the input."""
+    words = written(unigrams(docs))
+    sums = words.agg(F.sum("n"), F.count("*")).first()
+    total, distinct = int(sums[0] or 0), int(sums[1] or 0)
+    top = words.where(F.col("n") >= SYMBOL_MIN)
+    alphabet = sieve(top.select("key"))
+    pairs = written(contexts(docs, alphabet).where(F.col("n") >= NEXT_MIN))
+    trios = written(contexts(docs, alphabet, sieve(pairs.select("key"))).where(F.col("n") >= NEXT_MIN))
+    counts = pairs.unionByName(trios)
+    named = written(counts.join(parts(docs, alphabet, sieve(counts.select("key"))), "key"))
+    root = (F.col("n") + 0.1) / (total + 0.1 * (distinct + 1))
+    first = named.where("key & 1 = 0").join(top.select(F.col("key").alias("head"), F.col("n").alias("c")), "head")
+    first = written(first.join(top.select(F.col("key").alias("tail"), root.alias("root")), "tail"))
+    states1 = written(kept_states(first.select("head", "n", "c", F.col("root").alias("parent"))))
+    one = written(first.join(states1, "head", "left").select("key", "n", "root", "base", (F.col("root") * F.coalesce("share", F.lit(1.0)) + F.coalesce(F.col("n") / F.col("base"), F.lit(0.0))).alias("parent")))
+    second = named.where("key & 1 = 1").join(one.select(F.col("key").alias("head"), F.col("n").alias("c")), "head")
+    second = written(second.join(one.select(F.col("key").alias("tail"), "root", "parent"), "tail"))
+    states2 = written(kept_states(second))
+    two = second.join(states2, "head", "left").select("key", "n", "root", "base")
+    facts = written(_facts(one, states1).unionByName(_facts(two, states2)))
+    for table in (pairs, trios, named, first, states1, one, second, states2):
+        common.drop_written(table)
+    return total, distinct, words, facts
+
+
+def _asked(docs: DataFrame, states, buckets: int) -> DataFrame:
+    """The rows, each with its slice, and beside them (slice, bucket, keys): the distinct words and states of a slice, packed."""
+    schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("keys", pa.binary())])
 
     def run(batches):
+        at = common.task_number() << 32
         for batch in batches:
             for part in slices(batch, 1, 8 << 20):
-                for low in range(0, part.num_rows, 60_000):
-                    some = part.slice(low, 60_000)
-                    h, bounds = tokens(some.column(1))
-                    rare = symbols_of(h, alphabet.value) < 0
-                    owner = np.repeat(np.arange(some.num_rows), np.diff(bounds))[rare]
-                    h = h[rare]
-                    if not len(h):
-                        continue
-                    order = np.lexsort((owner, h))
-                    h, owner = h[order], owner[order]
-                    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))))
-                    times = np.diff(np.append(first, len(h)))
-                    h, owner = h[first], owner[first]
-                    more = (times - 1) // 65535 + 1
-                    if (more > 1).any():
-                        h, owner, last = np.repeat(h, more), np.repeat(owner, more), np.cumsum(more) - 1
-                        full = np.full(len(h), 65535)
-                        full[last] = times - 65535 * (more - 1)
-                        times = full
-                    bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    h, owner, times, bucket = h[order], owner[order], times[order], bucket[order]
-                    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                    keys, train = _row_keys(some), (crc_mod(some.column(0).to_pylist(), 10) != 0).astype(np.uint8)
-                    name, rows = int(mix(np.array([np.add.reduce(mix(keys.view(np.uint64)))], np.uint64)).view(np.int64)[0]), []
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                        mine, doc = np.unique(owner[a:b], return_inverse=True)
-                        rows.append((int(bucket[a]), name, keys[mine].tobytes(), train[mine].tobytes(), h[a:b].tobytes(), doc.astype(np.uint16).tobytes(), times[a:b].astype(np.uint16).tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, (pa.int32(), pa.int64())[k] if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], ["bucket", "slice", "docs", "train", "words", "doc", "times"])
-
-    return docs.mapInArrow(run, "bucket int, slice long, docs binary, train binary, words binary, doc binary, times binary")
-
-
-def _rare(packed: DataFrame) -> DataFrame:
-    """(key, logs, known): what the rare words add to each row.
-
-    A bucket answers each slice in one row of packed numbers, and a slice adds up its buckets' answers, so that a row's words do not
-    become a row for every bucket.
-    """
+                at += 1
+                rows = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([at] * rows, pa.int64()), pa.nulls(rows, pa.int32()), part.column(0), part.column(1), pa.nulls(rows, pa.binary())], schema=schema)
+                keys = np.unique(np.concatenate([_keys(*tokens(some.column(1)), states.value) for some in slices(part, 1, 1 << 20)]))
+                bucket = keys.view(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                keys, bucket = keys[order], bucket[order]
+                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+                size = len(cuts) - 1
+                packed = [keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * size, pa.int64()), pa.array(bucket[cuts[:-1]], pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.string()), pa.array(packed, pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "slice long, bucket int, doc_id long, text string, keys binary")
+
+
+def _keys(h: np.ndarray, bounds: np.ndarray, states: Sieve) -> np.ndarray:
+    """The distinct words of some texts, and what may be known of their contexts."""
+    pair, trio, two, three = spans(h, bounds)
+    before = np.roll(h, 1) ^ np.uint64(STATE), np.roll(pair, 1) ^ np.uint64(STATE)
+    found = np.unique(np.concatenate((before[0][two], pair[two], before[1][three], trio[three])))
+    return np.concatenate((np.unique(h), found[states.has(found)]))
+
+
+def _answered(asks: DataFrame, facts: DataFrame) -> DataFrame:
+    """(slice, keys, values): each slice's keys that a bucket knows, packed, so that they do not become a row each."""
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("key")
+        keys, values = known.column("key").to_numpy(), known.column("value").to_numpy()
+        rows = []
+        for name, packed in zip(asked.column("slice").to_pylist(), asked.column("keys").to_pylist(), strict=True) if len(keys) else ():
+            want = np.frombuffer(packed, np.int64)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = keys[at] == want
+            rows.append((name, want[hit].tobytes(), values[at[hit]].tobytes()))
+        return pa.table({"slice": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "values": pa.array([r[2] for r in rows], pa.binary())})
+
+    return asks.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(answer, "slice long, keys binary, values binary")
+
+
+def _scored(rows: DataFrame, answers: DataFrame, total: int, norm: float) -> DataFrame:
+    """The rows of each slice with what its answers make of them."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.frombuffer(b"".join(told.column(name).to_pylist()), kind)
+        keys, values = read("keys", np.uint64), read("values", np.float64)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+
+        def get(wanted, on, default):
+            out = np.full(len(wanted), default)
+            if len(keys):
+                some = wanted[on]
+                at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+                out[on] = np.where(keys[at] == some, values[at], default)
+            return out
+
+        done = []
+        for batch in docs.select(["doc_id", "text"]).combine_chunks().to_batches():
+            for part in slices(batch, 1, 1 << 20):
+                h, bounds = tokens(part.column(1))
+                pair, trio, two, three = spans(h, bounds)
+                n = get(h, np.ones(len(h), bool), 0.0)
+                ratio = get(np.roll(h, 1) ^ np.uint64(STATE), two, 1.0) + get(pair, two, 0.0)
+                ratio = ratio * get(np.roll(pair, 1) ^ np.uint64(STATE), three, 1.0) + get(trio, three, 0.0)
+                add = lambda v, bounds=bounds: np.add.reduceat(v, bounds[:-1])
+                size = np.diff(bounds).astype(np.int64)
+                base = add(np.log10(n + 0.1)) - size * norm
+                known, held_out = add((n > 0).astype(np.int64)), crc_mod(part.column(0).to_pylist(), 10) == 0
+                done.append(pa.table([part.column(0), pa.array(held_out), pa.array(size), pa.array(known), pa.array(np.full(len(size), total)), pa.array(base), pa.array(base + add(np.log10(ratio)))], names=RESULT))
+        return pa.concat_tables(done)
 
-    def count(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        docs, train = read("docs", np.int64), read("train", np.uint8)
-        start = np.cumsum([0, *map(len, docs)])[:-1]
-        doc = np.concatenate([d.astype(np.int64) + s for d, s in zip(read("doc", np.uint16), start, strict=True)])
-        times = np.concatenate(read("times", np.uint16)).astype(np.int64)
-        keys, train = np.concatenate(docs), np.concatenate(train).astype(bool)
-        _, word = np.unique(np.concatenate(read("words", np.uint64)), return_inverse=True)
-        counts = np.bincount(word, weights=times * train[doc])
-        c = counts[word]
-        logs = np.bincount(doc, weights=times * np.log10(c + 0.1), minlength=len(keys))
-        known = np.bincount(doc, weights=times * (c > 0), minlength=len(keys)).astype(np.int64)
-        cut = lambda v: [x.tobytes() for x in np.split(v, start[1:])]
-        return pa.table({"slice": table.column("slice"), "docs": table.column("docs"), "logs": pa.array(cut(logs), pa.binary()), "known": pa.array(cut(known), pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        keys, at = np.unique(read("docs", np.int64), return_inverse=True)
-        logs, known = np.bincount(at, weights=read("logs", np.float64)), np.bincount(at, weights=read("known", np.int64))
-        return pa.table({"key": keys, "logs": logs, "known": known.astype(np.int64)})
-
-    answers = packed.groupBy("bucket").applyInArrow(count, "slice long, docs binary, logs binary, known binary")
-    return answers.groupBy("slice").applyInArrow(add, "key long, logs double, known long")
+    return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -379,19 +472,14 @@ def score(docs: DataFrame) -> DataFrame:
     read; other columns are not.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    context = docs.sparkSession.sparkContext
-    tree = fit(docs)
-    told = context.broadcast(tree)
-    rare = tree.total - int(tree.counts.sum())
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rare // BUCKET))
-    own = written(_summaries(docs, told))
-    parts = _rare(_packed(docs, context.broadcast(tree.alphabet), buckets)).select("key", "logs", "known", F.lit(0).alias("rows"))
-    ones = own.select("key", F.lit(0.0).alias("logs"), F.lit(0).cast("long").alias("known"), F.lit(1).alias("rows"))
-    added = parts.unionByName(ones).groupBy("key").agg(F.sum("logs").alias("more_logs"), F.sum("known").alias("more_known"), F.sum("rows").alias("rows"))
-    norm = float(np.log10(tree.total + 0.1 * (tree.distinct + 1)))
-    base = F.col("logs") + F.col("more_logs") / F.col("rows") - F.col("n_tokens") * F.lit(norm)
-    known = F.col("known") + (F.col("more_known") / F.col("rows")).cast("long")
-    return own.join(added, "key").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    total, distinct, words, facts = fit(docs)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    asked = written(_asked(docs, sieve(facts.select("key")), buckets))
+    bucket = F.pmod("key", F.lit(buckets)).cast("int").alias("bucket")
+    table = words.select(bucket, "key", F.col("n").cast("double").alias("value")).unionByName(facts.select(bucket, "key", "value"))
+    answers = _answered(asked.where("bucket is not null").select("slice", "bucket", "keys"), table)
+    norm = float(np.log10(total + 0.1 * (distinct + 1)))
+    return _scored(asked.where("bucket is null").select("slice", "doc_id", "text"), answers, total, norm)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
