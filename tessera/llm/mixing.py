@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to so many sources the rate table is sent to every executor; beyond, it is joined.
 BROADCAST_SOURCES = 10_000
+#: The largest mean that is inverted at once.
+PART = 256.0
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -17,9 +17,10 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_count(u: Column, rate: Column, most: int) -> Column:
-    """The inverse of the Poisson distribution function: how many k have P(X <= k) <= u."""
-    steps = F.sequence(F.lit(1), F.lit(most))
+def poisson_count(u: Column, rate: Column) -> Column:
+    """The inverse of the Poisson distribution function: how many k have P(X <= k) <= u. Rates are PART at most."""
+    top = F.greatest(rate, F.lit(16.0))
+    steps = F.sequence(F.lit(1), F.ceil(top + 14 * F.sqrt(top) + 20).cast("int"))  # beyond, less than 2**-52 is left
     first = F.exp(-rate)
     start = F.struct(first.alias("p"), first.alias("cdf"), F.lit(0).alias("n"))
 
@@ -30,6 +31,13 @@ def poisson_count(u: Column, rate: Column, most: int) -> Column:
     return F.when(rate > 0, F.aggregate(steps, start, step, lambda s: s["n"])).otherwise(0)
 
 
+def copies(seed: str, ident: Column, rate: Column) -> Column:
+    """A Poisson count of any mean. One over PART, whose exp(-rate) is 0 in time, is the sum of counts of equal parts, each by its own hash."""
+    parts = F.ceil(rate / PART).cast("int")
+    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda s, k: s + poisson_count(uniform(seed + "/part", ident, k), rate / parts))
+    return F.when(rate > PART, many).otherwise(poisson_count(uniform(seed, ident), rate))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -39,12 +47,13 @@ def mix_sources(
     seed: str = "mix",
     source_col: str = "source",
     id_col: str = "doc_id",
-    max_rate: float = 16.0,
+    max_rate: float | None = None,
 ) -> DataFrame:
     """The rows of ``docs``, each as often as a Poisson count says, with copy_no, n_copies and shuffle_key added, in global random order.
 
     A source's mean count is weight * total / its rows. ``weights`` are relative, sources not named weigh 0; without them a source
-    weighs rows ** temperature. ``total`` rows are expected out, by default as many as come in; a rate stays below max_rate. A null
+    weighs rows ** temperature. ``total`` rows are expected out, by default as many as come in. With a max_rate no mean exceeds it, and
+    the sources that it cuts stay below their targets; by default there is none, whatever the rates. A null
     source is a source of its own (named '' in weights). Rows are told apart by id alone, so equal ids repeat alike; a null id counts
     as the text ''. An empty table gives an empty table. Columns named copy_no, n_copies or shuffle_key are replaced.
     """
@@ -59,8 +68,8 @@ def mix_sources(
         weighed = counts.withColumn("__w", F.coalesce(w[F.col("__source")].cast("double"), F.lit(0.0)))
     sums = weighed.agg(F.sum("__w"), F.sum("__n")).first()
     want, mass = float(total if total is not None else (sums[1] or 0.0)), float(sums[0] or 0.0)
-    rates = weighed.select("__source", F.least(F.lit(max_rate), F.col("__w") / F.lit(mass or 1.0) * F.lit(want) / F.col("__n")).alias("__rate"))
-    most = math.ceil(max_rate + 14 * math.sqrt(max_rate) + 20)
+    rate = F.col("__w") / F.lit(mass or 1.0) * F.lit(want) / F.col("__n")
+    rates = weighed.select("__source", (rate if max_rate is None else F.least(F.lit(float(max_rate)), rate)).alias("__rate"))
     if n_sources <= BROADCAST_SOURCES:
         rated = docs.withColumn("__source", key).join(F.broadcast(rates), "__source")
     else:  # a hot source is dealt out over 64 salts; its one row of rates is repeated
@@ -68,7 +77,7 @@ def mix_sources(
         many = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
         rated = docs.withColumn("__source", key).withColumn("__salt", salt).join(many, ["__source", "__salt"])
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    out = rated.withColumn("n_copies", poisson_count(uniform(seed, ident), F.col("__rate"), most)).where("n_copies > 0")
+    out = rated.withColumn("n_copies", copies(seed, ident, F.col("__rate"))).where("n_copies > 0")
     out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     out = out.withColumn("shuffle_key", uniform(seed + "/order", ident, F.col("copy_no")))
     out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no", "n_copies", "shuffle_key")

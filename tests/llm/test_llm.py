@@ -309,3 +309,11 @@ def test_lm_states_do_not_depend_on_the_size(spark):
         h = np.array([at.get(x, 1 << 40) for x in words[i]], np.uint64)
         assert got[i].score - got[i].base_score == pytest.approx(tree.gains(h, np.array([0, len(h)]))[1].sum(), abs=1e-9)
     assert abs(got[5000].score - got[5000].base_score) > 0.1
+
+
+def test_mixing_reaches_targets_of_small_sources(spark):
+    df = spark.range(20_010).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, "small").otherwise("large").alias("source"))
+    n = collections.Counter(r.source for r in mixing.mix_sources(df, {"small": 1.0, "large": 1.0}).collect())
+    assert all(abs(n[x] - 10_005) < 5 * math.sqrt(10_005) for x in ("small", "large"))  # a mean of 1000.5 and one of 0.5
+    n = collections.Counter(r.source for r in mixing.mix_sources(df).collect())  # weights by the root: a mean of 43.8
+    assert abs(n["small"] - 20_010 * math.sqrt(10) / (math.sqrt(10) + math.sqrt(20_000))) < 5 * math.sqrt(437)
