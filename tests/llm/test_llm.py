@@ -317,3 +317,14 @@ def test_mixing_reaches_targets_of_small_sources(spark):
     assert all(abs(n[x] - 10_005) < 5 * math.sqrt(10_005) for x in ("small", "large"))  # a mean of 1000.5 and one of 0.5
     n = collections.Counter(r.source for r in mixing.mix_sources(df).collect())  # weights by the root: a mean of 43.8
     assert abs(n["small"] - 20_010 * math.sqrt(10) / (math.sqrt(10) + math.sqrt(20_000))) < 5 * math.sqrt(437)
+
+
+def test_language_stage_rejects_what_the_filters_do_not_know(spark):
+    common.ship(spark)
+    r, docs = random.Random(2), spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = [(-1 - k, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(2, 9))) for _ in range(60)), None) for k in range(20)]
+    noise += [(-50, "Это совсем другой язык и другая письменность", None), (-51, "这是另一种语言。" * 5, None)]
+    got = langid.keep_known(docs.union(spark.createDataFrame(noise, docs.schema)))
+    known = docs.join(langid.identify(docs).where("lang_pred <> 'und'").select("doc_id"), "doc_id", "left_semi").count()
+    assert got.where("doc_id < 0").count() == 0 and got.count() == known
+    assert langid.keep_known(docs.drop("lang")).count() == 0
