@@ -328,3 +328,10 @@ def test_language_stage_rejects_what_the_filters_do_not_know(spark):
     known = docs.join(langid.identify(docs).where("lang_pred <> 'und'").select("doc_id"), "doc_id", "left_semi").count()
     assert got.where("doc_id < 0").count() == 0 and got.count() == known
     assert langid.keep_known(docs.drop("lang")).count() == 0
+
+
+def test_url_rules_of_both_verdicts(spark):
+    labels = [(f"http://bad.io/x{k}", "block") for k in range(0, 95)] + [("http://bad.io/safe", "allow")] * 5 + [("http://fine.io/safe", "allow")] * 20
+    df = spark.createDataFrame([(1, "http://bad.io/safe"), (2, "http://bad.io/other"), (3, "http://else.io/")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.mined_confidence) for r in urls.filter_urls(df, labels=spark.createDataFrame(labels, "url string, label string"), min_support=0.01).collect()}
+    assert got[1] == ("allow", 1.0) and got[2] == ("block", pytest.approx(0.95)) and got[3] == ("allow", None)
