@@ -21,10 +21,14 @@ from .common import slices
 #: Fixed values from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-SKIP = frozenset("script style head noscript template svg math iframe object canvas select option textarea button title".split())
+SKIP = frozenset("script style head noscript template iframe select option textarea button title".split())
+#: What can stand in a head; its end tag may be left out before anything else.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What a start tag closes: a paragraph ends before any block, an item before the next.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+#: A decimal character reference too long for int(); any of so many digits is out of range but for leading zeros.
+LONG_REFERENCE = re.compile(r"&#0*([0-9]{8})[0-9]*|&#0{8,}([0-9]{0,7})(?![0-9])")
 SPACE = re.compile("[\\x20\\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 CONTENT_HINTS = re.compile(r"article|content|post|entry|story|main|body|text", re.I)
@@ -61,7 +65,22 @@ class Tree(HTMLParser):
                 self.blocks.append((node, text, self.block_links))
         self.pieces, self.block_links = [], 0
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown declaration is a comment up to the next >
+            return self.parse_bogus_comment(i)
+
+    def leave_head(self):
+        """Closes a head that nothing is open in, whose end tag was left out; in a noscript of a head, too."""
+        k = len(self.open) - 1
+        k -= self.open[k].tag == "noscript"
+        if self.open[k].tag == "head":
+            self.cut(k)
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or (tag not in HEAD and self.open[-1].tag == "head"):
+            self.leave_head()
         if tag in BLOCKS or tag == "br" or tag in SKIP:
             if tag in BLOCKS:
                 self.close_before(tag)
@@ -122,6 +141,8 @@ class Tree(HTMLParser):
                 return  # an inline end tag does not close the block around it
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip(" \t\n\f\r"):
+            self.leave_head()
         if not self.skipped:
             self.pieces.append(data)
             if self.links:
@@ -139,11 +160,8 @@ class Page:
 
     def __init__(self, html: str):
         tree = Tree()
-        try:
-            tree.feed(html)
-            tree.close()
-        except Exception:  # the standard parser gives up on some broken declarations; what came before stands
-            pass
+        tree.feed(LONG_REFERENCE.sub(lambda m: "&#" + (m[1] or m[2] or "0"), html))
+        tree.close()
         tree.end_block()
         self.texts = [t for _, t, _ in tree.blocks]
         self.nodes: list[Node] = []
@@ -365,7 +383,8 @@ def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each row, from its whole html.
 
     Null, empty or text-free html gives an empty text. Each block (an element of block kind) has its white space turned into single
-    blanks; br counts as white space. Rows with equal ids are extracted each. Other columns are not read.
+    blanks; br counts as white space. An unknown declaration is a comment up to its >, and a head ends where something stands that cannot
+    be in it. Rows with equal ids are extracted each. Other columns are not read.
     """
     told = pages.sparkSession.sparkContext.broadcast(model or default_model())
 

@@ -335,3 +335,18 @@ def test_url_rules_of_both_verdicts(spark):
     df = spark.createDataFrame([(1, "http://bad.io/safe"), (2, "http://bad.io/other"), (3, "http://else.io/")], "page_id long, url string")
     got = {r.page_id: (r.verdict, r.mined_confidence) for r in urls.filter_urls(df, labels=spark.createDataFrame(labels, "url string, label string"), min_support=0.01).collect()}
     assert got[1] == ("allow", 1.0) and got[2] == ("block", pytest.approx(0.95)) and got[3] == ("allow", None)
+
+
+def test_html_goes_on_after_odd_declarations_and_open_heads():
+    model = html.default_model()
+    around = "<nav><a href=x>home</a></nav>"
+    article = "<article><p>" + "first words of a text. " * 9 + "</p>%s<p>" + "last words of a text. " * 9 + "</p></article>"
+    whole = html.extract("<html><head><title>t</title></head><body>" + around + article % "" + "</body></html>", model)
+    assert "first" in whole and "last" in whole
+    for odd in ("<![ endif]-->", "<![foo bar]>", "<![endif]>", "<![]>"):
+        assert html.extract("<html><head><title>t</title></head><body>" + around + article % odd + "</body></html>", model) == whole
+    for start in ("<html><head><title>t</title><body>", "<html><head><title>t</title>", "<head><meta charset=x><noscript><style>x</style><body>", "<head><title>a <b> c</title><body>"):
+        assert html.extract(start + around + article % "" + "</body></html>", model) == whole
+    assert html.Page("<head><title>t</title>plain words").texts == ["plain words"]
+    assert html.Page("<p>a &#" + "9" * 5000 + "; &#" + "0" * 5000 + "65; b &#8364; &#0000000000; c &#00000000065;").texts == ["a \ufffd A b \u20ac \ufffd c A"]
+    assert html.Page("<p>see <svg><title>no</title><text>label</text></svg> and <math><mi>x</mi></math> here").texts[-1].endswith("and x here")
