@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..sources.scratch import cut
 from ..sources.tables import items, vectors
 from .similarity import band_pairs, block_neighbours, neighbours, seed_vector
 
@@ -20,6 +21,9 @@ ORACLE: dict[str, str] = {}
 #: Batch of the near-copy filter, bucket of the walk, and its weights.
 BATCH, BUCKET, STEP_WEIGHT, ANCHOR_WEIGHT = 50, 50, 0.7, 0.3
 
+#: So many open pairs of the merge are settled on the driver.
+DRIVER_PAIRS = 100_000
+
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -167,13 +171,35 @@ def alchemy_sampled(spark, sf_dir):
     return near.select("item_id", "dist", (-F.col("dist") / 0.1 - F.log(-F.log(u))).alias("g")).orderBy(F.desc("g"), "item_id").limit(20).select("item_id", F.round("dist", 6).alias("dist"))
 
 
+def merge_pairs(pairs: DataFrame) -> DataFrame:
+    """(item_id, merged_into) from confirmed pairs (a_id, b_id, d), a before b: the ordered greedy merge, run to its end.
+
+    Items settle in order of id: each joins its nearest earlier match that is not merged itself, and stays a target if there is none.
+    An item all of whose earlier matches are merged is a target; one with a target among them is merged. Rounds settle what they can
+    until no pair is open; a few open pairs are settled in order on the driver.
+    """
+    pairs = cut(pairs)
+    left, merged = pairs.select("a_id", "b_id"), pairs.select(F.col("b_id").alias("id")).limit(0)
+    while n := left.count():
+        if n <= DRIVER_PAIRS:
+            gone: set[int] = set()
+            for r in left.orderBy("b_id", "a_id").collect():
+                if r.a_id not in gone:
+                    gone.add(r.b_id)
+            merged = merged.union(pairs.sparkSession.createDataFrame([(x,) for x in sorted(gone)], merged.schema))
+            break
+        now = cut(left.join(left.select(F.col("b_id").alias("a_id")).distinct(), "a_id", "left_anti").select(F.col("b_id").alias("id")).distinct())
+        merged = merged.union(now)
+        left = cut(left.join(now, F.col("b_id") == F.col("id"), "left_anti").join(now, F.col("a_id") == F.col("id"), "left_anti"))
+    free = pairs.join(merged, F.col("a_id") == F.col("id"), "left_anti")
+    return free.groupBy(F.col("b_id").alias("item_id")).agg(F.min(F.struct("d", "a_id")).alias("m")).select("item_id", F.col("m.a_id").alias("merged_into"))
+
+
 @query
 def merge_forest(spark, sf_dir):
-    """Each item joins its nearest earlier match; merged items are not targets. A star per component of confirmed pairs."""
+    """Each item joins its nearest earlier match that is not merged itself, so that chains cannot form."""
     df = vectors(spark, sf_dir)
     v = df.select("item_id", "v")
     pairs = band_pairs(df, 64, 19, 18).join(v.select(F.col("item_id").alias("a_id"), F.col("v").alias("av")), "a_id").join(v.select(F.col("item_id").alias("b_id"), F.col("v").alias("bv")), "b_id")
     d = pairs.select("a_id", "b_id", vec.angular(F.col("av"), F.col("bv")).alias("d")).where("d <= 0.7")
-    best = d.groupBy("b_id").agg(F.min(F.struct("d", "a_id")).alias("m")).select("b_id", F.col("m.a_id").alias("a_id"))
-    free = best.join(best.select(F.col("b_id").alias("a_id")), "a_id", "left_anti")
-    return free.select(F.col("b_id").alias("item_id"), F.col("a_id").alias("merged_into"))
+    return merge_pairs(d)

@@ -128,3 +128,17 @@ def test_guards(spark):
     df = spark.range(3)
     assert curation.unless_emptied(df, F.col("id") > 5).count() == 3 and curation.unless_emptied(df, F.col("id") > 1).count() == 1
     assert [r.id for r in curation.keyset_page_of(df, "id", 0, 1).collect()] == [1]
+
+
+@pytest.mark.parametrize("on_driver", [0, 100_000])
+def test_merge_runs_to_its_end(spark, monkeypatch, on_driver):
+    monkeypatch.setattr(greedy, "DRIVER_PAIRS", on_driver)
+    rng = np.random.default_rng(4)
+    pairs = [(1, 2, 0.1), (1, 3, 0.3), (2, 3, 0.2)] + [(k, k + 1, 0.5) for k in range(10, 17)]
+    pairs += sorted({(int(a), int(b)): (int(a), int(b), float(rng.integers(5))) for a, b in np.sort(rng.integers(100, 140, (120, 2)), axis=1) if a < b}.values())
+    parent: dict[int, int] = {}
+    for a, b, _ in sorted(pairs, key=lambda x: (x[1], x[2], x[0])):
+        if b not in parent and a not in parent:
+            parent[b] = a
+    got = greedy.merge_pairs(spark.createDataFrame(pairs, "a_id long, b_id long, d double")).collect()
+    assert {r.item_id: r.merged_into for r in got} == parent and len(got) == len(parent) and parent[3] == 1
