@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..sources.scratch import cut
 from ..sources.tables import items, vectors
-from .similarity import block_neighbours
+from .similarity import MAX_BLOCK, block_neighbours
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -180,13 +181,49 @@ def genre_tree(spark, sf_dir):
     return leaf.unionByName(folder)
 
 
+def radius_links(df: DataFrame, eps: float) -> DataFrame:
+    """(query_id, item_id) of all rows within eps by angle, itself left out: blocks of rows against all rows, however many are near."""
+    ids, out, n = df.select("item_id", "v").orderBy("item_id"), None, df.count()
+    for low in range(0, max(n, 1), MAX_BLOCK):
+        rows = ids.offset(low).limit(MAX_BLOCK).toPandas()
+        q = np.stack(rows.v.to_numpy()) if len(rows) else np.zeros((0, 0))
+        sent = df.sparkSession.sparkContext.broadcast((rows.item_id.to_numpy(np.int64), q / np.linalg.norm(q, axis=1, keepdims=True)))
+
+        def run(batches, sent=sent):
+            qid, q = sent.value
+            for batch in batches:
+                if not batch.num_rows or not len(qid):
+                    continue
+                item = batch.column(0).to_numpy()
+                v = np.asarray(batch.column(1).flatten()).reshape(len(item), -1)
+                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                for k in range(0, len(item), 500):
+                    of, at = np.nonzero(1 - q @ v[k : k + 500].T <= eps)
+                    other = qid[of] != item[at + k]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[of][other]), pa.array(item[at + k][other])], ["query_id", "item_id"])
+
+        found = df.select("item_id", "v").mapInArrow(run, "query_id long, item_id long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query
 def dbscan_labels(spark, sf_dir):
-    """Density clusters: links under eps, cores with enough links, core components by the smallest id, borders with their least core."""
-    df = vectors(spark, sf_dir)
-    eps, least = 0.62, 3
-    near = cut(block_neighbours(df, df, 64).where(F.col("dist") <= eps).select("query_id", "item_id"))
-    core = cut(near.groupBy("query_id").count().where(F.col("count") >= least).select("query_id"))
+    return density_labels(vectors(spark, sf_dir), 0.62, 3)
+
+
+def density_labels(df: DataFrame, eps: float, least: int) -> DataFrame:
+    """Density clusters: links up to eps, cores with enough links, core components by the smallest id, borders with their least core.
+
+    Equal vectors share one fate, so the smallest id stands for them, with their number; one without a direction links to nothing.
+    """
+    long = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0
+    same = cut(df.where(vec.finite(F.col("v")) & long).groupBy("v").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n")))
+    near = cut(radius_links(same, eps))
+    size = same.select("item_id", "n")
+    linked = near.join(size, "item_id").groupBy(F.col("query_id").alias("item_id")).agg(F.sum("n").alias("more"))
+    degree = F.col("n") - 1 + F.coalesce("more", F.lit(0))
+    core = cut(size.join(linked, "item_id", "left").where(degree >= least).select(F.col("item_id").alias("query_id")))
     links = near.join(core, "query_id", "left_semi")
     inner = links.join(core.withColumnRenamed("query_id", "item_id"), "item_id", "left_semi").select("query_id", "item_id")
     both = cut(inner.union(inner.select("item_id", "query_id")).toDF("a", "b").distinct())
@@ -199,5 +236,6 @@ def dbscan_labels(spark, sf_dir):
         if done:
             break
     border = links.join(label.withColumnRenamed("a", "query_id"), "query_id").groupBy("item_id").agg(F.min("l").alias("border"))
-    out = df.select("item_id").join(label.withColumnRenamed("a", "item_id"), "item_id", "left").join(border, "item_id", "left")
+    own = df.select("item_id", "v").join(same.select("v", F.col("item_id").alias("same")), "v", "left").select("item_id", "same")
+    out = own.join(label.withColumnRenamed("a", "same"), "same", "left").join(border.withColumnRenamed("item_id", "same"), "same", "left")
     return out.select("item_id", F.coalesce("l", "border", F.lit(-1)).cast("long").alias("cluster"))

@@ -142,3 +142,18 @@ def test_merge_runs_to_its_end(spark, monkeypatch, on_driver):
             parent[b] = a
     got = greedy.merge_pairs(spark.createDataFrame(pairs, "a_id long, b_id long, d double")).collect()
     assert {r.item_id: r.merged_into for r in got} == parent and len(got) == len(parent) and parent[3] == 1
+
+
+def test_density_links_are_not_cut(spark):
+    angle = [0.0] * 90 + [k * 1e-4 for k in range(1, 71)] + [0.4, 0.75, 0.78, 0.8, 1.1, 2.5]  # 160 within a hair, then a bridge, a cluster and noise
+    v = np.array([[math.cos(x), math.sin(x)] for x in angle] + [[0.0, 0.0], [0.0, 0.0]])
+    eps, least, n = 1 - math.cos(0.42), 3, len(angle)
+    link = 1 - v[:n] @ v[:n].T <= eps
+    np.fill_diagonal(link, False)
+    core, label = link.sum(axis=1) >= least, np.arange(n)
+    for _ in range(n):
+        label = np.array([min([label[k], *label[link[k] & core]]) if core[k] else label[k] for k in range(n)])
+    want = [label[k] if core[k] else min([label[j] for j in np.flatnonzero(link[k] & core)], default=-1) for k in range(n)] + [-1, -1]
+    df = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)], "item_id long, v array<double>").repartition(3)
+    got = {r.item_id: r.cluster for r in learned.density_labels(df, eps, least).collect()}
+    assert got == dict(enumerate(want)) and got[163] == 0 and got[165] == -1
