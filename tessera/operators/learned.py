@@ -99,22 +99,24 @@ def cluster_metrics(spark, sf_dir):
     return spark.createDataFrame([((silhouette + 1) / 2, 1 / (1 + float(db)), 1 - math.exp(-float(ch) / 500))], "silhouette double, davies_bouldin double, calinski_harabasz double")
 
 
-def mixture(v: np.ndarray, most: int = 4, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def mixture(v: np.ndarray, most: int = 10, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, means) of a spherical mixture whose number of parts has the least BIC; under 5 rows a part each."""
     n, dim = v.shape
     if n < 5:
         return np.full(n, 1 / n), v
     best, rng = None, np.random.default_rng(seed)
+    v2 = (v * v).sum(axis=1, keepdims=True)
+    far = lambda mean: np.maximum(0, v2 - 2 * v @ mean.T + (mean * mean).sum(axis=1))
     for k in range(1, min(most, n) + 1):
         mean, var, w = v[rng.choice(n, k, replace=False)], np.full(k, v.var() + 1e-6), np.full(k, 1 / k)
         for _ in range(30):
-            ll = np.log(w) - 0.5 * dim * np.log(2 * np.pi * var) - ((v[:, None] - mean[None]) ** 2).sum(axis=2) / (2 * var)
+            ll = np.log(w) - 0.5 * dim * np.log(2 * np.pi * var) - far(mean) / (2 * var)
             top = ll.max(axis=1, keepdims=True)
             total = top[:, 0] + np.log(np.exp(ll - top).sum(axis=1))
             r = np.exp(ll - total[:, None])
             size = r.sum(axis=0) + 1e-9
             mean, w = r.T @ v / size[:, None], size / size.sum()
-            var = (r * ((v[:, None] - mean[None]) ** 2).sum(axis=2)).sum(axis=0) / (size * dim) + 1e-6
+            var = (r * far(mean)).sum(axis=0) / (size * dim) + 1e-6
         bic = -2 * total.sum() + (k * (dim + 2) - 1) * np.log(n)
         if best is None or bic < best[0]:
             best = (bic, w, mean)
@@ -123,17 +125,18 @@ def mixture(v: np.ndarray, most: int = 4, seed: int = 0) -> tuple[np.ndarray, np
 
 @query
 def gmm_bic(spark, sf_dir):
-    """A mixture for each author. Authors' rows are few; a huge one is thinned to its smallest hashes before the fit, as the model only needs a sample."""
-    v = vectors(spark, sf_dir).join(items(spark, sf_dir).select("item_id", "author"), "item_id")
-    r = F.row_number().over(W.partitionBy("author").orderBy(F.xxhash64("item_id")))
-    some = v.withColumn("r", r).where("r <= 2000")
+    return author_mixtures(vectors(spark, sf_dir).join(items(spark, sf_dir).select("item_id", "author"), "item_id"))
+
+
+def author_mixtures(rows: DataFrame) -> DataFrame:
+    """A mixture for each author, of all the author's rows, which one task holds."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item_id")
         w, m = mixture(np.stack(pdf.v.to_numpy()))
         return pd.DataFrame({"author": pdf.author.iloc[0], "component": range(len(w)), "weight": w.round(6), "norm": np.linalg.norm(m, axis=1).round(6)})
 
-    return some.groupBy("author").applyInPandas(fit, "author string, component int, weight double, norm double")
+    return rows.select("item_id", "author", "v").groupBy("author").applyInPandas(fit, "author string, component int, weight double, norm double")
 
 
 @query

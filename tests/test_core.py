@@ -157,3 +157,13 @@ def test_density_links_are_not_cut(spark):
     df = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)], "item_id long, v array<double>").repartition(3)
     got = {r.item_id: r.cluster for r in learned.density_labels(df, eps, least).collect()}
     assert got == dict(enumerate(want)) and got[163] == 0 and got[165] == -1
+
+
+def test_mixtures_take_all_rows_and_more_than_four_parts(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, "x", [float(y) for y in rng.normal(size=4) + (40 if k % 4 == 0 else 0)]) for k in range(2400)]
+    got = learned.author_mixtures(spark.createDataFrame(rows, "item_id long, author string, v array<double>")).collect()
+    far = sum(r.weight for r in got if r.norm > 40)
+    assert far == pytest.approx(600 / 2400, abs=1e-5)
+    parts = np.concatenate([rng.normal(size=(40, 8)) + 30 * np.eye(8)[k] for k in range(8)])
+    assert len(learned.mixture(parts)[0]) > 4
