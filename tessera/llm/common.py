@@ -52,21 +52,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local one on a local master, as in tests; else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder) if _settable(spark) else None
     return f"{folder.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:  # a static setting in some releases
-        return False
-
-
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder; a lost executor then costs a read, no recomputation."""
     spark = df.sparkSession

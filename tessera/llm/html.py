@@ -1,7 +1,7 @@
 """Main text of pages by a tree-structured graphical model.
 
 The DOM's elements with text are nodes with a hidden state: around the article, content, or both below it. Potentials: features of a node given its state, and the
-state of a child given its parent's. Sum-product messages go up from the leaves and down from the root once; their product is each
+state of a child given its parent's. What classes, ids and roles mean is learned by word. Sum-product messages go up from the leaves and down from the root once; their product is each
 node's exact marginal. The potentials are counted on labelled pages, which labelled_pages() makes from a grammar of page layouts.
 """
 
@@ -26,31 +26,46 @@ SKIP = frozenset("script style head noscript template iframe select option texta
 HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What a start tag closes: a paragraph ends before any block, an item before the next.
-CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, a, b in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"))}
+#: An item does not end beyond these.
+HOLDS = frozenset("div section article table ul ol dl".split())
+#: Elements that say nothing about the one block of a page.
+BARE = frozenset("#root #text html body div section center p".split())
 #: A decimal character reference too long for int(); any of so many digits is out of range but for leading zeros.
 LONG_REFERENCE = re.compile(r"&#0*([0-9]{8})[0-9]*|&#0{8,}([0-9]{0,7})(?![0-9])")
 SPACE = re.compile("[\\x20\\t\\n\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
-CONTENT_HINTS = re.compile(r"article|content|post|entry|story|main|body|text", re.I)
-OTHER_HINTS = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumbs?|head(er)?|foot(er)?|side(bar)?|aside|comment\w*|discuss\w*|respon\w*|reply|replies|disqus|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|widget|login|signup|form|search|copyright|legal|tags?|pag(er|ination)|toolbar|masthead)(?![a-z])", re.I)
+#: Class, id and role names are cut into words at signs, digits and capitals.
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_A-Za-z]+")
+
+
+@lru_cache(maxsize=1 << 14)
+def name_features(names: str) -> tuple[tuple[str, ...], ...]:
+    """For each name in an element's class, id and role: the name whole, then its words."""
+    return tuple((f"={name.lower()}", *dict.fromkeys(f"~{w.lower()}" for w in NAME_WORDS.findall(name))) for name in dict.fromkeys(names.split()))
 
 
 class Node:
-    __slots__ = ("tag", "hint", "parent", "children", "text", "linked", "order", "inline")
+    __slots__ = ("tag", "names", "parent", "block", "text", "linked", "order")
 
-    def __init__(self, tag, hint, parent):
-        self.tag, self.hint, self.parent, self.children = tag, hint, parent, []
+    def __init__(self, tag, names, parent):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.block = self if parent is None or tag in BLOCKS else parent.block
         self.text, self.linked, self.order = 0, 0, -1
 
 
 class Tree(HTMLParser):
-    """Elements with text, and blocks of text in page order: (node, pieces)."""
+    """Elements with text, and blocks of text in page order: (node, text, linked characters).
+
+    Each start and end tag costs what it opens and closes, however deep the page: the places of open elements are kept by tag.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("#root", 0, None)
-        self.now, self.nodes, self.blocks = self.root, [self.root], []
-        self.open: list[Node] = [self.root]
+        self.blocks: list[tuple[Node, str, int]] = []
+        self.open: list[Node] = [Node("#root", "", None)]
+        self.at: dict[str, list[int]] = {}  # places of the open elements of each tag
+        self.block_at: list[int] = [0]  # those of block elements, and the root's
         self.pieces: list[str] = []
         self.links = self.skipped = 0
         self.block_links = 0
@@ -59,10 +74,7 @@ class Tree(HTMLParser):
         if self.pieces:
             text = SPACE.sub(" ", "".join(self.pieces)).strip(" ")
             if text:
-                node = self.open[-1]
-                while node.tag not in BLOCKS and node.parent is not None:
-                    node = node.parent
-                self.blocks.append((node, text, self.block_links))
+                self.blocks.append((self.open[-1].block, text, self.block_links))
         self.pieces, self.block_links = [], 0
 
     def parse_marked_section(self, i, report=1):
@@ -90,34 +102,37 @@ class Tree(HTMLParser):
             self.pieces.append("\n")
         if tag in VOID:
             return
-        hint = 0
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-        if names:
-            hint = 2 if OTHER_HINTS.search(names) else 1 if CONTENT_HINTS.search(names) else 3
-        node = Node(tag, hint, self.open[-1])
-        self.open.append(node)
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.block_at.append(len(self.open))
+        self.open.append(Node(tag, names, self.open[-1]))
         if tag in SKIP:
             self.skipped += 1
         elif tag == "a":
             self.links += 1
 
     def close_before(self, tag):
-        names, stop = CLOSES.get(tag, ("", ""))
-        names, stop = names.split(), stop.split()
-        for k in range(len(self.open) - 1, 0, -1):
+        names, stop = CLOSES.get(tag, ((), ()))
+        for j in range(len(self.block_at) - 1, 0, -1):
+            k = self.block_at[j]
             t = self.open[k].tag
             if t == "p" or t in names:
                 self.cut(k)
-            elif t in stop or (t in BLOCKS and not names):
-                return
-            elif t in BLOCKS and names and t not in ("p",):
-                if t in ("div", "section", "article", "table", "ul", "ol", "dl"):
+                if t == tag:
                     return
+            elif t in stop or not names or t in HOLDS:
+                return
 
     def cut(self, k):
         """Closes the open elements from the k-th on."""
-        self.end_block() if any(n.tag in BLOCKS or n.tag in SKIP for n in self.open[k:]) else None
-        for n in self.open[k:]:
+        gone = self.open[k:]
+        if any(n.tag in BLOCKS or n.tag in SKIP for n in gone):
+            self.end_block()
+        for n in reversed(gone):
+            self.at[n.tag].pop()
+            if n.tag in BLOCKS:
+                self.block_at.pop()
             if n.tag in SKIP:
                 self.skipped -= 1
             elif n.tag == "a":
@@ -133,12 +148,10 @@ class Tree(HTMLParser):
         if tag == "br":
             self.pieces.append("\n")
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                self.cut(k)
-                return
-            if self.open[k].tag in BLOCKS and tag not in BLOCKS and tag not in SKIP:
-                return  # an inline end tag does not close the block around it
+        places = self.at.get(tag)
+        if not places or (places[-1] < self.block_at[-1] and tag not in BLOCKS and tag not in SKIP):
+            return  # nothing to close; an inline end tag does not close the block around it
+        self.cut(places[-1])
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip(" \t\n\f\r"):
@@ -176,51 +189,74 @@ class Page:
                 self.nodes.append(n)
         for node, text, linked in tree.blocks:
             # each block is a leaf of its own below its element, so an element may hold several
-            leaf = Node("#text", 0, node)
+            leaf = Node("#text", "", node)
             leaf.order, leaf.text, leaf.linked = len(self.nodes), len(text), linked
             self.at.append(leaf.order)
             self.nodes.append(leaf)
-        for leaf in self.at:
-            node = self.nodes[leaf]
-            up = node.parent
-            while up is not None:
-                up.text += node.text
-                up.linked += node.linked
-                up = up.parent
+        for node in reversed(self.nodes):  # children come after their parents
+            if node.parent is not None:
+                node.parent.text += node.text
+                node.parent.linked += node.linked
         self.parent = [n.parent.order if n.parent is not None else -1 for n in self.nodes]
-        total = max(1, self.nodes[0].text) if self.nodes else 1
-        self.features = [features(n, total) for n in self.nodes]
-
-
-def features(node: Node, total: int) -> tuple[str, ...]:
+        self.contract()
+        self.features = [features(n) for n in self.nodes]
+
+    def contract(self):
+        """Takes out what only wraps one other element without a name: however many there are, they tell nothing."""
+        children = [0] * len(self.nodes)
+        for p in self.parent[1:]:
+            children[p] += 1
+        stays, above, place = [], [-1] * len(self.nodes), {-1: -1}
+        wraps = [False] * len(self.nodes)
+        for k in range(len(self.nodes) - 1, 0, -1):
+            p = self.parent[k]
+            wraps[p] = children[p] == 1 and p > 0 and self.nodes[p].tag == "div" and not self.nodes[p].names and self.nodes[k].tag != "#text"
+        for k, p in enumerate(self.parent):
+            above[k] = above[p] if p >= 0 and wraps[p] else p
+            if not wraps[k]:
+                place[k] = len(stays)
+                stays.append(k)
+        self.nodes, self.parent, self.at = [self.nodes[k] for k in stays], [place[above[k]] for k in stays], [place[k] for k in self.at]
+
+
+def features(node: Node) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(what a node is, from the most to the least told; what it is called). Of what it is and of each name the first that training knows decides."""
     share = 0 if not node.text else min(3, int(3 * node.linked / node.text) + (node.linked > 0))
     if node.tag == "#text":
-        return ("leaf", f"links:{share}")
-    linky = int(share >= 2)
-    out = [f"{node.tag}:{linky}"] if not node.hint else [f"{node.tag}:{linky}:{node.hint}", f"hint:{node.hint}"]
-    return tuple(out)
+        return (f"leaf:{share}:{(node.text > 60) + (node.text > 240)}", "leaf"), ()
+    return (f"{node.tag}:{int(share >= 2)}", node.tag), name_features(node.names) if node.names else ()
 
 
 #: States of a node: what surrounds the article, the article, an element that holds both.
 AROUND, CONTENT, BOTH = 0, 1, 2
+#: What a count of 0 counts for: names and kinds seldom stand where they don't belong.
+FLOOR = 0.0001
 
 
 class Model:
-    """Log potentials: features given the state, states of children given the parent's, and the root's."""
-
-    def __init__(self, node, edge, root):
-        self.node, self.edge, self.root = node, edge, root
+    """Log potentials: features given the state, states of children given the parent's, the root's, and what a name of no meaning says."""
+
+    def __init__(self, node, edge, root, name):
+        self.node, self.edge, self.root, self.name = node, edge, root, name
+
+    def own(self, kinds, names) -> list[float]:
+        """A node's log potential in each state; names that training has not seen say nothing."""
+        x = y = z = 0.0
+        for f in kinds:
+            v = self.node.get(f)
+            if v:
+                x, y, z = v
+                break
+        for whole, *words in names:
+            for v in (self.node.get(f) for f in ([whole] if whole in self.node else words)):
+                if v:
+                    x, y, z = x + v[0] - self.name[0], y + v[1] - self.name[1], z + v[2] - self.name[2]
+        return [x, y, z]
 
     def marginals(self, page: Page) -> list[float]:
         """Each node's probability to be content, by one upward and one downward pass of sum-product messages."""
         n = len(page.nodes)
-        none, own = (0.0, 0.0, 0.0), []
-        for names in page.features:
-            x = y = z = 0.0
-            for f in names:
-                v = self.node.get(f, none)
-                x, y, z = x + v[0], y + v[1], z + v[2]
-            own.append([x, y, z])
+        none, own = (0.0, 0.0, 0.0), [self.own(*f) for f in page.features]
         e, parent = self.edge, page.parent
         up = own  # a node's features and all messages from its children
         sent = [none] * n
@@ -252,7 +288,8 @@ def _sum(a: float, b: float, c: float) -> float:
 def train(pages: list[tuple[str, list[str]]]) -> Model:
     """Counts potentials on (html, texts of its content blocks) with a little smoothing; a leaf's state is its label."""
     seen: dict[str, list[float]] = {}
-    edge, states = [[0.1] * 3 for _ in range(3)], [1.0] * 3
+    edge, states, called = [[0.1] * 3 for _ in range(3)], [1.0] * 3, [1.0] * 3
+    top = [1.0] * 3
     for html, wanted in pages:
         page = Page(html)
         want = set(wanted)
@@ -265,25 +302,49 @@ def train(pages: list[tuple[str, list[str]]]) -> Model:
                 all_[k] += 1
                 k = page.parent[k]
         state = [CONTENT if good[k] == all_[k] else BOTH if good[k] else AROUND for k in range(n)]
+        top[state[0]] += 1
         for k in range(n):
             states[state[k]] += 1
-            for f in page.features[k]:
-                seen.setdefault(f, [0.3] * 3)[state[k]] += 1
+            kinds, names = page.features[k]
+            for f in (*kinds, *{f for name in names for f in name}):
+                seen.setdefault(f, [FLOOR] * 3)[state[k]] += 1
+            called[state[k]] += bool(names)
             if k:
                 edge[state[page.parent[k]]][state[k]] += 1
     node = {f: tuple(math.log(a / t) for a, t in zip(v, states, strict=True)) for f, v in seen.items()}
-    return Model(node, [[math.log(x / sum(row)) for x in row] for row in edge], (math.log(0.05), math.log(0.05), math.log(0.9)))
+    return Model(node, [[math.log(x / sum(row)) for x in row] for row in edge], [math.log(x / sum(top)) for x in top], [math.log(a / t) for a, t in zip(called, states, strict=True)])
 
 
 WORDS = "river stone winter letter garden window market evening mountain teacher silver paper bridge harbour morning question answer village meadow lantern".split()
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
+#: Names that pages give to their parts; what they mean is learned from where the grammar puts them.
+NAMES = {
+    kind: names.split()
+    for kind, names in {
+        "nav": "nav navbar navigation menu main-menu top-nav site-nav nav-links breadcrumb breadcrumbs pagination pager paginator toolbar",
+        "header": "header site-header masthead page-header topbar head branding logo",
+        "footer": "footer site-footer foot colophon copyright legal footer-widgets imprint",
+        "aside": "sidebar side widget widget-area related related-posts recommended recommendations rail aside secondary",
+        "ad": "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored ad-slot",
+        "notice": "notice cookie cookies cookie-notice cookie-banner consent gdpr alert popup modal newsletter overlay message announcement",
+        "form": "search search-form searchbox login signup signin register subscribe contact-form form",
+        "comments": "comments comment comment-list commentlist reply replies response responses respond discussion disqus thread",
+        "share": "share sharing social social-links share-buttons tags tag-list meta post-meta byline author-box",
+        "content": "article content post entry story main text body article-body entry-content post-content post-body main-content single blog-post",
+        "inner": "lead intro dropcap caption quote summary title heading first last text paragraph subtitle",
+        "plain": "page wrapper container site layout row col column inner region box grid flex section block area wrap top left right large small primary",
+    }.items()
+}
+
+
+def labelled_pages(count: int = 800, seed: int = 7) -> list[tuple[str, list[str]]]:
     """(html, texts of the content blocks) from a grammar of layouts: where the article stands and what is around and inside it."""
     import random
 
     r = random.Random(seed)
     serial = iter(range(10**9))
+    topic = lambda: r.choice([*WORDS, *sum(NAMES.values(), [])])
 
     def words(a, b):
         return " ".join([r.choice(WORDS) for _ in range(r.randint(a, b))] + [f"{next(serial)}."])
@@ -291,19 +352,29 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
     def links(n, tag="li"):
         return "".join(f'<{tag}><a href="/x">{words(1, 2)}</a></{tag}>' for _ in range(n))
 
+    def named(kind):
+        """A class or an id from the kind's names, at times with other words, numbers or a second name of no meaning."""
+        name = r.choice(NAMES[kind])
+        if r.random() < 0.4:
+            name = r.choice(["{}-{}", "{}_{}", "{1}-{0}"]).format(name, r.choice([*NAMES["plain"], str(r.randint(1, 999))]))
+        elif r.random() < 0.1:
+            name = name.title().replace("-", "")
+        other = r.choice(["", "", f" {r.choice(NAMES['plain'])}", f" x{r.randint(1, 9999)}"])
+        return f'{r.choice(["class", "class", "class", "id"])}="{name}{other}"'
+
     def extra(kind):
-        say, many = words(3, 25), r.randint(2, 7)
-        c = lambda *names: f'class="{r.choice(names)}"'
+        say, many, n = words(*r.choice([(1, 6), (3, 25), (15, 60)])), r.randint(2, 7), lambda: named(kind)
+        said = lambda tag, name: "".join(f"<{tag}{name}><p>{words(5, 30)}</p></{tag}>" for _ in range(r.randint(1, 4)))
         return {
-            "nav": lambda: r.choice([f"<nav><ul>{links(many)}</ul></nav>", f"<div {c('nav', 'menu', 'navbar', 'top-menu')}><ul>{links(many)}</ul></div>", f'<ul {c("menu", "breadcrumbs")}>{links(many)}</ul>', f'<div role="navigation">{links(many, "span")}</div>']),
-            "header": lambda: r.choice([f"<header><a href='/'>{words(1, 3)}</a><p>{say}</p></header>", f"<div {c('header', 'masthead', 'site-header')}><h1>{words(2, 5)}</h1><p>{say}</p></div>"]),
-            "footer": lambda: r.choice([f"<footer>{say}</footer>", f"<footer><p>{say}</p><ul>{links(many)}</ul></footer>", f"<div {c('footer', 'site-footer', 'copyright', 'legal')}><p>{say}</p></div>", f'<div id="footer">{say}</div>']),
-            "aside": lambda: r.choice([f"<aside><h3>{words(1, 3)}</h3><p>{say}</p></aside>", f"<aside><ul>{links(many)}</ul></aside>", f"<div {c('sidebar', 'widget', 'related', 'side')}><h4>{words(1, 3)}</h4><p>{say}</p><ul>{links(many)}</ul></div>", f'<div id="sidebar"><p>{say}</p></div>']),
-            "ad": lambda: r.choice([f"<div {c('ad', 'ads', 'advert', 'advertisement', 'banner', 'promo', 'sponsored')}>{say}</div>", f"<div {c('ad', 'ads', 'advert', 'banner')}><p>{say}</p></div>", f"<section {c('ads', 'promo', 'sponsor')}><p>{say}</p></section>"]),
-            "notice": lambda: r.choice([f"<div {c('cookie-notice', 'notice', 'consent', 'alert', 'popup', 'newsletter')}><p>{say}</p><button>OK</button></div>", f'<div role="alert">{say}</div>', f"<p {c('notice', 'cookie', 'alert')}>{say}</p>", f"<dialog>{say}</dialog>"]),
-            "form": lambda: r.choice([f"<form><label>{say}</label><input name='q'><p>{words(2, 6)}</p></form>", f"<div {c('search', 'login', 'signup', 'subscribe')}><form><p>{say}</p></form></div>", f"<form {c('f', 'search')}>{say}<select><option>{say}</select></form>"]),
-            "comments": lambda: r.choice([f"<div {c('comments', 'comment-list', 'replies', 'responses')}>" + "".join(f"<div {c('comment', 'reply')}><p>{words(5, 30)}</p></div>" for _ in range(r.randint(1, 4))) + "</div>", f"<section id='comments'><h2>{words(1, 2)}</h2>" + "".join(f"<article class='comment'><p>{words(5, 30)}</p></article>" for _ in range(r.randint(1, 4))) + "</section>", f"<ol {c('comments', 'commentlist')}>" + "".join(f"<li><p>{words(5, 30)}</p></li>" for _ in range(r.randint(1, 4))) + "</ol>"]),
-            "share": lambda: f"<div {c('share', 'social', 'tags')}>{links(many, 'span')}</div>",
+            "nav": lambda: r.choice([f"<nav><ul>{links(many)}</ul></nav>", f"<nav>{words(1, 5)}</nav>", f"<nav {n()}>{links(many, 'span')}</nav>", f"<div {n()}><ul>{links(many)}</ul></div>", f"<ul {n()}>{links(many)}</ul>", f'<div role="navigation">{links(many, "span")}</div>']),
+            "header": lambda: r.choice([f"<header><a href='/'>{words(1, 3)}</a><p>{say}</p></header>", f"<header {n()}><h1>{words(1, 4)}</h1></header>", f"<div {n()}><h1>{words(2, 5)}</h1><p>{say}</p></div>", f'<div role="banner"><p>{say}</p></div>']),
+            "footer": lambda: r.choice([f"<footer>{say}</footer>", f"<footer {n()}><p>{say}</p><ul>{links(many)}</ul></footer>", f"<div {n()}><p>{say}</p></div>", f"<div {n()}>{say}</div>", f"<footer><ul><li>{say}</li><li>{words(1, 9)}</li></ul></footer>", f'<div role="contentinfo">{say}</div>']),
+            "aside": lambda: r.choice([f"<aside><h3>{words(1, 3)}</h3><p>{say}</p></aside>", f"<aside {n()}><ul>{links(many)}</ul></aside>", f"<div {n()}><h4>{words(1, 3)}</h4><p>{say}</p><ul>{links(many)}</ul></div>", f"<div {n()}><p>{say}</p></div>", f'<div role="complementary"><p>{say}</p></div>']),
+            "ad": lambda: r.choice([f"<div {n()}>{say}</div>", f"<div {n()}><p>{say}</p></div>", f"<section {n()}><p>{say}</p></section>", f"<p {n()}>{say}</p>"]),
+            "notice": lambda: r.choice([f"<div {n()}><p>{say}</p><button>OK</button></div>", f"<div {n()}>{say}</div>", f'<div role="{r.choice(["alert", "dialog", "status"])}">{say}</div>', f"<p {n()}>{say}</p>", f"<dialog>{say}</dialog>"]),
+            "form": lambda: r.choice([f"<form><label>{say}</label><input name='q'><p>{words(2, 6)}</p></form>", f"<div {n()}><form><p>{say}</p></form></div>", f"<div {n()}><p>{say}</p></div>", f"<form {n()}>{say}<select><option>{say}</select></form>", f'<div role="search">{say}</div>']),
+            "comments": lambda: r.choice([f"<div {n()}>{said('div', ' ' + n())}</div>", f"<section {n()}><h2>{words(1, 2)}</h2>{said('article', ' ' + n())}</section>", f"<ol {n()}>{said('li', r.choice(['', ' ' + n()]))}</ol>", f"<ul {n()}>{said('li', r.choice(['', ' ' + n()]))}</ul>", f"<div {n()}>{said('div', '')}</div>"]),
+            "share": lambda: r.choice([f"<div {n()}>{links(many, 'span')}</div>", f"<ul {n()}>{links(many)}</ul>", f"<p {n()}>{say}</p>"]),
             "script": lambda: f"<script>var x = '<p>{words(2, 4)}</p>';</script><style>p{{margin:0}}</style>",
         }[kind]()
 
@@ -318,7 +389,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
                 cut = text.split(" ")
                 cut[0] = f"<{inside}{' href=/y' if inside == 'a' else ''}>{cut[0]}</{inside}>"
                 shown = " ".join(cut)
-            html.append(f"<{tag}>{shown}</{tag}>" if tag else shown)
+            html.append(f"<{tag}{r.choice([' ' + named('inner')] + [''] * 9)}>{shown}</{tag}>" if tag else shown)
 
         add(r.choice(["h1", "h1", "h2"]), 2, 9)
         for _ in range(r.randint(1, 9)):
@@ -339,8 +410,10 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
                 for _ in range(2):
                     add("td", 1, 4)
                 html.append("</tr></table>")
-            elif kind < 0.98:
+            elif kind < 0.97:
                 add("pre", 3, 12)
+            elif kind < 0.985:
+                add("div", *r.choice([(2, 12), (8, 60)]))
             else:
                 html.append("<figure><img src='a.png'>")
                 add("figcaption", 3, 9)
@@ -350,15 +423,22 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
         return "".join(html), wanted
 
     out = []
-    for _ in range(count):
+    for k in range(count):
+        if k % 25 == 0:  # a text and nothing else
+            text = words(2, 80)
+            out.append((r.choice(["<div>{}</div>", "{}", "<p>{}", "<html><body>{}</body></html>", "<div><div>{}</div></div>", "<body><div>{}"]).format(text), [text]))
+            continue
         inner, wanted = article()
-        wrap = r.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="article">{}</div>', '<div id="content">{}</div>', '<div class="post-content">{}</div>', '<div class="entry">{}</div>', '<section class="story">{}</section>', "<div>{}</div>", '<div class="container"><div class="main">{}</div></div>', "<article><div>{}</div></article>", '<div role="main">{}</div>'])
+        # what publishing systems write: a post's number, kind, section and tags stand on the article itself
+        post = f'class="post-{r.randint(1, 9999)} post type-{r.choice(["post", "page"])} status-publish hentry category-{topic()} tag-{topic()} tag-{topic()}"'
+        c = lambda: named("content")
+        wrap = r.choice(["<article>{}</article>"] * 4 + ["<main>{}</main>", "<main><article>{}</article></main>", f"<article {post}>{{}}</article>", f"<article {post}>{{}}</article>", f"<main><article {c()}><div {c()}>{{}}</div></article></main>", f"<article {c()}>{{}}</article>", f"<div {c()}>{{}}</div>", f"<div {c()}>{{}}</div>", f"<section {c()}>{{}}</section>", "<div>{}</div>", "{}", f"<div {named('plain')}>{{}}</div>", f"<div {named('plain')}><div {c()}>{{}}</div></div>", "<article><div>{}</div></article>", '<div role="main">{}</div>'])
         before = [extra(k) for k in ("header", "nav", "ad", "notice", "form", "script") if r.random() < 0.45]
         after = [extra(k) for k in ("aside", "ad", "comments", "form", "share", "footer", "nav", "script") if r.random() < 0.45]
         r.shuffle(before)
         body = "".join(before) + wrap.format(inner) + "".join(after)
         if r.random() < 0.3:
-            body = f'<div class="{r.choice(["page", "wrapper", "container"])}">{body}</div>'
+            body = f"<div {named('plain')}>{body}</div>"
         out.append((f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title></head><body>{body}</body></html>", wanted))
     return out
 
@@ -369,12 +449,14 @@ def default_model() -> Model:
 
 
 def extract(html: str | None, model: Model) -> str:
-    """The content blocks of a page joined by line feeds."""
+    """The content blocks of a page joined by line feeds; a page of one block in plain elements is that block."""
     if not html:
         return ""
     page = Page(html)
     if not page.texts:
         return ""
+    if len(page.texts) == 1 and all(n.tag in BARE and not n.names for n in page.nodes):
+        return page.texts[0]  # nothing is around it
     p = model.marginals(page)
     return "\n".join(t for leaf, t in zip(page.at, page.texts, strict=True) if p[leaf] > 0.5)
 
