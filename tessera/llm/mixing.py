@@ -82,8 +82,8 @@ def mix_sources(
     elif isinstance(weights, Column):
         weighed = counts.withColumnRenamed(source, "source").withColumn(weight, F.coalesce(weights.cast("double"), F.lit(0.0))).withColumnRenamed("source", source)
     else:
-        w = F.create_map([F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None)
-        weighed = counts.withColumn(weight, F.coalesce(w[F.col(source)].cast("double"), F.lit(0.0)))
+        named = F.create_map([F.lit(x) for kv in weights.items() for x in kv])[F.col(source)].cast("double") if weights else F.lit(0.0)
+        weighed = counts.withColumn(weight, F.coalesce(named, F.lit(0.0)))
     sums = weighed.agg(F.sum(weight), F.sum(count)).first()
     want, mass = float(total if total is not None else (sums[1] or 0.0)), float(sums[0] or 0.0)
     mean = F.col(weight) / F.lit(mass or 1.0) * F.lit(want) / F.col(count)
