@@ -1,14 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Unigram counts over all training tokens give the root. Contexts of one and two words are states of the tree if they are frequent and
-their next-word distribution diverges from their parent's. A state's distribution is its counts, smoothed with the parent's:
+Unigram counts over all training tokens give the root. A context of words is a state of the tree if it and its next words are frequent, its
+parent (the context without its first word) is a state, and its next-word distribution diverges from its parent's. Contexts grow by
+a word a round until none diverges; depth has no limit but what a caller sets. A state's distribution is its counts, smoothed with its
+parent's:
 
     P(x | s) = (n(s, x) + m(s) P(x | parent)) / (c(s) + LAMBDA),   m(s) = c(s) + LAMBDA - sum of the kept n(s, x)
 
 Every token is scored by the state of its longest suffix. For a word outside the alphabet n(s, x) is 0, so only factors m / (c + LAMBDA)
-meet its root probability. Words and states are tables by hash that grow with the input, dealt to buckets; a slice of rows sends each
-bucket its distinct keys, packed, and gets back what is known of them. What is sent to all tasks are filters of bounded size, which only
-spare questions. grow() and Tree make the same model in one process, from symbols; the tests hold score() to them.
+meet its root probability. Words and states are tables by hash that grow with the input, dealt to buckets by ranges of the hash; a slice
+of rows sends each bucket its distinct keys, packed, and gets their counts back in the same order. What is sent to all tasks are filters
+of bounded size, which only spare questions.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, crc_mod, mix, slices, written
+from .common import Words, crc_mod, slices, written
 
 #: The end token's hash.
 END = np.uint64(0xE0E0_5EED_0000_0001)
@@ -30,15 +32,17 @@ SYMBOL_MIN, NEXT_MIN = 32, 8
 #: Nats that a state must gain over its parent, on all its occurrences, to be kept.
 GAIN = 20.0
 LAMBDA = 4.0
-#: Of a symbol in grow().
-BITS = 18
 #: Training tokens for each bucket of the table of words and states.
 BUCKET = 4_000_000
-#: Sets a state's hash apart from that of the same words as a word or a pair.
-STATE = 0x5EED_57A7_E000_0000
-#: Filters have so many bits, as a power of 2, at most; a hash sets those at these shifts (which leave out the lowest bit).
+#: Sets a state's hash apart from that of the same words as a gram.
+STATE = 0x5EED_57A7_E000_0001
+#: Filters have so many bits, as a power of 2, at most; a hash sets those at these shifts.
 SIEVE_BITS, SHIFTS = 27, (1, 32)
+#: Bytes of text of a slice.
+SLICE = 8 << 20
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,48 +59,83 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def _round(x: np.ndarray, seed) -> np.ndarray:
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = (seed + P5 + np.uint64(8)) ^ (turn(x * P2, 31) * P1)
+    h = turn(h, 27) * P1 + P4
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order: xxhash64(a, b) of Spark, so that tables need not carry it."""
+    return _round(b, _round(a, np.full(len(a), 42, np.uint64)))
+
+
+class Grams:
+    """Hashes of the words and their contexts of a batch: of(d) is each token with the d words before it, has(d) whether there are so many."""
+
+    def __init__(self, texts: pa.Array):
+        h, self.bounds = tokens(texts)
+        self.at = np.arange(len(h)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
+        self.known = [h]
+
+    def of(self, d: int) -> np.ndarray:
+        while len(self.known) <= d:
+            last = self.known[-1]
+            self.known.append(joined(np.roll(last, 1), last))
+        return self.known[d]
+
+    def has(self, d: int) -> np.ndarray:
+        return self.at >= d
+
+    def context(self, d: int) -> np.ndarray:
+        """The d words before each token."""
+        return np.roll(self.of(d - 1), 1)
+
+
 class Sums:
-    """Counts of keys of one task, merged now and then."""
+    """Counts of keys of one task with what belongs to each key, merged now and then."""
 
     def __init__(self, limit: int = 1_500_000):
         self.limit, self.held, self.size = limit, [], 0
 
-    def add(self, keys: np.ndarray):
-        """Yields (keys, counts) when too many are held."""
-        keys, n = np.unique(keys, return_counts=True)
-        self.held.append((keys, n))
+    def add(self, keys: np.ndarray, *more: np.ndarray):
+        """Yields (keys, counts, more) when too many are held."""
+        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+        self.held.append((keys, n, *[m[first] for m in more]))
         self.size += len(keys)
         if self.size > self.limit:
-            keys, n = self.merged()
-            if len(keys) > self.limit // 2:
+            found = self.merged()
+            if len(found[0]) > self.limit // 2:
                 self.held, self.size = [], 0
-                yield keys, n
+                yield found
             else:
-                self.held, self.size = [(keys, n)], len(keys)
+                self.held, self.size = [found], len(found[0])
 
     def merged(self):
-        keys = np.concatenate([k for k, _ in self.held])
-        n = np.concatenate([c for _, c in self.held])
+        keys, n, *more = (np.concatenate(x) for x in zip(*self.held, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.add.reduceat(n, first) if len(first) else n
+        return keys[first], np.add.reduceat(n, first) if len(first) else n, *[m[order][first] for m in more]
 
     def rest(self):
         if self.held:
             yield self.merged()
 
 
-def _counted(keys, n):
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names)
 
 
 def learning(batches):
-    """(hashes of the tokens, bounds) of the training rows, in pieces."""
+    """The grams of the training rows, in pieces."""
     for batch in batches:
         learn = batch.filter(pa.array(crc_mod(batch.column(0).to_pylist(), 10) != 0))
         for part in slices(learn, 1, 1 << 20):
-            yield tokens(part.column(1))
+            yield Grams(part.column(1))
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
@@ -104,11 +143,11 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         sums = Sums()
-        for h, _ in learning(batches):
-            for found in sums.add(h):
-                yield _counted(*found)
+        for g in learning(batches):
+            for found in sums.add(g.of(0)):
+                yield _batch(["key", "n"], *found)
         for found in sums.rest():
-            yield _counted(*found)
+            yield _batch(["key", "n"], *found)
 
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -143,343 +182,223 @@ def sieve(keys: DataFrame):
     blocks = words.groupBy(F.expr("shiftright(word, 16)")).applyInArrow(pack, "block int, words binary")
     for r in blocks.collect():  # 2 ** (SIEVE_BITS - 22) rows of 512 kB at most
         found[r.block << 16 : r.block + 1 << 16] = np.frombuffer(r.words, np.uint64)
-    words = found
-    return keys.sparkSession.sparkContext.broadcast(Sieve(bits, words))
-
-
-def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two hashes in order."""
-    return mix(mix(a) * np.uint64(5) + b)
-
-
-def spans(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, trio, two, three): the hashes of each token with the one before it and with the two before it, and whether there are any.
-
-    The lowest bit of a pair's hash is 0, that of a trio's 1.
-    """
-    two, three = np.ones(len(h), bool), np.ones(len(h), bool)
-    two[bounds[:-1]] = False
-    three[bounds[:-1]] = three[np.minimum(bounds[:-1] + 1, bounds[1:] - 1)] = False
-    before = np.roll(h, 1)
-    pair = joined(before, h) & ~np.uint64(1)
-    return pair, joined(np.roll(pair, 1), h) | np.uint64(1), two, three
+    return keys.sparkSession.sparkContext.broadcast(Sieve(bits, found))
 
 
-def _frequent_spans(h, bounds, words):
-    """spans() with only those of words that pass the filter."""
-    pair, trio, two, three = spans(h, bounds)
-    in_ = words.has(h)
-    two &= in_ & np.roll(in_, 1)
-    return pair, trio, two, three & two & np.roll(in_, 2)
+def count_grams(docs: DataFrame, d: int, frequent, states) -> DataFrame:
+    """(key, head, tail, n) of the frequent grams of d + 1 words that round d can use: head is the context, tail the gram without its first word.
 
-
-def contexts(docs: DataFrame, words, pairs=None) -> DataFrame:
-    """(key, n) of each word of the alphabet with the one before it; given the filter of the frequent pairs, with the two before it.
-
-    A trio is no more frequent than its pairs, so one with a rare pair need not be counted.
+    A gram is of use if the parent of its context is a state, or if it may be a context of the next round. Its tail is frequent, and so are
+    both words of a pair and both pairs of a trio; of longer ones the head need not have been counted unless it is a context.
     """
 
     def run(batches):
         sums = Sums()
-        for h, bounds in learning(batches):
-            pair, trio, two, three = _frequent_spans(h, bounds, words.value)
-            if pairs is not None:
-                often = pairs.value.has(pair)
-                pair, two = trio, three & often & np.roll(often, 1)
-            for found in sums.add(pair[two]):
-                yield _counted(*found)
+        for g in learning(batches):
+            often = frequent.value.has(g.of(d - 1))
+            use = g.has(d) & often
+            if d <= 2:
+                use &= np.roll(often, 1)
+            if d > 1:
+                live = states.value.has(g.of(d - 2))
+                use &= live | np.roll(live, 1)
+            at = np.flatnonzero(use)
+            tail = g.of(d - 1)[at]
+            head = g.context(d)[at]
+            for found in sums.add(joined(head, tail), head, tail):
+                yield _batch(["n", "head", "tail"], *found[1:])
         for found in sums.rest():
-            yield _counted(*found)
-
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def parts(docs: DataFrame, words, frequent) -> DataFrame:
-    """(key, head, tail) of the contexts that pass the filter: a pair's two words, or a trio's first and its last pair."""
+            yield _batch(["n", "head", "tail"], *found[1:])
 
-    def run(batches):
-        seen = np.zeros(1 << 21, np.uint64)  # the last key at each place: one named twice does no harm
-        for h, bounds in learning(batches):
-            pair, trio, two, three = _frequent_spans(h, bounds, words.value)
-            keys, head, tail = (np.concatenate((x[two], y[three])) for x, y in ((pair, trio), (np.roll(h, 1), np.roll(pair, 1)), (h, pair)))
-            place = (keys >> np.uint64(8) & np.uint64(len(seen) - 1)).astype(np.int64)
-            at = np.flatnonzero(seen[place] != keys)
-            at = at[frequent.value.has(keys[at])]
-            at = at[np.unique(keys[at], return_index=True)[1]]
-            seen[place[at]] = keys[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (keys, head, tail)], ["key", "head", "tail"])
-
-    return docs.mapInArrow(run, "key long, head long, tail long").dropDuplicates(["key"])
+    counts = docs.mapInArrow(run, "n long, head long, tail long").groupBy("head", "tail").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_MIN)
+    return counts.select(F.xxhash64("head", "tail").alias("key"), "head", "tail", "n")
 
 
 def kept_states(rows: DataFrame) -> DataFrame:
-    """(head, share, base) of the states kept, from (head, n, c, parent) of their next words: _states() on a table."""
+    """(head, c, seen) of the states kept, from (head, n, c, parent) of their next words.
+
+    The divergence is that between the two distributions over the kept next words and all others together.
+    """
     p = F.col("n") / F.col("c")
     found = rows.groupBy("head").agg(F.first("c").alias("c"), F.sum("n").alias("seen"), F.sum(p * F.log(p / F.col("parent"))).alias("gain"), F.sum("parent").alias("parent"))
     rest, other = F.greatest(F.lit(0.0), 1 - F.col("seen") / F.col("c")), F.greatest(F.lit(1e-12), F.least(F.lit(1.0), 1 - F.col("parent")))
     gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / other)).otherwise(0.0)
-    return found.where(gain * F.col("c") >= GAIN).select("head", ((F.col("c") - F.col("seen") + LAMBDA) / (F.col("c") + LAMBDA)).alias("share"), (F.col("c") + LAMBDA).alias("base"))
-
-
-def symbols_of(h: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-    """Each token's place in the sorted alphabet, or -1."""
-    if not len(alphabet):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(alphabet, h), len(alphabet) - 1)
-    return np.where(alphabet[at] == h, at, -1)
+    return found.where(gain * F.col("c") >= GAIN).select("head", "c", "seen")
 
 
-def history(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol before, symbol before that) of each token; -1 outside the alphabet or before the text."""
-    one = np.full(len(symbols), -1, np.int64)
-    one[1:] = symbols[:-1]
-    one[bounds[:-1]] = -1
-    two = np.full(len(symbols), -1, np.int64)
-    two[1:] = one[:-1]
-    two[bounds[:-1]] = -1
-    return one, two
+def fit(docs: DataFrame, depth: int | None = None) -> tuple[int, int, int, DataFrame]:
+    """(tokens, distinct words, depth reached, (key, n, m) of all that is known) of all training rows; the table grows with the input.
 
-
-@dataclass
-class Tree:
-    """The alphabet with its counts and the states: of one word by symbol, of two by sorted key."""
-
-    total: int
-    distinct: int
-    alphabet: np.ndarray
-    counts: np.ndarray
-    share1: np.ndarray  # m / (c + LAMBDA) of each symbol as a state, 1 if it is none
-    base1: np.ndarray  # c + LAMBDA, 0 if it is none
-    next1: np.ndarray  # sorted keys state, symbol
-    n1: np.ndarray
-    states2: np.ndarray  # sorted keys of the two-word states
-    share2: np.ndarray
-    base2: np.ndarray
-    next2: np.ndarray  # sorted keys place in states2, symbol
-    n2: np.ndarray
-
-    def root(self, x: np.ndarray) -> np.ndarray:
-        return (self.counts[x] + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-
-    def gains(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol, log10 of the state's probability over the root's) of each token."""
-        x = symbols_of(h, self.alphabet)
-        out = np.zeros(len(h))
-        if not len(self.alphabet):
-            return x, out
-        a, b = history(x, bounds)
-        known = x >= 0
-        p0 = np.ones(len(h))
-        p0[known] = self.root(x[known])
-        p = p0.copy()
-        for at, share, base, keys, n, state in self._levels(a, b):
-            p[at] *= share[state]
-            hit = at[known[at]]
-            got = lookup(keys, n, state[known[at]] << BITS | x[hit])
-            p[hit] += got / base[state[known[at]]]
-        out = np.log10(p / p0)
-        return x, out
-
-    def _levels(self, a, b):
-        at = np.flatnonzero(a >= 0)
-        at = at[self.base1[a[at]] > 0]
-        yield at, self.share1, self.base1, self.next1, self.n1, a[at]
-        if len(self.states2):
-            at = np.flatnonzero((a >= 0) & (b >= 0))
-            key = b[at] << BITS | a[at]
-            place = np.minimum(np.searchsorted(self.states2, key), len(self.states2) - 1)
-            on = self.states2[place] == key
-            yield at[on], self.share2, self.base2, self.next2, self.n2, place[on]
-
-
-def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
-
-
-def _states(state: np.ndarray, n: np.ndarray, c: np.ndarray, parent: np.ndarray):
-    """(kept, share of the parent, c + LAMBDA) of each state 0.. from its next words' counts and their probabilities in the parent.
-
-    ``state`` is sorted. The divergence is that between the two distributions over the kept next words and all others together.
+    n is the count of a word, of a state or of a state's next word; m is the count that a state's next words add up to.
     """
-    size = len(c)
-    seen = np.bincount(state, weights=n, minlength=size)
-    p = n / c[state]
-    gain = np.bincount(state, weights=p * np.log(p / parent), minlength=size)
-    rest, rest_parent = np.maximum(0, 1 - seen / np.maximum(c, 1)), np.clip(1 - np.bincount(state, weights=parent, minlength=size), 1e-12, 1)
-    gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / rest_parent), 0)
-    kept = (c > 0) & (seen > 0) & (gain * c >= GAIN)
-    base = np.where(kept, c + LAMBDA, 0.0)
-    return kept, np.where(kept, (c - seen + LAMBDA) / np.maximum(c + LAMBDA, 1), 1.0), base
-
-
-def grow(total: int, distinct: int, alphabet: np.ndarray, counts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Tree:
-    """The tree from the alphabet and the frequent contexts with their next words."""
-    none = np.zeros(0, np.int64)
-    size = len(alphabet)
-    tree = Tree(total, distinct, alphabet, counts, np.ones(size), np.zeros(size), none, none, none, np.ones(0), np.zeros(0), none, none)
-    if not size:
-        return tree
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order].astype(np.int64)
-    mask = (1 << BITS) - 1
-    long = keys >> 62 != 0
-    k1, n1 = keys[~long], n[~long]
-    state, x = k1 >> BITS, k1 & mask
-    root = tree.root(np.arange(size))
-    kept, tree.share1, tree.base1 = _states(state, n1, counts.astype(float), root[x])
-    on = kept[state]
-    tree.next1, tree.n1 = k1[on], n1[on]
-    k2, n2 = keys[long] & ((1 << 62) - 1), n[long]
-    pair = k2 >> BITS
-    states, place = np.unique(pair, return_inverse=True)
-    c = lookup(k1, n1, states).astype(float)  # a context occurs as often as its two words in a row
-    x, a = k2 & mask, pair & mask
-    parent = root[x] * tree.share1[a]
-    has = tree.base1[a] > 0
-    parent[has] += (lookup(tree.next1, tree.n1, a << BITS | x) / np.maximum(tree.base1[a], 1))[has]
-    ok = c[place] > 0
-    kept, share, base = _states(place[ok], n2[ok], np.maximum(c, 0), parent[ok]) if len(states) else (np.zeros(0, bool),) + (np.zeros(0),) * 2
-    new = np.cumsum(kept) - 1
-    on = kept[place] if len(place) else np.zeros(0, bool)
-    tree.states2, tree.share2, tree.base2 = states[kept], share[kept], base[kept]
-    tree.next2, tree.n2 = new[place[on]] << BITS | x[on], n2[on]
-    return tree
-
-
-def _facts(one: DataFrame, states: DataFrame) -> DataFrame:
-    """(key, value): a state's share of its parent, and n / base over the root's probability for each next word."""
-    own = states.select(F.expr(f"head ^ {STATE}L").alias("key"), F.col("share").alias("value"))
-    return own.unionByName(one.where("base is not null").select("key", (F.col("n") / F.col("base") / F.col("root")).alias("value")))
-
-
-def fit(docs: DataFrame) -> tuple[int, int, DataFrame, DataFrame]:
-    """(tokens, distinct words, (key, n) of the words, (key, value) of the states) of all training rows. Both tables grow with the input."""
     words = written(unigrams(docs))
     sums = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(sums[0] or 0), int(sums[1] or 0)
-    top = words.where(F.col("n") >= SYMBOL_MIN)
-    alphabet = sieve(top.select("key"))
-    pairs = written(contexts(docs, alphabet).where(F.col("n") >= NEXT_MIN))
-    trios = written(contexts(docs, alphabet, sieve(pairs.select("key"))).where(F.col("n") >= NEXT_MIN))
-    counts = pairs.unionByName(trios)
-    named = written(counts.join(parts(docs, alphabet, sieve(counts.select("key"))), "key"))
-    root = (F.col("n") + 0.1) / (total + 0.1 * (distinct + 1))
-    first = named.where("key & 1 = 0").join(top.select(F.col("key").alias("head"), F.col("n").alias("c")), "head")
-    first = written(first.join(top.select(F.col("key").alias("tail"), root.alias("root")), "tail"))
-    states1 = written(kept_states(first.select("head", "n", "c", F.col("root").alias("parent"))))
-    one = written(first.join(states1, "head", "left").select("key", "n", "root", "base", (F.col("root") * F.coalesce("share", F.lit(1.0)) + F.coalesce(F.col("n") / F.col("base"), F.lit(0.0))).alias("parent")))
-    second = named.where("key & 1 = 1").join(one.select(F.col("key").alias("head"), F.col("n").alias("c")), "head")
-    second = written(second.join(one.select(F.col("key").alias("tail"), "root", "parent"), "tail"))
-    states2 = written(kept_states(second))
-    two = second.join(states2, "head", "left").select("key", "n", "root", "base")
-    facts = written(_facts(one, states1).unionByName(_facts(two, states2)))
-    for table in (pairs, trios, named, first, states1, one, second, states2):
+    none = F.lit(0).cast("long").alias("m")
+    known, scratch = words.select("key", "n", none), []
+    last = words.where(F.col("n") >= SYMBOL_MIN).select("key", "n", ((F.col("n") + 0.1) / (total + 0.1 * (distinct + 1))).alias("p"))
+    frequent, live, d = sieve(last.select("key")), None, 0
+    while depth is None or d < depth:
+        counts = written(count_grams(docs, d + 1, frequent, live))
+        rows = counts.join(last.select(F.col("key").alias("tail"), F.col("p").alias("parent")).where("parent is not null"), "tail")
+        rows = written(rows.join(last.select(F.col("key").alias("head"), F.col("n").alias("c")), "head").select("key", "head", "n", "c", "parent"))
+        states = written(kept_states(rows))
+        scratch += [counts, rows, states]
+        if not states.head(1):
+            break
+        d += 1
+        base = F.col("c") + LAMBDA
+        own = rows.drop("c").join(states, "head")
+        p = written(own.select("key", "n", ((base - F.col("seen")) / base * F.col("parent") + F.col("n") / base).alias("p")))
+        known = known.unionByName(p.select("key", "n", none)).unionByName(states.select(F.expr(f"head ^ {STATE}L").alias("key"), F.col("c").alias("n"), F.col("seen").alias("m")))
+        last = counts.select("key", "n").join(p.select("key", "p"), "key", "left")
+        scratch += [p]
+        frequent, live = sieve(counts.select("key")), sieve(states.select(F.col("head").alias("key")))
+    known = written(known)
+    for table in [words, *scratch]:
         common.drop_written(table)
-    return total, distinct, words, facts
+    return total, distinct, d, known
 
 
-def _asked(docs: DataFrame, states, buckets: int) -> DataFrame:
-    """The rows, each with its slice, and beside them (slice, bucket, keys): the distinct words and states of a slice, packed."""
-    schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("keys", pa.binary())])
+def packed(docs: DataFrame) -> DataFrame:
+    """(slice, rows) of all rows: pieces of about SLICE bytes of text, as compressed Arrow tables."""
 
     def run(batches):
         at = common.task_number() << 32
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
+            for part in slices(batch, 1, SLICE):
                 at += 1
-                rows = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([at] * rows, pa.int64()), pa.nulls(rows, pa.int32()), part.column(0), part.column(1), pa.nulls(rows, pa.binary())], schema=schema)
-                keys = np.unique(np.concatenate([_keys(*tokens(some.column(1)), states.value) for some in slices(part, 1, 1 << 20)]))
-                bucket = keys.view(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                keys, bucket = keys[order], bucket[order]
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                size = len(cuts) - 1
-                packed = [keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * size, pa.int64()), pa.array(bucket[cuts[:-1]], pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.string()), pa.array(packed, pa.binary())], schema=schema)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "rows"])
 
-    return docs.mapInArrow(run, "slice long, bucket int, doc_id long, text string, keys binary")
+    return docs.mapInArrow(run, "slice long, rows binary")
 
 
-def _keys(h: np.ndarray, bounds: np.ndarray, states: Sieve) -> np.ndarray:
-    """The distinct words of some texts, and what may be known of their contexts."""
-    pair, trio, two, three = spans(h, bounds)
-    before = np.roll(h, 1) ^ np.uint64(STATE), np.roll(pair, 1) ^ np.uint64(STATE)
-    found = np.unique(np.concatenate((before[0][two], pair[two], before[1][three], trio[three])))
-    return np.concatenate((np.unique(h), found[states.has(found)]))
+def pieces(rows: bytes):
+    """The rows of a slice in pieces that are worked on at once."""
+    for batch in pa.ipc.open_stream(rows):
+        yield from slices(batch, 1, 1 << 20)
 
 
-def _answered(asks: DataFrame, facts: DataFrame) -> DataFrame:
-    """(slice, keys, values): each slice's keys that a bucket knows, packed, so that they do not become a row each."""
+def keys_of(g: Grams, depth: int, states: Sieve) -> np.ndarray:
+    """The distinct words of some texts, and what may be known of their contexts, round by round as far as any may be a state."""
+    found = [g.of(0)]
+    live = np.ones(len(g.of(0)), bool)
+    for d in range(1, depth + 1):
+        state = g.context(d) ^ np.uint64(STATE)
+        live = live & g.has(d)
+        live[live] = states.has(state[live])
+        if not live.any():
+            break
+        gram = g.of(d)[live]
+        found += [np.unique(state[live]), gram[states.has(gram)]]
+    return np.unique(np.concatenate([np.unique(x) for x in found]))
 
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        known = known.sort_by("key")
-        keys, values = known.column("key").to_numpy(), known.column("value").to_numpy()
-        rows = []
-        for name, packed in zip(asked.column("slice").to_pylist(), asked.column("keys").to_pylist(), strict=True) if len(keys) else ():
-            want = np.frombuffer(packed, np.int64)
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            rows.append((name, want[hit].tobytes(), values[at[hit]].tobytes()))
-        return pa.table({"slice": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "values": pa.array([r[2] for r in rows], pa.binary())})
 
-    return asks.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(answer, "slice long, keys binary, values binary")
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the hash, so keys in order are in order of their buckets."""
+    return (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def _scored(rows: DataFrame, answers: DataFrame, total: int, norm: float) -> DataFrame:
-    """The rows of each slice with what its answers make of them."""
+def _asked(texts: DataFrame, states, depth: int, buckets: int) -> DataFrame:
+    """(slice, bucket, keys): the distinct keys of each slice in order, packed by bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for name, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = np.unique(np.concatenate([keys_of(Grams(p.column(1)), depth, states.value) for p in pieces(rows.as_buffer())]))
+                bucket = bucket_of(keys, buckets)
+                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+                sent = [keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(sent), pa.int64()), pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(sent, pa.binary())], ["slice", "bucket", "keys"])
+            common.trim()
+
+    return texts.mapInArrow(run, "slice long, bucket int, keys binary")
 
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        read = lambda name, kind: np.frombuffer(b"".join(told.column(name).to_pylist()), kind)
-        keys, values = read("keys", np.uint64), read("values", np.float64)
+
+def _answered(asks: DataFrame, known: DataFrame) -> DataFrame:
+    """(slice, bucket, counts): n and m of each key asked, in the order asked; 0 for what is not known."""
+
+    def answer(asked: pa.Table, facts: pa.Table) -> pa.Table:
+        keys = facts.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        keys, values = keys[order], np.stack([facts.column(c).to_numpy()[order] for c in ("n", "m")]) if len(keys) else np.zeros((2, 0), np.int64)
+        said = []
+        for sent in asked.column("keys"):
+            want = np.frombuffer(sent.as_buffer(), np.uint64)
+            out = np.zeros((2, len(want)), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                hit = keys[at] == want
+                out[:, hit] = values[:, at[hit]]
+            said.append(pa.compress(out.tobytes(), codec="zstd", asbytes=True))
+        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"), "counts": pa.array(said, pa.binary()), "size": pa.array([len(x.as_buffer()) // 8 for x in asked.column("keys")], pa.int32())})
 
-        def get(wanted, on, default):
-            out = np.full(len(wanted), default)
+    return asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "slice long, bucket int, counts binary, size int")
+
+
+def _scored(texts: DataFrame, answers: DataFrame, states, depth: int, total: int, distinct: int) -> DataFrame:
+    """The rows of each slice with what its answers make of them."""
+    norm = float(total + 0.1 * (distinct + 1))
+
+    def run(held: pa.Table, told: pa.Table) -> pa.Table:
+        done = []
+        rows = held.column("rows")[0].as_buffer() if held.num_rows else b""
+        told = told.sort_by("bucket")
+        counts = [np.frombuffer(pa.decompress(c.as_buffer(), s * 16, codec="zstd"), np.int64).reshape(2, s) for c, s in zip(told.column("counts"), told.column("size").to_pylist(), strict=True)]
+        counts = np.concatenate(counts, axis=1) if counts else np.zeros((2, 0), np.int64)
+        keys = np.unique(np.concatenate([keys_of(Grams(p.column(1)), depth, states.value) for p in pieces(rows)]))
+        keys, counts = keys[counts[0] > 0], counts[:, counts[0] > 0]
+
+        def get(wanted, on):
+            """(n, m) of each wanted key that is on; 0 for the others."""
+            out = np.zeros((2, len(wanted)), np.int64)
             if len(keys):
                 some = wanted[on]
                 at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
-                out[on] = np.where(keys[at] == some, values[at], default)
+                out[:, on] = np.where(keys[at] == some, counts[:, at], 0)
             return out
 
-        done = []
-        for batch in docs.select(["doc_id", "text"]).combine_chunks().to_batches():
-            for part in slices(batch, 1, 1 << 20):
-                h, bounds = tokens(part.column(1))
-                pair, trio, two, three = spans(h, bounds)
-                n = get(h, np.ones(len(h), bool), 0.0)
-                ratio = get(np.roll(h, 1) ^ np.uint64(STATE), two, 1.0) + get(pair, two, 0.0)
-                ratio = ratio * get(np.roll(pair, 1) ^ np.uint64(STATE), three, 1.0) + get(trio, three, 0.0)
-                add = lambda v, bounds=bounds: np.add.reduceat(v, bounds[:-1])
-                size = np.diff(bounds).astype(np.int64)
-                base = add(np.log10(n + 0.1)) - size * norm
-                known, held_out = add((n > 0).astype(np.int64)), crc_mod(part.column(0).to_pylist(), 10) == 0
-                done.append(pa.table([part.column(0), pa.array(held_out), pa.array(size), pa.array(known), pa.array(np.full(len(size), total)), pa.array(base), pa.array(base + add(np.log10(ratio)))], names=RESULT))
+        for part in pieces(rows):
+            g = Grams(part.column(1))
+            h = g.of(0)
+            n = get(h, np.ones(len(h), bool))[0]
+            root = (n + 0.1) / norm
+            p, live = root.copy(), np.ones(len(h), bool)
+            for d in range(1, depth + 1):
+                live = live & g.has(d)
+                c, seen = get(g.context(d) ^ np.uint64(STATE), live)
+                live = c > 0
+                if not live.any():
+                    break
+                base = c[live] + LAMBDA
+                p[live] = (base - seen[live]) / base * p[live] + get(g.of(d), live)[0][live] / base
+            add = lambda v, g=g: np.add.reduceat(v, g.bounds[:-1])
+            size = np.diff(g.bounds).astype(np.int64)
+            held_out = crc_mod(part.column(0).to_pylist(), 10) == 0
+            done.append(pa.table([part.column(0), pa.array(held_out), pa.array(size), pa.array(add((n > 0).astype(np.int64))), pa.array(np.full(len(size), total)), pa.array(add(np.log10(root))), pa.array(add(np.log10(p)))], names=RESULT))
+        common.trim()
         return pa.concat_tables(done)
 
-    return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, depth: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Training rows are those whose id's crc32 is not 0 modulo 10 (a null id trains). Null text is the end token alone. Rows with equal
     ids are scored each, and count in training each. Without training rows every token is unknown: N and V are 0. Whole texts are
-    read; other columns are not.
+    read; other columns are not. ``depth`` bounds the words of a context; by default they grow until none diverges from its parent.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total, distinct, words, facts = fit(docs)
+    total, distinct, reached, known = fit(docs, depth)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    asked = written(_asked(docs, sieve(facts.select("key")), buckets))
-    bucket = F.pmod("key", F.lit(buckets)).cast("int").alias("bucket")
-    table = words.select(bucket, "key", F.col("n").cast("double").alias("value")).unionByName(facts.select(bucket, "key", "value"))
-    answers = _answered(asked.where("bucket is not null").select("slice", "bucket", "keys"), table)
-    norm = float(np.log10(total + 0.1 * (distinct + 1)))
-    return _scored(asked.where("bucket is null").select("slice", "doc_id", "text"), answers, total, norm)
+    texts, states = written(packed(docs)), sieve(known.select("key"))
+    bucket = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {buckets}L, 32) AS int)").alias("bucket")
+    answers = _answered(_asked(texts, states, reached, buckets), known.select(bucket, "key", "n", "m"))
+    return _scored(texts, answers, states, reached, total, distinct)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

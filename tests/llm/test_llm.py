@@ -213,21 +213,6 @@ def test_lm_base_and_distribution(docs, none):
     assert lm.score(none).count() == 0
 
 
-def test_lm_states_sum_to_one():
-    counts = np.array([500, 300, 200])
-    keys = np.array([0 << lm.BITS | 1, 0 << lm.BITS | 0, 1 << lm.BITS | 2, 1 << 62 | 0 << 2 * lm.BITS | 1 << lm.BITS | 2])
-    tree = lm.grow(1010, 10, np.array([10, 20, 30], np.uint64), counts, keys, np.array([250, 40, 100, 90]))
-    rest = 1 - tree.root(np.arange(3)).sum()
-    for history in ([0], [1], [0, 1]):
-        total = 0.0
-        for x in range(3):
-            h = np.array([10, 20, 30], np.uint64)[[*history, x]]
-            total += tree.root(np.array([x]))[0] * 10 ** tree.gains(h, np.array([0, len(h)]))[1][-1]
-        h = np.array([*[(10, 20, 30)[k] for k in history], 99], np.uint64)
-        total += rest * 10 ** tree.gains(h, np.array([0, len(h)]))[1][-1]
-        assert total == pytest.approx(1)
-
-
 def test_urls(spark):
     rows = [(1, "https://A.Example.NET/en/1?x"), (2, "http://x.net"), (3, "http://x.net/a"), (4, "ftp://example.com/de/"), (5, "http://www.org/fr/#t"), (6, None), (7, "no scheme"), (8, "http://evilnet/"), (9, "http://x.example.com/en/"), (9, "http://x.example.com/en/")]
     spam = [(100 + k, f"http://m.casino-win.example.com/en/{k}.html") for k in range(30)] + [(200 + k, f"http://blog{k % 3}.example.com/en/{k}") for k in range(300)]
@@ -280,38 +265,6 @@ def test_pipeline(spark, tmp_path):
     assert collections.Counter(r.doc_id for r in got) == copies and all(r.n_tokens == len(r.ids) for r in got)
 
 
-def test_lm_states_do_not_depend_on_the_size(spark):
-    common.ship(spark)
-    r = random.Random(5)
-    rows = [(k, " ".join(f"a{x} b{x if r.random() < 0.8 else 3} c{(x * x + k % 2) % 7}" for x in (r.randint(0, 9) for _ in range(12)))) for k in range(300)]
-    rows += [(5000 + k, "rare pair here") for k in range(40)]
-    # so many other tokens, all distinct, that shares of 5e-6 and 1e-6 would ask for more than 32 and 8 sightings
-    far = spark.range(1000, 1150).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 70000), j -> concat('z', id, '_', j)))").alias("text"))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).union(far)
-    rows += [(k, " ".join(f"z{k}_{j}" for j in range(1, 70_001))) for k in range(1000, 1150)]
-    got = {x.doc_id: x for x in lm.score(df).collect()}
-    words = {i: [*t.split(), "\n"] for i, t in rows}
-    uni, two, three = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, w in words.items():
-        if zlib.crc32(str(i).encode()) % 10:
-            uni.update(w)
-    names = sorted(x for x in uni if uni[x] >= 32)
-    at = {x: k for k, x in enumerate(names)}
-    for i, w in words.items():
-        if i < 1000 or i >= 5000:
-            if zlib.crc32(str(i).encode()) % 10:
-                s = [at.get(x, -1) for x in w]
-                two.update((a, b) for a, b in zip(s, s[1:]) if min(a, b) >= 0)
-                three.update(x for x in zip(s, s[1:], s[2:]) if min(x) >= 0)
-    keys = [(a << lm.BITS | b, n) for (a, b), n in two.items() if n >= 8] + [(1 << 62 | a << 2 * lm.BITS | b << lm.BITS | c, n) for (a, b, c), n in three.items() if n >= 8]
-    tree = lm.grow(sum(uni.values()), len(uni), np.arange(len(names), dtype=np.uint64), np.array([uni[x] for x in names]), np.array([k for k, _ in keys]), np.array([n for _, n in keys]))
-    assert len(tree.states2) and (tree.base1 > 0).any() and max(1e-6 * sum(uni.values()), 8) > 8
-    for i in [*range(300), *range(5000, 5040)]:
-        h = np.array([at.get(x, 1 << 40) for x in words[i]], np.uint64)
-        assert got[i].score - got[i].base_score == pytest.approx(tree.gains(h, np.array([0, len(h)]))[1].sum(), abs=1e-9)
-    assert abs(got[5000].score - got[5000].base_score) > 0.1
-
-
 def test_mixing_reaches_targets_of_small_sources(spark):
     df = spark.range(20_010).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, "small").otherwise("large").alias("source"))
     n = collections.Counter(r.source for r in mixing.mix_sources(df, {"small": 1.0, "large": 1.0}).collect())
