@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import curation, greedy, learned, relational, similarity
+from .operators import curation, features, greedy, learned, library, relational, search, similarity
 
-MODULES = (relational, curation, similarity, greedy, learned)
+MODULES = (relational, curation, features, library, similarity, greedy, learned, search)
 
 
 def queries():
