@@ -36,8 +36,11 @@ LAMBDA = 4.0
 BUCKET = 4_000_000
 #: Sets a state's hash apart from that of the same words as a gram.
 STATE = 0x5EED_57A7_E000_0001
-#: Filters have so many bits, as a power of 2, at most; a hash sets those at these shifts.
-SIEVE_BITS, SHIFTS = 27, (1, 32)
+#: Filters have so many bits, as a power of 2, at least and at most; a hash sets those at these shifts.
+SIEVE_LEAST, SIEVE_BITS, SHIFTS = 22, 27, (1, 32)
+#: From this round on a pass also writes the rows that the next one needs, which get few; once they hold so few tokens, and there are so few
+#: grams, one task grows the rest. Both ways count the same.
+NARROW, ONE_TASK_TOKENS, ONE_TASK_GRAMS = 4, 4_000_000, 1_000_000
 #: Bytes of text of a slice.
 SLICE = 8 << 20
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -131,11 +134,11 @@ def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def learning(batches):
-    """The grams of the training rows, in pieces."""
+    """The training rows and their grams, in pieces."""
     for batch in batches:
         learn = batch.filter(pa.array(crc_mod(batch.column(0).to_pylist(), 10) != 0))
         for part in slices(learn, 1, 1 << 20):
-            yield Grams(part.column(1))
+            yield part, Grams(part.column(1))
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
@@ -143,7 +146,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         sums = Sums()
-        for g in learning(batches):
+        for _, g in learning(batches):
             for found in sums.add(g.of(0)):
                 yield _batch(["key", "n"], *found)
         for found in sums.rest():
@@ -169,7 +172,7 @@ class Sieve:
 
 def sieve(keys: DataFrame):
     """The broadcast filter of a column of hashes."""
-    bits = min(SIEVE_BITS, max(10, (16 * keys.count()).bit_length()))
+    bits = min(SIEVE_BITS, max(SIEVE_LEAST, (16 * keys.count()).bit_length()))
     at = F.explode(F.array(*[F.expr(f"shiftrightunsigned(key, {k}) & {(1 << bits) - 1}L") for k in SHIFTS]))
     words = keys.select(at.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits"))
 
@@ -185,33 +188,113 @@ def sieve(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(Sieve(bits, found))
 
 
-def count_grams(docs: DataFrame, d: int, frequent, states) -> DataFrame:
-    """(key, head, tail, n) of the frequent grams of d + 1 words that round d can use: head is the context, tail the gram without its first word.
+def usable(g: Grams, d: int, often: np.ndarray, live: np.ndarray | None) -> np.ndarray:
+    """The places of the grams of d + 1 words that round d can use.
 
-    A gram is of use if the parent of its context is a state, or if it may be a context of the next round. Its tail is frequent, and so are
-    both words of a pair and both pairs of a trio; of longer ones the head need not have been counted unless it is a context.
+    ``often``: which tokens end a frequent gram of d words; ``live``: which end a state of d - 1 words. A gram is of use if the parent of
+    its context is a state, or if it may be a context of the next round. Its tail is frequent, and so are both words of a pair and both
+    pairs of a trio; of longer ones the head need not have been counted unless it is a context.
     """
+    use = g.has(d) & often
+    if d <= 2:
+        use &= np.roll(often, 1)
+    if d > 1:
+        use &= live | np.roll(live, 1)
+    return np.flatnonzero(use)
+
+
+def count_grams(docs: DataFrame, d: int, frequent, states) -> tuple[DataFrame, DataFrame | None]:
+    """(key, head, tail, n) of the frequent grams of round d: head is the context, tail the gram without its first word; and, from round NARROW on, the rows that hold a state."""
+    narrow = d >= NARROW
+    schema = pa.schema([("n", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("size", pa.int64())])
+
+    def grams(found):
+        _, *columns = found
+        none = len(found[0])
+        return pa.RecordBatch.from_arrays([*_batch(["n", "head", "tail"], *columns).columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64())], schema=schema)
 
     def run(batches):
         sums = Sums()
-        for g in learning(batches):
-            often = frequent.value.has(g.of(d - 1))
-            use = g.has(d) & often
-            if d <= 2:
-                use &= np.roll(often, 1)
-            if d > 1:
-                live = states.value.has(g.of(d - 2))
-                use &= live | np.roll(live, 1)
-            at = np.flatnonzero(use)
+        for part, g in learning(batches):
+            live = states.value.has(g.of(d - 2)) if d > 1 else None
+            at = usable(g, d, frequent.value.has(g.of(d - 1)), live)
             tail = g.of(d - 1)[at]
             head = g.context(d)[at]
             for found in sums.add(joined(head, tail), head, tail):
-                yield _batch(["n", "head", "tail"], *found[1:])
+                yield grams(found)
+            if narrow:
+                live &= g.has(d - 2)
+                left = part.filter(pa.array(np.add.reduceat(live.astype(np.int64), g.bounds[:-1]) > 0))
+                size = np.diff(g.bounds)[np.add.reduceat(live.astype(np.int64), g.bounds[:-1]) > 0]
+                none = pa.nulls(left.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, left.column(0), left.column(1), pa.array(size)], schema=schema)
         for found in sums.rest():
-            yield _batch(["n", "head", "tail"], *found[1:])
+            yield grams(found)
+
+    out = docs.select("doc_id", "text").mapInArrow(run, "n long, head long, tail long, doc_id long, text string, size long")
+    out = written(out) if narrow else out
+    counts = out.where("n is not null").groupBy("head", "tail").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_MIN)
+    return counts.select(F.xxhash64("head", "tail").alias("key"), "head", "tail", "n"), out.where("n is null").select("doc_id", "text", "size") if narrow else None
+
+
+def grown(texts: pa.Array, d: int, last: pa.Table, states: np.ndarray, depth: int | None) -> tuple[int, np.ndarray]:
+    """The rounds from d on in one process: (depth reached, (key, n, m) of what they find), as count_grams() and kept_states() have it."""
+    key = lambda c: last.column(c).to_numpy(zero_copy_only=False)
+    g, keys, n, p, out = Grams(texts), key("key").view(np.uint64), key("n"), key("p").astype(float), []
+    order = np.argsort(keys)
+    keys, n, p, states = keys[order], n[order], p[order], np.sort(states)
+
+    def find(sorted_, wanted):
+        at = np.minimum(np.searchsorted(sorted_, wanted), max(0, len(sorted_) - 1))
+        return at, sorted_[at] == wanted if len(sorted_) else np.zeros(len(wanted), bool)
+
+    while len(states) and (depth is None or d <= depth):
+        at = usable(g, d, find(keys, g.of(d - 1))[1], find(states, g.of(d - 2))[1])
+        tail, head = g.of(d - 1)[at], g.context(d)[at]
+        new, first, count = np.unique(joined(head, tail), return_index=True, return_counts=True)
+        often = count >= NEXT_MIN
+        new, head, tail, count = new[often], head[first[often]], tail[first[often]], count[often]
+        (ht, has_tail), (hh, has_head) = find(keys, tail), find(keys, head)
+        test = has_tail & has_head & ~np.isnan(p[ht] if len(p) else np.zeros(0))
+        heads, of = np.unique(head[test], return_inverse=True)
+        c, parent = n[hh[test]].astype(float), p[ht[test]]
+        context = np.zeros(len(heads))
+        context[of] = c
+        share = count[test] / c
+        add = lambda x: np.bincount(of, weights=x, minlength=len(heads))
+        seen = add(count[test])
+        rest, other = np.maximum(0.0, 1 - seen / context), np.clip(1 - add(parent), 1e-12, 1.0)
+        gain = add(share * np.log(share / parent)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / other), 0.0)
+        kept = gain * context >= GAIN
+        on = kept[of] if len(of) else np.zeros(0, bool)
+        base = c[on] + LAMBDA
+        after = np.full(len(new), np.nan)
+        after[np.flatnonzero(test)[on]] = (base - seen[of[on]]) / base * parent[on] + count[test][on] / base
+        if not kept.any():
+            break
+        states = heads[kept]
+        out.append(np.stack([new[test][on].view(np.int64), count[test][on], np.zeros(on.sum(), np.int64)]))
+        out.append(np.stack([(states ^ np.uint64(STATE)).view(np.int64), context[kept].astype(np.int64), seen[kept].astype(np.int64)]))
+        keys, n, p, d = new, count, after, d + 1
+    return d - 1, np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+
+
+def _grow_rest(rows: DataFrame, d: int, last: DataFrame, states: DataFrame, depth: int | None) -> DataFrame:
+    """(key, n, m, depth) of the rounds from d on, grown in one task from a bounded number of tokens and grams."""
+    one = F.lit(0).alias("one")
+    told = last.select(one, F.lit(None).cast("string").alias("text"), "key", "n", "p").unionByName(states.select(one, F.lit(None).cast("string").alias("text"), F.col("head").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("p")))
+    texts = rows.select(one, "text", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("p"))
+
+    def run(table: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        text = table.filter(pc.is_null(table.column("key"))).column("text").combine_chunks()
+        grams = table.filter(pc.is_valid(table.column("n"))).select(["key", "n", "p"])
+        heads = table.filter(pc.and_(pc.is_valid(table.column("key")), pc.is_null(table.column("n")))).column("key").to_numpy()
+        reached, found = grown(text, d, grams, heads.view(np.uint64), depth)
+        return pa.table({"key": found[0], "n": found[1], "m": found[2], "depth": np.full(found.shape[1], reached)})
 
-    counts = docs.mapInArrow(run, "n long, head long, tail long").groupBy("head", "tail").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_MIN)
-    return counts.select(F.xxhash64("head", "tail").alias("key"), "head", "tail", "n")
+    return told.unionByName(texts).groupBy("one").applyInArrow(run, "key long, n long, m long, depth long")
 
 
 def kept_states(rows: DataFrame) -> DataFrame:
@@ -237,13 +320,25 @@ def fit(docs: DataFrame, depth: int | None = None) -> tuple[int, int, int, DataF
     none = F.lit(0).cast("long").alias("m")
     known, scratch = words.select("key", "n", none), []
     last = words.where(F.col("n") >= SYMBOL_MIN).select("key", "n", ((F.col("n") + 0.1) / (total + 0.1 * (distinct + 1))).alias("p"))
-    frequent, live, d = sieve(last.select("key")), None, 0
+    frequent, live, d, source = sieve(last.select("key")), None, 0, docs
     while depth is None or d < depth:
-        counts = written(count_grams(docs, d + 1, frequent, live))
+        counts, rows_left = count_grams(source, d + 1, frequent, live)
+        counts = written(counts)
+        scratch += [counts]
+        if rows_left is not None:
+            scratch += [rows_left]
+            source = rows_left
+            size = rows_left.agg(F.sum("size")).first()[0] or 0
+            if size <= ONE_TASK_TOKENS and last.count() <= ONE_TASK_GRAMS:
+                rest = written(_grow_rest(rows_left, d + 1, last, states, depth))
+                scratch += [rest]
+                known = known.unionByName(rest.select("key", "n", "m"))
+                d = rest.agg(F.max("depth")).first()[0] or d
+                break
         rows = counts.join(last.select(F.col("key").alias("tail"), F.col("p").alias("parent")).where("parent is not null"), "tail")
         rows = written(rows.join(last.select(F.col("key").alias("head"), F.col("n").alias("c")), "head").select("key", "head", "n", "c", "parent"))
         states = written(kept_states(rows))
-        scratch += [counts, rows, states]
+        scratch += [rows, states]
         if not states.head(1):
             break
         d += 1
@@ -251,9 +346,9 @@ def fit(docs: DataFrame, depth: int | None = None) -> tuple[int, int, int, DataF
         own = rows.drop("c").join(states, "head")
         p = written(own.select("key", "n", ((base - F.col("seen")) / base * F.col("parent") + F.col("n") / base).alias("p")))
         known = known.unionByName(p.select("key", "n", none)).unionByName(states.select(F.expr(f"head ^ {STATE}L").alias("key"), F.col("c").alias("n"), F.col("seen").alias("m")))
-        last = counts.select("key", "n").join(p.select("key", "p"), "key", "left")
-        scratch += [p]
-        frequent, live = sieve(counts.select("key")), sieve(states.select(F.col("head").alias("key")))
+        last = written(counts.select("key", "n").join(p.select("key", "p"), "key", "left"))
+        scratch += [p, last]
+        frequent, live = sieve(last.select("key")), sieve(states.select(F.col("head").alias("key")))
     known = written(known)
     for table in [words, *scratch]:
         common.drop_written(table)

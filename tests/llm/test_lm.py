@@ -18,7 +18,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class SlowTree:
     """All counts of sequences in one process; states round by round, each by its definition."""
 
-    def __init__(self, rows, deepest=9):
+    def __init__(self, rows, deepest=17):
         texts = [self.tokens(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
         self.n = collections.Counter(tuple(w[k : k + size]) for w in texts for k in range(len(w)) for size in range(1, deepest + 2) if k + size <= len(w))
         self.total, self.distinct = sum(len(w) for w in texts), sum(len(s) == 1 for s in self.n)
@@ -67,7 +67,7 @@ def corpus():
     rows = []
     for k in range(300):  # the third word of a trio depends on its second and on the text, which only older words tell
         rows.append((k, " ".join(f"a{x} b{x if r.random() < 0.8 else 3} c{(x * x + k % 2) % 7}" for x in (r.randint(0, 9) for _ in range(12)))))
-    rows += [(5000 + k, "rare pair here") for k in range(40)] + [(6000 + k, "One long Copy that goes on and on and on to its end") for k in range(60)]
+    rows += [(5000 + k, "rare pair here") for k in range(40)] + [(20_000 + k, f"x{k % 2} y y y y y z{k % 2} end") for k in range(900)] + [(6000 + k, "One long Copy that goes on and on and on to its end") for k in range(60)]
     return rows + [(7000, None), (7001, ""), (None, "no id a1 b1 c1"), (5000, "rare pair here"), (7002, "unknown words only")]
 
 
@@ -76,9 +76,12 @@ def tree():
     return SlowTree(corpus())
 
 
-def test_scores_equal_those_of_a_slow_tree(spark, tree):
+@pytest.mark.parametrize("tokens", [0, lm.ONE_TASK_TOKENS])
+def test_scores_equal_those_of_a_slow_tree(spark, tree, monkeypatch, tokens):
     common.ship(spark)
-    assert tree.depth >= 3  # deeper than a model of three words
+    monkeypatch.setattr(lm, "ONE_TASK_TOKENS", tokens)  # all rounds as jobs, or the last ones in a task
+    monkeypatch.setattr(lm, "NARROW", 3)
+    assert tree.depth >= 5  # deeper than a model of three words, and than the round from which rows are left out
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in corpus()], "doc_id long, text string, slice string, n int").repartition(5)
     got = lm.score(df).collect()
     want = collections.Counter((i, round(tree.score(t), 7)) for i, t in corpus())
