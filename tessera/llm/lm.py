@@ -40,7 +40,7 @@ STATE = 0x5EED_57A7_E000_0001
 SIEVE_LEAST, SIEVE_BITS, SHIFTS = 22, 27, (1, 32)
 #: From this round on a pass also writes the rows that the next one needs, which get few; once they hold so few tokens, and there are so few
 #: grams, one task grows the rest. Both ways count the same.
-NARROW, ONE_TASK_TOKENS, ONE_TASK_GRAMS = 4, 4_000_000, 1_000_000
+NARROW, ONE_TASK_TOKENS, ONE_TASK_GRAMS = 4, 1_000_000, 250_000
 #: Bytes of text of a slice.
 SLICE = 8 << 20
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -248,9 +248,11 @@ def grown(texts: pa.Array, d: int, last: pa.Table, states: np.ndarray, depth: in
         at = np.minimum(np.searchsorted(sorted_, wanted), max(0, len(sorted_) - 1))
         return at, sorted_[at] == wanted if len(sorted_) else np.zeros(len(wanted), bool)
 
+    low, high = g.of(d - 2), g.of(d - 1)
+    g.known = []  # only the last two rounds' hashes are held
     while len(states) and (depth is None or d <= depth):
-        at = usable(g, d, find(keys, g.of(d - 1))[1], find(states, g.of(d - 2))[1])
-        tail, head = g.of(d - 1)[at], g.context(d)[at]
+        at = usable(g, d, find(keys, high)[1], find(states, low)[1])
+        tail, head = high[at], high[at - 1]
         new, first, count = np.unique(joined(head, tail), return_index=True, return_counts=True)
         often = count >= NEXT_MIN
         new, head, tail, count = new[often], head[first[often]], tail[first[often]], count[often]
@@ -276,6 +278,7 @@ def grown(texts: pa.Array, d: int, last: pa.Table, states: np.ndarray, depth: in
         out.append(np.stack([new[test][on].view(np.int64), count[test][on], np.zeros(on.sum(), np.int64)]))
         out.append(np.stack([(states ^ np.uint64(STATE)).view(np.int64), context[kept].astype(np.int64), seen[kept].astype(np.int64)]))
         keys, n, p, d = new, count, after, d + 1
+        low, high = high, joined(np.roll(high, 1), high)
     return d - 1, np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
 
 
