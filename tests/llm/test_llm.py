@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, html, jaccard, langid, lm, mixing, neardup, quality, urls, warc
+from tessera.llm import bpe, common, html, jaccard, langid, lm, mixing, neardup, quality, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -178,27 +178,45 @@ def test_html_marginals_equal_enumeration():
     assert np.allclose(model.marginals(page), [x / total for x in on])
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("least", [neardup.LEAST_ROWS, 30])
+def test_embeddings(spark, monkeypatch, least):
     common.ship(spark)
+    monkeypatch.setattr(neardup, "LEAST_ROWS", least)
     r = np.random.default_rng(2)
-    v = r.normal(size=(300, 16))
+    v = r.normal(size=(300, 16)) * np.linspace(3, 0.1, 16)
     v[100:140] = v[0] + 0.05 * r.normal(size=(40, 16))
     v[200] = v[201]
-    rows = [(k, [float(x) for x in v[k]], 1) for k in range(300)]
-    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] + [1.0] * 15, 1), (303, [None] + [1.0] * 15, 1), (304, [], 1), (305, [1.0, 2.0], 1), (306, [2.0, 4.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {x.vec_id: x for x in neardup.near_duplicates(df, block_rows=64).collect()}
+    v[220:260] = v[5]  # copies
+    v[270] = 2 * v[5]
+    ids = list(range(300))
+    rows = [(k, [float(x) for x in v[k]], 1, "x", 1.0) for k in ids]
+    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [], [1.0, 2.0], [2.0, 4.0]]
+    rows += [(300 + k, x, 1, "x", 1.0) for k, x in enumerate(odd)] + [(7, [float(x) for x in v[7]], 1, "x", 1.0)] * 2 + [(None, [float(x) for x in v[7]], 1, "x", 1.0)]
+    ids += [7, 7]
+    v = np.concatenate((v, v[[7, 7]]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string, n double").repartition(3)
+    got = neardup.near_duplicates(df, block_rows=64).collect()
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     link = (u @ u.T) >= 0.95
     np.fill_diagonal(link, False)
-    label = np.arange(300)
+    label = np.array(ids)
     for _ in range(300):
-        label = np.array([min([label[k], *label[link[k]]]) for k in range(300)])
-    assert all(got[k].n_links == link[k].sum() and got[k].component_id == label[k] and got[k].kept == (label[k] == k) for k in range(300))
-    assert all(got[k].n_links == 0 and got[k].component_id == k for k in range(300, 305)) and got[306].component_id == 305
+        label = np.array([min([label[k], *label[link[k]]]) for k in range(len(ids))])
+    want = [(ids[k], int(link[k].sum()), int(label[k]), bool(label[k] == ids[k])) for k in range(len(ids))]
+    want += [(k, 0, k, True) for k in range(300, 305)] + [(305, 1, 305, True), (306, 1, 305, False), (None, 0, None, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_at_the_threshold(spark):
+    common.ship(spark)
+    a = math.acos(0.95)
+    angle = [0.0, a - 1e-9, 2 * a - 3e-9, 10.0, 10.0 + a + 1e-9]
+    df = spark.createDataFrame([(k, [math.cos(x), math.sin(x)]) for k, x in enumerate(angle)], "vec_id long, embedding array<double>")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in neardup.near_duplicates(df).collect()}
+    assert got == {0: (1, 0), 1: (2, 0), 2: (1, 0), 3: (0, 3), 4: (0, 4)}
+
+
 def test_lm_base_and_distribution(docs, none):
     got = lm.score(docs).collect()
     rows = docs.collect()
@@ -213,18 +231,6 @@ def test_lm_base_and_distribution(docs, none):
     assert lm.score(none).count() == 0
 
 
-def test_urls(spark):
-    rows = [(1, "https://A.Example.NET/en/1?x"), (2, "http://x.net"), (3, "http://x.net/a"), (4, "ftp://example.com/de/"), (5, "http://www.org/fr/#t"), (6, None), (7, "no scheme"), (8, "http://evilnet/"), (9, "http://x.example.com/en/"), (9, "http://x.example.com/en/")]
-    spam = [(100 + k, f"http://m.casino-win.example.com/en/{k}.html") for k in range(30)] + [(200 + k, f"http://blog{k % 3}.example.com/en/{k}") for k in range(300)]
-    df = spark.createDataFrame(rows + spam, "page_id long, url string")
-    got = {r.page_id: r for r in urls.filter_urls(df).collect()}
-    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/1", "example.net/en/", "allow")
-    assert got[2].rule is None and got[2].path == "" and (got[3].rule, got[3].verdict) == ("net/", "block") and got[4].rule == "example.com/de/" and got[5].rule == "org/fr/"
-    assert all((got[k].host, got[k].path, got[k].rule, got[k].verdict) == ("", "", None, "allow") for k in (6, 7)) and got[8].rule is None
-    assert all(got[100 + k].verdict == "block" for k in range(30)) and all(got[200 + k].verdict == "allow" for k in range(300))
-    assert urls.filter_urls(df).count() == len(rows + spam) and urls.filter_urls(df.limit(0)).count() == 0
-
-
 def test_mixing(docs, none):
     got = mixing.mix_sources(docs, {"a": 3.0, "b": 1.0}, total=400).collect()
     n = collections.Counter(r.source for r in got)
@@ -284,13 +290,6 @@ def test_language_stage_rejects_what_the_filters_do_not_know(spark):
     assert langid.keep_known(docs.drop("lang")).count() == 0
 
 
-def test_url_rules_of_both_verdicts(spark):
-    labels = [(f"http://bad.io/x{k}", "block") for k in range(0, 95)] + [("http://bad.io/safe", "allow")] * 5 + [("http://fine.io/safe", "allow")] * 20
-    df = spark.createDataFrame([(1, "http://bad.io/safe"), (2, "http://bad.io/other"), (3, "http://else.io/")], "page_id long, url string")
-    got = {r.page_id: (r.verdict, r.mined_confidence) for r in urls.filter_urls(df, labels=spark.createDataFrame(labels, "url string, label string"), min_support=0.01).collect()}
-    assert got[1] == ("allow", 1.0) and got[2] == ("block", pytest.approx(0.95)) and got[3] == ("allow", None)
-
-
 def test_html_goes_on_after_odd_declarations_and_open_heads():
     model = html.default_model()
     around = "<nav><a href=x>home</a></nav>"
