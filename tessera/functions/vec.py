@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value bound, so that it is evaluated once a row and not wherever a lambda names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -58,14 +63,13 @@ def dequantize(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def poincare(a: Column, scale: Column) -> Column:
     """Direction kept, length tanh(|a| / (2 scale)): into the unit ball."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n * F.tanh(n / (2 * scale)))).otherwise(a)
+    grown = lambda n: let(F.tanh(n / (2 * scale)) / n, lambda f: F.transform(a, lambda x: x * f))
+    return let(norm(a), lambda n: F.when(n > 0, grown(n)).otherwise(a))
 
 
 def hyperbolic(a: Column, b: Column) -> Column:
@@ -79,20 +83,18 @@ def finite(a: Column) -> Column:
 
 
 def softmax(a: Column, temperature: float) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, y: s + y)
+    share = lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return let(F.array_max(a), lambda top: let(F.transform(a, lambda x: F.exp((x - top) / temperature)), share))
 
 
-def sign_bits(a: Column) -> Column:
-    """For each component whether it is above the vector's mean, as four bigints of 50 bits."""
+def sign_bits(a: Column, word: int = 64) -> Column:
+    """For each component whether it is above the vector's mean, as bigints of ``word`` bits, the first component the lowest bit of the first."""
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-
-    def word(k):
-        part = F.slice(a, k * 50 + 1, 50)
-        return F.aggregate(F.transform(part, lambda x: F.when(x > mean, 1).otherwise(0).cast("long")), F.lit(0).cast("long"), lambda s, x: s * 2 + x)
-
-    return F.array(*[word(k) for k in range(4)])
+    ones = lambda m: F.transform(a, lambda x, k: F.when(x > m, F.call_function("shiftleft", F.lit(1).cast("long"), k % word)).otherwise(F.lit(0).cast("long")))
+    words = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / word).cast("int"))
+    fold = lambda bits: F.transform(words, lambda w: F.aggregate(F.slice(bits, w * word + 1, word), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)))
+    return let(mean, lambda m: let(ones(m), fold))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -59,26 +59,48 @@ def keep_apart(v: np.ndarray, lookback: int = 1, threshold: float = 0.01) -> lis
     return kept
 
 
-def walk(v: np.ndarray, dist: np.ndarray, author: list[str], n: int) -> list[int]:
-    """Places of a walk: rows by distance from the anchor in buckets, from one to the next by the least of weighted steps, an author once a bucket."""
+def walk(v: np.ndarray, dist: np.ndarray, author: list[str | None], n: int, cap: int = 3) -> list[int]:
+    """Places of a walk: rows by distance from the anchor in buckets, from one to the next by the least of weighted steps.
+
+    An author is taken once a bucket, from two buckets before the cap is reached, and ``cap`` times in all; rows without an author are
+    never held back.
+    """
     order = np.lexsort((np.arange(len(dist)), dist))
     out: list[int] = []
+    taken: dict[str, int] = {}
     for low in range(0, len(order), BUCKET):
         if len(out) >= n:
             break
         pool, used = list(order[low : low + BUCKET]), set()
         while pool and len(out) < n:
-            free = [k for k in pool if author[k] not in used]
+            free = [k for k in pool if not author[k] or (author[k] not in used and taken.get(author[k], 0) < min(2, cap))]
             if not free:
                 break
             cost = ANCHOR_WEIGHT * dist[free] + (STEP_WEIGHT * _angles(v[out[-1]], v[free]) if out else 0)
             best = free[int(np.argmin(cost))]
             out.append(best)
             pool.remove(best)
-            used.add(author[best])
+            if author[best]:
+                used.add(author[best])
+                taken[author[best]] = taken.get(author[best], 0) + 1
     return out
 
 
+def without_triples(order: list[int], author: list[str | None]) -> list[int]:
+    """The same places with no author three times in a row where a later row of another author can be swapped in."""
+    order, at = list(order), 0
+    while at + 2 < len(order):
+        who = author[order[at]]
+        if not who or not who == author[order[at + 1]] == author[order[at + 2]]:
+            at += 1
+            continue
+        other = next((j for j in range(at + 3, len(order)) if author[order[j]] != who), None)
+        if other is None:
+            break
+        order[at + 2], order[other] = order[other], order[at + 2]
+    return order
+
+
 def slerp(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """On the arc from a to b; on the line where they are parallel."""
     ua, ub = a / max(np.linalg.norm(a), 1e-300), b / max(np.linalg.norm(b), 1e-300)
@@ -88,28 +110,40 @@ def slerp(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return (np.sin((1 - t) * angle) * a + np.sin(t * angle) * b) / np.sin(angle)
 
 
-#: The circle of fifths.
-FIFTHS = {k: i for i, k in enumerate(["C", "G", "D", "A", "E", "B", "F#", "C#", "G#", "D#", "A#", "F"])}
+#: The circle of fifths, flats beside their sharps, and how far apart energies are as far as can be.
+FIFTHS = {k: i for i, names in enumerate(["C", "G", "D", "A", "E", "B", "F# GB", "C# DB", "G# AB", "D# EB", "A# BB", "F"]) for k in names.split()}
+ENERGY_SPAN = 0.14
+
 
+def key_gap(a: str | None, b: str | None, scale_a: str | None = None, scale_b: str | None = None) -> float:
+    """0 to 1 on the circle of fifths, a fifth less in an equal scale; 0.5 where a key is not known."""
+    name = lambda k: FIFTHS.get((k or "").upper().replace(" ", ""))
+    if name(a) is None or name(b) is None:
+        return 0.5
+    apart = abs(name(a) - name(b))
+    gap = min(apart, 12 - apart) / 6
+    return 0.8 * gap if scale_a and scale_b and scale_a.lower() == scale_b.lower() else gap
 
-def order_items(tempo: np.ndarray, energy: np.ndarray, key: list[str]) -> list[int]:
+
+def order_items(tempo: np.ndarray, energy: np.ndarray, key: list[str | None], scale: list[str | None] | None = None) -> list[int]:
     """From the row at the energies' lower quartile, always to the nearest by tempo, energy and key (0.35, 0.35, 0.30)."""
     if not len(tempo):
         return []
+    scale = scale or [None] * len(tempo)
     start = int(np.argsort(energy, kind="stable")[len(energy) // 4])
     out, left = [start], [k for k in range(len(tempo)) if k != start]
     while left:
         at = out[-1]
-        gap = [min(abs(FIFTHS.get(key[k], 0) - FIFTHS.get(key[at], 0)), 12 - abs(FIFTHS.get(key[k], 0) - FIFTHS.get(key[at], 0))) / 6 for k in left]
-        cost = 0.35 * np.minimum(1, np.abs(tempo[left] - tempo[at]) / 80) + 0.35 * np.abs(energy[left] - energy[at]) + 0.30 * np.array(gap)
+        gap = [key_gap(key[at], key[k], scale[at], scale[k]) for k in left]
+        cost = 0.35 * np.minimum(1, np.abs(tempo[left] - tempo[at]) / 80) + 0.35 * np.minimum(1, np.abs(energy[left] - energy[at]) / ENERGY_SPAN) + 0.30 * np.array(gap)
         out.append(left.pop(int(np.argmin(cost))))
     return out
 
 
 def candidates(spark, sf_dir, k: int = 120) -> DataFrame:
-    """(query_id, item_id, dist, v, author, title) of the neighbours of every 50th item."""
+    """(query_id, item_id, dist, v, author, title) of the neighbours of every 20th item."""
     df = vectors(spark, sf_dir)
-    found = block_neighbours(df, df.where("item_id % 50 = 0"), k)
+    found = block_neighbours(df, df.where("item_id % 20 = 0"), k)
     i = items(spark, sf_dir).select("item_id", "author", "title", "tempo", "price")
     return found.join(df.select("item_id", "v"), "item_id").join(i, "item_id", "left")
 
@@ -128,7 +162,8 @@ def near_dup_lookback(spark, sf_dir):
 def radius_walk(spark, sf_dir):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["dist", "item_id"]).reset_index(drop=True)
-        out = walk(np.stack(pdf.v.to_numpy()), pdf.dist.to_numpy(), pdf.author.fillna("").tolist(), 30)
+        author = [x if isinstance(x, str) else None for x in pdf.author]
+        out = without_triples(walk(np.stack(pdf.v.to_numpy()), pdf.dist.to_numpy(), author, 30), author)
         return pdf.loc[out, ["query_id", "item_id"]].assign(place=range(len(out)))
 
     return candidates(spark, sf_dir).groupBy("query_id").applyInPandas(run, "query_id long, item_id long, place int")
@@ -152,11 +187,11 @@ def song_path(spark, sf_dir):
 
 @query
 def playlist_order(spark, sf_dir):
-    keys = list(FIFTHS)
+    keys = [k for k in FIFTHS if not k.endswith("B") or k == "B"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["dist", "item_id"]).head(40).reset_index(drop=True)
-        out = order_items(pdf.tempo.fillna(0).to_numpy(float) * 4, (pdf.price.fillna(900).to_numpy(float) % 100) / 100, [keys[int(x) % 12] for x in pdf.item_id])
+        out = order_items(pdf.tempo.fillna(0).to_numpy(float) * 4, (pdf.price.fillna(900).to_numpy(float) % 100) / 100, [keys[int(x) % 12] if int(x) % 13 else None for x in pdf.item_id], ["major" if int(x) % 2 else "minor" for x in pdf.item_id])
         return pdf.loc[out, ["query_id", "item_id"]].assign(place=range(len(out)))
 
     return candidates(spark, sf_dir, 40).groupBy("query_id").applyInPandas(run, "query_id long, item_id long, place int")
@@ -171,6 +206,46 @@ def alchemy_sampled(spark, sf_dir):
     return near.select("item_id", "dist", (-F.col("dist") / 0.1 - F.log(-F.log(u))).alias("g")).orderBy(F.desc("g"), "item_id").limit(20).select("item_id", F.round("dist", 6).alias("dist"))
 
 
+def settled(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The ordered greedy merge of (a_id, b_id, d, a_folder, b_folder): later rows in order of id, each to its nearest earlier match that is free.
+
+    A row that merged is no target, one that is a target may merge no more than it did before it was asked. No group holds two files of
+    one folder; an unknown folder is like no other.
+    """
+    parent: dict[int, int] = {}
+    folders: dict[int, set] = {}
+    for r in pairs.sort_values(["b_id", "d", "a_id"]).itertuples(index=False):
+        if r.b_id in parent or r.a_id in parent:
+            continue
+        held = folders.setdefault(r.a_id, {r.a_folder} - {None})
+        if r.b_folder is not None and r.b_folder in held:
+            continue
+        parent[r.b_id] = r.a_id
+        held.add(r.b_folder)
+    return pd.DataFrame({"item_id": list(parent), "merged_into": list(parent.values())}, dtype="int64")
+
+
+def merge_by_folder(pairs: DataFrame, folders: DataFrame) -> DataFrame:
+    """(item_id, merged_into) by settled(), from (a_id, b_id, d) and (item_id, folder). What is not connected does not meet, so each piece is settled on its own."""
+    f = lambda s: folders.select(F.col("item_id").alias(f"{s}_id"), F.col("folder").alias(f"{s}_folder"))
+    pairs = cut(pairs.select("a_id", "b_id", "d").join(f("a"), "a_id", "left").join(f("b"), "b_id", "left"))
+    both = pairs.select(F.col("a_id").alias("x"), F.col("b_id").alias("y"))
+    both = cut(both.union(both.select("y", "x")).distinct())
+    label = cut(both.select("x").distinct().withColumn("l", F.col("x")))
+    while True:  # the least id near, then that one's: rounds grow as the log of a piece's width
+        step = cut(both.join(label.select(F.col("x").alias("y"), "l"), "y").select("x", "l").union(label).groupBy("x").agg(F.min("l").alias("l")))
+        after = cut(step.join(step.select(F.col("x").alias("l"), F.col("l").alias("m")), "l", "left").select("x", F.coalesce("m", "l").alias("l")))
+        done = after.join(label.withColumnRenamed("l", "was"), "x").where("l <> was").limit(1).count() == 0
+        label = after
+        if done:
+            break
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return settled(pdf.astype({"a_folder": object, "b_folder": object}).where(pdf.notna(), None))
+
+    return pairs.join(label.select(F.col("x").alias("b_id"), "l"), "b_id").groupBy("l").applyInPandas(run, "item_id long, merged_into long")
+
+
 def merge_pairs(pairs: DataFrame) -> DataFrame:
     """(item_id, merged_into) from confirmed pairs (a_id, b_id, d), a before b: the ordered greedy merge, run to its end.
 
@@ -197,9 +272,9 @@ def merge_pairs(pairs: DataFrame) -> DataFrame:
 
 @query
 def merge_forest(spark, sf_dir):
-    """Each item joins its nearest earlier match that is not merged itself, so that chains cannot form."""
+    """Each item joins its nearest earlier match that is not merged itself, so that chains cannot form; no group holds two files of a folder."""
     df = vectors(spark, sf_dir)
     v = df.select("item_id", "v")
     pairs = band_pairs(df, 64, 19, 18).join(v.select(F.col("item_id").alias("a_id"), F.col("v").alias("av")), "a_id").join(v.select(F.col("item_id").alias("b_id"), F.col("v").alias("bv")), "b_id")
     d = pairs.select("a_id", "b_id", vec.angular(F.col("av"), F.col("bv")).alias("d")).where("d <= 0.7")
-    return merge_pairs(d)
+    return merge_by_folder(d, items(spark, sf_dir).select("item_id", F.concat_ws("/", "author", "album").alias("folder")))

@@ -94,20 +94,20 @@ def server_metrics(spark, sf_dir):
     return one.unionByName(overlap).unionByName(orphan)
 
 
-@query("SELECT item_id, title, author, tempo FROM $ITEMS i WHERE (tags LIKE '%happy:0.9%' OR item_id * 13 % 100 >= 50) AND tempo BETWEEN 10 AND 40 AND lower(album) LIKE '%steel%' AND item_id * 7 % 100 < 30 AND author NOT IN ('Brand#11', 'Brand#22')")
+@query("SELECT item_id, title, author, tempo FROM $ITEMS i WHERE (tags LIKE '%happy:0.9%' OR item_id * 13 % 100 >= 50) AND tempo BETWEEN 10 AND 40 AND lower(album) LIKE '%small%' AND item_id * 7 % 100 < 30 AND author NOT IN ('Brand#11', 'Brand#22')")
 def catalogue_search(spark, sf_dir):
     """OR within a dimension, AND across: scores, ranges, contained text, excluded scores and authors."""
     i = items(spark, sf_dir)
     good = tags.has_at_least(F.col("tags"), "happy", 0.9) | tags.has_at_least(F.col("tags"), "danceable", 0.5)
-    return i.where(good & F.col("tempo").between(10, 40) & F.lower("album").contains("steel") & ~tags.has_at_least(F.col("tags"), "sad", 0.3) & ~F.col("author").isin("Brand#11", "Brand#22")).select("item_id", "title", "author", "tempo")
+    return i.where(good & F.col("tempo").between(10, 40) & F.lower("album").contains("small") & ~tags.has_at_least(F.col("tags"), "sad", 0.3) & ~F.col("author").isin("Brand#11", "Brand#22")).select("item_id", "title", "author", "tempo")
 
 
-@query("SELECT item_id, title, score FROM (SELECT item_id, title, CASE WHEN lower(title) LIKE '%steel%' THEN 3 ELSE 0 END + CASE WHEN lower(author) LIKE '%steel%' THEN 2 ELSE 0 END + CASE WHEN lower(album) LIKE '%steel%' THEN 1 ELSE 0 END + CASE WHEN lower(title) LIKE '%1%' THEN 3 ELSE 0 END + CASE WHEN lower(author) LIKE '%1%' THEN 2 ELSE 0 END + CASE WHEN lower(album) LIKE '%1%' THEN 1 ELSE 0 END AS score, lower(title || ' ' || author || ' ' || album) AS k FROM $ITEMS i) x WHERE k LIKE '%steel%' AND k LIKE '%1%' ORDER BY score DESC, item_id LIMIT 50")
+@query("SELECT item_id, title, score FROM (SELECT item_id, title, CASE WHEN lower(title) LIKE '%ring%' THEN 3 ELSE 0 END + CASE WHEN lower(author) LIKE '%ring%' THEN 2 ELSE 0 END + CASE WHEN lower(album) LIKE '%ring%' THEN 1 ELSE 0 END + CASE WHEN lower(title) LIKE '%1%' THEN 3 ELSE 0 END + CASE WHEN lower(author) LIKE '%1%' THEN 2 ELSE 0 END + CASE WHEN lower(album) LIKE '%1%' THEN 1 ELSE 0 END AS score, lower(title || ' ' || author || ' ' || album) AS k FROM $ITEMS i) x WHERE k LIKE '%ring%' AND k LIKE '%1%' ORDER BY score DESC, item_id LIMIT 50")
 def token_search(spark, sf_dir):
     """Every token in title, author or album; weights 3, 2, 1 for where; top 50."""
     i = items(spark, sf_dir).withColumn("k", text.search_key(F.col("title"), F.col("author"), F.col("album")))
     score, found = F.lit(0), F.lit(True)
-    for token in ("steel", "1"):
+    for token in ("ring", "1"):
         found &= F.col("k").contains(token)
         for col, w in (("title", 3), ("author", 2), ("album", 1)):
             score = score + F.when(F.lower(col).contains(token), w).otherwise(0)
@@ -244,7 +244,7 @@ RANKED = "(SELECT *, row_number() OVER (ORDER BY price DESC, item_id) AS rk FROM
 def cap_relax(spark, sf_dir):
     """The cap per author rises until enough are found: in closed form, order by how high the cap must be."""
     top = W.partitionBy("author").orderBy(F.desc("price"), "item_id")
-    i = items(spark, sf_dir).where("tempo > 30").withColumn("a", F.row_number().over(top))
+    i = items(spark, sf_dir).where("tempo > 30").withColumn("a", F.row_number().over(top)).where("a <= 100")  # a rank over the limit is never chosen
     best = i.orderBy(F.greatest("a", F.lit(2)), F.desc("price"), "item_id").limit(100)
     best = best.select("item_id", "author", "price")
     # ranks of the hundred chosen rows: how many are before each, counted where they lie instead of in one ordered task
@@ -265,7 +265,7 @@ def rank_fusion(spark, sf_dir):
 @query("SELECT item_id, author, round_no FROM (SELECT item_id, author, row_number() OVER (PARTITION BY author ORDER BY price DESC, item_id) AS round_no FROM $ITEMS i) x ORDER BY round_no, author, item_id LIMIT 60")
 def round_robin(spark, sf_dir):
     r = F.row_number().over(W.partitionBy("author").orderBy(F.desc("price"), "item_id"))
-    return items(spark, sf_dir).select("item_id", "author", r.alias("round_no")).orderBy("round_no", "author", "item_id").limit(60)
+    return items(spark, sf_dir).select("item_id", "author", r.alias("round_no")).where("round_no <= 60").orderBy("round_no", "author", "item_id").limit(60)
 
 
 @query("""WITH s AS (SELECT i.item_id, happy, party FROM (SELECT item_id, max(score) FILTER (label = 'happy') AS happy, max(score) FILTER (label = 'party') AS party FROM $PAIRS p GROUP BY 1) i),
@@ -282,13 +282,13 @@ def relax_threshold(spark, sf_dir):
     return i.where(low >= t).withColumn("threshold", F.lit(t))
 
 
-@query("WITH s AS (SELECT *, (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) AS a, (tempo - min(tempo) OVER ()) / (max(tempo) OVER () - min(tempo) OVER ())::DOUBLE AS b, CASE WHEN author = 'Brand#12' THEN 1 ELSE 0 END + CASE WHEN album LIKE '%STEEL%' THEN 1 ELSE 0 END AS hits FROM $ITEMS i WHERE tempo > 5) SELECT item_id, hits, round((a + b) / 2, 6) AS score FROM s ORDER BY hits DESC, round((a + b) / 2, 6) DESC, item_id LIMIT 40")
+@query("WITH s AS (SELECT *, (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) AS a, (tempo - min(tempo) OVER ()) / (max(tempo) OVER () - min(tempo) OVER ())::DOUBLE AS b, CASE WHEN author = 'Brand#12' THEN 1 ELSE 0 END + CASE WHEN album LIKE '%STANDARD%' THEN 1 ELSE 0 END AS hits FROM $ITEMS i WHERE tempo > 5) SELECT item_id, hits, round((a + b) / 2, 6) AS score FROM s ORDER BY hits DESC, round((a + b) / 2, 6) DESC, item_id LIMIT 40")
 def soft_rerank(spark, sf_dir):
     i = items(spark, sf_dir).where("tempo > 5")
     m = i.agg(F.min("price").alias("p0"), F.max("price").alias("p1"), F.min("tempo").alias("t0"), F.max("tempo").alias("t1"))
     x = i.crossJoin(F.broadcast(m))  # one row
     a, b = (F.col("price") - F.col("p0")) / (F.col("p1") - F.col("p0")), (F.col("tempo") - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    hits = F.when(F.col("author") == "Brand#12", 1).otherwise(0) + F.when(F.col("album").contains("STEEL"), 1).otherwise(0)
+    hits = F.when(F.col("author") == "Brand#12", 1).otherwise(0) + F.when(F.col("album").contains("STANDARD"), 1).otherwise(0)
     return x.select("item_id", hits.alias("hits"), F.round((a + b) / 2, 6).alias("score")).orderBy(F.desc("hits"), F.desc("score"), "item_id").limit(40)
 
 

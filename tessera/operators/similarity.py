@@ -278,15 +278,24 @@ def simhash_band_pairs(spark, sf_dir):
 
 
 def band_pairs(df: DataFrame, bits: int, bands: int, flips: int) -> DataFrame:
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
-    sign = F.array_join(F.transform("v", lambda x: F.when(x > F.col("m"), "1").otherwise("0")), "")
-    s = df.withColumn("m", mean).select("item_id", sign.alias("s"))
+    """(a_id, b_id, flips) of the pairs with that many different signs at most, by bands of the signature.
+
+    With more bands than flips an equal band is sure. Signatures are whole numbers, so a candidate costs an exclusive or and a bit count,
+    and a pair is taken in its first equal band only, so pairs need no distinct. A band's keys are join keys, which AQE may split.
+    """
     cuts = [k * bits // bands for k in range(bands + 1)]
-    key = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.substring("s", a + 1, b - a).alias("key")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]))
+    mask = [sum(1 << (j % 64) for j in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    signed = lambda x: F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
+    if bits > 64:
+        raise ValueError("signatures have 64 bits at most")
+    s = df.select("item_id", vec.sign_bits(F.col("v"))[0].alias("s"))
+    key = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("s").bitwiseAND(signed(m)).alias("key")) for k, m in enumerate(mask)]))
     k = s.select("item_id", "s", key.alias("k")).select("item_id", "s", "k.band", "k.key")
     x, y = k.select(F.col("item_id").alias("a_id"), F.col("s").alias("sa"), "band", "key"), k.select(F.col("item_id").alias("b_id"), F.col("s").alias("sb"), "band", "key")
-    apart = F.aggregate(F.zip_with(F.split("sa", ""), F.split("sb", ""), lambda p, q: F.when(p != q, 1).otherwise(0)), F.lit(0), lambda t, v: t + v)
-    return x.join(y, ["band", "key"]).where("a_id < b_id").select("a_id", "b_id", apart.alias("flips")).where(F.col("flips") <= flips).distinct()
+    differ = F.col("sa").bitwiseXOR(F.col("sb"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(signed(m)) == 0, k) for k, m in enumerate(mask)])
+    pairs = x.join(y, ["band", "key"]).where("a_id < b_id").where((F.bit_count(differ) <= flips) & (first == F.col("band")))
+    return pairs.select("a_id", "b_id", F.bit_count(differ).cast("int").alias("flips"))
 
 
 @query("""WITH b AS (SELECT item_id, v, list_transform(v, lambda x: (x > list_avg(v))::INT) AS s FROM $V t),

@@ -13,7 +13,7 @@ from tessera.sources import tables
 from tessera.streaming import events
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["knn_dedupe_artist_cap", "dominant_label_hist", "server_metrics", "upsert_merge", "tier_match", "soft_rerank", "hyperbolic_niche", "sessions_by_user", "knn_batch_topk", "catalogue_search", "resolve_seeds", "proportional_allocation", "axis_votes", "prune_guard", "cron_hits"]
+SOME = sorted(catalog.oracle_sql())
 
 
 def plain(rows):
