@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import curation, features, greedy, learned, library, relational, search, similarity, tools
+from .operators import curation, features, greedy, learned, library, matching, relational, search, similarity, tools
 
-MODULES = (relational, curation, features, library, similarity, greedy, learned, search, tools)
+MODULES = (relational, curation, features, library, similarity, greedy, learned, search, tools, matching)
 
 
 def queries():

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..sources.scratch import cut
 from ..sources.tables import items, vectors
-from .similarity import MAX_BLOCK, block_neighbours
+from .similarity import block_neighbours, dealt_pairs, pair_matrices
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 #: The index is fitted on so many rows for each cell at most, those with the smallest hash of their id; every row is indexed.
 FIT_ROWS, MAX_CELLS = 50, 8192
+#: Rows of a block of the radius search.
+LINK_ROWS = 4096
 
 
 def query(f):
@@ -185,29 +187,18 @@ def genre_tree(spark, sf_dir):
 
 
 def radius_links(df: DataFrame, eps: float) -> DataFrame:
-    """(query_id, item_id) of all rows within eps by angle, itself left out: blocks of rows against all rows, however many are near."""
-    ids, out, n = df.select("item_id", "v").orderBy("item_id"), None, df.count()
-    for low in range(0, max(n, 1), MAX_BLOCK):
-        rows = ids.offset(low).limit(MAX_BLOCK).toPandas()
-        q = np.stack(rows.v.to_numpy()) if len(rows) else np.zeros((0, 0))
-        sent = df.sparkSession.sparkContext.broadcast((rows.item_id.to_numpy(np.int64), q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches, sent=sent):
-            qid, q = sent.value
-            for batch in batches:
-                if not batch.num_rows or not len(qid):
-                    continue
-                item = batch.column(0).to_numpy()
-                v = np.asarray(batch.column(1).flatten()).reshape(len(item), -1)
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                for k in range(0, len(item), 500):
-                    of, at = np.nonzero(1 - q @ v[k : k + 500].T <= eps)
-                    other = qid[of] != item[at + k]
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[of][other]), pa.array(item[at + k][other])], ["query_id", "item_id"])
-
-        found = df.select("item_id", "v").mapInArrow(run, "query_id long, item_id long")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """(query_id, item_id) of all rows within eps by angle, itself left out: blocks of rows beside parts of rows, however many are near."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        qid, q, item, v = pair_matrices(table)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in range(0, len(item) if len(qid) else 0, 500):
+            of, at = np.nonzero(1 - q @ v[k : k + 500].T <= eps)
+            other = qid[of] != item[at + k]
+            found.append((qid[of][other], item[at + k][other]))
+        return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "item_id"), zip(*found, strict=True), strict=True)})
+
+    return dealt_pairs(df, df, LINK_ROWS).groupBy("part", "block").applyInArrow(meet, "query_id long, item_id long")
 
 
 @query

@@ -16,8 +16,8 @@ ORACLE: dict[str, str] = {}
 #: The vectors in SQL, and one of them.
 VECTORS = "(SELECT vec_id AS item_id, embedding::DOUBLE[] AS v, label AS genre FROM embeddings)"
 SEED = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
-#: Queries that one block search sends to every task.
-MAX_BLOCK = 10_000
+#: Queries that one block search sends to every task, and rows of a block where there are more; queries that a task compares at once.
+MAX_BLOCK, QUERY_ROWS = 10_000, 512
 
 
 def query(sql: str):
@@ -42,41 +42,77 @@ def neighbours(df: DataFrame, q: list[float], k: int, metric: str = "angular") -
     return df.select("*", vec.distance(metric, F.col("v"), vec.literal(q)).alias("dist")).where("dist is not null").orderBy("dist", "item_id").limit(k)
 
 
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def nearest_of(qid: np.ndarray, q: np.ndarray, item: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
+    """(query_id, item_id, dist) of the k nearest of some unit rows to each of some unit queries, itself left out; queries in turn, so that little is held."""
+    out = []
+    for at in range(0, len(qid), QUERY_ROWS):
+        d = 1 - q[at : at + QUERY_ROWS] @ v.T
+        d[qid[at : at + QUERY_ROWS, None] == item[None, :]] = np.inf
+        some = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+        of = np.repeat(np.arange(len(d)), some.shape[1])
+        dist = d[of, some.ravel()]
+        live = np.isfinite(dist)
+        out.append((qid[at : at + QUERY_ROWS][of][live], item[some.ravel()][live], dist[live]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "item_id", "dist"])
+
+
+def dealt_pairs(df: DataFrame, queries: DataFrame, rows: int) -> DataFrame:
+    """(part, block, query_id, item_id, v): every block of queries beside every part of the rows, by equal keys. Both are cut by hash into about ``rows`` rows."""
+    parts, blocks = max(1, -(-df.count() // rows)), max(1, -(-queries.count() // rows))
+    each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    none = F.lit(None).cast("long")
+    ours = df.select(F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int").alias("part"), each("block", blocks), none.alias("query_id"), "item_id", "v")
+    asked = queries.select(each("part", parts), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("block"), F.col("item_id").alias("query_id"), none.alias("item_id"), "v")
+    return ours.unionByName(asked)
+
+
+def pair_matrices(table: pa.Table):
+    """(query ids, unit queries, item ids, unit rows) of one block beside one part."""
+    import pyarrow.compute as pc
+
+    def of(name):
+        some = table.filter(pc.is_valid(table.column(name)))
+        ids = some.column(name).to_numpy()
+        flat = some.column("v").combine_chunks().flatten().to_numpy()
+        return ids, unit_rows(flat.reshape(len(ids), -1)) if len(ids) else np.zeros((0, 1))
+
+    return *of("query_id"), *of("item_id")
+
+
 def block_neighbours(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, item_id, dist): the k nearest by angle for many queries, item itself left out.
+    """(query_id, item_id, dist, r): the k nearest by angle for many queries, item itself left out.
 
-    Up to MAX_BLOCK queries go to all tasks as a matrix; more are searched in blocks. Each task keeps k of its batch for each query
-    before the shuffle, so what is shuffled is bounded by tasks x queries x k.
+    Up to MAX_BLOCK queries go to all tasks as a matrix. More are dealt in blocks: each block of queries meets each part of the rows in one
+    task. Either way a task keeps k rows for each query before the shuffle.
     """
-    ids = queries.select(F.col("item_id").alias("query_id"), "v").orderBy("query_id")
-    out, n = None, queries.count()
-    for low in range(0, max(n, 1), MAX_BLOCK):
-        rows = ids.offset(low).limit(MAX_BLOCK).toPandas()
-        if not len(rows):
-            break
-        m = np.stack(rows.v.to_numpy())
-        sent = df.sparkSession.sparkContext.broadcast((rows.query_id.to_numpy(), m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)))
-
-        def run(batches, sent=sent):
-            qid, q = sent.value
+    df, queries = df.where(vec.finite(F.col("v"))).select("item_id", "v"), queries.where(vec.finite(F.col("v"))).select("item_id", "v")
+    schema = "query_id long, item_id long, dist double"
+    rows = queries.limit(MAX_BLOCK + 1).toPandas()  # MAX_BLOCK rows and one
+    if len(rows) <= MAX_BLOCK:
+        sent = df.sparkSession.sparkContext.broadcast((rows.item_id.to_numpy(np.int64), unit_rows(np.stack(rows.v.to_numpy())) if len(rows) else np.zeros((0, 1))))
+
+        def run(batches):
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                item = batch.column(0).to_numpy()
-                v = np.asarray(batch.column(1).flatten()).reshape(len(item), -1)
-                d = 1 - q @ (v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)).T
-                d[qid[:, None] == item[None, :]] = np.inf
-                some = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-                rows_of = np.repeat(np.arange(len(qid)), some.shape[1])
-                flat = some.ravel()
-                dist = d[rows_of, flat]
-                live = np.isfinite(dist)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows_of][live]), pa.array(item[flat][live]), pa.array(dist[live])], ["query_id", "item_id", "dist"])
-
-        found = df.where(vec.finite(F.col("v"))).select("item_id", "v").mapInArrow(run, "query_id long, item_id long, dist double")
-        out = found if out is None else out.unionByName(found)
+                if batch.num_rows and len(sent.value[0]):
+                    item = batch.column(0).to_numpy()
+                    yield nearest_of(*sent.value, item, unit_rows(np.asarray(batch.column(1).flatten()).reshape(len(item), -1)), k)
+
+        found = df.mapInArrow(run, schema)
+    else:
+
+        def meet(table: pa.Table) -> pa.Table:
+            qid, q, item, v = pair_matrices(table)
+            if not len(qid) or not len(item):
+                return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+            return pa.Table.from_batches([nearest_of(qid, q, item, v, k)])
+
+        found = dealt_pairs(df, queries, MAX_BLOCK).groupBy("part", "block").applyInArrow(meet, schema)
     r = F.row_number().over(W.partitionBy("query_id").orderBy("dist", "item_id"))
-    return out.withColumn("r", r).where(F.col("r") <= k)
+    return found.withColumn("r", r).where(F.col("r") <= k)
 
 
 def _knn(name: str, metric: str, sql: str):

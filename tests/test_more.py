@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions import vec
-from tessera.operators import features, greedy, library, search, tools
+from tessera.operators import features, greedy, library, search, similarity, tools
 from tessera.plans import hooks
 from tessera.sources import blobs, index, sinks, tables
 from tessera.streaming import events
@@ -95,6 +95,15 @@ def test_neighbours_equal_a_slow_pipeline(spark, sf_dir):
     assert got == out[:10]
 
 
+def test_many_queries_are_dealt_in_blocks(spark, sf_dir, monkeypatch):
+    df = tables.vectors(spark, sf_dir)
+    run = lambda: sorted((r.query_id, r.item_id, round(r.dist, 9), r.r) for r in similarity.block_neighbours(df, df.where("item_id % 3 = 0"), 4).collect())
+    whole = run()
+    monkeypatch.setattr(similarity, "MAX_BLOCK", 60)
+    monkeypatch.setattr(similarity, "QUERY_ROWS", 7)
+    assert run() == whole and similarity.block_neighbours(df, df.limit(0), 4).count() == 0
+
+
 def test_index_prunes_and_finds(spark, tmp_path):
     rng = np.random.default_rng(7)
     centre = rng.normal(size=(60, 32))
