@@ -77,25 +77,23 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Hashes of the words and their contexts of a batch: of(d) is each token with the d words before it, has(d) whether there are so many."""
+    """The tokens of a batch of texts and the hashes of their grams: of d + 1 words, the last of which is the token, a gram is one word joined to the gram of d."""
 
     def __init__(self, texts: pa.Array):
-        h, self.bounds = tokens(texts)
-        self.at = np.arange(len(h)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
-        self.known = [h]
+        self.words, self.bounds = tokens(texts)
+        #: how many tokens of its text are before each
+        self.at = np.arange(len(self.words)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
 
-    def of(self, d: int) -> np.ndarray:
-        while len(self.known) <= d:
-            last = self.known[-1]
-            self.known.append(joined(np.roll(last, 1), last))
-        return self.known[d]
+    def of(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """The grams of d and of d + 1 words that end at each token; those of the first tokens of a text reach beyond it and mean nothing."""
+        less, full = self.words, self.words
+        for k in range(1, d + 1):
+            less, full = full, joined(np.roll(self.words, k), full)
+        return less, full
 
-    def has(self, d: int) -> np.ndarray:
-        return self.at >= d
-
-    def context(self, d: int) -> np.ndarray:
-        """The d words before each token."""
-        return np.roll(self.of(d - 1), 1)
+    def longer(self, d: int, places: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The grams of d + 1 words at some places from those of d."""
+        return joined(self.words[places - d], grams)
 
 
 class Sums:
@@ -147,7 +145,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
     def run(batches):
         sums = Sums()
         for _, g in learning(batches):
-            for found in sums.add(g.of(0)):
+            for found in sums.add(g.words):
                 yield _batch(["key", "n"], *found)
         for found in sums.rest():
             yield _batch(["key", "n"], *found)
@@ -195,7 +193,7 @@ def usable(g: Grams, d: int, often: np.ndarray, live: np.ndarray | None) -> np.n
     its context is a state, or if it may be a context of the next round. Its tail is frequent, and so are both words of a pair and both
     pairs of a trio; of longer ones the head need not have been counted unless it is a context.
     """
-    use = g.has(d) & often
+    use = (g.at >= d) & often
     if d <= 2:
         use &= np.roll(often, 1)
     if d > 1:
@@ -206,41 +204,47 @@ def usable(g: Grams, d: int, often: np.ndarray, live: np.ndarray | None) -> np.n
 def count_grams(docs: DataFrame, d: int, frequent, states) -> tuple[DataFrame, DataFrame | None]:
     """(key, head, tail, n) of the frequent grams of round d: head is the context, tail the gram without its first word; and, from round NARROW on, the rows that hold a state."""
     narrow = d >= NARROW
-    schema = pa.schema([("n", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("size", pa.int64())])
+    names = ["n", "first", "head", "tail"]
+    schema = pa.schema([*[(x, pa.int64()) for x in names], ("doc_id", pa.int64()), ("text", pa.string()), ("size", pa.int64())])
 
     def grams(found):
         _, *columns = found
         none = len(found[0])
-        return pa.RecordBatch.from_arrays([*_batch(["n", "head", "tail"], *columns).columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([*_batch(names, *columns).columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64())], schema=schema)
 
     def run(batches):
         sums = Sums()
         for part, g in learning(batches):
-            live = states.value.has(g.of(d - 2)) if d > 1 else None
-            at = usable(g, d, frequent.value.has(g.of(d - 1)), live)
-            tail = g.of(d - 1)[at]
-            head = g.context(d)[at]
-            for found in sums.add(joined(head, tail), head, tail):
+            less, grams_now = g.of(d - 1)
+            live = states.value.has(less) if d > 1 else None
+            at = usable(g, d, frequent.value.has(grams_now), live)
+            first, head, tail = g.words[at - d], grams_now[at - 1], grams_now[at]
+            for found in sums.add(joined(first, tail), first, head, tail):
                 yield grams(found)
             if narrow:
-                live &= g.has(d - 2)
-                left = part.filter(pa.array(np.add.reduceat(live.astype(np.int64), g.bounds[:-1]) > 0))
-                size = np.diff(g.bounds)[np.add.reduceat(live.astype(np.int64), g.bounds[:-1]) > 0]
+                held = np.add.reduceat((live & (g.at >= d - 2)).astype(np.int64), g.bounds[:-1]) > 0
+                left = part.filter(pa.array(held))
                 none = pa.nulls(left.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, left.column(0), left.column(1), pa.array(size)], schema=schema)
+                yield pa.RecordBatch.from_arrays([none] * 4 + [left.column(0), left.column(1), pa.array(np.diff(g.bounds)[held])], schema=schema)
         for found in sums.rest():
             yield grams(found)
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "n long, head long, tail long, doc_id long, text string, size long")
+    out = docs.select("doc_id", "text").mapInArrow(run, "n long, first long, head long, tail long, doc_id long, text string, size long")
     out = written(out) if narrow else out
-    counts = out.where("n is not null").groupBy("head", "tail").agg(F.sum("n").alias("n")).where(F.col("n") >= NEXT_MIN)
-    return counts.select(F.xxhash64("head", "tail").alias("key"), "head", "tail", "n"), out.where("n is null").select("doc_id", "text", "size") if narrow else None
+    rows = out.where("n is not null") if narrow else out
+    # of two words the first is the head
+    counts = rows.groupBy("head", "tail").agg(F.sum("n").alias("n")).withColumn("first", F.col("head")) if d == 1 else rows.groupBy("first", "head", "tail").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("n") >= NEXT_MIN).select(F.xxhash64("first", "tail").alias("key"), "head", "tail", "n")
+    return counts, out.where("n is null").select("doc_id", "text", "size") if narrow else None
 
 
 def grown(texts: pa.Array, d: int, last: pa.Table, states: np.ndarray, depth: int | None) -> tuple[int, np.ndarray]:
-    """The rounds from d on in one process: (depth reached, (key, n, m) of what they find), as count_grams() and kept_states() have it."""
-    key = lambda c: last.column(c).to_numpy(zero_copy_only=False)
-    g, keys, n, p, out = Grams(texts), key("key").view(np.uint64), key("n"), key("p").astype(float), []
+    """The rounds from d on in one process: (depth reached, (key, n, m) of what they find), as count_grams() and kept_states() have it.
+
+    Only the places after a state, and two before each, are looked at; they get fewer from round to round.
+    """
+    column = lambda c: last.column(c).to_numpy(zero_copy_only=False)
+    g, keys, n, p, out = Grams(texts), column("key").view(np.uint64), column("n"), column("p").astype(float), []
     order = np.argsort(keys)
     keys, n, p, states = keys[order], n[order], p[order], np.sort(states)
 
@@ -248,37 +252,55 @@ def grown(texts: pa.Array, d: int, last: pa.Table, states: np.ndarray, depth: in
         at = np.minimum(np.searchsorted(sorted_, wanted), max(0, len(sorted_) - 1))
         return at, sorted_[at] == wanted if len(sorted_) else np.zeros(len(wanted), bool)
 
-    low, high = g.of(d - 2), g.of(d - 1)
-    g.known = []  # only the last two rounds' hashes are held
-    while len(states) and (depth is None or d <= depth):
-        at = usable(g, d, find(keys, high)[1], find(states, low)[1])
-        tail, head = high[at], high[at - 1]
-        new, first, count = np.unique(joined(head, tail), return_index=True, return_counts=True)
+    less, full = g.of(d - 1)
+    after = np.flatnonzero(g.at >= d - 1)
+    after = after[find(states, less[after - 1])[1]]  # the places after a state of d - 1 words
+    held = np.unique(np.concatenate((after, after - 1, after - 2)))
+    held = held[g.at[np.maximum(held, 0)] >= d - 1]
+    held = held[held >= 0]
+    gram = full[held]
+    del less, full
+    while len(after) and (depth is None or d <= depth):
+        at = np.unique(np.concatenate((after, after - 1)))
+        at = at[(at >= 0)]
+        at = at[g.at[at] >= d]
+        tail, head = gram[np.searchsorted(held, at)], gram[np.searchsorted(held, at - 1)]
+        often = find(keys, tail)[1]
+        at, tail, head = at[often], tail[often], head[often]
+        new, first, count = np.unique(g.longer(d, at, tail), return_index=True, return_counts=True)
         often = count >= NEXT_MIN
         new, head, tail, count = new[often], head[first[often]], tail[first[often]], count[often]
         (ht, has_tail), (hh, has_head) = find(keys, tail), find(keys, head)
-        test = has_tail & has_head & ~np.isnan(p[ht] if len(p) else np.zeros(0))
+        test = has_tail & has_head
+        test[test] = ~np.isnan(p[ht[test]])
         heads, of = np.unique(head[test], return_inverse=True)
         c, parent = n[hh[test]].astype(float), p[ht[test]]
         context = np.zeros(len(heads))
         context[of] = c
         share = count[test] / c
-        add = lambda x: np.bincount(of, weights=x, minlength=len(heads))
+        add = lambda x, of=of, heads=heads: np.bincount(of, weights=x, minlength=len(heads))
         seen = add(count[test])
-        rest, other = np.maximum(0.0, 1 - seen / context), np.clip(1 - add(parent), 1e-12, 1.0)
+        rest, other = np.maximum(0.0, 1 - seen / np.maximum(context, 1)), np.clip(1 - add(parent), 1e-12, 1.0)
         gain = add(share * np.log(share / parent)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / other), 0.0)
         kept = gain * context >= GAIN
-        on = kept[of] if len(of) else np.zeros(0, bool)
-        base = c[on] + LAMBDA
-        after = np.full(len(new), np.nan)
-        after[np.flatnonzero(test)[on]] = (base - seen[of[on]]) / base * parent[on] + count[test][on] / base
         if not kept.any():
             break
+        on = kept[of]
+        base = c[on] + LAMBDA
+        after_p = np.full(len(new), np.nan)
+        after_p[np.flatnonzero(test)[on]] = (base - seen[of[on]]) / base * parent[on] + count[test][on] / base
         states = heads[kept]
         out.append(np.stack([new[test][on].view(np.int64), count[test][on], np.zeros(on.sum(), np.int64)]))
         out.append(np.stack([(states ^ np.uint64(STATE)).view(np.int64), context[kept].astype(np.int64), seen[kept].astype(np.int64)]))
-        keys, n, p, d = new, count, after, d + 1
-        low, high = high, joined(np.roll(high, 1), high)
+        keys, n, p = new, count, after_p
+        after = after[g.at[after] >= d]
+        after = after[find(states, gram[np.searchsorted(held, after - 1)])[1]]
+        d += 1
+        now = np.unique(np.concatenate((after, after - 1, after - 2)))
+        now = now[now >= 0]
+        now = now[g.at[now] >= d - 1]
+        gram = g.longer(d - 1, now, gram[np.searchsorted(held, now)])
+        held = now
     return d - 1, np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
 
 
@@ -380,19 +402,31 @@ def pieces(rows: bytes):
         yield from slices(batch, 1, 1 << 20)
 
 
+def states_at(g: Grams, depth: int, known):
+    """For each round (d, places whose d words before them may be a state, those states' hashes, the places' grams of d + 1 words), while there are any.
+
+    ``known(keys)`` says which states there are; a longer one is looked for only after those that are.
+    """
+    at = np.flatnonzero(g.at >= 1)
+    context, gram = g.words[at - 1], g.words[at]
+    for d in range(1, depth + 1):
+        live = known(context ^ np.uint64(STATE))
+        at, context, gram = at[live], context[live], gram[live]
+        if not len(at):
+            return
+        gram = g.longer(d, at, gram)
+        yield d, at, context ^ np.uint64(STATE), gram
+        on = g.at[at] > d
+        at, context, gram = at[on], context[on], gram[on]
+        context = g.longer(d, at - 1, context)
+
+
 def keys_of(g: Grams, depth: int, states: Sieve) -> np.ndarray:
     """The distinct words of some texts, and what may be known of their contexts, round by round as far as any may be a state."""
-    found = [g.of(0)]
-    live = np.ones(len(g.of(0)), bool)
-    for d in range(1, depth + 1):
-        state = g.context(d) ^ np.uint64(STATE)
-        live = live & g.has(d)
-        live[live] = states.has(state[live])
-        if not live.any():
-            break
-        gram = g.of(d)[live]
-        found += [np.unique(state[live]), gram[states.has(gram)]]
-    return np.unique(np.concatenate([np.unique(x) for x in found]))
+    found = [np.unique(g.words)]
+    for _, _, state, gram in states_at(g, depth, states.has):
+        found += [np.unique(state), np.unique(gram[states.has(gram)])]
+    return np.unique(np.concatenate(found))
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -450,29 +484,22 @@ def _scored(texts: DataFrame, answers: DataFrame, states, depth: int, total: int
         keys = np.unique(np.concatenate([keys_of(Grams(p.column(1)), depth, states.value) for p in pieces(rows)]))
         keys, counts = keys[counts[0] > 0], counts[:, counts[0] > 0]
 
-        def get(wanted, on):
-            """(n, m) of each wanted key that is on; 0 for the others."""
-            out = np.zeros((2, len(wanted)), np.int64)
-            if len(keys):
-                some = wanted[on]
-                at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
-                out[:, on] = np.where(keys[at] == some, counts[:, at], 0)
-            return out
+        def get(wanted):
+            """(n, m) of each wanted key; 0 for what is not known."""
+            if not len(keys):
+                return np.zeros((2, len(wanted)), np.int64)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[at] == wanted, counts[:, at], 0)
 
         for part in pieces(rows):
             g = Grams(part.column(1))
-            h = g.of(0)
-            n = get(h, np.ones(len(h), bool))[0]
+            n = get(g.words)[0]
             root = (n + 0.1) / norm
-            p, live = root.copy(), np.ones(len(h), bool)
-            for d in range(1, depth + 1):
-                live = live & g.has(d)
-                c, seen = get(g.context(d) ^ np.uint64(STATE), live)
-                live = c > 0
-                if not live.any():
-                    break
-                base = c[live] + LAMBDA
-                p[live] = (base - seen[live]) / base * p[live] + get(g.of(d), live)[0][live] / base
+            p = root.copy()
+            for _, at, state, gram in states_at(g, depth, lambda wanted: get(wanted)[0] > 0):
+                c, seen = get(state)
+                base = c + LAMBDA
+                p[at] = (base - seen) / base * p[at] + get(gram)[0] / base
             add = lambda v, g=g: np.add.reduceat(v, g.bounds[:-1])
             size = np.diff(g.bounds).astype(np.int64)
             held_out = crc_mod(part.column(0).to_pylist(), 10) == 0

@@ -124,7 +124,10 @@ def test_hashes_are_those_of_spark(spark):
 
 def test_grams_stay_in_their_text():
     g = lm.Grams(pa.array(["a b c", None, "a b c"]))
-    assert g.has(2).sum() == 4 and (g.of(2)[g.has(2)][:2] == g.of(2)[g.has(2)][2:]).all()
+    less, full = g.of(2)
+    on = g.at >= 2
+    assert on.sum() == 4 and (full[on][:2] == full[on][2:]).all() and (less == g.of(1)[1]).all()
+    assert (g.longer(2, on.nonzero()[0], less[on]) == full[on]).all()
 
 
 def test_held_out_texts_gain_over_the_base(spark):
