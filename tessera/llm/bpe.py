@@ -41,10 +41,26 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+#: What a vocabulary file must say of its texts and its model for PIECES, fold() and END to hold.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "byte_fallback": False, "ignore_merges": False}
+
+
+def check(spec: dict) -> None:
+    """Raises ValueError for a file that cuts or folds texts in another way than this module does, whose ids would be wrong."""
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    letters = [x for x in cuts[1:] if x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex")]
+    wrong = [k for k, v in MODEL.items() if spec.get("model", {}).get(k) != v]
+    if spec.get("normalizer") != NORMAL or cuts[:1] != [CUT] or len(cuts) != 2 or len(letters) != 1 or spec.get("decoder") is not None or wrong:
+        raise ValueError(f"no vocabulary of this kind: {wrong or 'normalizer, pre_tokenizer or decoder'}")
+
+
 def load(path: str) -> dict:
-    """The file's vocabulary as plain tables, small enough to send to every worker (a row a token)."""
+    """The file's vocabulary as plain tables, small enough to send to every worker (a row a token); ValueError for a file of another kind."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    check(spec)
     model = spec["model"]
     vocab = model["vocab"]
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]

@@ -181,7 +181,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of all training rows. A language without letters in its rows is still one that can be predicted."""
+    """The model of all training rows. A language none of whose rows has a letter leaves no n-gram and is not learned."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), column_or_null(docs, "lang", "string").alias("lang"))
     counts = common.written(count_grams(docs))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row per language
