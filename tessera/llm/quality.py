@@ -1,8 +1,9 @@
 """Quality rules: fixed base rules, then a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Two multinomials over hashed unigrams and bigrams are counted over all documents: the target's from those labelled good, the raw
-one from every row. A document's score is the mean log ratio of its n-grams; those under one threshold for all go. The threshold is
-read off the scores of the labelled rows, as the highest that keeps nearly every good one.
+one from every row. A document's score is the mean log ratio of its n-grams; those under one threshold for all go. The target is counted on
+one half of the labelled rows, by hash of the id, and the threshold read off the scores of the other half, which the target has not
+seen, as the highest that keeps nearly every good one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, buffers, hash_segments, mix, runs, shingles, slices, sum_vectors
+from .common import Words, buffers, crc_mod, hash_segments, mix, runs, shingles, slices, sum_vectors
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -101,12 +102,14 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, spare: float = SPARE) -> tuple[np.ndarray, float]:
-    """(log ratio of each bucket, threshold). Without good labels nothing is rejected: zeros and minus infinity."""
+    """(log ratio of each bucket, threshold). Without good labels in the first half, or bad ones in the second, nothing is rejected."""
     good, bad = labelled_ids(labels)
     size = 1 << bits
-    if not len(good):
+    shown = crc_mod(good.tolist(), 2) == 0
+    if not shown.any():
         return np.zeros(size), float("-inf")
-    sent = docs.sparkSession.sparkContext.broadcast((good, bad))
+    held_good, held_bad = good[~shown], bad[crc_mod(bad.tolist(), 2) == 1]
+    sent = docs.sparkSession.sparkContext.broadcast((good[shown], held_good, held_bad))
 
     def count(batches):
         total = np.zeros((2, size), np.int64)
@@ -132,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, spare: float = SPA
         total = np.zeros((2, BINS), np.int64)
         for batch in batches:
             ids = _ids(batch.column(0))
-            kind = np.where(_member(ids, sent.value[0]), 1, np.where(_member(ids, sent.value[1]), 0, -1))
+            kind = np.where(_member(ids, sent.value[1]), 1, np.where(_member(ids, sent.value[2]), 0, -1))
             some = batch.take(pa.array(np.flatnonzero(kind >= 0)))
             kind, done = kind[kind >= 0], 0
             for part in slices(some, 1):
