@@ -11,7 +11,7 @@
    found by the others' searches and does no search itself, so a large group of near copies never becomes all its pairs.
 4. Links become components.
 
-Every link between different sets lies within one component; nothing is capped, sampled or approximated.
+Every link between different sets lies within one component; nothing is capped or sampled. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, drop_written, mix, shingles, slices, written
+from .common import Words, drop_written, fresh, mix, shingles, slices, written
 
 SIZE = 5
 #: Links: NUM * intersection >= DEN * union, as whole numbers.
 NUM, DEN = 100, 75
 #: A shingle in so many different sets of one block of rows is often; the OFTEN most frequent ones go last in the order.
 LOCAL, OFTEN = 4, 500_000
-#: Shingles of a cluster that one task holds; larger clusters are cut into blocks.
-BLOCK = 2_000_000
+#: Shingles and classes of a cluster that one task holds; larger clusters are cut into blocks.
+BLOCK, MEMBERS = 2_000_000, 512
+#: Bit maps are compared in blocks of so many classes, two blocks a task; clusters of more than MOST classes are not sifted, all stay.
+SIFT, MOST = 256, 32_768
 #: Bits of the map that keeps texts without candidates from being shuffled.
 MAP_BITS = 1 << 26
 
@@ -402,20 +404,38 @@ def _clusters(prefixes: DataFrame) -> DataFrame:
 
 
 def _sift(clusters: DataFrame, maps: DataFrame) -> DataFrame:
-    """The clusters without the classes whose bit maps show that they link with nobody there, under the smallest class left."""
+    """The clusters without the classes whose bit maps show that they link with nobody there, under the smallest class left.
+
+    A cluster of more than SIFT classes is dealt to blocks, and each pair of blocks to a task.
+    """
 
     def run(batches):
-        for table in grouped(batches, 1):
+        for table in grouped(batches, 3):
             if table.num_rows < 2:
                 continue
             cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
             near = may_link(n, table.column("bits").to_pylist())
             if near.any():
-                left = cls[near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), left.min())), pa.array(left), pa.array(n[near].astype(np.int32))], ["leader", "cls", "n"])
-
-    joined = clusters.join(maps, "cls").select("leader", "cls", "n", "bits")
-    return joined.repartition("leader").sortWithinPartitions("leader").mapInArrow(run, "leader long, cls long, n int").groupBy("leader", "cls").agg(F.first("n").alias("n"))
+                yield pa.RecordBatch.from_arrays([table.column("leader").combine_chunks().filter(pa.array(near)), pa.array(cls[near]), pa.array(n[near].astype(np.int32))], ["leader", "cls", "n"])
+
+    clusters = written(clusters)
+    sizes = written(clusters.groupBy("leader").agg(F.count("*").alias("m")).where(F.col("m") > SIFT).withColumn("blocks", F.ceil(F.col("m") / SIFT).cast("int")))
+    with_maps = clusters.join(maps, "cls")
+    plain, untouched = with_maps, None
+    if sizes.head(1):
+        plain = with_maps.join(sizes, "leader", "left_anti")
+        untouched = clusters.join(sizes.where(F.col("m") > MOST).select("leader"), "leader", "left_semi").select("leader", "cls", "n")
+        dealt = with_maps.join(sizes.where(F.col("m") <= MOST), "leader").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> other")
+        plain = plain.select("leader", F.lit(0).alias("one"), F.lit(0).alias("two"), "cls", "n", "bits").unionByName(dealt.select("leader", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "cls", "n", "bits"))
+    else:
+        plain = plain.select("leader", F.lit(0).alias("one"), F.lit(0).alias("two"), "cls", "n", "bits")
+    kept = plain.repartition("leader", "one", "two").sortWithinPartitions("leader", "one", "two").mapInArrow(run, "leader long, cls long, n int")
+    kept = kept if untouched is None else kept.unionByName(untouched)
+    kept = written(kept.groupBy("leader", "cls").agg(F.first("n").alias("n")))
+    first = kept.groupBy("leader").agg(F.min("cls").alias("first"))
+    named = kept.join(first, "leader").select(F.col("first").alias("leader"), "cls", "n").groupBy("leader", "cls").agg(F.first("n").alias("n"))
+    return named
 
 
 def _texts(docs: DataFrame, wanted) -> DataFrame:
@@ -515,10 +535,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = written(_sift(_clusters(_prefixes(docs, often)), maps))
     wanted = spark.sparkContext.broadcast(_bit_map(pairs))
     texts = _texts(docs, wanted).dropDuplicates(["cls"])
-    large = pairs.groupBy("leader").agg(F.sum(F.col("n").cast("long")).alias("total")).where(F.col("total") > BLOCK).select("leader", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    large = written(large)
+    blocks = F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK), F.ceil(F.count("*") / MEMBERS)).cast("int")
+    large = written(pairs.groupBy("leader").agg(blocks.alias("blocks")).where(F.col("blocks") > 1))
     any_large = bool(large.head(1))
     if any_large:
+        texts = written(texts)  # read twice
         dealt = pairs.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         members = dealt.where("blocks = 1 or leader <> cls").select("leader", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"), "cls", F.lit(0).alias("role"))
         members = members.unionByName(large.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("cls"), F.lit(1).alias("role")))
@@ -554,10 +575,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = jaccard_components(docs)
     keep = found.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
-    named = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    bare = F.col("__id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    once = named.where(~bare).join(keep.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").dropDuplicates(["__id"])
-    return once.unionByName(named.where(bare)).drop("__id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ident, kept = fresh(docs, "__id", "__kept")
+    named = docs.withColumn(ident, F.col("doc_id").cast("long"))
+    bare = F.col(ident).isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once = named.where(~bare).join(keep.withColumnRenamed("doc_id", kept), F.col(ident) == F.col(kept), "left_semi").dropDuplicates([ident])
+    return once.unionByName(named.where(bare)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

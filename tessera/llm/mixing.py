@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Up to so many sources the rate table is sent to every executor; beyond, it is joined.
 BROADCAST_SOURCES = 10_000
 #: The largest mean that is inverted at once.
@@ -40,17 +42,6 @@ def copies(seed: str, ident: Column, rate: Column) -> Column:
     return F.when(rate > PART, many).otherwise(poisson_count(uniform(seed, ident), rate))
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """These names, each with as many underscores before it as keep it apart from the columns of ``df``."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | Column | None = None,

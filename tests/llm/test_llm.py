@@ -59,9 +59,11 @@ def test_words_and_hashes_agree_with_regex():
     assert len(set(zip(flat, h))) == len(set(flat)) == len(set(h))
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 200])
-def test_jaccard_components(docs, none, monkeypatch, block):
+@pytest.mark.parametrize("block, members", [(jaccard.BLOCK, jaccard.MEMBERS), (200, 2), (jaccard.BLOCK, 3)])
+def test_jaccard_components(docs, none, monkeypatch, block, members):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    monkeypatch.setattr(jaccard, "SIFT", members)
     got = jaccard.jaccard_components(docs).collect()
     rows = [(r.doc_id, shingle_set(r.text)) for r in docs.collect()]
     up = list(range(len(rows)))
@@ -82,6 +84,30 @@ def test_jaccard_components(docs, none, monkeypatch, block):
     assert kept.columns == docs.columns and {0, 1, 2, 3, 6}.issubset({r.doc_id for r in kept.collect()}) and 7 not in {r.doc_id for r in kept.collect()}
 
 
+@pytest.mark.parametrize("members, most", [(512, 32_768), (7, 32_768), (7, 20)])
+def test_large_groups_in_blocks(spark, monkeypatch, members, most):
+    """A group of near copies in a chain, and another, each cut into many blocks."""
+    common.ship(spark)
+    for name, x in (("MEMBERS", members), ("SIFT", members), ("MOST", most)):
+        monkeypatch.setattr(jaccard, name, x)
+    r = random.Random(4)
+    rows, text = [], [f"w{k}" for k in range(60)]
+    for k in range(60):  # each a few words from the last: far ones share too little
+        text[r.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    rows += [(100 + k, " ".join([f"v{j}" for j in range(40)] + [f"u{k}"])) for k in range(40)]
+    rows += [(200 + k, " ".join([f"v{j}" for j in range(6)] + [f"t{k}_{j}" for j in range(30)])) for k in range(30)]
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    for _ in range(len(rows)):
+        for i, a in sets:
+            for j, b in sets:
+                if j < i and 100 * len(a & b) >= 75 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert got == label and len(set(label.values())) < 60
+
+
 def test_divide_skip_equals_count():
     r = np.random.default_rng(5)
     base = np.unique(r.integers(0, 1 << 60, 400).astype(np.uint64))
