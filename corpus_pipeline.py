@@ -32,7 +32,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as its source's target weight says, in global random order."""
+    """Each row as often as its source's target weight says, in random order: that of the files by name, and of the rows in each file."""
     common.ship(spark)
     return mixing.mix_sources(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -52,14 +52,18 @@ STAGES = [
     ("bpe", bpe_tokens),
 ]
 
-#: SQL expresses neither the trained filters nor BPE; tests hold run() against a brute-force version.
+#: SQL expresses neither the trained filters nor BPE; tests/llm/test_twins.py holds run() against a slow version in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage wrote goes once the next one has been written, but for the last one's input."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = common.written(docs)
+            if before is not None:
+                common.drop_written(before)
+            before = docs
     return docs
