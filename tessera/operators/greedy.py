@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..sources.scratch import cut
 from ..sources.tables import items, vectors
-from .similarity import band_pairs, block_neighbours, neighbours, seed_vector
+from .similarity import band_pairs, block_neighbours, seed_vector
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -148,6 +148,20 @@ def candidates(spark, sf_dir, k: int = 120) -> DataFrame:
     return found.join(df.select("item_id", "v"), "item_id").join(i, "item_id", "left")
 
 
+#: The candidates in SQL, with their place in order of distance, and the angle of two of them.
+_V = "(SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+_ANGLE = "(1 - list_inner_product({a}, {b}) / sqrt(list_inner_product({a}, {a})) / sqrt(list_inner_product({b}, {b})))"
+_CANDIDATES = f"""c AS (SELECT * FROM (SELECT q.id AS query_id, t.id AS item_id, t.v, {_ANGLE.format(a='q.v', b='t.v')} AS d, row_number() OVER (PARTITION BY q.id ORDER BY {_ANGLE.format(a='q.v', b='t.v')}, t.id) AS k FROM {_V} q, {_V} t WHERE q.id % 20 = 0 AND q.id <> t.id) x WHERE k <= $K)"""
+
+ORACLE["near_dup_lookback"] = f"""WITH RECURSIVE {_CANDIDATES.replace('$K', '120')}, b AS (SELECT query_id, count(*) AS n FROM c GROUP BY 1),
+w AS (SELECT query_id, 0::BIGINT AS k, []::BIGINT[] AS kept, 0::BIGINT AS held FROM b UNION ALL
+ SELECT query_id, k, CASE WHEN far THEN list_append(kept, item_id) ELSE kept END, held FROM (
+  SELECT w.query_id, c.k, c.item_id, w.kept, CASE WHEN (c.k - 1) % 50 = 0 THEN len(w.kept) ELSE w.held END AS held,
+   NOT EXISTS (SELECT 1 FROM c o WHERE o.query_id = w.query_id AND list_contains(w.kept[greatest(1, CASE WHEN (c.k - 1) % 50 = 0 THEN len(w.kept) ELSE w.held END):], o.item_id) AND {_ANGLE.format(a='o.v', b='c.v')} < 0.6) AS far
+  FROM w JOIN c ON c.query_id = w.query_id AND c.k = w.k + 1) s)
+SELECT w.query_id, unnest(kept) AS item_id, unnest(range(len(kept)))::INT AS place FROM w JOIN b ON b.query_id = w.query_id AND b.n = w.k"""
+
+
 @query
 def near_dup_lookback(spark, sf_dir):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,6 +172,17 @@ def near_dup_lookback(spark, sf_dir):
     return candidates(spark, sf_dir).groupBy("query_id").applyInPandas(run, "query_id long, item_id long, place int")
 
 
+ORACLE["radius_walk"] = f"""WITH RECURSIVE {_CANDIDATES.replace('$K', '120')}, a AS (SELECT c.*, p_brand AS author, (k - 1) // 50 AS bucket FROM c LEFT JOIN part ON p_partkey = item_id),
+w AS (SELECT DISTINCT query_id, 0::BIGINT AS bucket, []::BIGINT[] AS done, []::VARCHAR[] AS here, []::VARCHAR[] AS taken, NULL::DOUBLE[] AS last FROM c UNION ALL
+ SELECT query_id, CASE WHEN pick IS NULL THEN bucket + 1 ELSE bucket END, CASE WHEN pick IS NULL THEN done ELSE list_append(done, pick.item_id) END,
+  CASE WHEN pick IS NULL THEN [] WHEN pick.author IS NULL THEN here ELSE list_append(here, pick.author) END, CASE WHEN pick.author IS NULL THEN taken ELSE list_append(taken, pick.author) END, CASE WHEN pick IS NULL THEN last ELSE pick.v END FROM (
+  SELECT w.*, (SELECT struct_pack(item_id := a.item_id, author := a.author, v := a.v) FROM a WHERE a.query_id = w.query_id AND a.bucket = w.bucket AND NOT list_contains(w.done, a.item_id)
+   AND (a.author IS NULL OR (NOT list_contains(w.here, a.author) AND len(list_filter(w.taken, lambda x: x = a.author)) < 2))
+   ORDER BY 0.3 * a.d + CASE WHEN w.last IS NULL THEN 0 ELSE 0.7 * {_ANGLE.format(a='a.v', b='w.last')} END, a.k LIMIT 1) AS pick FROM w WHERE len(w.done) < 30 AND w.bucket < 3) s),
+e AS (SELECT query_id, arg_max(done, len(done)) AS done FROM w GROUP BY 1)
+SELECT query_id, unnest(done) AS item_id, unnest(range(len(done)))::INT AS place FROM e"""
+
+
 @query
 def radius_walk(spark, sf_dir):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -169,6 +194,12 @@ def radius_walk(spark, sf_dir):
     return candidates(spark, sf_dir).groupBy("query_id").applyInPandas(run, "query_id long, item_id long, place int")
 
 
+ORACLE["song_path"] = f"""WITH RECURSIVE e AS (SELECT (SELECT v FROM {_V} x WHERE id = 0) AS a, (SELECT v FROM {_V} x WHERE id = 1) AS b), g AS (SELECT a, b, acos(greatest(-1, least(1, 1 - {_ANGLE.format(a='a', b='b')}))) AS g FROM e),
+s AS (SELECT k, list_transform(range(1, len(a) + 1), lambda i: (sin((1 - k / 11.0::DOUBLE) * g) * a[i] + sin(k / 11.0::DOUBLE * g) * b[i]) / sin(g)) AS q FROM g, range(1, 11) r(k)),
+w AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS used UNION ALL SELECT step + 1, list_append(used, pick) FROM (SELECT w.step, w.used, (SELECT t.id FROM {_V} t, s WHERE s.k = w.step + 1 AND t.id NOT IN (0, 1) AND NOT list_contains(w.used, t.id) ORDER BY {_ANGLE.format(a='t.v', b='s.q')}, t.id LIMIT 1) AS pick FROM w WHERE w.step < 10) z)
+SELECT step::INT AS step, used[step] AS item_id FROM w WHERE step > 0 UNION ALL SELECT 0, 0 UNION ALL SELECT 11, 1"""
+
+
 @query
 def song_path(spark, sf_dir):
     """Ten steps on the arc between two items; the nearest item of each step that is not yet on the path."""
@@ -185,6 +216,16 @@ def song_path(spark, sf_dir):
     return spark.createDataFrame([*rows, (11, 1)], "step int, item_id long")
 
 
+ORACLE["playlist_order"] = f"""WITH RECURSIVE {_CANDIDATES.replace('$K', '40')}, a AS (SELECT query_id, item_id, k, coalesce(p_size, 0) * 4.0::DOUBLE AS tempo, (coalesce(p_retailprice, 900) % 100) / 100 AS energy,
+ CASE WHEN item_id % 13 <> 0 THEN [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11][item_id % 12 + 1] END AS place, item_id % 2 AS scale FROM c LEFT JOIN part ON p_partkey = item_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY energy, k) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM a),
+w AS (SELECT query_id, [item_id] AS done, tempo, energy, place, scale FROM f WHERE r = n // 4 + 1 UNION ALL SELECT query_id, list_append(done, pick.item_id), pick.tempo, pick.energy, pick.place, pick.scale FROM (
+ SELECT w.query_id, w.done, (SELECT struct_pack(item_id := a.item_id, tempo := a.tempo, energy := a.energy, place := a.place, scale := a.scale) FROM a WHERE a.query_id = w.query_id AND NOT list_contains(w.done, a.item_id)
+  ORDER BY 0.35 * least(1, abs(a.tempo - w.tempo) / 80) + 0.35 * least(1, abs(a.energy - w.energy) / 0.14::DOUBLE) + 0.30 * CASE WHEN a.place IS NULL OR w.place IS NULL THEN 0.5 ELSE least(abs(a.place - w.place), 12 - abs(a.place - w.place)) / 6.0::DOUBLE * CASE WHEN a.scale = w.scale THEN 0.8::DOUBLE ELSE 1 END END, a.k LIMIT 1) AS pick FROM w) s WHERE pick IS NOT NULL),
+e AS (SELECT query_id, arg_max(done, len(done)) AS done FROM w GROUP BY 1)
+SELECT query_id, unnest(done) AS item_id, unnest(range(len(done)))::INT AS place FROM e"""
+
+
 @query
 def playlist_order(spark, sf_dir):
     keys = [k for k in FIFTHS if not k.endswith("B") or k == "B"]
@@ -197,13 +238,18 @@ def playlist_order(spark, sf_dir):
     return candidates(spark, sf_dir, 40).groupBy("query_id").applyInPandas(run, "query_id long, item_id long, place int")
 
 
+ORACLE["alchemy_sampled"] = """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1), d AS (SELECT vec_id AS item_id, 1 - list_inner_product(embedding::DOUBLE[], q) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_inner_product(q, q)) AS d,
+ (CAST('0x' || substr(md5('42|' || vec_id), 1, 13) AS BIGINT) + 1) / 4503599627370498.0::DOUBLE AS u FROM embeddings, q WHERE vec_id NOT IN (1, 2))
+SELECT item_id, round(d, 6) AS dist FROM d ORDER BY -d / 0.1 - ln(-ln(u)) DESC, item_id LIMIT 20"""
+
+
 @query
 def alchemy_sampled(spark, sf_dir):
-    """Softmax sampling without replacement in one pass: the largest of score / T plus Gumbel noise from a seed."""
+    """Softmax sampling without replacement in one pass over all rows: the largest of score / T plus Gumbel noise from a seed."""
     df = vectors(spark, sf_dir)
-    near = neighbours(df.where("item_id not in (1, 2)"), seed_vector(df, 1), 200)
-    u = (F.pmod(F.xxhash64("item_id", F.lit(42)), F.lit(1 << 52)) + 1) / float((1 << 52) + 2)
-    return near.select("item_id", "dist", (-F.col("dist") / 0.1 - F.log(-F.log(u))).alias("g")).orderBy(F.desc("g"), "item_id").limit(20).select("item_id", F.round("dist", 6).alias("dist"))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit("42|"), F.col("item_id").cast("string"))), 1, 13), 16, 10).cast("double")
+    d = df.where("item_id not in (1, 2)").select("item_id", vec.angular(F.col("v"), vec.literal(seed_vector(df, 1))).alias("d"), ((bits + 1) / float((1 << 52) + 2)).alias("u")).where("d is not null")
+    return d.select("item_id", "d", (-F.col("d") / 0.1 - F.log(-F.log("u"))).alias("g")).orderBy(F.desc("g"), "item_id").limit(20).select("item_id", F.round("d", 6).alias("dist"))
 
 
 def settled(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -270,6 +316,15 @@ def merge_pairs(pairs: DataFrame) -> DataFrame:
     return free.groupBy(F.col("b_id").alias("item_id")).agg(F.min(F.struct("d", "a_id")).alias("m")).select("item_id", F.col("m.a_id").alias("merged_into"))
 
 
+ORACLE["merge_forest"] = f"""WITH RECURSIVE v AS (SELECT id, v, list_transform(v, lambda x: (x > list_avg(v))::INT) AS s FROM {_V} z),
+p AS (SELECT a.id AS a, b.id AS b, {_ANGLE.format(a='a.v', b='b.v')} AS d FROM v a JOIN v b ON a.id < b.id WHERE list_sum(list_transform(range(1, 65), lambda i: (a.s[i] <> b.s[i])::INT)) <= 18 AND {_ANGLE.format(a='a.v', b='b.v')} <= 0.7),
+o AS (SELECT p.*, x.p_brand || '/' || x.p_type AS fa, y.p_brand || '/' || y.p_type AS fb, row_number() OVER (ORDER BY b, d, a) AS n FROM p LEFT JOIN part x ON x.p_partkey = a LEFT JOIN part y ON y.p_partkey = b),
+w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS gone, []::BIGINT[] AS into_, []::VARCHAR[] AS held UNION ALL
+ SELECT n, CASE WHEN ok THEN list_append(gone, b) ELSE gone END, CASE WHEN ok THEN list_append(into_, a) ELSE into_ END, CASE WHEN ok AND fb IS NOT NULL THEN list_append(held, a || '|' || fb) ELSE held END FROM (
+  SELECT o.*, w.gone, w.into_, w.held, NOT list_contains(w.gone, o.a) AND NOT list_contains(w.gone, o.b) AND coalesce(o.fa <> o.fb, true) AND NOT coalesce(list_contains(w.held, o.a || '|' || o.fb), false) AS ok FROM w JOIN o ON o.n = w.n + 1) s)
+SELECT unnest(gone) AS item_id, unnest(into_) AS merged_into FROM w WHERE n = (SELECT max(n) FROM w)"""
+
+
 @query
 def merge_forest(spark, sf_dir):
     """Each item joins its nearest earlier match that is not merged itself, so that chains cannot form; no group holds two files of a folder."""

@@ -201,6 +201,12 @@ def radius_links(df: DataFrame, eps: float) -> DataFrame:
     return dealt_pairs(df, df, LINK_ROWS).groupBy("part", "block").applyInArrow(meet, "query_id long, item_id long")
 
 
+ORACLE["dbscan_labels"] = """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND 1 - list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) <= 0.62),
+core AS (SELECT a AS id FROM l GROUP BY 1 HAVING count(*) >= 3), r AS (SELECT id, id AS label FROM core UNION SELECT l.b, r.label FROM r JOIN l ON l.a = r.id JOIN core ON core.id = l.b),
+m AS (SELECT id, min(label) AS label FROM r GROUP BY 1), border AS (SELECT l.b AS id, min(m.label) AS label FROM l JOIN m ON m.id = l.a GROUP BY 1)
+SELECT v.id AS item_id, coalesce(m.label, border.label, -1) AS cluster FROM v LEFT JOIN m ON m.id = v.id LEFT JOIN border ON border.id = v.id"""
+
+
 @query
 def dbscan_labels(spark, sf_dir):
     return density_labels(vectors(spark, sf_dir), 0.62, 3)
