@@ -24,6 +24,8 @@ ORACLE: dict[str, str] = {}
 
 #: The index is fitted on so many rows for each cell at most, those with the smallest hash of their id; every row is indexed.
 FIT_ROWS, MAX_CELLS = 50, 8192
+#: Rows of a genre that its tree's centres are fitted on at most; all rows are then dealt to the nearest.
+GENRE_FIT = 5000
 #: Rows of a block of the radius search.
 LINK_ROWS = 4096
 
@@ -176,7 +178,7 @@ def genre_tree(spark, sf_dir):
 
     # the fit is on a bounded sample of each genre; all rows take the nearest of its centres in the join below
     r = F.row_number().over(W.partitionBy("genre").orderBy(F.xxhash64("item_id")))
-    fitted = df.withColumn("r", r).where("r <= 5000").groupBy("genre").applyInPandas(split, "genre int, cluster int, item_id long")
+    fitted = df.withColumn("r", r).where(F.col("r") <= GENRE_FIT).groupBy("genre").applyInPandas(split, "genre int, cluster int, item_id long")
     means = fitted.join(df.select("item_id", "v"), "item_id").select("genre", "cluster", F.posexplode("v").alias("at", "x")).groupBy("genre", "cluster", "at").agg(F.avg("x").alias("x"))
     means = means.groupBy("genre", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("c"))
     near = df.join(F.broadcast(means), "genre").groupBy("genre", "item_id").agg(F.min_by("cluster", F.struct(vec.euclid(F.col("v"), F.col("c")), F.col("cluster"))).alias("cluster"))

@@ -61,7 +61,10 @@ def build(spark: SparkSession, sf_dir: str, spec: dict | str) -> DataFrame:
                 hit &= key.contains(token)
             part = base.where(hit).select("item_id", F.col("item_id").cast("double").alias("dist")).orderBy("dist").limit(p.get("k", 100))
         elif p["kind"] == "all":
-            part = base.select("item_id", F.lit(0.0).alias("dist")).orderBy("item_id").limit(spec["limit"] * 10)
+            pool = base
+            if spec["cap"]:  # an author's surplus would only push out what the cap leaves
+                pool = base.withColumn("c", F.row_number().over(W.partitionBy("author").orderBy("item_id"))).where(F.col("c") <= spec["cap"])
+            part = pool.select("item_id", F.lit(0.0).alias("dist")).orderBy("item_id").limit(p.get("k", spec["limit"]))
         else:
             raise ValueError(f"unknown primary: {p['kind']}")
         r = F.row_number().over(W.orderBy("dist", "item_id"))  # at most k rows
