@@ -290,7 +290,7 @@ def artist_tracks(spark, sf_dir):
 
 
 @query(f"""WITH c AS (SELECT item_id FROM (SELECT item_id, {ANGLE} AS d FROM $V t WHERE item_id <> 0) x ORDER BY d, item_id LIMIT 60), s AS (SELECT label FROM $PAIRS p WHERE item_id = 0 ORDER BY score DESC, label LIMIT 3),
-k AS (SELECT item_id FROM c WHERE EXISTS (SELECT 1 FROM $PAIRS p WHERE p.item_id = c.item_id AND label IN (SELECT label FROM s) AND score >= 0.85))
+k AS (SELECT item_id FROM c WHERE EXISTS (SELECT 1 FROM $PAIRS p WHERE p.item_id = c.item_id AND label IN (SELECT label FROM s) AND score >= 0.85) OR item_id NOT IN (SELECT p_partkey FROM part))
 SELECT item_id FROM k WHERE (SELECT count(*) FROM k) >= 0.4 * (SELECT count(*) FROM c) UNION ALL SELECT item_id FROM c WHERE (SELECT count(*) FROM k) < 0.4 * (SELECT count(*) FROM c)""")
 def genre_postfilter(spark, sf_dir):
     """Neighbours that share one of the seed's three best labels; all of them if under 0.4 would be left."""
