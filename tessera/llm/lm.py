@@ -40,7 +40,7 @@ STATE = 0x5EED_57A7_E000_0001
 SIEVE_LEAST, SIEVE_BITS, SHIFTS = 22, 27, (1, 32)
 #: From this round on a pass also writes the rows that the next one needs, which get few; once they hold so few tokens, and there are so few
 #: grams, one task grows the rest. Both ways count the same.
-NARROW, ONE_TASK_TOKENS, ONE_TASK_GRAMS = 4, 1_000_000, 250_000
+NARROW, ONE_TASK_TOKENS, ONE_TASK_GRAMS = 4, 4_000_000, 250_000
 #: Bytes of text of a slice.
 SLICE = 8 << 20
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
