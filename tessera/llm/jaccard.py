@@ -34,8 +34,8 @@ SIZE = 5
 NUM, DEN = 100, 75
 #: A shingle in so many different sets of one block of rows is often; the OFTEN most frequent ones go last in the order.
 LOCAL, OFTEN = 4, 500_000
-#: Shingles and classes of a cluster that one task holds; larger clusters are cut into blocks.
-BLOCK, MEMBERS = 2_000_000, 512
+#: Shingles of a cluster that one task holds; larger clusters are cut into blocks.
+BLOCK = 2_000_000
 #: Bit maps are compared in blocks of so many classes, two blocks a task; clusters of more than MOST classes are not sifted, all stay.
 SIFT, MOST = 256, 32_768
 #: Bits of the map that keeps texts without candidates from being shuffled.
@@ -535,7 +535,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = written(_sift(_clusters(_prefixes(docs, often)), maps))
     wanted = spark.sparkContext.broadcast(_bit_map(pairs))
     texts = _texts(docs, wanted).dropDuplicates(["cls"])
-    blocks = F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK), F.ceil(F.count("*") / MEMBERS)).cast("int")
+    blocks = F.ceil(F.sum(F.col("n").cast("long")) / BLOCK).cast("int")
     large = written(pairs.groupBy("leader").agg(blocks.alias("blocks")).where(F.col("blocks") > 1))
     any_large = bool(large.head(1))
     if any_large:

@@ -59,11 +59,10 @@ def test_words_and_hashes_agree_with_regex():
     assert len(set(zip(flat, h))) == len(set(flat)) == len(set(h))
 
 
-@pytest.mark.parametrize("block, members", [(jaccard.BLOCK, jaccard.MEMBERS), (200, 2), (jaccard.BLOCK, 3)])
-def test_jaccard_components(docs, none, monkeypatch, block, members):
+@pytest.mark.parametrize("block, sift", [(jaccard.BLOCK, jaccard.SIFT), (200, 2)])
+def test_jaccard_components(docs, none, monkeypatch, block, sift):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "MEMBERS", members)
-    monkeypatch.setattr(jaccard, "SIFT", members)
+    monkeypatch.setattr(jaccard, "SIFT", sift)
     got = jaccard.jaccard_components(docs).collect()
     rows = [(r.doc_id, shingle_set(r.text)) for r in docs.collect()]
     up = list(range(len(rows)))
@@ -84,11 +83,11 @@ def test_jaccard_components(docs, none, monkeypatch, block, members):
     assert kept.columns == docs.columns and {0, 1, 2, 3, 6}.issubset({r.doc_id for r in kept.collect()}) and 7 not in {r.doc_id for r in kept.collect()}
 
 
-@pytest.mark.parametrize("members, most", [(512, 32_768), (7, 32_768), (7, 20)])
-def test_large_groups_in_blocks(spark, monkeypatch, members, most):
+@pytest.mark.parametrize("block, sift, most", [(jaccard.BLOCK, 7, 32_768), (400, 7, 20)])
+def test_large_groups_in_blocks(spark, monkeypatch, block, sift, most):
     """A group of near copies in a chain, and another, each cut into many blocks."""
     common.ship(spark)
-    for name, x in (("MEMBERS", members), ("SIFT", members), ("MOST", most)):
+    for name, x in (("BLOCK", block), ("SIFT", sift), ("MOST", most)):
         monkeypatch.setattr(jaccard, name, x)
     r = random.Random(4)
     rows, text = [], [f"w{k}" for k in range(60)]
