@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tags, text
+from ..sources.scratch import cut
 from ..sources.tables import bridge, items, table, upsert
 
 QUERIES: dict = {}
@@ -364,10 +365,32 @@ def path_tail(spark, sf_dir):
 
 @query("SELECT a.s_suppkey AS a_id, b.s_suppkey AS b_id FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey AND len(list_intersect(list_distinct([substr('  ' || lower(a.s_name) || ' ', i::BIGINT, 3) for i in range(1, length(a.s_name) + 2)]), list_distinct([substr('  ' || lower(b.s_name) || ' ', i::BIGINT, 3) for i in range(1, length(b.s_name) + 2)]))) / len(list_distinct([substr('  ' || lower(a.s_name) || ' ', i::BIGINT, 3) for i in range(1, length(a.s_name) + 2)] || [substr('  ' || lower(b.s_name) || ' ', i::BIGINT, 3) for i in range(1, length(b.s_name) + 2)]))::DOUBLE >= 0.8")
 def trigram_join(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    a = s.select(F.col("s_suppkey").alias("a_id"), F.col("s_name").alias("an"), "s_nationkey")
-    b = s.select(F.col("s_suppkey").alias("b_id"), F.col("s_name").alias("bn"), "s_nationkey")
-    return a.join(b, "s_nationkey").where("a_id < b_id").where(text.trigram_similarity(F.col("an"), F.col("bn")) >= 0.8).select("a_id", "b_id")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("cell"))
+    return alike(s, 0.8)
+
+
+def alike(rows: DataFrame, least: float) -> DataFrame:
+    """(a_id, b_id) of the rows (id, name, cell) of one cell whose trigrams are alike, exact: only names that share a rare trigram are compared.
+
+    Sets of n and of m trigrams with ``least`` of their union in common have least * n and least * m of them in common. In one order of all
+    trigrams, the n - ceil(least * n) + 1 first of one and as many of the other then meet. Equal names are compared once.
+    """
+    rows = rows.where("cell is not null and name is not null")
+    # a trigram as one whole number
+    code = lambda x: F.shiftleft(F.ascii(x).cast("long"), 42) + F.shiftleft(F.ascii(F.substring(x, 2, 1)).cast("long"), 21) + F.ascii(F.substring(x, 3, 1))
+    names = rows.select("cell", "name").distinct().select("cell", "name", F.explode(F.transform(text.trigrams(F.col("name")), code)).alias("gram"))
+    order = names.groupBy("gram").agg(F.count("*").alias("many"))
+    sets = names.join(order, "gram").groupBy("cell", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("many", "gram"))), lambda x: x["gram"]).alias("t"))
+    n = F.size("t")
+    first = cut(sets.select("cell", "name", "t", F.explode(F.slice("t", F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int"))).alias("gram")))
+    a, b = (first.select("cell", "gram", F.col("name").alias(f"{s}n"), F.col("t").alias(f"{s}t")) for s in "ab")
+    n, m, both = F.size("at"), F.size("bt"), F.size(F.array_intersect("at", "bt"))
+    pairs = a.join(b, ["cell", "gram"]).where("an < bn").where(F.least(n, m) >= least * F.greatest(n, m) - 1e-9)
+    pairs = pairs.where(both / (n + m - both) >= least).select("cell", "an", "bn").distinct()
+    one, two = (rows.select("cell", F.col("name").alias(f"{s}n"), F.col("id").alias(f"{s}_id")) for s in "ab")
+    other = pairs.join(one, ["cell", "an"]).join(two, ["cell", "bn"]).where("a_id <> b_id").select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
+    same = one.join(two.withColumnRenamed("bn", "an"), ["cell", "an"]).where("a_id < b_id").select("a_id", "b_id")
+    return other.unionByName(same)
 
 
 # --- events --------------------------------------------------------------------------------------------------
