@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..sources.index import list_matrix, nearest, probe_cells
 from ..sources.scratch import cut
 from ..sources.tables import items, vectors
-from .similarity import block_neighbours, dealt_pairs, pair_matrices
+from .similarity import block_neighbours, dealt_pairs, pair_matrices, unit_rows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -45,20 +46,11 @@ def build_index(df: DataFrame, cells: int | None = None, seed: int = 0) -> tuple
 
 
 def probe(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """(query_id, item_id, dist): the k nearest rows of each query's nprobe nearest cells. Cells prune files of an index written by cell."""
-
-    def near(batches):
-        c = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
-        for pdf in batches:
-            if len(pdf):
-                q = np.stack(pdf.v.to_numpy())
-                best = np.argsort(-(q @ c.T), axis=1)[:, :nprobe]
-                yield pd.DataFrame({"query_id": np.repeat(pdf.item_id.to_numpy(), best.shape[1]), "q": [v for v in pdf.v for _ in range(best.shape[1])], "cell": best.ravel()})
-
-    asked = queries.select("item_id", "v").mapInPandas(near, "query_id long, q array<double>, cell int")
-    pairs = indexed.join(asked, "cell").where("item_id <> query_id").select("query_id", "item_id", vec.angular(F.col("v"), F.col("q")).alias("dist"))
+    """(query_id, item_id, dist, r): the k nearest rows of each query's nprobe nearest cells. Cells prune files of an index written by cell."""
+    rows = indexed.where(vec.finite(F.col("v"))).select("item_id", "v", "cell")
+    found = probe_cells(rows, queries.where(vec.finite(F.col("v"))), len(centres), lambda q: nearest(q, centres, nprobe), lambda t, q: (unit_rows(list_matrix(t, "v")), unit_rows(q)), k)
     r = F.row_number().over(W.partitionBy("query_id").orderBy("dist", "item_id"))
-    return pairs.withColumn("r", r).where(F.col("r") <= k)
+    return found.withColumn("r", r).where(F.col("r") <= k)
 
 
 @query

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -42,3 +44,24 @@ def test_alike_names_are_all_found(spark):
         want = a.join(b, "cell").where("a_id < b_id").where(text.trigram_similarity(F.col("an"), F.col("bn")) >= least).select("a_id", "b_id").collect()
         got = relational.alike(df, least).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 20
+
+
+def test_a_probe_moves_rows_and_not_pairs(spark, sf_dir, monkeypatch):
+    from tessera.operators import learned
+    from tessera.operators.similarity import block_neighbours
+    from tessera.sources import index as store
+    from tessera.sources.tables import vectors
+
+    monkeypatch.setattr(store, "PART_ROWS", 100)  # several parts and several blocks of queries
+    monkeypatch.setattr(store, "MAX_QUERIES", 10)
+    df = vectors(spark, sf_dir)
+    q = df.where("item_id % 20 = 0")
+    indexed, centres = learned.build_index(df, cells=6)
+    want = sorted((r.query_id, r.item_id, round(r.dist, 9)) for r in block_neighbours(df, q, 10).collect())
+    found = learned.probe(indexed, centres, q, 10, 6)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query_id, r.item_id, round(r.dist, 9)) for r in found.collect()) == want
+    own = {r.item_id: r.cell for r in indexed.collect()}
+    near = {int(r.item_id): {int(c) for c in store.nearest(np.array([r.v]), centres, 2)[0]} for r in q.collect()}
+    two = learned.probe(indexed, centres, q, 10, 2).collect()
+    assert all(own[r.item_id] in near[r.query_id] for r in two) and len(two) == 10 * len(near)
