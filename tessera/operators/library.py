@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tags, text, vec
+from ..sources.scratch import cut
 from ..sources.tables import bridge, items, table, vectors
 from .relational import ITEMS, PAIRS
 from .similarity import ANGLE, SEED, VECTORS, centroids, neighbours, seed_vector
@@ -13,6 +16,9 @@ from .similarity import ANGLE, SEED, VECTORS, centroids, neighbours, seed_vector
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
+#: Rows of a cell and a size that one task compares with as many others.
+CONFIRM_ROWS = 2048
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -416,10 +422,52 @@ s AS (SELECT *, abs(asize - bsize) <= 1 AS len, af <> bf AS folder, 1 - list_inn
 SELECT count(*) FILTER (len) AS by_length, count(*) FILTER (len AND folder) AS by_folder, count(*) FILTER (len AND folder AND near) AS by_vector FROM s""")
 def confirm_order(spark, sf_dir):
     """How many proposed pairs each test leaves, the cheapest first: length, folder, vector. Only what passed the others has its vectors compared."""
-    i = items(spark, sf_dir).select("item_id", "album")
-    v = vectors(spark, sf_dir).select("item_id", "v")
-    a = lambda s: i.join(v, "item_id").select(F.col("item_id").alias(f"{s}_id"), F.col("album").alias(f"{s}f"), F.col("v").alias(f"{s}v"))
-    pairs = cell_pairs(spark, sf_dir).join(a("a"), "a_id").join(a("b"), "b_id")
-    folder = F.col("af") != F.col("bf")
-    near = F.when(folder, vec.angular(F.col("av"), F.col("bv")) <= 0.9).otherwise(False)
-    return pairs.agg(F.count("*").alias("by_length"), F.count_if(folder).alias("by_folder"), F.count_if(near).alias("by_vector"))
+    i = items(spark, sf_dir).select("item_id", F.col("tempo").cast("long").alias("size"), F.col("album").alias("folder"))
+    rows = vectors(spark, sf_dir).where("genre is not null").select("item_id", F.col("genre").alias("cell"), "v").join(i, "item_id").where("size is not null")
+    return confirmed(rows, 0.9)
+
+
+def confirmed(rows: DataFrame, most: float) -> DataFrame:
+    """Counts of the pairs of rows (item_id, cell, size, folder, v) of one cell: sizes one apart at most; of these, other folders; of these, near by angle.
+
+    Rows of a cell and size are dealt to blocks of CONFIRM_ROWS. Blocks meet in pairs, and a task leaves three counts of its pairs of rows.
+    """
+    rows = cut(rows.select("item_id", "cell", "size", F.coalesce(F.xxhash64("folder"), F.lit(0)).alias("folder"), F.col("folder").isNull().alias("none"), F.when(vec.finite(F.col("v")), F.col("v")).alias("v")))
+    n = rows.groupBy("cell", "size").agg(F.ceil(F.count("*") / CONFIRM_ROWS).cast("int").alias("blocks"))
+    own = rows.join(F.broadcast(n), ["cell", "size"]).withColumn("block", F.pmod(F.xxhash64("item_id"), "blocks").cast("int")).drop("blocks")
+    # a row goes to each pair of blocks that its own is in: its own size with itself and with one more, and one less with its own
+    beside = lambda step: n.select("cell", (F.col("size") - step).alias("size"), F.col("blocks").alias("others"))
+    each = lambda side, size, left, right: F.struct(F.lit(side).alias("side"), size.alias("low"), left.alias("a"), right.alias("b"))
+    size, block, other = F.col("size"), F.col("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    at = lambda step: own.join(F.broadcast(beside(step)), ["cell", "size"]).withColumn("other", other)
+    same = at(0)
+    dealt = [
+        same.where("block <= other").withColumn("to", each(0, size * 2, block, F.col("other"))), same.where("block >= other").withColumn("to", each(1, size * 2, F.col("other"), block)),
+        at(1).withColumn("to", each(0, size * 2 + 1, block, F.col("other"))), at(-1).withColumn("to", each(1, size * 2 - 1, F.col("other"), block)),
+    ]
+    all_ = dealt[0].unionByName(dealt[1]).unionByName(dealt[2]).unionByName(dealt[3])
+
+    def meet(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        one, two = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        dim = next((len(x) for x in table.column("v") if x.is_valid), 1)
+
+        def parts(t):
+            held = t.column("v").combine_chunks()
+            v = np.zeros((t.num_rows, dim))
+            v[np.asarray(held.is_valid())] = held.flatten().to_numpy().reshape(-1, dim)
+            with np.errstate(all="ignore"):
+                v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))  # what has no direction is near nothing
+            return t.column("item_id").to_numpy(), t.column("folder").to_numpy(), t.column("none").to_numpy(), v
+
+        (i, f, no, v), (j, g, none, w) = parts(one), parts(two)
+        within = len(i) and len(j) and table.column("low")[0].as_py() % 2 == 0 and table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        pairs = (i[:, None] < j) if within else (i[:, None] != j)
+        other = pairs & (f[:, None] != g) & ~no[:, None] & ~none
+        with np.errstate(all="ignore"):
+            near = other & (1 - v @ w.T <= most)
+        return pa.table({"by_length": [int(pairs.sum())], "by_folder": [int(other.sum())], "by_vector": [int(near.sum())]})
+
+    counts = all_.select("cell", "to.*", "item_id", "folder", "none", "v").groupBy("cell", "low", "a", "b").applyInArrow(meet, "by_length long, by_folder long, by_vector long")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return counts.agg(total("by_length"), total("by_folder"), total("by_vector"))

@@ -65,3 +65,19 @@ def test_a_probe_moves_rows_and_not_pairs(spark, sf_dir, monkeypatch):
     near = {int(r.item_id): {int(c) for c in store.nearest(np.array([r.v]), centres, 2)[0]} for r in q.collect()}
     two = learned.probe(indexed, centres, q, 10, 2).collect()
     assert all(own[r.item_id] in near[r.query_id] for r in two) and len(two) == 10 * len(near)
+
+
+def test_confirmed_pairs_in_blocks_equal_all_pairs(spark, monkeypatch):
+    from tessera.operators import library
+
+    monkeypatch.setattr(library, "CONFIRM_ROWS", 7)  # several blocks of a cell and size
+    r = random.Random(6)
+    rows = [(k, r.randint(0, 1), r.randint(0, 3), r.choice(["x", "y", None]), [r.gauss(0, 1) for _ in range(3)]) for k in range(150)]
+    rows += [(150, 0, 1, "x", [0.0, 0.0, 0.0]), (151, 0, 1, "y", None), (152, 0, 1, "y", [float("nan"), 1.0, 1.0])]
+    unit = lambda v: np.array(v) / np.linalg.norm(v) if v and 0 < np.linalg.norm(v) else np.full(3, np.nan)
+    pairs = [(a, b) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 1]
+    other = [(a, b) for a, b in pairs if None not in (a[3], b[3]) and a[3] != b[3]]
+    near = [1 for a, b in other if 1 - unit(a[4]) @ unit(b[4]) <= 0.9]
+    df = spark.createDataFrame(rows, "item_id long, cell int, size long, folder string, v array<double>")
+    found = library.confirmed(df, 0.9)
+    assert tuple(found.first()) == (len(pairs), len(other), len(near)) and tuple(library.confirmed(df.limit(0), 0.9).first()) == (0, 0, 0)
