@@ -18,7 +18,7 @@ from ..functions import vec
 from ..sources.index import list_matrix, nearest, probe_cells
 from ..sources.scratch import cut
 from ..sources.tables import items, vectors
-from .similarity import block_neighbours, dealt_pairs, pair_matrices, unit_rows
+from .similarity import block_neighbours, unit_rows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -27,8 +27,8 @@ ORACLE: dict[str, str] = {}
 FIT_ROWS, MAX_CELLS = 50, 8192
 #: Rows of a genre that its tree's centres are fitted on at most; all rows are then dealt to the nearest.
 GENRE_FIT = 5000
-#: Rows of a block of the radius search.
-LINK_ROWS = 4096
+#: Rows of a block of the radius search, at most and, for 16 blocks, at least; and of them those that a task compares at once.
+LINK_ROWS, LINK_LEAST, LINK_STEP = 32_768, 4096, 128
 
 
 def query(f):
@@ -180,19 +180,81 @@ def genre_tree(spark, sf_dir):
     return leaf.unionByName(folder)
 
 
-def radius_links(df: DataFrame, eps: float) -> DataFrame:
-    """(query_id, item_id) of all rows within eps by angle, itself left out: blocks of rows beside parts of rows, however many are near."""
+def block_pairs(df: DataFrame, rows: int) -> DataFrame:
+    """(a, b, side, ...) of the rows (item_id, v, ...): cut by hash into blocks of about ``rows``, each pair of blocks once, and each block with itself on one side only."""
+    n = df.count()
+    blocks = max(1, -(-n // min(rows, max(LINK_LEAST, n // 16))))
+    own, other = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = df.withColumn("own", own).select("*", other)
+    return dealt.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), *df.columns)
+
+
+def near_chunks(table: pa.Table, eps: float):
+    """Of one pair of blocks: ({column: values} of one and of the other, (places in one, places in the other) within eps by angle, a few rows at a time); each pair once."""
+    table = table.combine_chunks()
+    of = lambda side: table.filter(pa.array(table.column("side").to_numpy() == side))
+    one, two = of(0), of(1)
+    alone = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+    two = one if alone else two
+    v, w = unit_rows(list_matrix(one, "v")), unit_rows(list_matrix(two, "v"))
+
+    def links():
+        for k in range(0, len(v) if len(w) else 0, LINK_STEP):
+            at, to = np.nonzero(1 - v[k : k + LINK_STEP] @ w.T <= eps)
+            at = at + k
+            once = to > at if alone else slice(None)
+            yield at[once], to[once]
+
+    plain = lambda t: {c: t.column(c).to_numpy() for c in t.column_names if c != "v"}
+    return plain(one), plain(two), links(), alone
+
+
+def link_counts(df: DataFrame, eps: float) -> DataFrame:
+    """(item_id, more): how many rows are within eps of each row (item_id, v, n), itself left out; a task leaves a count for each of its rows."""
 
     def meet(table: pa.Table) -> pa.Table:
-        qid, q, item, v = pair_matrices(table)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for k in range(0, len(item) if len(qid) else 0, 500):
-            of, at = np.nonzero(1 - q @ v[k : k + 500].T <= eps)
-            other = qid[of] != item[at + k]
-            found.append((qid[of][other], item[at + k][other]))
-        return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "item_id"), zip(*found, strict=True), strict=True)})
+        one, two, links, alone = near_chunks(table, eps)
+        here, there = np.zeros(len(one["n"])), np.zeros(len(two["n"]))
+        there = here if alone else there
+        for at, to in links:
+            here += np.bincount(at, weights=two["n"][to], minlength=len(here))
+            there += np.bincount(to, weights=one["n"][at], minlength=len(there))
+        item, more = (one["item_id"], here) if alone else (np.concatenate((one["item_id"], two["item_id"])), np.concatenate((here, there)))
+        return pa.table({"item_id": item[more > 0], "more": more[more > 0].astype(np.int64)})
 
-    return dealt_pairs(df, df, LINK_ROWS).groupBy("part", "block").applyInArrow(meet, "query_id long, item_id long")
+    found = block_pairs(df.select("item_id", "v", "n"), LINK_ROWS).groupBy("a", "b").applyInArrow(meet, "item_id long, more long")
+    return found.groupBy("item_id").agg(F.sum("more").alias("more"))
+
+
+def core_links(df: DataFrame, eps: float) -> DataFrame:
+    """(query_id, item_id, inner) from (item_id, v, core): of each task the trees that its links among cores span, and all links of a core with another row.
+
+    What is no core has fewer links than a core needs, so there are few of these.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        one, two, links, alone = near_chunks(table, eps)
+        n = len(one["item_id"])
+        item, core = (one["item_id"], one["core"]) if alone else (np.concatenate((one["item_id"], two["item_id"])), np.concatenate((one["core"], two["core"])))
+        core, shift, root, edge = core.astype(bool), 0 if alone else n, np.arange(len(item)), []
+        for at, to in links:
+            to = to + shift
+            for x, y in ((at, to), (to, at)):
+                half = core[x] & ~core[y]
+                edge.append((item[x[half]], item[y[half]]))
+            both = core[at] & core[to]
+            at, to = at[both], to[both]
+            cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1)) if len(at) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                met = root[to[a:b]]
+                if (met != root[at[a]]).any():
+                    met = np.unique(np.append(met, root[at[a]]))
+                    root[np.isin(root, met)] = met[0]
+        tree = np.flatnonzero(root != np.arange(len(item)))
+        x, y = (np.concatenate(z) for z in zip((item[root[tree]], item[tree]), *edge, strict=True))
+        return pa.table({"query_id": x, "item_id": y, "inner": np.arange(len(x)) < len(tree)})
+
+    return block_pairs(df.select("item_id", "v", "core"), LINK_ROWS).groupBy("a", "b").applyInArrow(meet, "query_id long, item_id long, inner boolean")
 
 
 ORACLE["dbscan_labels"] = """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND 1 - list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) <= 0.62),
@@ -213,13 +275,15 @@ def density_labels(df: DataFrame, eps: float, least: int) -> DataFrame:
     """
     long = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0
     same = cut(df.where(vec.finite(F.col("v")) & long).groupBy("v").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n")))
-    near = cut(radius_links(same, eps))
-    size = same.select("item_id", "n")
-    linked = near.join(size, "item_id").groupBy(F.col("query_id").alias("item_id")).agg(F.sum("n").alias("more"))
+    # single floats move as such where they are the same numbers
+    single = same.agg(F.bool_and(F.forall("v", lambda x: x.cast("float").cast("double") == x))).first()[0]
+    moved = same.withColumn("v", F.col("v").cast("array<float>")) if single else same
+    more = cut(link_counts(moved, eps))
     degree = F.col("n") - 1 + F.coalesce("more", F.lit(0))
-    core = cut(size.join(linked, "item_id", "left").where(degree >= least).select(F.col("item_id").alias("query_id")))
-    links = near.join(core, "query_id", "left_semi")
-    inner = links.join(core.withColumnRenamed("query_id", "item_id"), "item_id", "left_semi").select("query_id", "item_id")
+    size = cut(moved.join(more, "item_id", "left").select("item_id", "v", (degree >= least).cast("int").alias("core")))
+    core = size.where("core = 1").select(F.col("item_id").alias("query_id"))
+    near = cut(core_links(size, eps))
+    links, inner = near.where("not inner"), near.where("inner").select("query_id", "item_id")
     both = cut(inner.union(inner.select("item_id", "query_id")).toDF("a", "b").distinct())
     label = cut(core.select(F.col("query_id").alias("a"), F.col("query_id").alias("l")))
     while True:  # least label of neighbours, then that of the label: rounds grow as the log of a cluster's width

@@ -81,3 +81,26 @@ def test_confirmed_pairs_in_blocks_equal_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "item_id long, cell int, size long, folder string, v array<double>")
     found = library.confirmed(df, 0.9)
     assert tuple(found.first()) == (len(pairs), len(other), len(near)) and tuple(library.confirmed(df.limit(0), 0.9).first()) == (0, 0, 0)
+
+
+def test_density_labels_in_blocks_equal_those_of_all_links(spark, monkeypatch):
+    from tessera.operators import learned
+
+    monkeypatch.setattr(learned, "LINK_ROWS", 25)  # several blocks, a few rows of one at a time
+    monkeypatch.setattr(learned, "LINK_STEP", 3)
+    r = np.random.default_rng(7)
+    angle = np.concatenate([np.sort(r.uniform(0, 6, 90)), np.repeat(r.uniform(0, 6, 5), 3)])
+    rows = [(int(k), [float(np.cos(x)), float(np.sin(x))]) for k, x in zip(r.permutation(len(angle)), angle, strict=True)]
+    v, eps, least = {k: np.array(x) for k, x in rows}, 0.0008, 3
+    near = {a: {b for b in v if a != b and 1 - v[a] @ v[b] <= eps} for a in v}
+    core = {a for a in v if len(near[a]) >= least}
+    want = {a: a if a in core else -1 for a in v}
+    for _ in v:
+        want |= {a: min([want[a], *(want[b] for b in near[a] & core)]) for a in core}
+    want |= {a: min((want[b] for b in near[a] & core), default=-1) for a in v if a not in core}
+    df = spark.createDataFrame(rows, "item_id long, v array<double>")
+    assert {x.item_id: x.cluster for x in learned.density_labels(df, eps, least).collect()} == want
+    assert len(set(want.values())) > 4 and any(want[a] >= 0 for a in v if a not in core)
+    # no more rows than a tree of each task and the links of rows that are no cores
+    some = spark.createDataFrame([(k, [1.0, k / 1e6], 1) for k in range(100)], "item_id long, v array<double>, core int")
+    assert learned.core_links(some, eps).count() < 100 * 6
