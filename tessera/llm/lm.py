@@ -8,14 +8,16 @@ parent's:
     P(x | s) = (n(s, x) + m(s) P(x | parent)) / (c(s) + LAMBDA),   m(s) = c(s) + LAMBDA - sum of the kept n(s, x)
 
 Every token is scored by the state of its longest suffix. For a word outside the alphabet n(s, x) is 0, so only factors m / (c + LAMBDA)
-meet its root probability. Words and states are tables by hash that grow with the input, dealt to buckets by ranges of the hash; a slice
-of rows sends each bucket its distinct keys, packed, and gets their counts back in the same order. What is sent to all tasks are filters
-of bounded size, which only spare questions.
+meet its root probability. Texts are read once and kept as slices of numbers, with the counts of their words. The first rounds count grams;
+then the places after states are dealt by state, with some words before each, and each subtree grows by itself. Words and states are
+tables by hash that grow with the input, dealt to buckets by ranges of the hash; a slice of rows sends each bucket its distinct keys, packed,
+and gets back what is known. What is sent to all tasks are filters of bounded size, which only spare questions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,11 @@ BUCKET = 4_000_000
 STATE = 0x5EED_57A7_E000_0001
 #: Filters have so many bits, as a power of 2, at least and at most; a hash sets those at these shifts.
 SIEVE_LEAST, SIEVE_BITS, SHIFTS = 22, 27, (1, 32)
-#: From this round on a pass also writes the rows that the next one needs, which get few; once they hold so few tokens, and there are so few
-#: grams, one task grows the rest. Both ways count the same.
-NARROW, ONE_TASK_TOKENS, ONE_TASK_GRAMS = 4, 4_000_000, 250_000
+#: From this round on the places after states are dealt by state, with AHEAD words before each, then AHEAD times more each pass; a task grows
+#: the states below its own as far as these reach. Both ways count the same.
+NARROW, AHEAD = 4, 8
+#: 0 deals each state by itself, else by buckets.
+ONE_TASK_TOKENS = 4_000_000
 #: Bytes of text of a slice.
 SLICE = 8 << 20
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -80,7 +84,10 @@ class Grams:
     """The tokens of a batch of texts and the hashes of their grams: of d + 1 words, the last of which is the token, a gram is one word joined to the gram of d."""
 
     def __init__(self, texts: pa.Array):
-        self.words, self.bounds = tokens(texts)
+        self._take(*tokens(texts))
+
+    def _take(self, words: np.ndarray, bounds: np.ndarray):
+        self.words, self.bounds = words, bounds
         #: how many tokens of its text are before each
         self.at = np.arange(len(self.words)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
 
@@ -127,30 +134,138 @@ class Sums:
             yield self.merged()
 
 
-def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned arrays of any lengths as compressed bytes."""
+    head = np.array([len(arrays), *[x for a in arrays for x in (a.dtype.itemsize, len(a))]], np.int64)
+    raw = b"".join([head.tobytes(), *[x for a in arrays for x in (a.tobytes(), bytes(-a.nbytes % 8))]])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def learning(batches):
-    """The training rows and their grams, in pieces."""
-    for batch in batches:
-        learn = batch.filter(pa.array(crc_mod(batch.column(0).to_pylist(), 10) != 0))
-        for part in slices(learn, 1, 1 << 20):
-            yield part, Grams(part.column(1))
+def unpack(packed: pa.Scalar) -> list[np.ndarray]:
+    data = packed.as_buffer()
+    raw = pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd")
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).tolist(), 8 * (1 + 2 * n), []
+    for size, count in zip(head[::2], head[1::2], strict=True):
+        out.append(np.frombuffer(raw, f"u{size}", count, at))
+        at += size * count + -size * count % 8
+    return out
+
+
+def code_of(ids: np.ndarray) -> np.ndarray:
+    """What stands for a word in grams, from its number."""
+    return common.mix(ids.astype(np.uint64) + np.uint64(1))
+
+
+class Slice(Grams):
+    """Rows of a slice as numbers: for each token its place in the slice's list of words, which has each word's training count and its number if it is of the alphabet, else 0."""
 
+    def __init__(self, body: pa.Scalar, told: pa.Scalar):
+        ids, valid, held_out, size, self.of_word = unpack(body)
+        self.count, self.number = (x for x in unpack(told))
+        self.doc_id, self.held_out, self.size = pa.array(ids.view(np.int64), mask=valid == 0), held_out != 0, size.astype(np.int64)
+        self.code = code_of(self.number)
+        self._take(self.code[self.of_word], np.concatenate(([0], np.cumsum(self.size))))
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(key, n) of each word of the training rows."""
+    def keep_training(self):
+        """Leaves out the tokens of rows that are held out."""
+        keep = np.repeat(~self.held_out, self.size)
+        self.of_word, self.size = self.of_word[keep], self.size[~self.held_out]
+        self._take(self.words[keep], np.concatenate(([0], np.cumsum(self.size))))
+        self.usual = (self.number > 0)[self.of_word]
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """(slice, body, words) of all rows: pieces of about SLICE bytes of text. A body holds ids and tokens, as places in the slice's list of distinct words; that has a training count each."""
 
     def run(batches):
-        sums = Sums()
-        for _, g in learning(batches):
-            for found in sums.add(g.words):
-                yield _batch(["key", "n"], *found)
-        for found in sums.rest():
-            yield _batch(["key", "n"], *found)
+        at = common.task_number() << 32
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                at += 1
+                found = [tokens(p.column(1)) for p in slices(part, 1, 1 << 20)]
+                size = np.concatenate([np.diff(b) for _, b in found])
+                words, of_word = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+                ids = part.column(0).to_pylist()
+                held_out = crc_mod(ids, 10) == 0
+                count = np.bincount(of_word[np.repeat(~held_out, size)], minlength=len(words)).astype(np.uint64)
+                valid = np.array([x is not None for x in ids], np.uint8)
+                body = pack(np.array([x or 0 for x in ids], np.int64).view(np.uint64), valid, held_out.astype(np.uint8), size.astype(np.uint64), of_word.astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([body], pa.binary()), pa.array([pack(words, count)], pa.binary())], ["slice", "body", "words"])
+            common.trim()
+
+    return docs.mapInArrow(run, "slice long, body binary, words binary")
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the hash, so keys in order are in order of their buckets; 0 gives each key its own."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) if buckets else keys).view(np.int64)
+
+
+def cuts(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of equal values."""
+    at = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1], [True]))) if len(sorted_) else np.zeros(1, np.int64)
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
 
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _sent(name: list, bucket: list, packed: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(bucket, pa.int64()), pa.array(packed, pa.binary())], ["slice", "bucket", "sent"])
+
+
+SENT = "slice long, bucket long, sent binary"
+
+
+def look(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each wanted key is, whether it is there)."""
+    if not len(sorted_):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return at, sorted_[at] == wanted
+
+
+def counted(coded: DataFrame, buckets: int) -> DataFrame:
+    """(slice, bucket, sent) with training count and number of the words of each slice; where slice is null, sums over a bucket: tokens, distinct words."""
+
+    def ask(batches):
+        for batch in batches:
+            for name, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, count = unpack(words)
+                bucket = bucket_of(keys, buckets)
+                runs = cuts(bucket)
+                yield _sent([name] * len(runs), [int(bucket[a]) for a, _ in runs], [pack(keys[a:b], count[a:b]) for a, b in runs])
+
+    def answer(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        parts = [unpack(x) for x in table.column("sent")]
+        keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        n = np.bincount(of, weights=np.concatenate([c for _, c in parts]).astype(float), minlength=len(keys)).astype(np.uint64)  # exact below 2 ** 53
+        number, often = np.zeros(len(keys), np.uint64), n >= SYMBOL_MIN
+        number[often] = np.arange(often.sum(), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+        ends = np.cumsum([len(k) for k, _ in parts])[:-1]
+        said = [pack(n[x], number[x].astype(np.uint32)) for x in np.split(of, ends)]
+        sums = pack(np.array([n.sum(), (n > 0).sum()], np.uint64))
+        return pa.table({"slice": pa.array(table.column("slice").to_pylist() + [None], pa.int64()), "bucket": pa.array([bucket] * (len(said) + 1), pa.int64()), "sent": pa.array([*said, sums], pa.binary())})
+
+    return coded.select("slice", "words").mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(answer, SENT)
+
+
+def numbered(coded: DataFrame, told: DataFrame) -> DataFrame:
+    """(slice, body, told): the slices with the counts and numbers of their words."""
+
+    def run(held: pa.Table, said: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in said.sort_by("bucket").column("sent")]
+        count, number = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"slice": held.column("slice"), "body": held.column("body"), "told": pa.array([pack(count, number)], pa.binary())})
+
+    return coded.select("slice", "body").groupBy("slice").cogroup(told.where("slice is not null").groupBy("slice")).applyInArrow(run, "slice long, body binary, told binary")
+
+
+def each(batches):
+    """The slices of a task."""
+    for batch in batches:
+        for body, told in zip(batch.column("body"), batch.column("told"), strict=True):
+            yield Slice(body, told)
+        common.trim()
 
 
 @dataclass
@@ -201,313 +316,341 @@ def usable(g: Grams, d: int, often: np.ndarray, live: np.ndarray | None) -> np.n
     return np.flatnonzero(use)
 
 
-def count_grams(docs: DataFrame, d: int, frequent, states) -> tuple[DataFrame, DataFrame | None]:
-    """(key, head, tail, n) of the frequent grams of round d: head is the context, tail the gram without its first word; and, from round NARROW on, the rows that hold a state."""
-    narrow = d >= NARROW
-    names = ["n", "first", "head", "tail"]
-    schema = pa.schema([*[(x, pa.int64()) for x in names], ("doc_id", pa.int64()), ("text", pa.string()), ("size", pa.int64())])
+#: What is found of the tree. A gram after a state: its count and probability, and the state; a gram that may be a state of the next round; a state: its count and that of its kept next words.
+GRAM, HEAD, NODE = 0, 1, 2
+FOUND = "kind int, bucket long, key long, n long, m long, p double, head long, depth int"
 
-    def grams(found):
-        _, *columns = found
-        none = len(found[0])
-        return pa.RecordBatch.from_arrays([*_batch(names, *columns).columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.string()), pa.nulls(none, pa.int64())], schema=schema)
 
-    def run(batches):
-        sums = Sums()
-        for part, g in learning(batches):
-            less, grams_now = g.of(d - 1)
-            live = states.value.has(less) if d > 1 else None
-            at = usable(g, d, frequent.value.has(grams_now), live)
-            first, head, tail = g.words[at - d], grams_now[at - 1], grams_now[at]
-            for found in sums.add(joined(first, tail), first, head, tail):
-                yield grams(found)
-            if narrow:
-                held = np.add.reduceat((live & (g.at >= d - 2)).astype(np.int64), g.bounds[:-1]) > 0
-                left = part.filter(pa.array(held))
-                none = pa.nulls(left.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([none] * 4 + [left.column(0), left.column(1), pa.array(np.diff(g.bounds)[held])], schema=schema)
-        for found in sums.rest():
-            yield grams(found)
-
-    out = docs.select("doc_id", "text").mapInArrow(run, "n long, first long, head long, tail long, doc_id long, text string, size long")
-    out = written(out) if narrow else out
-    rows = out.where("n is not null") if narrow else out
-    # of two words the first is the head
-    counts = rows.groupBy("head", "tail").agg(F.sum("n").alias("n")).withColumn("first", F.col("head")) if d == 1 else rows.groupBy("first", "head", "tail").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") >= NEXT_MIN).select(F.xxhash64("first", "tail").alias("key"), "head", "tail", "n")
-    return counts, out.where("n is null").select("doc_id", "text", "size") if narrow else None
+def _found(kind: int, depth: int, bucket, key, n, m=None, p=None, head=None) -> pa.Table:
+    size, long = len(key), lambda x: pa.nulls(size, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+    columns = [pa.array(np.full(size, kind, np.int32)), long(bucket), long(key), long(n), long(np.zeros(size, np.int64) if m is None else m), pa.nulls(size, pa.float64()) if p is None else pa.array(p), long(head), pa.array(np.full(size, depth, np.int32))]
+    return pa.table(columns, names=[x.split()[0] for x in FOUND.split(", ")])
 
 
-def grown(texts: pa.Array, d: int, last: pa.Table, states: np.ndarray, depth: int | None) -> tuple[int, np.ndarray]:
-    """The rounds from d on in one process: (depth reached, (key, n, m) of what they find), as count_grams() and kept_states() have it.
+def gains(of: np.ndarray, context: np.ndarray, n: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which contexts are states, the count of each one's next words, the probability of each next word), from each next word's context, count and probability after the parent.
 
-    Only the places after a state, and two before each, are looked at; they get fewer from round to round.
+    The divergence is that between the two distributions over the kept next words and all others together.
     """
-    column = lambda c: last.column(c).to_numpy(zero_copy_only=False)
-    g, keys, n, p, out = Grams(texts), column("key").view(np.uint64), column("n"), column("p").astype(float), []
-    order = np.argsort(keys)
-    keys, n, p, states = keys[order], n[order], p[order], np.sort(states)
-
-    def find(sorted_, wanted):
-        at = np.minimum(np.searchsorted(sorted_, wanted), max(0, len(sorted_) - 1))
-        return at, sorted_[at] == wanted if len(sorted_) else np.zeros(len(wanted), bool)
-
-    less, full = g.of(d - 1)
-    after = np.flatnonzero(g.at >= d - 1)
-    after = after[find(states, less[after - 1])[1]]  # the places after a state of d - 1 words
-    held = np.unique(np.concatenate((after, after - 1, after - 2)))
-    held = held[g.at[np.maximum(held, 0)] >= d - 1]
-    held = held[held >= 0]
-    gram = full[held]
-    del less, full
-    while len(after) and (depth is None or d <= depth):
-        at = np.unique(np.concatenate((after, after - 1)))
-        at = at[(at >= 0)]
-        at = at[g.at[at] >= d]
-        tail, head = gram[np.searchsorted(held, at)], gram[np.searchsorted(held, at - 1)]
-        often = find(keys, tail)[1]
-        at, tail, head = at[often], tail[often], head[often]
-        new, first, count = np.unique(g.longer(d, at, tail), return_index=True, return_counts=True)
-        often = count >= NEXT_MIN
-        new, head, tail, count = new[often], head[first[often]], tail[first[often]], count[often]
-        (ht, has_tail), (hh, has_head) = find(keys, tail), find(keys, head)
-        test = has_tail & has_head
-        test[test] = ~np.isnan(p[ht[test]])
-        heads, of = np.unique(head[test], return_inverse=True)
-        c, parent = n[hh[test]].astype(float), p[ht[test]]
-        context = np.zeros(len(heads))
-        context[of] = c
-        share = count[test] / c
-        add = lambda x, of=of, heads=heads: np.bincount(of, weights=x, minlength=len(heads))
-        seen = add(count[test])
-        rest, other = np.maximum(0.0, 1 - seen / np.maximum(context, 1)), np.clip(1 - add(parent), 1e-12, 1.0)
-        gain = add(share * np.log(share / parent)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / other), 0.0)
-        kept = gain * context >= GAIN
-        if not kept.any():
-            break
-        on = kept[of]
-        base = c[on] + LAMBDA
-        after_p = np.full(len(new), np.nan)
-        after_p[np.flatnonzero(test)[on]] = (base - seen[of[on]]) / base * parent[on] + count[test][on] / base
-        states = heads[kept]
-        out.append(np.stack([new[test][on].view(np.int64), count[test][on], np.zeros(on.sum(), np.int64)]))
-        out.append(np.stack([(states ^ np.uint64(STATE)).view(np.int64), context[kept].astype(np.int64), seen[kept].astype(np.int64)]))
-        keys, n, p = new, count, after_p
-        after = after[g.at[after] >= d]
-        after = after[find(states, gram[np.searchsorted(held, after - 1)])[1]]
-        d += 1
-        now = np.unique(np.concatenate((after, after - 1, after - 2)))
-        now = now[now >= 0]
-        now = now[g.at[now] >= d - 1]
-        gram = g.longer(d - 1, now, gram[np.searchsorted(held, now)])
-        held = now
-    return d - 1, np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+    add = lambda x: np.bincount(of, weights=x, minlength=len(context))
+    c = context.astype(float)
+    seen, share = add(n), n / c[of]
+    rest, other = np.maximum(0.0, 1 - seen / np.maximum(c, 1)), np.clip(1 - add(parent), 1e-12, 1.0)
+    gain = add(share * np.log(share / parent)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / other), 0.0)
+    base = c[of] + LAMBDA
+    return (gain * c >= GAIN) & (seen > 0), seen.astype(np.int64), (base - seen[of]) / base * parent + n / base
+
+
+def ask_grams(coded: DataFrame, d: int, frequent, states, buckets: int) -> DataFrame:
+    """(slice, bucket, sent): counts of the grams that round d can use, as numbers of words, by the last word of the context. In round 1 the words come with their counts."""
+
+    def sent(found):
+        _, n, *more = found
+        bucket = bucket_of(code_of(more[d - 1]), buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, n, more = bucket[order], n[order].astype(np.uint64), [m[order] for m in more]
+        runs, packed = cuts(bucket), []
+        for a, b in runs:
+            told = []
+            if d == 1:  # head, next word, their counts
+                ids, first = np.unique(np.concatenate((more[0][a:b], more[1][a:b])), return_index=True)
+                told = [ids, np.concatenate((more[2][a:b], more[3][a:b]))[first]]
+            packed.append(pack(*[m[a:b] for m in more[: d + 1]], n[a:b], *told))
+        return _sent([0] * len(runs), [int(bucket[a]) for a, _ in runs], packed)
+
+    def run(batches):
+        sums = Sums(1_000_000)
+        for g in each(batches):
+            g.keep_training()
+            number = g.number[g.of_word]
+            if d == 1:
+                at = np.flatnonzero((g.at >= 1) & g.usual & np.roll(g.usual, 1))
+                keys, more = number[at - 1].astype(np.uint64) << np.uint64(32) | number[at].astype(np.uint64), [g.count[g.of_word[at - 1]], g.count[g.of_word[at]]]
+            else:
+                less, grams = g.of(d - 1)
+                at = usable(g, d, frequent.value.has(grams), states.value.has(less ^ np.uint64(STATE)))
+                for k in range(d + 1):
+                    at = at[g.usual[at - k]]
+                keys, more = g.longer(d, at, grams[at]), []
+                del less, grams
+            for found in sums.add(keys, *[number[at - k] for k in range(d, -1, -1)], *more):
+                yield sent(found)
+        for found in sums.rest():
+            yield sent(found)
 
+    return coded.mapInArrow(run, SENT)
 
-def _grow_rest(rows: DataFrame, d: int, last: DataFrame, states: DataFrame, depth: int | None) -> DataFrame:
-    """(key, n, m, depth) of the rounds from d on, grown in one task from a bounded number of tokens and grams."""
-    one = F.lit(0).alias("one")
-    told = last.select(one, F.lit(None).cast("string").alias("text"), "key", "n", "p").unionByName(states.select(one, F.lit(None).cast("string").alias("text"), F.col("head").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("p")))
-    texts = rows.select(one, "text", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("p"))
 
-    def run(table: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
+def grow(asks: DataFrame, last: DataFrame | None, d: int, norm: float, buckets: int) -> DataFrame:
+    """What round d finds, in buckets: the context's last word has all that belongs together, but for the counts of the contexts, which come from their last word's."""
 
-        text = table.filter(pc.is_null(table.column("key"))).column("text").combine_chunks()
-        grams = table.filter(pc.is_valid(table.column("n"))).select(["key", "n", "p"])
-        heads = table.filter(pc.and_(pc.is_valid(table.column("key")), pc.is_null(table.column("n")))).column("key").to_numpy()
-        reached, found = grown(text, d, grams, heads.view(np.uint64), depth)
-        return pa.table({"key": found[0], "n": found[1], "m": found[2], "depth": np.full(found.shape[1], reached)})
+    def run(sent: pa.Table, prior: pa.Table | None) -> pa.Table:
+        parts = [unpack(x) for x in sent.column("sent")]
+        empty = [_found(kind, d, *[np.zeros(0, np.int64)] * 3) for kind in (GRAM, HEAD, NODE)]
+        if not parts:
+            return pa.concat_tables(empty)
+        *words, n = (np.concatenate(x) for x in zip(*[p[: d + 2] for p in parts], strict=True))
+        key, head = code_of(words[d]), code_of(words[d - 1])
+        for k in range(1, d + 1):
+            tail, key = key, joined(code_of(words[d - k]), key)
+            head = joined(code_of(words[d - k]), head) if k > 1 else head
+        key, first, of = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(of, weights=n.astype(float), minlength=len(key)).astype(np.int64)
+        often = n >= NEXT_MIN
+        key, n, first = key[often], n[often], first[often]
+        head, tail, last_word = head[first], tail[first], words[d][first]
+        if d == 1:
+            ids, at = np.unique(np.concatenate([p[-2] for p in parts]), return_index=True)
+            told = np.concatenate([p[-1] for p in parts])[at].astype(float)
+            c, parent = told[look(ids, words[0][first])[0]], (told[look(ids, last_word)[0]] + 0.1) / norm
+            test = np.ones(len(key), bool)
+        else:
+            kind, facts = prior.column("kind").to_numpy(), [prior.column(x).to_numpy(zero_copy_only=False) for x in ("key", "n", "p")]
+            (tails, _, p), (heads, count, _) = ([x[kind == k][np.argsort(facts[0][kind == k].view(np.uint64))] for x in facts] for k in (GRAM, HEAD))
+            (t, has_tail), (h, has_head) = look(tails.view(np.uint64), tail), look(heads.view(np.uint64), head)
+            test = has_tail & has_head
+            c, parent = count[h[test]].astype(float), p[t[test]]
+        nodes, at, of = np.unique(head[test], return_index=True, return_inverse=True)
+        kept, seen, p = gains(of, c[at], n[test], parent)
+        on = kept[of]
+        out = [_found(GRAM, d, bucket_of(code_of(words[d - 1][first][test][on]), buckets), key[test][on], n[test][on], p=p[on], head=head[test][on]), _found(NODE, d, None, nodes[kept] ^ np.uint64(STATE), c[at][kept].astype(np.int64), seen[kept])] if kept.any() else []
+        return pa.concat_tables([*empty, _found(HEAD, d, bucket_of(code_of(last_word), buckets), key, n), *out]) if len(key) else pa.concat_tables(empty)
 
-    return told.unionByName(texts).groupBy("one").applyInArrow(run, "key long, n long, m long, depth long")
+    if last is None:
+        return asks.groupBy("bucket").applyInArrow(lambda sent: run(sent, None), FOUND)
+    return asks.groupBy("bucket").cogroup(last.where("bucket is not null").groupBy("bucket")).applyInArrow(run, FOUND)
 
 
-def kept_states(rows: DataFrame) -> DataFrame:
-    """(head, c, seen) of the states kept, from (head, n, c, parent) of their next words.
+def ask_places(coded: DataFrame, d: int, ahead: int, states, buckets: int) -> DataFrame:
+    """(slice, bucket, sent): each place after a state of d words, by the state, with the numbers of ``ahead`` more words before it; what places share is sent once."""
 
-    The divergence is that between the two distributions over the kept next words and all others together.
-    """
-    p = F.col("n") / F.col("c")
-    found = rows.groupBy("head").agg(F.first("c").alias("c"), F.sum("n").alias("seen"), F.sum(p * F.log(p / F.col("parent"))).alias("gain"), F.sum("parent").alias("parent"))
-    rest, other = F.greatest(F.lit(0.0), 1 - F.col("seen") / F.col("c")), F.greatest(F.lit(1e-12), F.least(F.lit(1.0), 1 - F.col("parent")))
-    gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / other)).otherwise(0.0)
-    return found.where(gain * F.col("c") >= GAIN).select("head", "c", "seen")
+    def run(batches):
+        for g in each(batches):
+            g.keep_training()
+            at = context = gram = np.zeros(0, np.uint64)
+            for k, places, state, after in states_at(g, d, states.value.has):
+                if k == d:
+                    at, context, gram = places, state ^ np.uint64(STATE), after
+            if not len(at):
+                continue
+            bucket = bucket_of(context, buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, at, context, gram = bucket[order], at[order], context[order], gram[order]
+            end = at - d  # the words before it are wanted
+            room = np.minimum(g.at[at] - d, ahead)
+            start, apart = end - room, np.ones(len(at), bool)
+            apart[1:] = bucket[1:] != bucket[:-1]
+            fresh = end - np.where(apart, start, np.maximum(start, np.concatenate(([0], end[:-1]))))
+            ends = np.cumsum(fresh)
+            number, of = g.number[g.of_word], np.repeat(np.arange(len(at)), fresh)
+            words = number[np.arange(len(of)) - ends[of] + end[of]]
+            gram = np.where(g.usual[at], gram, np.uint64(0))
+            runs, packed = cuts(bucket), []
+            for a, b in runs:
+                before = ends[a - 1] if a else 0
+                packed.append(pack(words[before : ends[b - 1]], (ends[a:b] - before).astype(np.uint64), room[a:b].astype(np.uint32), context[a:b], gram[a:b]))
+            yield _sent([0] * len(runs), [int(bucket[a]) for a, _ in runs], packed)
+
+    return coded.mapInArrow(run, SENT)
+
+
+def grown(words, at, room, context, gram, p, d: int, to: int):
+    """Yields (round, state rows, gram rows) of the rounds from d + 1 to ``to``, from places after states of d words: the words before ``at``, ``room`` of them, the state, and the gram with the place's word (0: not of the alphabet) and its probability."""
+    while len(at) and d < to:
+        d += 1
+        on = room > 0
+        on[on] = words[at[on] - 1] > 0
+        at, room, context, gram, p = at[on] - 1, room[on] - 1, context[on], gram[on], p[on]
+        first = code_of(words[at])
+        nodes, of_node, c = np.unique(joined(first, context), return_inverse=True, return_counts=True)
+        on = c[of_node] >= NEXT_MIN
+        if not on.any():
+            return
+        at, room, first, context, gram, p = at[on], room[on], first[on], nodes[of_node[on]], gram[on], p[on]
+        gram = np.where(gram > 0, joined(first, gram), np.uint64(0))
+        keys, one, of_key, n = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+        often = (n >= NEXT_MIN) & (keys > 0)
+        nexts = np.flatnonzero(often)
+        node = look(nodes, context[one[nexts]])[0]
+        kept, seen, after = gains(node, c, n[nexts], p[one[nexts]])
+        on = kept[node]
+        yield d, (nodes[kept], c[kept], seen[kept]), (keys[nexts][on], n[nexts][on], after[on], nodes[node][on])
+        told = np.full(len(keys), np.nan)
+        told[nexts[on]] = after[on]
+        live = kept[look(nodes, context)[0]]
+        at, room, context, gram, p = at[live], room[live], context[live], np.where(np.isnan(told[of_key[live]]), np.uint64(0), gram[live]), told[of_key[live]]
+
+
+def grow_on(asks: DataFrame, last: DataFrame, d: int, to: int, buckets: int) -> DataFrame:
+    """What the rounds from d + 1 to ``to`` find, each bucket's subtrees by themselves."""
+    own = F.col("head") if not buckets else F.expr(f"shiftrightunsigned(shiftrightunsigned(head, 32) * {buckets}L, 32)")
+    last = last.where(f"kind = {GRAM} AND depth = {d}").select(own.alias("bucket"), "key", "p", "head")
+
+    def run(sent: pa.Table, prior: pa.Table) -> pa.Table:
+        out = [_found(GRAM, d, *[np.zeros(0, np.int64)] * 3)]
+        if sent.num_rows and prior.num_rows:
+            parts = [unpack(x) for x in sent.column("sent")]
+            sizes = np.cumsum([0, *[len(p[0]) for p in parts]])
+            words, room, context, gram = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4))
+            at = np.concatenate([p[1].astype(np.int64) + s for p, s in zip(parts, sizes[:-1], strict=True)])
+            del parts
+            key, p, head = (prior.column(x).to_numpy() for x in ("key", "p", "head"))
+            order = np.argsort(key.view(np.uint64))
+            key, p = key.view(np.uint64)[order], p[order]
+            live = look(np.unique(head.view(np.uint64)), context)[1]
+            at, room, context, gram = at[live], room[live].astype(np.int64), context[live], gram[live]
+            where, has = look(key, gram)
+            for r, (nodes, c, seen), (keys, n, after, of) in grown(words, at, room, context, np.where(has, gram, np.uint64(0)), np.where(has, p[where], np.nan), d, to):
+                out += [_found(NODE, r, None, nodes ^ np.uint64(STATE), c, seen), _found(GRAM, r, None, keys, n, p=after, head=of)]
+        common.trim()
+        return pa.concat_tables(out).combine_chunks()
 
+    return asks.groupBy("bucket").cogroup(last.groupBy("bucket")).applyInArrow(run, FOUND)
 
-def fit(docs: DataFrame, depth: int | None = None) -> tuple[int, int, int, DataFrame]:
-    """(tokens, distinct words, depth reached, (key, n, m) of all that is known) of all training rows; the table grows with the input.
 
-    n is the count of a word, of a state or of a state's next word; m is the count that a state's next words add up to.
+def fit(coded: DataFrame, total: int, distinct: int, depth: int | None = None) -> tuple[int, DataFrame | None]:
+    """(depth reached, (key, n, m) of all grams after states and of all states) of the training rows; the table grows with the input.
+
+    n is the count of a state or of a state's next word; m is the count that a state's next words add up to.
     """
-    words = written(unigrams(docs))
-    sums = words.agg(F.sum("n"), F.count("*")).first()
-    total, distinct = int(sums[0] or 0), int(sums[1] or 0)
-    none = F.lit(0).cast("long").alias("m")
-    known, scratch = words.select("key", "n", none), []
-    last = words.where(F.col("n") >= SYMBOL_MIN).select("key", "n", ((F.col("n") + 0.1) / (total + 0.1 * (distinct + 1))).alias("p"))
-    frequent, live, d, source = sieve(last.select("key")), None, 0, docs
-    while depth is None or d < depth:
-        counts, rows_left = count_grams(source, d + 1, frequent, live)
-        counts = written(counts)
-        scratch += [counts]
-        if rows_left is not None:
-            scratch += [rows_left]
-            source = rows_left
-            size = rows_left.agg(F.sum("size")).first()[0] or 0
-            if size <= ONE_TASK_TOKENS and last.count() <= ONE_TASK_GRAMS:
-                rest = written(_grow_rest(rows_left, d + 1, last, states, depth))
-                scratch += [rest]
-                known = known.unionByName(rest.select("key", "n", "m"))
-                d = rest.agg(F.max("depth")).first()[0] or d
-                break
-        rows = counts.join(last.select(F.col("key").alias("tail"), F.col("p").alias("parent")).where("parent is not null"), "tail")
-        rows = written(rows.join(last.select(F.col("key").alias("head"), F.col("n").alias("c")), "head").select("key", "head", "n", "c", "parent"))
-        states = written(kept_states(rows))
-        scratch += [rows, states]
-        if not states.head(1):
+    norm, d, found, last, frequent, states = float(total + 0.1 * (distinct + 1)), 0, [], None, None, None
+    buckets = buckets_for(coded.sparkSession, total)
+    nodes = lambda tables: sieve(reduce(DataFrame.unionByName, tables).where(f"kind = {NODE}").select("key"))
+    while d < NARROW - 1 and (depth is None or d < depth):
+        last = written(grow(ask_grams(coded, d + 1, frequent, states, buckets), last, d + 1, norm, buckets))
+        found.append(last)
+        if not last.where(f"kind = {NODE}").head(1):
             break
         d += 1
-        base = F.col("c") + LAMBDA
-        own = rows.drop("c").join(states, "head")
-        p = written(own.select("key", "n", ((base - F.col("seen")) / base * F.col("parent") + F.col("n") / base).alias("p")))
-        known = known.unionByName(p.select("key", "n", none)).unionByName(states.select(F.expr(f"head ^ {STATE}L").alias("key"), F.col("c").alias("n"), F.col("seen").alias("m")))
-        last = written(counts.select("key", "n").join(p.select("key", "p"), "key", "left"))
-        scratch += [p, last]
-        frequent, live = sieve(last.select("key")), sieve(states.select(F.col("head").alias("key")))
-    known = written(known)
-    for table in [words, *scratch]:
+        if d < NARROW - 1:
+            frequent = sieve(last.where(f"kind = {HEAD}").select("key"))
+            states = nodes([last])
+    else:
+        buckets, ahead = buckets if ONE_TASK_TOKENS else 0, AHEAD
+        while d and (depth is None or d < depth):
+            to = d + ahead if depth is None else min(depth, d + ahead)
+            last = written(grow_on(ask_places(coded, d, ahead, nodes(found), buckets), last, d, to, buckets))
+            found.append(last)
+            reached = last.where(f"kind = {NODE}").agg(F.max("depth")).first()[0]
+            d, before = reached or d, d
+            if d < to or d == before:
+                break
+            ahead *= AHEAD
+    known = written(reduce(DataFrame.unionByName, found).where(f"kind <> {HEAD}").select("key", "n", "m")) if d else None
+    for table in found:
         common.drop_written(table)
-    return total, distinct, d, known
-
-
-def packed(docs: DataFrame) -> DataFrame:
-    """(slice, rows) of all rows: pieces of about SLICE bytes of text, as compressed Arrow tables."""
-
-    def run(batches):
-        at = common.task_number() << 32
-        for batch in batches:
-            for part in slices(batch, 1, SLICE):
-                at += 1
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slice", "rows"])
-
-    return docs.mapInArrow(run, "slice long, rows binary")
+    return d, known
 
 
-def pieces(rows: bytes):
-    """The rows of a slice in pieces that are worked on at once."""
-    for batch in pa.ipc.open_stream(rows):
-        yield from slices(batch, 1, 1 << 20)
+def buckets_for(spark: SparkSession, total: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
 
 
-def states_at(g: Grams, depth: int, known):
+def states_at(g: Slice, depth: int, known):
     """For each round (d, places whose d words before them may be a state, those states' hashes, the places' grams of d + 1 words), while there are any.
 
     ``known(keys)`` says which states there are; a longer one is looked for only after those that are.
     """
+    if not depth:
+        return
+    one = known(g.code ^ np.uint64(STATE)) & (g.number > 0)
     at = np.flatnonzero(g.at >= 1)
+    at = at[one[g.of_word[at - 1]]]
     context, gram = g.words[at - 1], g.words[at]
     for d in range(1, depth + 1):
-        live = known(context ^ np.uint64(STATE))
-        at, context, gram = at[live], context[live], gram[live]
+        if d > 1:
+            live = known(context ^ np.uint64(STATE))
+            at, context, gram = at[live], context[live], gram[live]
         if not len(at):
             return
         gram = g.longer(d, at, gram)
         yield d, at, context ^ np.uint64(STATE), gram
         on = g.at[at] > d
         at, context, gram = at[on], context[on], gram[on]
-        context = g.longer(d, at - 1, context)
+        context = joined(g.words[at - d - 1], context)
 
 
-def keys_of(g: Grams, depth: int, states: Sieve) -> np.ndarray:
-    """The distinct words of some texts, and what may be known of their contexts, round by round as far as any may be a state."""
-    found = [np.unique(g.words)]
+def keys_of(g: Slice, depth: int, states: Sieve) -> np.ndarray:
+    """The distinct keys that may be known of the contexts of some texts, round by round as far as any may be a state."""
+    found = [np.zeros(0, np.uint64)]
     for _, _, state, gram in states_at(g, depth, states.has):
         found += [np.unique(state), np.unique(gram[states.has(gram)])]
     return np.unique(np.concatenate(found))
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the hash, so keys in order are in order of their buckets."""
-    return (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-
-
-def _asked(texts: DataFrame, states, depth: int, buckets: int) -> DataFrame:
+def _asked(coded: DataFrame, states, depth: int, buckets: int) -> DataFrame:
     """(slice, bucket, keys): the distinct keys of each slice in order, packed by bucket."""
 
     def run(batches):
         for batch in batches:
-            for name, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = np.unique(np.concatenate([keys_of(Grams(p.column(1)), depth, states.value) for p in pieces(rows.as_buffer())]))
+            for name, body, told in zip(*(batch.column(c) for c in ("slice", "body", "told")), strict=True):
+                keys = keys_of(Slice(body, told), depth, states.value)
                 bucket = bucket_of(keys, buckets)
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                sent = [keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(sent), pa.int64()), pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(sent, pa.binary())], ["slice", "bucket", "keys"])
+                runs = cuts(bucket)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(runs), pa.int64()), pa.array([int(bucket[a]) for a, _ in runs], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in runs], pa.binary())], ["slice", "bucket", "keys"])
             common.trim()
 
-    return texts.mapInArrow(run, "slice long, bucket int, keys binary")
+    return coded.mapInArrow(run, "slice long, bucket long, keys binary")
 
 
 def _answered(asks: DataFrame, known: DataFrame) -> DataFrame:
-    """(slice, bucket, counts): n and m of each key asked, in the order asked; 0 for what is not known."""
+    """(slice, bucket, sent): the keys that are known, of those asked, with their n and m."""
 
     def answer(asked: pa.Table, facts: pa.Table) -> pa.Table:
         keys = facts.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys, values = keys[order], np.stack([facts.column(c).to_numpy()[order] for c in ("n", "m")]) if len(keys) else np.zeros((2, 0), np.int64)
+        keys, n, m = keys[order], *(facts.column(c).to_numpy().view(np.uint64)[order] for c in ("n", "m"))
         said = []
         for sent in asked.column("keys"):
-            want = np.frombuffer(sent.as_buffer(), np.uint64)
-            out = np.zeros((2, len(want)), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                hit = keys[at] == want
-                out[:, hit] = values[:, at[hit]]
-            said.append(pa.compress(out.tobytes(), codec="zstd", asbytes=True))
-        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"), "counts": pa.array(said, pa.binary()), "size": pa.array([len(x.as_buffer()) // 8 for x in asked.column("keys")], pa.int32())})
-
-    return asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "slice long, bucket int, counts binary, size int")
-
-
-def _scored(texts: DataFrame, answers: DataFrame, states, depth: int, total: int, distinct: int) -> DataFrame:
+            at, hit = look(keys, np.frombuffer(sent.as_buffer(), np.uint64))
+            said.append(pack(keys[at[hit]], n[at[hit]], m[at[hit]]))
+        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"), "sent": pa.array(said, pa.binary())})
+
+    return asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, SENT)
+
+
+def probabilities(g: Slice, depth: int, root: np.ndarray, keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability. After hundreds of states one may be below the least double, so powers of ten are kept apart."""
+    p, low = root[g.of_word], np.zeros(len(g.words))
+    for _, at, state, gram in states_at(g, depth, lambda wanted: look(keys, wanted)[1]):
+        s = look(keys, state)[0]
+        x, has = look(keys, gram)
+        base = n[s] + LAMBDA
+        own, less = np.where(has, n[x], 0) / base, (base - m[s]) / base * p[at]
+        deep = (less < 1e-200) & ~has
+        less[deep] *= 1e200
+        was = low[at]
+        p[at] = np.where(has & (was < 0), own, less + own)  # what is left of one so low does not count
+        low[at] = np.where(has, 0.0, was - 200.0 * deep)
+    return np.log10(p) + low
+
+
+def _scored(coded: DataFrame, answers: DataFrame | None, depth: int, total: int, distinct: int) -> DataFrame:
     """The rows of each slice with what its answers make of them."""
     norm = float(total + 0.1 * (distinct + 1))
 
+    def score_of(g: Slice, keys, n, m) -> pa.Table:
+        root, add = (g.count + 0.1) / norm, lambda v: np.add.reduceat(v, g.bounds[:-1])
+        done = [add((g.count > 0).astype(np.int64)[g.of_word]), np.full(len(g.size), total), add(np.log10(root)[g.of_word]), add(probabilities(g, depth, root, keys, n, m))]
+        return pa.table([g.doc_id, pa.array(g.held_out), pa.array(g.size), *map(pa.array, done)], names=RESULT)
+
     def run(held: pa.Table, told: pa.Table) -> pa.Table:
-        done = []
-        rows = held.column("rows")[0].as_buffer() if held.num_rows else b""
-        told = told.sort_by("bucket")
-        counts = [np.frombuffer(pa.decompress(c.as_buffer(), s * 16, codec="zstd"), np.int64).reshape(2, s) for c, s in zip(told.column("counts"), told.column("size").to_pylist(), strict=True)]
-        counts = np.concatenate(counts, axis=1) if counts else np.zeros((2, 0), np.int64)
-        keys = np.unique(np.concatenate([keys_of(Grams(p.column(1)), depth, states.value) for p in pieces(rows)]))
-        keys, counts = keys[counts[0] > 0], counts[:, counts[0] > 0]
-
-        def get(wanted):
-            """(n, m) of each wanted key; 0 for what is not known."""
-            if not len(keys):
-                return np.zeros((2, len(wanted)), np.int64)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, counts[:, at], 0)
-
-        for part in pieces(rows):
-            g = Grams(part.column(1))
-            n = get(g.words)[0]
-            root = (n + 0.1) / norm
-            p = root.copy()
-            for _, at, state, gram in states_at(g, depth, lambda wanted: get(wanted)[0] > 0):
-                c, seen = get(state)
-                base = c + LAMBDA
-                p[at] = (base - seen) / base * p[at] + get(gram)[0] / base
-            add = lambda v, g=g: np.add.reduceat(v, g.bounds[:-1])
-            size = np.diff(g.bounds).astype(np.int64)
-            held_out = crc_mod(part.column(0).to_pylist(), 10) == 0
-            done.append(pa.table([part.column(0), pa.array(held_out), pa.array(size), pa.array(add((n > 0).astype(np.int64))), pa.array(np.full(len(size), total)), pa.array(add(np.log10(root))), pa.array(add(np.log10(p)))], names=RESULT))
+        parts = [unpack(x) for x in told.column("sent")] or [[np.zeros(0, np.uint64)] * 3]
+        keys, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        out = [score_of(Slice(body, said), keys[order], n[order].astype(np.int64), m[order].astype(np.int64)) for body, said in zip(held.column("body"), held.column("told"), strict=True)]
         common.trim()
-        return pa.concat_tables(done)
+        return pa.concat_tables(out)
 
-    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def alone(batches):
+        none = np.zeros(0, np.uint64)
+        for g in each(batches):
+            yield from score_of(g, none, none, none).to_batches()
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if answers is None:
+        return coded.mapInArrow(alone, schema)
+    return coded.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, depth: int | None = None) -> DataFrame:
@@ -517,13 +660,21 @@ def score(docs: DataFrame, depth: int | None = None) -> DataFrame:
     ids are scored each, and count in training each. Without training rows every token is unknown: N and V are 0. Whole texts are
     read; other columns are not. ``depth`` bounds the words of a context; by default they grow until none diverges from its parent.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total, distinct, reached, known = fit(docs, depth)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    texts, states = written(packed(docs)), sieve(known.select("key"))
-    bucket = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {buckets}L, 32) AS int)").alias("bucket")
-    answers = _answered(_asked(texts, states, reached, buckets), known.select(bucket, "key", "n", "m"))
-    return _scored(texts, answers, states, reached, total, distinct)
+    docs, spark = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), docs.sparkSession
+    texts = written(encoded(docs))
+    told = written(counted(texts, buckets_for(spark, 0)))
+    sums = [unpack(pa.scalar(bytes(r.sent)))[0] for r in told.where("slice is null").select("sent").collect()]
+    total, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
+    coded = written(numbered(texts, told))
+    for table in (texts, told):
+        common.drop_written(table)
+    reached, known = fit(coded, total, distinct, depth)
+    if known is None:
+        return _scored(coded, None, 0, total, distinct)
+    buckets = buckets_for(spark, total)
+    bucket = F.expr(f"shiftrightunsigned(shiftrightunsigned(key, 32) * {buckets}L, 32)").alias("bucket")
+    answers = _answered(_asked(coded, sieve(known.select("key")), reached, buckets), known.select(bucket, "key", "n", "m"))
+    return _scored(coded, answers, reached, total, distinct)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

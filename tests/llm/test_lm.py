@@ -135,3 +135,32 @@ def test_held_out_texts_gain_over_the_base(spark):
     common.ship(spark)
     got = lm.score(spark.createDataFrame(corpus(), "doc_id long, text string")).where("held_out and doc_id < 300").selectExpr("avg(score / n_tokens) AS s", "avg(base_score / n_tokens) AS b").first()
     assert got.s > got.b + 0.3
+
+
+def test_rounds_share_passes(spark, tree, monkeypatch):
+    """The rows are read once, and deep rounds need no pass each."""
+    common.ship(spark)
+    passes, texts, ask, encoded = [], [], lm.ask_places, lm.encoded
+    monkeypatch.setattr(lm, "NARROW", 2)
+    monkeypatch.setattr(lm, "ask_places", lambda *a: passes.append(a[1:3]) or ask(*a))
+    monkeypatch.setattr(lm, "encoded", lambda df: texts.append(df) or encoded(df))
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)).collect()}
+    assert got[6000] == pytest.approx(tree.score("One long Copy that goes on and on and on to its end"), abs=1e-7)
+    assert tree.depth >= 5 and passes == [(1, 8)] and len(texts) == 1
+
+
+def test_deep_states_leave_a_finite_score():
+    """A word that none of hundreds of states foretells; its probability is below the least double."""
+    import numpy as np
+
+    words, deep = 400, 300
+    one = lambda *x: pa.scalar(lm.pack(*x))
+    g = lm.Slice(one(np.zeros(1, np.uint64), np.ones(1, np.uint8), np.zeros(1, np.uint8), np.array([words], np.uint64), np.array([0] * (words - 1) + [1], np.uint32)), one(np.array([10**6, 50], np.uint64), np.array([1, 2], np.uint32)))
+    state, keys = g.code[:1], []
+    for _ in range(deep):
+        keys.append(state[0] ^ np.uint64(lm.STATE))
+        state = lm.joined(g.code[:1], state)
+    keys, n = np.sort(np.array(keys, np.uint64)), np.full(deep, 10**6)
+    p = lm.probabilities(g, deep, np.array([0.5, 0.25]), keys, n, n)
+    assert p[-1] == pytest.approx(math.log10(0.25) + deep * math.log10(lm.LAMBDA / (10**6 + lm.LAMBDA)), rel=1e-9)
+    assert p[0] == pytest.approx(math.log10(0.5)) and np.isfinite(p).all()
