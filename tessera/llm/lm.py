@@ -223,6 +223,31 @@ def look(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, sorted_[at] == wanted
 
 
+class Facts:
+    """Sorted hashes, found by their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.start = np.concatenate(([0], np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)))).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As look() does."""
+        top = (wanted >> self.shift).astype(np.int64)
+        at, has = self.start[top], np.zeros(len(wanted), bool)
+        left = np.flatnonzero(at < self.start[top + 1])
+        end = self.start[top[left] + 1]
+        while len(left):
+            same = self.keys[at[left]] == wanted[left]
+            has[left[same]] = True
+            left, end = left[~same], end[~same]
+            at[left] += 1
+            on = at[left] < end
+            left, end = left[on], end[on]
+        at[~has] = 0
+        return at, has
+
+
 def counted(coded: DataFrame, buckets: int) -> DataFrame:
     """(slice, bucket, sent) with training count and number of the words of each slice; where slice is null, sums over a bucket: tokens, distinct words."""
 
@@ -611,10 +636,10 @@ def _answered(asks: DataFrame, known: DataFrame) -> DataFrame:
 
 def probabilities(g: Slice, depth: int, root: np.ndarray, keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """log10 of each token's probability. After hundreds of states one may be below the least double, so powers of ten are kept apart."""
-    p, low = root[g.of_word], np.zeros(len(g.words))
-    for _, at, state, gram in states_at(g, depth, lambda wanted: look(keys, wanted)[1]):
-        s = look(keys, state)[0]
-        x, has = look(keys, gram)
+    p, low, facts = root[g.of_word], np.zeros(len(g.words)), Facts(keys)
+    for _, at, state, gram in states_at(g, depth, lambda wanted: facts.find(wanted)[1]):
+        s = facts.find(state)[0]
+        x, has = facts.find(gram)
         base = n[s] + LAMBDA
         own, less = np.where(has, n[x], 0) / base, (base - m[s]) / base * p[at]
         deep = (less < 1e-200) & ~has
