@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,41 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tessera/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs within go when it ends, not when the driver happens to collect its garbage. For plans that run once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder; a lost executor then costs a read, no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_apart(df: DataFrame, column: str, values: list[str]) -> list[DataFrame]:
+    """As written(), but a table for each of these values of a column, without it, so that each can be dropped by itself."""
+    spark = df.sparkSession
+    path, rest = scratch_path(spark), df.drop(column).schema
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    out = []
+    for value in values:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # it may have no rows
+        out.append(spark.read.schema(rest).parquet(f"{path}/{column}={value}"))
+    return out
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the tables that written() made for this frame."""
     spark = df.sparkSession

@@ -45,8 +45,8 @@ SIEVE_LEAST, SIEVE_BITS, SHIFTS = 22, 27, (1, 32)
 NARROW, AHEAD = 4, 8
 #: 0 deals each state by itself, else by buckets.
 ONE_TASK_TOKENS = 4_000_000
-#: Bytes of text of a slice.
-SLICE = 8 << 20
+#: Bytes of text of a slice; so many slices ask for what they need together, since they share much of it.
+SLICE, GROUP = 8 << 20, 8
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 #: The primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -135,9 +135,16 @@ class Sums:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned arrays of any lengths as compressed bytes."""
-    head = np.array([len(arrays), *[x for a in arrays for x in (a.dtype.itemsize, len(a))]], np.int64)
-    raw = b"".join([head.tobytes(), *[x for a in arrays for x in (a.tobytes(), bytes(-a.nbytes % 8))]])
+    """Unsigned arrays of any lengths as compressed bytes. Arrays that never fall are kept as steps; of all, the first bytes of the values stand together, then the second, as far as any value has them."""
+    head, planes = [len(arrays)], []
+    for a in arrays:
+        rising = len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        if rising:
+            a = np.diff(a, prepend=np.zeros(1, a.dtype))
+        wide = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        head += [a.dtype.itemsize, len(a), wide, int(rising)]
+        planes.append(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize)[:, :wide].T.tobytes())
+    raw = b"".join([np.array(head, np.int64).tobytes(), *planes])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -145,10 +152,13 @@ def unpack(packed: pa.Scalar) -> list[np.ndarray]:
     data = packed.as_buffer()
     raw = pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd")
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).tolist(), 8 * (1 + 2 * n), []
-    for size, count in zip(head[::2], head[1::2], strict=True):
-        out.append(np.frombuffer(raw, f"u{size}", count, at))
-        at += size * count + -size * count % 8
+    head, at, out = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(n, 4).tolist(), 8 * (1 + 4 * n), []
+    for size, count, wide, rising in head:
+        a = np.zeros((count, size), np.uint8)
+        a[:, :wide] = np.frombuffer(raw, np.uint8, wide * count, at).reshape(wide, count).T
+        a = a.reshape(-1).view(f"u{size}")
+        out.append(np.cumsum(a, dtype=a.dtype) if rising else a)
+        at += wide * count
     return out
 
 
@@ -161,7 +171,9 @@ class Slice(Grams):
     """Rows of a slice as numbers: for each token its place in the slice's list of words, which has each word's training count and its number if it is of the alphabet, else 0."""
 
     def __init__(self, body: pa.Scalar, told: pa.Scalar):
-        ids, valid, held_out, size, self.of_word = unpack(body)
+        ids, valid, held_out, size, self.of_word, *often = unpack(body)
+        if often:  # the words' places are by how often they occur
+            self.of_word = np.argsort(-often[0].astype(np.int64), kind="stable").astype(np.uint32)[self.of_word]
         self.count, self.number = (x for x in unpack(told))
         self.doc_id, self.held_out, self.size = pa.array(ids.view(np.int64), mask=valid == 0), held_out != 0, size.astype(np.int64)
         self.code = code_of(self.number)
@@ -176,7 +188,7 @@ class Slice(Grams):
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """(slice, body, words) of all rows: pieces of about SLICE bytes of text. A body holds ids and tokens, as places in the slice's list of distinct words; that has a training count each."""
+    """(slice, kind, data) of all rows: pieces of about SLICE bytes of text, each a body and its list of distinct words with a training count each. A body holds ids, tokens as places in that list by falling frequency, and the frequencies."""
 
     def run(batches):
         at = common.task_number() << 32
@@ -185,16 +197,18 @@ def encoded(docs: DataFrame) -> DataFrame:
                 at += 1
                 found = [tokens(p.column(1)) for p in slices(part, 1, 1 << 20)]
                 size = np.concatenate([np.diff(b) for _, b in found])
-                words, of_word = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+                words, of_word, often = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True, return_counts=True)
                 ids = part.column(0).to_pylist()
                 held_out = crc_mod(ids, 10) == 0
                 count = np.bincount(of_word[np.repeat(~held_out, size)], minlength=len(words)).astype(np.uint64)
                 valid = np.array([x is not None for x in ids], np.uint8)
-                body = pack(np.array([x or 0 for x in ids], np.int64).view(np.uint64), valid, held_out.astype(np.uint8), size.astype(np.uint64), of_word.astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([body], pa.binary()), pa.array([pack(words, count)], pa.binary())], ["slice", "body", "words"])
+                place = np.empty(len(words), np.uint32)
+                place[np.argsort(-often, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+                body = pack(np.array([x or 0 for x in ids], np.int64).view(np.uint64), valid, held_out.astype(np.uint8), size.astype(np.uint64), place[of_word], often.astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([at, at], pa.int64()), pa.array(["body", "words"]), pa.array([body, pack(words, count)], pa.binary())], ["slice", "kind", "data"])
             common.trim()
 
-    return docs.mapInArrow(run, "slice long, body binary, words binary")
+    return docs.mapInArrow(run, "slice long, kind string, data binary")
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -212,7 +226,7 @@ def _sent(name: list, bucket: list, packed: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(bucket, pa.int64()), pa.array(packed, pa.binary())], ["slice", "bucket", "sent"])
 
 
-SENT = "slice long, bucket long, sent binary"
+SENT, ASKED = "slice long, bucket long, sent binary", "grp long, bucket long, sent binary"
 
 
 def look(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +262,7 @@ class Facts:
         return at, has
 
 
-def counted(coded: DataFrame, buckets: int) -> DataFrame:
+def counted(words: DataFrame, buckets: int) -> DataFrame:
     """(slice, bucket, sent) with training count and number of the words of each slice; where slice is null, sums over a bucket: tokens, distinct words."""
 
     def ask(batches):
@@ -265,24 +279,30 @@ def counted(coded: DataFrame, buckets: int) -> DataFrame:
         keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         n = np.bincount(of, weights=np.concatenate([c for _, c in parts]).astype(float), minlength=len(keys)).astype(np.uint64)  # exact below 2 ** 53
         number, often = np.zeros(len(keys), np.uint64), n >= SYMBOL_MIN
-        number[often] = np.arange(often.sum(), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+        rank = np.flatnonzero(often)
+        rank = rank[np.argsort(-n[rank].astype(np.int64), kind="stable")]  # frequent words have small numbers
+        number[rank] = np.arange(len(rank), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
         ends = np.cumsum([len(k) for k, _ in parts])[:-1]
         said = [pack(n[x], number[x].astype(np.uint32)) for x in np.split(of, ends)]
         sums = pack(np.array([n.sum(), (n > 0).sum()], np.uint64))
         return pa.table({"slice": pa.array(table.column("slice").to_pylist() + [None], pa.int64()), "bucket": pa.array([bucket] * (len(said) + 1), pa.int64()), "sent": pa.array([*said, sums], pa.binary())})
 
-    return coded.select("slice", "words").mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(answer, SENT)
+    return words.mapInArrow(ask, SENT).groupBy("bucket").applyInArrow(answer, SENT)
 
 
-def numbered(coded: DataFrame, told: DataFrame) -> DataFrame:
-    """(slice, body, told): the slices with the counts and numbers of their words."""
+def numbered(bodies: DataFrame, told: DataFrame, groups: int) -> DataFrame:
+    """(grp, slice, body, told): the slices with the counts and numbers of their words, those of a group one after another."""
+    grp = F.expr(f"pmod(shiftright(slice, 32) * 5 + (slice & 4294967295L), {groups}L)").alias("grp")
 
     def run(held: pa.Table, said: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in said.sort_by("bucket").column("sent")]
-        count, number = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"slice": held.column("slice"), "body": held.column("body"), "told": pa.array([pack(count, number)], pa.binary())})
+        said, out = said.sort_by([("slice", "ascending"), ("bucket", "ascending")]), {}
+        for a, b in cuts(said.column("slice").to_numpy()):
+            count, number = (np.concatenate(x) for x in zip(*[unpack(x) for x in said.column("sent").slice(a, b - a)], strict=True))
+            out[said.column("slice")[a].as_py()] = pack(count, number)
+        return held.select(["grp", "slice", "data"]).append_column("told", pa.array([out[x] for x in held.column("slice").to_pylist()], pa.binary())).rename_columns(["grp", "slice", "body", "told"])
 
-    return coded.select("slice", "body").groupBy("slice").cogroup(told.where("slice is not null").groupBy("slice")).applyInArrow(run, "slice long, body binary, told binary")
+    said = told.where("slice is not null").select(grp, "slice", "bucket", "sent")
+    return bodies.select(grp, "slice", "data").groupBy("grp").cogroup(said.groupBy("grp")).applyInArrow(run, "grp long, slice long, body binary, told binary")
 
 
 def each(batches):
@@ -309,19 +329,36 @@ class Sieve:
 
 
 def sieve(keys: DataFrame):
-    """The broadcast filter of a column of hashes."""
+    """The broadcast filter of a column of hashes. Tasks send the bits they set, packed by blocks of 2 ** 22."""
     bits = min(SIEVE_BITS, max(SIEVE_LEAST, (16 * keys.count()).bit_length()))
-    at = F.explode(F.array(*[F.expr(f"shiftrightunsigned(key, {k}) & {(1 << bits) - 1}L") for k in SHIFTS]))
-    words = keys.select(at.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits"))
 
-    def pack(table: pa.Table) -> pa.Table:
-        word, out = table.column("word").to_numpy(), np.zeros(1 << 16, np.int64)
-        out[word & 65535] = table.column("bits").to_numpy()
-        return pa.table({"block": pa.array([int(word[0]) >> 16], pa.int32()), "words": pa.array([out.tobytes()], pa.binary())})
+    def sent(held):
+        at = np.unique(np.concatenate([(k >> np.uint64(shift)) & np.uint64((1 << bits) - 1) for k in held for shift in SHIFTS]))
+        runs = cuts(at >> np.uint64(22))
+        return pa.RecordBatch.from_arrays([pa.array([int(at[a]) >> 22 for a, _ in runs], pa.int32()), pa.array([pack(at[a:b]) for a, b in runs], pa.binary())], ["block", "words"])
+
+    def ask(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                size += batch.num_rows
+            if size > 1_000_000:
+                yield sent(held)
+                held, size = [], 0
+        if held:
+            yield sent(held)
+
+    def join(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << 22, bool)
+        for x in table.column("words"):
+            out[(unpack(x)[0] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        return pa.table({"block": table.column("block").slice(0, 1), "words": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
     found = np.zeros(max(1 << 16, 1 << bits - 6), np.uint64)
-    blocks = words.groupBy(F.expr("shiftright(word, 16)")).applyInArrow(pack, "block int, words binary")
-    for r in blocks.collect():  # 2 ** (SIEVE_BITS - 22) rows of 512 kB at most
+    with common.shuffles_dropped(keys.sparkSession):
+        blocks = keys.mapInArrow(ask, "block int, words binary").groupBy("block").applyInArrow(join, "block int, words binary").collect()
+    for r in blocks:  # 2 ** (SIEVE_BITS - 22) rows of 512 kB at most
         found[r.block << 16 : r.block + 1 << 16] = np.frombuffer(r.words, np.uint64)
     return keys.sparkSession.sparkContext.broadcast(Sieve(bits, found))
 
@@ -366,13 +403,23 @@ def gains(of: np.ndarray, context: np.ndarray, n: np.ndarray, parent: np.ndarray
     return (gain * c >= GAIN) & (seen > 0), seen.astype(np.int64), (base - seen[of]) / base * parent + n / base
 
 
+def unstepped(context: list[np.ndarray], steps: np.ndarray) -> np.ndarray:
+    """The next words' numbers from their steps, which begin anew with each context."""
+    total = np.cumsum(steps, dtype=np.uint64)
+    new = np.ones(len(steps), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in context])
+    first = np.flatnonzero(new)
+    return (total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(steps))))).astype(steps.dtype)
+
+
 def ask_grams(coded: DataFrame, d: int, frequent, states, buckets: int) -> DataFrame:
     """(slice, bucket, sent): counts of the grams that round d can use, as numbers of words, by the last word of the context. In round 1 the words come with their counts."""
 
     def sent(found):
         _, n, *more = found
         bucket = bucket_of(code_of(more[d - 1]), buckets)
-        order = np.argsort(bucket, kind="stable")
+        # in order of their words they pack well; pairs come so
+        order = np.lexsort((more[d], *more[: d - 1], more[d - 1], bucket)) if d > 1 else np.argsort(bucket, kind="stable")
         bucket, n, more = bucket[order], n[order].astype(np.uint64), [m[order] for m in more]
         runs, packed = cuts(bucket), []
         for a, b in runs:
@@ -380,7 +427,10 @@ def ask_grams(coded: DataFrame, d: int, frequent, states, buckets: int) -> DataF
             if d == 1:  # head, next word, their counts
                 ids, first = np.unique(np.concatenate((more[0][a:b], more[1][a:b])), return_index=True)
                 told = [ids, np.concatenate((more[2][a:b], more[3][a:b]))[first]]
-            packed.append(pack(*[m[a:b] for m in more[: d + 1]], n[a:b], *told))
+            last = more[d][a:b].copy()
+            same = np.logical_and.reduce([m[a + 1 : b] == m[a : b - 1] for m in more[:d]])
+            last[1:][same] -= more[d][a : b - 1][same]  # after equal contexts, the step to the next word's number
+            packed.append(pack(*[m[a:b] for m in more[:d]], last, n[a:b], *told))
         return _sent([0] * len(runs), [int(bucket[a]) for a, _ in runs], packed)
 
     def run(batches):
@@ -411,6 +461,8 @@ def grow(asks: DataFrame, last: DataFrame | None, d: int, norm: float, buckets:
 
     def run(sent: pa.Table, prior: pa.Table | None) -> pa.Table:
         parts = [unpack(x) for x in sent.column("sent")]
+        for p in parts:
+            p[d] = unstepped(p[:d], p[d])
         empty = [_found(kind, d, *[np.zeros(0, np.int64)] * 3) for kind in (GRAM, HEAD, NODE)]
         if not parts:
             return pa.concat_tables(empty)
@@ -447,33 +499,32 @@ def grow(asks: DataFrame, last: DataFrame | None, d: int, norm: float, buckets:
 
 
 def ask_places(coded: DataFrame, d: int, ahead: int, states, buckets: int) -> DataFrame:
-    """(slice, bucket, sent): each place after a state of d words, by the state, with the numbers of ``ahead`` more words before it; what places share is sent once."""
+    """(slice, bucket, sent): each place after a state of d words, by the state, as the numbers of its word, of the state's and of ``ahead`` more before them; what places share is sent once."""
 
     def run(batches):
         for g in each(batches):
             g.keep_training()
-            at = context = gram = np.zeros(0, np.uint64)
-            for k, places, state, after in states_at(g, d, states.value.has):
+            at = context = np.zeros(0, np.uint64)
+            for k, places, state, _ in states_at(g, d, states.value.has):
                 if k == d:
-                    at, context, gram = places, state ^ np.uint64(STATE), after
+                    at, context = places, state ^ np.uint64(STATE)
             if not len(at):
                 continue
             bucket = bucket_of(context, buckets)
             order = np.argsort(bucket, kind="stable")
-            bucket, at, context, gram = bucket[order], at[order], context[order], gram[order]
-            end = at - d  # the words before it are wanted
+            bucket, at = bucket[order], at[order]
+            end = at + 1
             room = np.minimum(g.at[at] - d, ahead)
-            start, apart = end - room, np.ones(len(at), bool)
+            start, apart = at - d - room, np.ones(len(at), bool)
             apart[1:] = bucket[1:] != bucket[:-1]
             fresh = end - np.where(apart, start, np.maximum(start, np.concatenate(([0], end[:-1]))))
             ends = np.cumsum(fresh)
             number, of = g.number[g.of_word], np.repeat(np.arange(len(at)), fresh)
             words = number[np.arange(len(of)) - ends[of] + end[of]]
-            gram = np.where(g.usual[at], gram, np.uint64(0))
             runs, packed = cuts(bucket), []
             for a, b in runs:
                 before = ends[a - 1] if a else 0
-                packed.append(pack(words[before : ends[b - 1]], (ends[a:b] - before).astype(np.uint64), room[a:b].astype(np.uint32), context[a:b], gram[a:b]))
+                packed.append(pack(words[before : ends[b - 1]], (ends[a:b] - before).astype(np.uint64), room[a:b].astype(np.uint32)))
             yield _sent([0] * len(runs), [int(bucket[a]) for a, _ in runs], packed)
 
     return coded.mapInArrow(run, SENT)
@@ -516,9 +567,14 @@ def grow_on(asks: DataFrame, last: DataFrame, d: int, to: int, buckets: int) ->
         if sent.num_rows and prior.num_rows:
             parts = [unpack(x) for x in sent.column("sent")]
             sizes = np.cumsum([0, *[len(p[0]) for p in parts]])
-            words, room, context, gram = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3, 4))
-            at = np.concatenate([p[1].astype(np.int64) + s for p, s in zip(parts, sizes[:-1], strict=True)])
+            words, room = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+            at = np.concatenate([p[1].astype(np.int64) + s for p, s in zip(parts, sizes[:-1], strict=True)]) - 1
             del parts
+            context, gram = code_of(words[at - 1]), joined(code_of(words[at - 1]), code_of(words[at]))
+            for k in range(2, d + 1):
+                context, gram = (joined(code_of(words[at - k]), x) for x in (context, gram))
+            gram = np.where(words[at] > 0, gram, np.uint64(0))
+            at = at - d  # the words before it are to come
             key, p, head = (prior.column(x).to_numpy() for x in ("key", "p", "head"))
             order = np.argsort(key.view(np.uint64))
             key, p = key.view(np.uint64)[order], p[order]
@@ -603,35 +659,45 @@ def keys_of(g: Slice, depth: int, states: Sieve) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _asked(coded: DataFrame, states, depth: int, buckets: int) -> DataFrame:
-    """(slice, bucket, keys): the distinct keys of each slice in order, packed by bucket."""
+def _asked(coded: DataFrame, states, depth: int, buckets: int, bits: int) -> DataFrame:
+    """(grp, bucket, sent): the first bits of the distinct keys of each group's slices in order, packed by bucket. All keys that share them come back whole, so the bits lose nothing."""
+
+    def sent(grp, held):
+        keys = np.unique(np.concatenate(held))
+        bucket = bucket_of(keys, buckets)
+        runs, short = cuts(bucket), keys >> np.uint64(64 - bits)
+        return pa.RecordBatch.from_arrays([pa.array([grp] * len(runs), pa.int64()), pa.array([int(bucket[a]) for a, _ in runs], pa.int64()), pa.array([pack(np.unique(short[a:b])) for a, b in runs], pa.binary())], ["grp", "bucket", "sent"])
 
     def run(batches):
+        grp, held = None, []
         for batch in batches:
-            for name, body, told in zip(*(batch.column(c) for c in ("slice", "body", "told")), strict=True):
-                keys = keys_of(Slice(body, told), depth, states.value)
-                bucket = bucket_of(keys, buckets)
-                runs = cuts(bucket)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(runs), pa.int64()), pa.array([int(bucket[a]) for a, _ in runs], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in runs], pa.binary())], ["slice", "bucket", "keys"])
+            for name, body, told in zip(*(batch.column(c) for c in ("grp", "body", "told")), strict=True):
+                if held and name.as_py() != grp:
+                    yield sent(grp, held)
+                    held = []
+                grp = name.as_py()
+                held.append(keys_of(Slice(body, told), depth, states.value))
             common.trim()
+        if held:
+            yield sent(grp, held)
 
-    return coded.mapInArrow(run, "slice long, bucket long, keys binary")
+    return coded.select("grp", "body", "told").mapInArrow(run, ASKED)
 
 
-def _answered(asks: DataFrame, known: DataFrame) -> DataFrame:
-    """(slice, bucket, sent): the keys that are known, of those asked, with their n and m."""
+def _answered(asks: DataFrame, known: DataFrame, bits: int) -> DataFrame:
+    """(grp, bucket, sent): the keys that are known, of those asked, with their n and m."""
 
     def answer(asked: pa.Table, facts: pa.Table) -> pa.Table:
         keys = facts.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         keys, n, m = keys[order], *(facts.column(c).to_numpy().view(np.uint64)[order] for c in ("n", "m"))
-        said = []
-        for sent in asked.column("keys"):
-            at, hit = look(keys, np.frombuffer(sent.as_buffer(), np.uint64))
-            said.append(pack(keys[at[hit]], n[at[hit]], m[at[hit]]))
-        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"), "sent": pa.array(said, pa.binary())})
+        short, said = keys >> np.uint64(64 - bits), []
+        for sent in asked.column("sent"):
+            hit = look(unpack(sent)[0], short)[1]
+            said.append(pack(keys[hit], n[hit], m[hit]))
+        return pa.table({"grp": asked.column("grp"), "bucket": asked.column("bucket"), "sent": pa.array(said, pa.binary())})
 
-    return asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, SENT)
+    return asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, ASKED)
 
 
 def probabilities(g: Slice, depth: int, root: np.ndarray, keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -651,7 +717,7 @@ def probabilities(g: Slice, depth: int, root: np.ndarray, keys: np.ndarray, n: n
 
 
 def _scored(coded: DataFrame, answers: DataFrame | None, depth: int, total: int, distinct: int) -> DataFrame:
-    """The rows of each slice with what its answers make of them."""
+    """The rows of each group with what its answers make of them."""
     norm = float(total + 0.1 * (distinct + 1))
 
     def score_of(g: Slice, keys, n, m) -> pa.Table:
@@ -660,10 +726,19 @@ def _scored(coded: DataFrame, answers: DataFrame | None, depth: int, total: int,
         return pa.table([g.doc_id, pa.array(g.held_out), pa.array(g.size), *map(pa.array, done)], names=RESULT)
 
     def run(held: pa.Table, told: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in told.column("sent")] or [[np.zeros(0, np.uint64)] * 3]
-        keys, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys)
-        out = [score_of(Slice(body, said), keys[order], n[order].astype(np.int64), m[order].astype(np.int64)) for body, said in zip(held.column("body"), held.column("told"), strict=True)]
+        parts = [unpack(x) for x in told.sort_by("bucket").column("sent")] or [[np.zeros(0, np.uint64)] * 3]
+        facts = []
+        for k in range(3):  # a column at a time, since all of a group's facts are held while its slices are scored
+            facts.append(np.concatenate([p[k] for p in parts]))
+            for p in parts:
+                p[k] = None
+        if (facts[0][1:] < facts[0][:-1]).any():
+            order = np.argsort(facts[0])
+            for k in range(3):
+                facts[k] = facts[k][order]
+            del order
+        common.trim()
+        out = [score_of(Slice(body, said), facts[0], *(x.view(np.int64) for x in facts[1:])) for body, said in zip(held.column("body"), held.column("told"), strict=True)]
         common.trim()
         return pa.concat_tables(out)
 
@@ -675,7 +750,7 @@ def _scored(coded: DataFrame, answers: DataFrame | None, depth: int, total: int,
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if answers is None:
         return coded.mapInArrow(alone, schema)
-    return coded.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
+    return coded.select("grp", "body", "told").groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, depth: int | None = None) -> DataFrame:
@@ -686,19 +761,22 @@ def score(docs: DataFrame, depth: int | None = None) -> DataFrame:
     read; other columns are not. ``depth`` bounds the words of a context; by default they grow until none diverges from its parent.
     """
     docs, spark = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), docs.sparkSession
-    texts = written(encoded(docs))
-    told = written(counted(texts, buckets_for(spark, 0)))
+    bodies, words = common.written_apart(encoded(docs), "kind", ["body", "words"])
+    told = written(counted(words, buckets_for(spark, 0)))
+    common.drop_written(words)
     sums = [unpack(pa.scalar(bytes(r.sent)))[0] for r in told.where("slice is null").select("sent").collect()]
     total, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
-    coded = written(numbered(texts, told))
-    for table in (texts, told):
+    count = bodies.count()
+    coded = written(numbered(bodies, told, max(1, count // GROUP, min(count, 2 * spark.sparkContext.defaultParallelism))))  # two a core at least
+    for table in (bodies, told):
         common.drop_written(table)
     reached, known = fit(coded, total, distinct, depth)
     if known is None:
         return _scored(coded, None, 0, total, distinct)
     buckets = buckets_for(spark, total)
     bucket = F.expr(f"shiftrightunsigned(shiftrightunsigned(key, 32) * {buckets}L, 32)").alias("bucket")
-    answers = _answered(_asked(coded, sieve(known.select("key")), reached, buckets), known.select(bucket, "key", "n", "m"))
+    bits = min(64, known.count().bit_length() + 8)
+    answers = _answered(_asked(coded, sieve(known.select("key")), reached, buckets, bits), known.select(bucket, "key", "n", "m"), bits)
     return _scored(coded, answers, reached, total, distinct)
 
 

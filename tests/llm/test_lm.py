@@ -164,3 +164,19 @@ def test_deep_states_leave_a_finite_score():
     p = lm.probabilities(g, deep, np.array([0.5, 0.25]), keys, n, n)
     assert p[-1] == pytest.approx(math.log10(0.25) + deep * math.log10(lm.LAMBDA / (10**6 + lm.LAMBDA)), rel=1e-9)
     assert p[0] == pytest.approx(math.log10(0.5)) and np.isfinite(p).all()
+
+
+def test_packs_are_whole_and_short():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    arrays = [np.sort(r.integers(0, 1 << 63, 100_000).astype(np.uint64)), r.integers(0, 200, 50).astype(np.uint64), np.array([2**64 - 1, 0], np.uint64), np.zeros(0, np.uint32), np.array([7], np.uint8), np.array([3, 3, 2**32 - 1], np.uint32)]
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, lm.unpack(pa.scalar(lm.pack(*arrays))), strict=True))
+    assert len(lm.pack(arrays[0])) < 6.5 * len(arrays[0])  # keys in order, of 8 bytes each
+
+
+def test_steps_begin_anew_with_each_context():
+    import numpy as np
+
+    context, steps = np.array([1, 1, 1, 2, 3, 3], np.uint32), np.array([5, 2, 0, 4, 9, 1], np.uint32)
+    assert lm.unstepped([context], steps).tolist() == [5, 7, 7, 4, 9, 10]
