@@ -17,7 +17,7 @@ and gets back what is known. What is sent to all tasks are filters of bounded si
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +43,55 @@ SIEVE_LEAST, SIEVE_BITS, SHIFTS = 22, 27, (1, 32)
 #: From this round on the places after states are dealt by state, with AHEAD words before each, then AHEAD times more each pass; a task grows
 #: the states below its own as far as these reach. Both ways count the same.
 NARROW, AHEAD = 4, 8
+#: So many rounds together, places that are alike as far as these reach count as one.
+STEP = 16
 #: 0 deals each state by itself, else by buckets.
 ONE_TASK_TOKENS = 4_000_000
 #: Bytes of text of a slice; so many slices ask for what they need together, since they share much of it.
-SLICE, GROUP = 8 << 20, 8
+SLICE, GROUP = 8 << 20, 6
+#: Bytes of an Arrow batch: rows are packed pieces of megabytes, and the JVM keeps the buffers that a batch took.
+BATCH = 4 << 20
+#: Places after states are followed in pieces of so many tokens, which stay in a core's cache, and from this round on all of a slice together.
+PIECE, TOGETHER = 1 << 16, 4
 RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 #: The primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
+def begins(sorted_: np.ndarray) -> np.ndarray:
+    """Where another value begins."""
+    out = np.ones(len(sorted_), bool)
+    out[1:] = sorted_[1:] != sorted_[:-1]
+    return out
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order. numpy.unique() takes ten times longer, since it hashes."""
+    keys = np.sort(keys)
+    return keys[begins(keys)]
+
+
+class Alike:
+    """Equal keys: the distinct ones in order, how often each occurs and one place of each. numpy.unique() sorts so that it is the first place, which takes three times longer."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        keys = keys[self.order]
+        start = np.flatnonzero(begins(keys))
+        self.keys, self.at, self.counts = keys[start], self.order[start], np.diff(start, append=len(keys))
+
+    def of(self) -> np.ndarray:
+        """Which of the distinct keys each is."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.keys)), self.counts)
+        return out
+
+
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """The stable order of buckets; few are sorted by their two bytes."""
+    return np.argsort(bucket.astype(np.uint16) if len(bucket) and 0 <= bucket.min() and bucket.max() < 1 << 16 else bucket, kind="stable")
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the tokens, bounds): each text's words and the end token."""
     w = Words(texts)
@@ -66,18 +106,36 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def _turn(x: np.ndarray, k: int):
+    right = x >> np.uint64(64 - k)
+    x <<= np.uint64(k)
+    x |= right
+
+
 def _round(x: np.ndarray, seed) -> np.ndarray:
-    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
-    h = (seed + P5 + np.uint64(8)) ^ (turn(x * P2, 31) * P1)
-    h = turn(h, 27) * P1 + P4
-    h = (h ^ (h >> np.uint64(33))) * P2
-    h = (h ^ (h >> np.uint64(29))) * P3
-    return h ^ (h >> np.uint64(32))
+    h = x * P2
+    _turn(h, 31)
+    h *= P1
+    h ^= seed + (P5 + np.uint64(8))
+    _turn(h, 27)
+    h *= P1
+    h += P4
+    h ^= h >> np.uint64(33)
+    h *= P2
+    h ^= h >> np.uint64(29)
+    h *= P3
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def lead(a: np.ndarray) -> np.ndarray:
+    """What joined() makes of its first hash."""
+    return _round(a, np.uint64(42))
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes in order: xxhash64(a, b) of Spark, so that tables need not carry it."""
-    return _round(b, _round(a, np.full(len(a), 42, np.uint64)))
+    return _round(b, lead(a))
 
 
 class Grams:
@@ -86,6 +144,12 @@ class Grams:
     def __init__(self, texts: pa.Array):
         self._take(*tokens(texts))
 
+    @classmethod
+    def made(cls, words: np.ndarray, bounds: np.ndarray) -> Grams:
+        out = cls.__new__(cls)
+        out._take(words, bounds)
+        return out
+
     def _take(self, words: np.ndarray, bounds: np.ndarray):
         self.words, self.bounds = words, bounds
         #: how many tokens of its text are before each
@@ -111,9 +175,14 @@ class Sums:
 
     def add(self, keys: np.ndarray, *more: np.ndarray):
         """Yields (keys, counts, more) when too many are held."""
-        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-        self.held.append((keys, n, *[m[first] for m in more]))
-        self.size += len(keys)
+        if more:
+            same = Alike(keys)
+            self.held.append((same.keys, same.counts, *[m[same.at] for m in more]))
+        else:
+            keys = np.sort(keys)
+            first = np.flatnonzero(begins(keys))
+            self.held.append((keys[first], np.diff(first, append=len(keys))))
+        self.size += len(self.held[-1][0])
         if self.size > self.limit:
             found = self.merged()
             if len(found[0]) > self.limit // 2:
@@ -124,9 +193,9 @@ class Sums:
 
     def merged(self):
         keys, n, *more = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        first = np.flatnonzero(begins(keys))
         return keys[first], np.add.reduceat(n, first) if len(first) else n, *[m[order][first] for m in more]
 
     def rest(self):
@@ -168,44 +237,67 @@ def code_of(ids: np.ndarray) -> np.ndarray:
 
 
 class Slice(Grams):
-    """Rows of a slice as numbers: for each token its place in the slice's list of words, which has each word's training count and its number if it is of the alphabet, else 0."""
+    """Rows of a slice as numbers: for each token its place in the slice's list of words, which has each word's training count and its number if it is of the alphabet, else 0. ``training`` leaves out the rows that are held out."""
 
-    def __init__(self, body: pa.Scalar, told: pa.Scalar):
+    def __init__(self, body: pa.Scalar, told: pa.Scalar, training: bool = False):
         ids, valid, held_out, size, self.of_word, *often = unpack(body)
-        if often:  # the words' places are by how often they occur
-            self.of_word = np.argsort(-often[0].astype(np.int64), kind="stable").astype(np.uint32)[self.of_word]
         self.count, self.number = (x for x in unpack(told))
         self.doc_id, self.held_out, self.size = pa.array(ids.view(np.int64), mask=valid == 0), held_out != 0, size.astype(np.int64)
+        if training:
+            self.of_word, self.size = self.of_word[np.repeat(~self.held_out, self.size)], self.size[~self.held_out]
+        if often:  # the words' places are by how often they occur
+            self.of_word = np.argsort(-often[0].astype(np.int64), kind="stable").astype(np.uint32)[self.of_word]
         self.code = code_of(self.number)
-        self._take(self.code[self.of_word], np.concatenate(([0], np.cumsum(self.size))))
+        self.bounds = np.concatenate(([0], np.cumsum(self.size)))
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        return self.code[self.of_word]
+
+    @cached_property
+    def lead(self) -> np.ndarray:
+        return lead(self.code)
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        return np.arange(len(self.of_word), dtype=np.int32) - np.repeat(self.bounds[:-1].astype(np.int32), self.size)
 
-    def keep_training(self):
-        """Leaves out the tokens of rows that are held out."""
-        keep = np.repeat(~self.held_out, self.size)
-        self.of_word, self.size = self.of_word[keep], self.size[~self.held_out]
-        self._take(self.words[keep], np.concatenate(([0], np.cumsum(self.size))))
-        self.usual = (self.number > 0)[self.of_word]
+    def before(self, places: np.ndarray) -> np.ndarray:
+        """How many tokens of its text are before each of some places in order."""
+        return self.at[places].astype(np.int64) if len(places) > len(self.of_word) >> 5 or "at" in self.__dict__ else places - self.bounds[np.searchsorted(self.bounds, places, side="right") - 1]
 
 
 def encoded(docs: DataFrame) -> DataFrame:
     """(slice, kind, data) of all rows: pieces of about SLICE bytes of text, each a body and its list of distinct words with a training count each. A body holds ids, tokens as places in that list by falling frequency, and the frequencies."""
 
+    def sent(at, held, ids):
+        words, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        same = Alike(words)
+        words, of_word, often = same.keys, same.of(), same.counts
+        del same
+        held_out = crc_mod(ids, 10) == 0
+        count = np.bincount(of_word[np.repeat(~held_out, size)], minlength=len(words)).astype(np.uint64)
+        valid = np.array([x is not None for x in ids], np.uint8)
+        place = np.empty(len(words), np.uint32)
+        place[np.argsort(-often, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+        body = pack(np.array([x or 0 for x in ids], np.int64).view(np.uint64), valid, held_out.astype(np.uint8), size.astype(np.uint64), place[of_word], often.astype(np.uint32))
+        return pa.RecordBatch.from_arrays([pa.array([at, at], pa.int64()), pa.array(["body", "words"]), pa.array([body, pack(words, count)], pa.binary())], ["slice", "kind", "data"])
+
     def run(batches):
-        at = common.task_number() << 32
+        at, held, ids, room = common.task_number() << 32, [], [], SLICE
         for batch in batches:
-            for part in slices(batch, 1, SLICE):
-                at += 1
-                found = [tokens(p.column(1)) for p in slices(part, 1, 1 << 20)]
-                size = np.concatenate([np.diff(b) for _, b in found])
-                words, of_word, often = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True, return_counts=True)
-                ids = part.column(0).to_pylist()
-                held_out = crc_mod(ids, 10) == 0
-                count = np.bincount(of_word[np.repeat(~held_out, size)], minlength=len(words)).astype(np.uint64)
-                valid = np.array([x is not None for x in ids], np.uint8)
-                place = np.empty(len(words), np.uint32)
-                place[np.argsort(-often, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-                body = pack(np.array([x or 0 for x in ids], np.int64).view(np.uint64), valid, held_out.astype(np.uint8), size.astype(np.uint64), place[of_word], often.astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([at, at], pa.int64()), pa.array(["body", "words"]), pa.array([body, pack(words, count)], pa.binary())], ["slice", "kind", "data"])
+            for part in slices(batch, 1, min(SLICE, 1 << 20)):
+                words, bounds = tokens(part.column(1))
+                held.append((words, np.diff(bounds)))
+                ids += part.column(0).to_pylist()
+                room -= part.column(1).nbytes
+                if room <= 0:
+                    at += 1
+                    yield sent(at, held, ids)
+                    held, ids, room = [], [], SLICE
+                    common.trim()
+        if held:
+            yield sent(at + 1, held, ids)
             common.trim()
 
     return docs.mapInArrow(run, "slice long, kind string, data binary")
@@ -241,23 +333,25 @@ class Facts:
     """Sorted hashes, found by their first bits."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(1, len(keys).bit_length())
+        bits = len(keys).bit_length() + 1
         self.keys, self.shift = keys, np.uint64(64 - bits)
         self.start = np.concatenate(([0], np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)))).astype(np.int32)
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As look() does."""
-        top = (wanted >> self.shift).astype(np.int64)
-        at, has = self.start[top], np.zeros(len(wanted), bool)
-        left = np.flatnonzero(at < self.start[top + 1])
+        if not len(self.keys):
+            return look(self.keys, wanted)
+        top = (wanted >> self.shift).view(np.int64)
+        at = self.start[top]
+        has = self.keys.take(at, mode="clip") == wanted  # where none has these bits it is another's
+        left = np.flatnonzero(~has)
         end = self.start[top[left] + 1]
         while len(left):
-            same = self.keys[at[left]] == wanted[left]
-            has[left[same]] = True
-            left, end = left[~same], end[~same]
             at[left] += 1
             on = at[left] < end
             left, end = left[on], end[on]
+            has[left] = same = self.keys[at[left]] == wanted[left]
+            left, end = left[~same], end[~same]
         at[~has] = 0
         return at, has
 
@@ -276,7 +370,8 @@ def counted(words: DataFrame, buckets: int) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         parts = [unpack(x) for x in table.column("sent")]
-        keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        same = Alike(np.concatenate([k for k, _ in parts]))
+        keys, of = same.keys, same.of()
         n = np.bincount(of, weights=np.concatenate([c for _, c in parts]).astype(float), minlength=len(keys)).astype(np.uint64)  # exact below 2 ** 53
         number, often = np.zeros(len(keys), np.uint64), n >= SYMBOL_MIN
         rank = np.flatnonzero(often)
@@ -299,17 +394,18 @@ def numbered(bodies: DataFrame, told: DataFrame, groups: int) -> DataFrame:
         for a, b in cuts(said.column("slice").to_numpy()):
             count, number = (np.concatenate(x) for x in zip(*[unpack(x) for x in said.column("sent").slice(a, b - a)], strict=True))
             out[said.column("slice")[a].as_py()] = pack(count, number)
-        return held.select(["grp", "slice", "data"]).append_column("told", pa.array([out[x] for x in held.column("slice").to_pylist()], pa.binary())).rename_columns(["grp", "slice", "body", "told"])
+        rows = held.select(["grp", "slice", "data"]).append_column("told", pa.array([out[x] for x in held.column("slice").to_pylist()], pa.binary())).rename_columns(["grp", "slice", "body", "told"])
+        return pa.concat_tables([rows.slice(k, 1) for k in range(rows.num_rows)]) if rows.num_rows else rows  # each goes by itself
 
     said = told.where("slice is not null").select(grp, "slice", "bucket", "sent")
     return bodies.select(grp, "slice", "data").groupBy("grp").cogroup(said.groupBy("grp")).applyInArrow(run, "grp long, slice long, body binary, told binary")
 
 
-def each(batches):
+def each(batches, training: bool = False):
     """The slices of a task."""
     for batch in batches:
         for body, told in zip(batch.column("body"), batch.column("told"), strict=True):
-            yield Slice(body, told)
+            yield Slice(body, told, training)
         common.trim()
 
 
@@ -333,7 +429,7 @@ def sieve(keys: DataFrame):
     bits = min(SIEVE_BITS, max(SIEVE_LEAST, (16 * keys.count()).bit_length()))
 
     def sent(held):
-        at = np.unique(np.concatenate([(k >> np.uint64(shift)) & np.uint64((1 << bits) - 1) for k in held for shift in SHIFTS]))
+        at = distinct(np.concatenate([(k >> np.uint64(shift)) & np.uint64((1 << bits) - 1) for k in held for shift in SHIFTS]))
         runs = cuts(at >> np.uint64(22))
         return pa.RecordBatch.from_arrays([pa.array([int(at[a]) >> 22 for a, _ in runs], pa.int32()), pa.array([pack(at[a:b]) for a, b in runs], pa.binary())], ["block", "words"])
 
@@ -378,8 +474,8 @@ def usable(g: Grams, d: int, often: np.ndarray, live: np.ndarray | None) -> np.n
     return np.flatnonzero(use)
 
 
-#: What is found of the tree. A gram after a state: its count and probability, and the state; a gram that may be a state of the next round; a state: its count and that of its kept next words.
-GRAM, HEAD, NODE = 0, 1, 2
+#: What is found of the tree. A gram after a state: its count and probability, and the state; a gram that may be a state of the next round; a state: its count and that of its kept next words; a state that one of the last round ends with, which may grow on.
+GRAM, HEAD, NODE, ALIVE = 0, 1, 2, 3
 FOUND = "kind int, bucket long, key long, n long, m long, p double, head long, depth int"
 
 
@@ -415,18 +511,20 @@ def unstepped(context: list[np.ndarray], steps: np.ndarray) -> np.ndarray:
 def ask_grams(coded: DataFrame, d: int, frequent, states, buckets: int) -> DataFrame:
     """(slice, bucket, sent): counts of the grams that round d can use, as numbers of words, by the last word of the context. In round 1 the words come with their counts."""
 
-    def sent(found):
-        _, n, *more = found
+    def sent(found, words):
+        key, n, *more = found
+        if d == 1:
+            more = [(key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32)]
         bucket = bucket_of(code_of(more[d - 1]), buckets)
         # in order of their words they pack well; pairs come so
-        order = np.lexsort((more[d], *more[: d - 1], more[d - 1], bucket)) if d > 1 else np.argsort(bucket, kind="stable")
+        order = np.lexsort((more[d], *more[: d - 1], more[d - 1], bucket)) if d > 1 else by_bucket(bucket)
         bucket, n, more = bucket[order], n[order].astype(np.uint64), [m[order] for m in more]
         runs, packed = cuts(bucket), []
         for a, b in runs:
             told = []
             if d == 1:  # head, next word, their counts
-                ids, first = np.unique(np.concatenate((more[0][a:b], more[1][a:b])), return_index=True)
-                told = [ids, np.concatenate((more[2][a:b], more[3][a:b]))[first]]
+                ids = distinct(np.concatenate((more[0][a:b], more[1][a:b])))
+                told = [ids, words[1][look(words[0], ids)[0]]]
             last = more[d][a:b].copy()
             same = np.logical_and.reduce([m[a + 1 : b] == m[a : b - 1] for m in more[:d]])
             last[1:][same] -= more[d][a : b - 1][same]  # after equal contexts, the step to the next word's number
@@ -434,28 +532,45 @@ def ask_grams(coded: DataFrame, d: int, frequent, states, buckets: int) -> DataF
         return _sent([0] * len(runs), [int(bucket[a]) for a, _ in runs], packed)
 
     def run(batches):
-        sums = Sums(1_000_000)
-        for g in each(batches):
-            g.keep_training()
-            number = g.number[g.of_word]
+        sums, words = Sums(1_000_000), None
+        for g in each(batches, training=True):
             if d == 1:
-                at = np.flatnonzero((g.at >= 1) & g.usual & np.roll(g.usual, 1))
-                keys, more = number[at - 1].astype(np.uint64) << np.uint64(32) | number[at].astype(np.uint64), [g.count[g.of_word[at - 1]], g.count[g.of_word[at]]]
+                ids, count = (x if words is None else np.concatenate((was, x)) for x, was in zip((g.number, g.count), words or (None, None), strict=True))
+                same = Alike(ids)
+                words, keys, more = (same.keys, count[same.at]), _pairs(g), []
             else:
-                less, grams = g.of(d - 1)
-                at = usable(g, d, frequent.value.has(grams), states.value.has(less ^ np.uint64(STATE)))
-                for k in range(d + 1):
-                    at = at[g.usual[at - k]]
-                keys, more = g.longer(d, at, grams[at]), []
-                del less, grams
-            for found in sums.add(keys, *[number[at - k] for k in range(d, -1, -1)], *more):
-                yield sent(found)
+                keys, *more = (np.concatenate(x) for x in zip(*_grams(g, d, frequent.value, states.value), strict=True))
+            for found in sums.add(keys, *more):
+                yield sent(found, words)
         for found in sums.rest():
-            yield sent(found)
+            yield sent(found, words)
 
     return coded.mapInArrow(run, SENT)
 
 
+def _pairs(g: Slice) -> np.ndarray:
+    """The pairs of words of the alphabet in a slice, each as one number."""
+    number = g.number[g.of_word].astype(np.uint64)
+    keys = number[:-1] << np.uint64(32) | number[1:]
+    both = (number[:-1] > 0) & (number[1:] > 0)
+    both[g.bounds[1:-1] - 1] = False  # every text has a token, its end
+    return keys[both]
+
+
+def _grams(g: Slice, d: int, frequent: Sieve, states: Sieve):
+    """(hash, number of each word) of the grams that round d can use, by pieces of a slice."""
+    yield [np.zeros(0, np.uint64), *[np.zeros(0, np.uint32)] * (d + 1)]
+    rows = distinct(np.searchsorted(g.bounds, np.arange(0, len(g.of_word) + PIECE, PIECE)).clip(0, len(g.bounds) - 1))
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        x = g.of_word[g.bounds[a] : g.bounds[b]]
+        p, number = Grams.made(g.code[x], g.bounds[a : b + 1] - g.bounds[a]), g.number[x]
+        less, grams = p.of(d - 1)
+        at = usable(p, d, frequent.has(grams), states.has(less ^ np.uint64(STATE)))
+        for k in range(d + 1):
+            at = at[number[at - k] > 0]
+        yield [p.longer(d, at, grams[at]), *[number[at - k] for k in range(d, -1, -1)]]
+
+
 def grow(asks: DataFrame, last: DataFrame | None, d: int, norm: float, buckets: int) -> DataFrame:
     """What round d finds, in buckets: the context's last word has all that belongs together, but for the counts of the contexts, which come from their last word's."""
 
@@ -467,19 +582,28 @@ def grow(asks: DataFrame, last: DataFrame | None, d: int, norm: float, buckets:
         if not parts:
             return pa.concat_tables(empty)
         *words, n = (np.concatenate(x) for x in zip(*[p[: d + 2] for p in parts], strict=True))
+        if d == 1:
+            same = Alike(words[0].astype(np.uint64) << np.uint64(32) | words[1])
+        else:
+            key = code_of(words[d])
+            for k in range(1, d + 1):
+                key = joined(code_of(words[d - k]), key)
+            same = Alike(key)
+        # sums over the counts in order of their keys: exact, since they are whole numbers
+        n = np.add.reduceat(n[same.order].astype(np.int64), np.cumsum(same.counts) - same.counts) if len(n) else n.astype(np.int64)
+        often = np.flatnonzero(n >= NEXT_MIN)
+        n, words = n[often], [w[same.at[often]] for w in words]
         key, head = code_of(words[d]), code_of(words[d - 1])
         for k in range(1, d + 1):
             tail, key = key, joined(code_of(words[d - k]), key)
             head = joined(code_of(words[d - k]), head) if k > 1 else head
-        key, first, of = np.unique(key, return_index=True, return_inverse=True)
-        n = np.bincount(of, weights=n.astype(float), minlength=len(key)).astype(np.int64)
-        often = n >= NEXT_MIN
-        key, n, first = key[often], n[often], first[often]
-        head, tail, last_word = head[first], tail[first], words[d][first]
+        order = np.argsort(key)
+        key, head, tail, n, words = key[order], head[order], tail[order], n[order], [w[order] for w in words]
+        last_word = words[d]
         if d == 1:
-            ids, at = np.unique(np.concatenate([p[-2] for p in parts]), return_index=True)
-            told = np.concatenate([p[-1] for p in parts])[at].astype(float)
-            c, parent = told[look(ids, words[0][first])[0]], (told[look(ids, last_word)[0]] + 0.1) / norm
+            same = Alike(np.concatenate([p[-2] for p in parts]))
+            ids, told = same.keys, np.concatenate([p[-1] for p in parts])[same.at].astype(float)
+            c, parent = told[look(ids, words[0])[0]], (told[look(ids, last_word)[0]] + 0.1) / norm
             test = np.ones(len(key), bool)
         else:
             kind, facts = prior.column("kind").to_numpy(), [prior.column(x).to_numpy(zero_copy_only=False) for x in ("key", "n", "p")]
@@ -487,10 +611,11 @@ def grow(asks: DataFrame, last: DataFrame | None, d: int, norm: float, buckets:
             (t, has_tail), (h, has_head) = look(tails.view(np.uint64), tail), look(heads.view(np.uint64), head)
             test = has_tail & has_head
             c, parent = count[h[test]].astype(float), p[t[test]]
-        nodes, at, of = np.unique(head[test], return_index=True, return_inverse=True)
+        same = Alike(head[test])
+        nodes, at, of = same.keys, same.at, same.of()
         kept, seen, p = gains(of, c[at], n[test], parent)
         on = kept[of]
-        out = [_found(GRAM, d, bucket_of(code_of(words[d - 1][first][test][on]), buckets), key[test][on], n[test][on], p=p[on], head=head[test][on]), _found(NODE, d, None, nodes[kept] ^ np.uint64(STATE), c[at][kept].astype(np.int64), seen[kept])] if kept.any() else []
+        out = [_found(GRAM, d, bucket_of(code_of(words[d - 1][test][on]), buckets), key[test][on], n[test][on], p=p[on], head=head[test][on]), _found(NODE, d, None, nodes[kept] ^ np.uint64(STATE), c[at][kept].astype(np.int64), seen[kept])] if kept.any() else []
         return pa.concat_tables([*empty, _found(HEAD, d, bucket_of(code_of(last_word), buckets), key, n), *out]) if len(key) else pa.concat_tables(empty)
 
     if last is None:
@@ -502,25 +627,21 @@ def ask_places(coded: DataFrame, d: int, ahead: int, states, buckets: int) -> Da
     """(slice, bucket, sent): each place after a state of d words, by the state, as the numbers of its word, of the state's and of ``ahead`` more before them; what places share is sent once."""
 
     def run(batches):
-        for g in each(batches):
-            g.keep_training()
-            at = context = np.zeros(0, np.uint64)
-            for k, places, state, _ in states_at(g, d, states.value.has):
-                if k == d:
-                    at, context = places, state ^ np.uint64(STATE)
-            if not len(at):
+        for g in each(batches, training=True):
+            found = [(at, state, room) for k, at, state, _, _, room in states_at(g, d, lambda keys: (None, states.value.has(keys)), False) if k == d]
+            if not found:
                 continue
-            bucket = bucket_of(context, buckets)
-            order = np.argsort(bucket, kind="stable")
+            at, state, room = (np.concatenate(x) for x in zip(*found, strict=True))
+            bucket = bucket_of(state ^ np.uint64(STATE), buckets)
+            order = by_bucket(bucket)
             bucket, at = bucket[order], at[order]
             end = at + 1
-            room = np.minimum(g.at[at] - d, ahead)
+            room = np.minimum(room[order] - d, ahead)
             start, apart = at - d - room, np.ones(len(at), bool)
             apart[1:] = bucket[1:] != bucket[:-1]
             fresh = end - np.where(apart, start, np.maximum(start, np.concatenate(([0], end[:-1]))))
             ends = np.cumsum(fresh)
-            number, of = g.number[g.of_word], np.repeat(np.arange(len(at)), fresh)
-            words = number[np.arange(len(of)) - ends[of] + end[of]]
+            words = g.number[g.of_word[np.arange(ends[-1]) + np.repeat(end - ends, fresh)]]
             runs, packed = cuts(bucket), []
             for a, b in runs:
                 before = ends[a - 1] if a else 0
@@ -530,21 +651,26 @@ def ask_places(coded: DataFrame, d: int, ahead: int, states, buckets: int) -> Da
     return coded.mapInArrow(run, SENT)
 
 
-def grown(words, at, room, context, gram, p, d: int, to: int):
-    """Yields (round, state rows, gram rows) of the rounds from d + 1 to ``to``, from places after states of d words: the words before ``at``, ``room`` of them, the state, and the gram with the place's word (0: not of the alphabet) and its probability."""
+def grown(words, at, room, times, context, gram, p, d: int, to: int, left: list):
+    """Yields (round, state rows, gram rows) of the rounds from d + 1 to ``to``, from places after states of d words: the words before ``at``, ``room`` of them, how many places are so, the state, and the gram with the place's word (0: not of the alphabet) and its probability. ``left`` gets what is left of the places: which, their states, grams and probabilities."""
+    who = np.arange(len(at))
     while len(at) and d < to:
         d += 1
         on = room > 0
         on[on] = words[at[on] - 1] > 0
-        at, room, context, gram, p = at[on] - 1, room[on] - 1, context[on], gram[on], p[on]
+        at, room, who, context, gram, p = at[on] - 1, room[on] - 1, who[on], context[on], gram[on], p[on]
         first = code_of(words[at])
-        nodes, of_node, c = np.unique(joined(first, context), return_inverse=True, return_counts=True)
+        same = Alike(joined(first, context))
+        nodes, of_node = same.keys, same.of()
+        c = np.bincount(of_node, weights=times[who], minlength=len(nodes)).astype(np.int64)
         on = c[of_node] >= NEXT_MIN
         if not on.any():
             return
-        at, room, first, context, gram, p = at[on], room[on], first[on], nodes[of_node[on]], gram[on], p[on]
+        at, room, who, first, context, gram, p = at[on], room[on], who[on], first[on], nodes[of_node[on]], gram[on], p[on]
         gram = np.where(gram > 0, joined(first, gram), np.uint64(0))
-        keys, one, of_key, n = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+        same = Alike(gram)
+        keys, one, of_key = same.keys, same.at, same.of()
+        n = np.bincount(of_key, weights=times[who], minlength=len(keys)).astype(np.int64)
         often = (n >= NEXT_MIN) & (keys > 0)
         nexts = np.flatnonzero(often)
         node = look(nodes, context[one[nexts]])[0]
@@ -554,7 +680,18 @@ def grown(words, at, room, context, gram, p, d: int, to: int):
         told = np.full(len(keys), np.nan)
         told[nexts[on]] = after[on]
         live = kept[look(nodes, context)[0]]
-        at, room, context, gram, p = at[live], room[live], context[live], np.where(np.isnan(told[of_key[live]]), np.uint64(0), gram[live]), told[of_key[live]]
+        at, room, who, context, gram, p = at[live], room[live], who[live], context[live], np.where(np.isnan(told[of_key[live]]), np.uint64(0), gram[live]), told[of_key[live]]
+    if len(at):
+        left += [who, context, gram, p]
+
+
+def tails(words: np.ndarray, at: np.ndarray, d: int) -> np.ndarray:
+    """The distinct states that those of d words from ``at`` on end with, themselves included."""
+    found = [context := code_of(words[at + d - 1])]
+    for k in range(2, d + 1):
+        context = joined(code_of(words[at + d - k]), context)
+        found.append(distinct(context))
+    return distinct(np.concatenate(found))
 
 
 def grow_on(asks: DataFrame, last: DataFrame, d: int, to: int, buckets: int) -> DataFrame:
@@ -567,7 +704,7 @@ def grow_on(asks: DataFrame, last: DataFrame, d: int, to: int, buckets: int) ->
         if sent.num_rows and prior.num_rows:
             parts = [unpack(x) for x in sent.column("sent")]
             sizes = np.cumsum([0, *[len(p[0]) for p in parts]])
-            words, room = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+            words, room = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
             at = np.concatenate([p[1].astype(np.int64) + s for p, s in zip(parts, sizes[:-1], strict=True)]) - 1
             del parts
             context, gram = code_of(words[at - 1]), joined(code_of(words[at - 1]), code_of(words[at]))
@@ -578,11 +715,28 @@ def grow_on(asks: DataFrame, last: DataFrame, d: int, to: int, buckets: int) ->
             key, p, head = (prior.column(x).to_numpy() for x in ("key", "p", "head"))
             order = np.argsort(key.view(np.uint64))
             key, p = key.view(np.uint64)[order], p[order]
-            live = look(np.unique(head.view(np.uint64)), context)[1]
-            at, room, context, gram = at[live], room[live].astype(np.int64), context[live], gram[live]
+            live = look(distinct(head.view(np.uint64)), context)[1]
+            at, room, context, gram = at[live], room[live], context[live], gram[live]
             where, has = look(key, gram)
-            for r, (nodes, c, seen), (keys, n, after, of) in grown(words, at, room, context, np.where(has, gram, np.uint64(0)), np.where(has, p[where], np.nan), d, to):
-                out += [_found(NODE, r, None, nodes ^ np.uint64(STATE), c, seen), _found(GRAM, r, None, keys, n, p=after, head=of)]
+            gram, p, done = np.where(has, gram, np.uint64(0)), np.where(has, p[where], np.nan), d
+            while len(at) and done < to:
+                # places with the same state, gram and next words before them grow alike in these rounds
+                step, left = min(STEP, to - done), []
+                same = Alike(joined(joined(context, gram), common.hash_segments(words, at - np.minimum(room, step), at)))
+                one = same.at
+                for r, (nodes, c, seen), (keys, n, after, of) in grown(words, at[one], room[one], same.counts, context[one], gram[one], p[one], done, done + step, left):
+                    out += [_found(NODE, r, None, nodes ^ np.uint64(STATE), c, seen), _found(GRAM, r, None, keys, n, p=after, head=of)]
+                where = np.full(len(one), -1)
+                if left:
+                    where[left[0]] = np.arange(len(left[0]))
+                where = where[same.of()]
+                on = where >= 0
+                at, room, done = at[on] - step, room[on] - step, done + step
+                if left:
+                    context, gram, p = (x[where[on]] for x in left[1:])
+            if len(at):
+                ends = tails(words, at[Alike(context).at], to)
+                out.append(_found(ALIVE, to, None, ends ^ np.uint64(STATE), np.zeros(len(ends), np.int64)))
         common.trim()
         return pa.concat_tables(out).combine_chunks()
 
@@ -607,17 +761,19 @@ def fit(coded: DataFrame, total: int, distinct: int, depth: int | None = None) -
             frequent = sieve(last.where(f"kind = {HEAD}").select("key"))
             states = nodes([last])
     else:
-        buckets, ahead = buckets if ONE_TASK_TOKENS else 0, AHEAD
+        buckets, ahead, states = buckets if ONE_TASK_TOKENS else 0, AHEAD, None
         while d and (depth is None or d < depth):
             to = d + ahead if depth is None else min(depth, d + ahead)
-            last = written(grow_on(ask_places(coded, d, ahead, nodes(found), buckets), last, d, to, buckets))
+            # few states grow on; all that they end with are states, so other places are soon left
+            states = sieve(last.where(f"kind = {ALIVE}").select("key")) if states else nodes(found)
+            last = written(grow_on(ask_places(coded, d, ahead, states, buckets), last, d, to, buckets))
             found.append(last)
             reached = last.where(f"kind = {NODE}").agg(F.max("depth")).first()[0]
             d, before = reached or d, d
             if d < to or d == before:
                 break
             ahead *= AHEAD
-    known = written(reduce(DataFrame.unionByName, found).where(f"kind <> {HEAD}").select("key", "n", "m")) if d else None
+    known = written(reduce(DataFrame.unionByName, found).where(f"kind IN ({GRAM}, {NODE})").select("key", "n", "m")) if d else None
     for table in found:
         common.drop_written(table)
     return d, known
@@ -627,46 +783,76 @@ def buckets_for(spark: SparkSession, total: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
 
 
-def states_at(g: Slice, depth: int, known):
-    """For each round (d, places whose d words before them may be a state, those states' hashes, the places' grams of d + 1 words), while there are any.
+def states_at(g: Slice, depth: int, known, grams: bool = True):
+    """(d, places whose d words before them may be a state, those states' hashes, where they are known, the places' grams of d + 1 words, the tokens of its text before each place), while there are any.
 
-    ``known(keys)`` says which states there are; a longer one is looked for only after those that are.
+    ``known(keys)`` says where states are and which there are; a longer one is looked for only after those that are. A place's rounds
+    come in order.
     """
     if not depth:
         return
-    one = known(g.code ^ np.uint64(STATE)) & (g.number > 0)
-    at = np.flatnonzero(g.at >= 1)
-    at = at[one[g.of_word[at - 1]]]
-    context, gram = g.words[at - 1], g.words[at]
-    for d in range(1, depth + 1):
-        if d > 1:
-            live = known(context ^ np.uint64(STATE))
-            at, context, gram = at[live], context[live], gram[live]
+    state_one, rest = g.code ^ np.uint64(STATE), []
+    where_one, one = known(state_one)
+    one = one & (g.number > 0)
+
+    def follow(d, to, at, room, context, gram):
+        """From places that come after possible states of d words; leaves what is left for later rounds in ``rest``."""
+        while len(at) and d <= to:
+            state = context ^ np.uint64(STATE)
+            where, live = known(state)
+            at, room, context, gram, state, where = (None if x is None else x[live] for x in (at, room, context, gram, state, where))
+            if not len(at):
+                return
+            yield d, at, state, where, gram, room
+            at, room, context, gram = further(d, at, room, context, gram)
+            d += 1
+        if len(at):
+            rest.append((at, room, context, gram))
+
+    def further(d, at, room, context, gram):
+        on = room > d
+        at, room, context, gram = (None if x is None else x[on] for x in (at, room, context, gram))
+        before = g.lead[g.of_word[at - d - 1]]
+        return at, room, _round(context, before), None if gram is None else _round(gram, before)
+
+    for a in range(0, len(g.of_word), PIECE):
+        last = g.of_word[max(0, a - 1) : a + PIECE - 1]  # the words before the places
+        at = np.flatnonzero(one[last]) + max(1, a)
+        room = g.before(at)
+        on = room > 0
+        at, room = at[on], room[on]
         if not len(at):
-            return
-        gram = g.longer(d, at, gram)
-        yield d, at, context ^ np.uint64(STATE), gram
-        on = g.at[at] > d
-        at, context, gram = at[on], context[on], gram[on]
-        context = joined(g.words[at - d - 1], context)
+            continue
+        last = g.of_word[at - 1]
+        context = g.code[last]
+        gram = _round(g.code[g.of_word[at]], g.lead[last]) if grams else None
+        yield 1, at, state_one[last], None if where_one is None else where_one[last], gram, room
+        if depth > 1:
+            yield from follow(2, min(depth, TOGETHER - 1), *further(1, at, room, context, gram))
+    if rest and depth >= TOGETHER:
+        parts = [None if x[0] is None else np.concatenate(x) for x in zip(*rest, strict=True)]
+        yield from follow(TOGETHER, depth, *parts)
 
 
 def keys_of(g: Slice, depth: int, states: Sieve) -> np.ndarray:
     """The distinct keys that may be known of the contexts of some texts, round by round as far as any may be a state."""
-    found = [np.zeros(0, np.uint64)]
-    for _, _, state, gram in states_at(g, depth, states.has):
-        found += [np.unique(state), np.unique(gram[states.has(gram)])]
-    return np.unique(np.concatenate(found))
+    one = g.code ^ np.uint64(STATE)
+    found = [one[states.has(one)]]
+    for d, _, state, _, gram, _ in states_at(g, depth, lambda keys: (None, states.has(keys))):
+        if d > 1:
+            found.append(distinct(state))
+        found.append(distinct(gram[states.has(gram)]))
+    return distinct(np.concatenate(found))
 
 
 def _asked(coded: DataFrame, states, depth: int, buckets: int, bits: int) -> DataFrame:
     """(grp, bucket, sent): the first bits of the distinct keys of each group's slices in order, packed by bucket. All keys that share them come back whole, so the bits lose nothing."""
 
     def sent(grp, held):
-        keys = np.unique(np.concatenate(held))
+        keys = distinct(np.concatenate(held))
         bucket = bucket_of(keys, buckets)
         runs, short = cuts(bucket), keys >> np.uint64(64 - bits)
-        return pa.RecordBatch.from_arrays([pa.array([grp] * len(runs), pa.int64()), pa.array([int(bucket[a]) for a, _ in runs], pa.int64()), pa.array([pack(np.unique(short[a:b])) for a, b in runs], pa.binary())], ["grp", "bucket", "sent"])
+        return pa.RecordBatch.from_arrays([pa.array([grp] * len(runs), pa.int64()), pa.array([int(bucket[a]) for a, _ in runs], pa.int64()), pa.array([pack(distinct(short[a:b])) for a, b in runs], pa.binary())], ["grp", "bucket", "sent"])
 
     def run(batches):
         grp, held = None, []
@@ -700,20 +886,24 @@ def _answered(asks: DataFrame, known: DataFrame, bits: int) -> DataFrame:
     return asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, ASKED)
 
 
-def probabilities(g: Slice, depth: int, root: np.ndarray, keys: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def probabilities(g: Slice, depth: int, root: np.ndarray, keys: np.ndarray | Facts, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """log10 of each token's probability. After hundreds of states one may be below the least double, so powers of ten are kept apart."""
-    p, low, facts = root[g.of_word], np.zeros(len(g.words)), Facts(keys)
-    for _, at, state, gram in states_at(g, depth, lambda wanted: facts.find(wanted)[1]):
-        s = facts.find(state)[0]
+    p, low, facts = root[g.of_word], None, keys if isinstance(keys, Facts) else Facts(keys)
+    for _, at, _, s, gram, _ in states_at(g, depth, facts.find):
         x, has = facts.find(gram)
         base = n[s] + LAMBDA
         own, less = np.where(has, n[x], 0) / base, (base - m[s]) / base * p[at]
         deep = (less < 1e-200) & ~has
-        less[deep] *= 1e200
+        if low is None:
+            if not deep.any():
+                p[at] = less + own
+                continue
+            low = np.zeros(len(p))
         was = low[at]
+        less[deep] *= 1e200
         p[at] = np.where(has & (was < 0), own, less + own)  # what is left of one so low does not count
         low[at] = np.where(has, 0.0, was - 200.0 * deep)
-    return np.log10(p) + low
+    return np.log10(p) if low is None else np.log10(p) + low
 
 
 def _scored(coded: DataFrame, answers: DataFrame | None, depth: int, total: int, distinct: int) -> DataFrame:
@@ -721,8 +911,8 @@ def _scored(coded: DataFrame, answers: DataFrame | None, depth: int, total: int,
     norm = float(total + 0.1 * (distinct + 1))
 
     def score_of(g: Slice, keys, n, m) -> pa.Table:
-        root, add = (g.count + 0.1) / norm, lambda v: np.add.reduceat(v, g.bounds[:-1])
-        done = [add((g.count > 0).astype(np.int64)[g.of_word]), np.full(len(g.size), total), add(np.log10(root)[g.of_word]), add(probabilities(g, depth, root, keys, n, m))]
+        root, add = (g.count + 0.1) / norm, lambda v, kind: np.add.reduceat(v, g.bounds[:-1], dtype=kind)
+        done = [add((g.count > 0)[g.of_word], np.int64), np.full(len(g.size), total), add(np.log10(root)[g.of_word], float), add(probabilities(g, depth, root, keys, n, m), float)]
         return pa.table([g.doc_id, pa.array(g.held_out), pa.array(g.size), *map(pa.array, done)], names=RESULT)
 
     def run(held: pa.Table, told: pa.Table) -> pa.Table:
@@ -738,6 +928,7 @@ def _scored(coded: DataFrame, answers: DataFrame | None, depth: int, total: int,
                 facts[k] = facts[k][order]
             del order
         common.trim()
+        facts[0] = Facts(facts[0])
         out = [score_of(Slice(body, said), facts[0], *(x.view(np.int64) for x in facts[1:])) for body, said in zip(held.column("body"), held.column("told"), strict=True)]
         common.trim()
         return pa.concat_tables(out)
@@ -760,6 +951,7 @@ def score(docs: DataFrame, depth: int | None = None) -> DataFrame:
     ids are scored each, and count in training each. Without training rows every token is unknown: N and V are 0. Whole texts are
     read; other columns are not. ``depth`` bounds the words of a context; by default they grow until none diverges from its parent.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     docs, spark = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), docs.sparkSession
     bodies, words = common.written_apart(encoded(docs), "kind", ["body", "words"])
     told = written(counted(words, buckets_for(spark, 0)))

@@ -180,3 +180,54 @@ def test_steps_begin_anew_with_each_context():
 
     context, steps = np.array([1, 1, 1, 2, 3, 3], np.uint32), np.array([5, 2, 0, 4, 9, 1], np.uint32)
     assert lm.unstepped([context], steps).tolist() == [5, 7, 7, 4, 9, 10]
+
+
+def repeated():
+    """The longer the run of a word, the nearer its end, as long contexts tell."""
+    return [(k, "y " * 12 + f"z u{k % 3}") for k in range(10_000)]
+
+
+def test_rounds_beyond_a_pass_and_a_step_count_the_same(spark, monkeypatch):
+    """Deep states of a repeated line: passes follow only what may grow on, and equal places count as one."""
+    common.ship(spark)
+    slow = SlowTree(repeated(), deepest=14)
+    passes, ask = [], lm.ask_places
+    monkeypatch.setattr(lm, "ask_places", lambda *a: passes.append(a[1]) or ask(*a))
+    monkeypatch.setattr(lm, "NARROW", 2)
+    monkeypatch.setattr(lm, "STEP", 3)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(repeated(), "doc_id long, text string").repartition(3)).collect()}
+    assert slow.depth > 9 and passes == [1, 9]
+    assert all(got[i] == pytest.approx(slow.score(t), abs=1e-7) for i, t in repeated()[:30])
+
+
+def test_places_with_equal_words_before_them_grow_as_one():
+    import numpy as np
+
+    words = np.tile(np.array([1, 2, 3], np.uint32), 200)
+    at = np.arange(100, 500)  # the word before each is the state
+    code = lm.code_of(words)
+    one = lambda take, times: [x[:2] for x in lm.grown(words, at[take] - 1, np.full(len(take), 40), times, code[at[take] - 1], lm.joined(code[at[take] - 1], code[at[take]]), np.full(len(take), 0.3), 1, 9, [])]
+    all_, few = one(np.arange(400), np.ones(400, np.int64)), one(np.arange(3), np.array([134, 133, 133]))
+    assert all_ and all(a[0] == b[0] and all((x == y).all() for x, y in zip(a[1], b[1], strict=True)) for a, b in zip(all_, few, strict=True))
+
+
+def test_slices_hold_rows_of_many_batches():
+    """A slice is filled from several batches, so that its words and deep rounds are paid for once, not for each batch of 2,000 rows."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([f"a b c{k}"])], ["doc_id", "text"]) for k in range(40)]
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return [kind for out in run(iter(batches)) for kind in out.column("kind").to_pylist()]
+
+    assert lm.encoded(Frame()) == ["body", "words"]
+
+
+def test_keys_are_found_whether_or_not_they_are_there():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    keys = np.unique(np.concatenate([r.integers(0, 1 << 63, 5000).astype(np.uint64), np.arange(50, dtype=np.uint64), np.array([2**64 - 1], np.uint64)]))
+    wanted = np.concatenate([keys, keys + np.uint64(1), r.integers(0, 1 << 63, 5000).astype(np.uint64)])
+    at, has = lm.Facts(keys).find(wanted)
+    assert (has == np.isin(wanted, keys)).all() and (keys[at[has]] == wanted[has]).all()
+    assert not lm.Facts(keys[:0]).find(wanted)[1].any()
