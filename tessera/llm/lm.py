@@ -45,6 +45,8 @@ SIEVE_LEAST, SIEVE_BITS, SHIFTS = 22, 27, (1, 32)
 NARROW, AHEAD = 4, 8
 #: So many rounds together, places that are alike as far as these reach count as one.
 STEP = 16
+#: Places for each bucket of these passes, which costs a call for each round however few it has.
+PLACES = 250_000
 #: 0 deals each state by itself, else by buckets.
 ONE_TASK_TOKENS = 4_000_000
 #: Bytes of text of a slice; so many slices ask for what they need together, since they share much of it.
@@ -761,12 +763,14 @@ def fit(coded: DataFrame, total: int, distinct: int, depth: int | None = None) -
             frequent = sieve(last.where(f"kind = {HEAD}").select("key"))
             states = nodes([last])
     else:
-        buckets, ahead, states = buckets if ONE_TASK_TOKENS else 0, AHEAD, None
+        ahead, states = AHEAD, None
         while d and (depth is None or d < depth):
             to = d + ahead if depth is None else min(depth, d + ahead)
+            places = last.where(f"kind = {NODE} AND depth = {d}").agg(F.sum("n")).first()[0] or 0
+            shares = min(buckets, max(1, -(-places // PLACES))) if ONE_TASK_TOKENS else 0
             # few states grow on; all that they end with are states, so other places are soon left
             states = sieve(last.where(f"kind = {ALIVE}").select("key")) if states else nodes(found)
-            last = written(grow_on(ask_places(coded, d, ahead, states, buckets), last, d, to, buckets))
+            last = written(grow_on(ask_places(coded, d, ahead, states, shares), last, d, to, shares))
             found.append(last)
             reached = last.where(f"kind = {NODE}").agg(F.max("depth")).first()[0]
             d, before = reached or d, d

@@ -231,3 +231,13 @@ def test_keys_are_found_whether_or_not_they_are_there():
     at, has = lm.Facts(keys).find(wanted)
     assert (has == np.isin(wanted, keys)).all() and (keys[at[has]] == wanted[has]).all()
     assert not lm.Facts(keys[:0]).find(wanted)[1].any()
+
+
+def test_few_places_are_dealt_to_few_buckets(spark, monkeypatch):
+    """A bucket's rounds cost a call each; tens of buckets with next to no places stood one after another in a task."""
+    common.ship(spark)
+    dealt, ask = [], lm.ask_places
+    monkeypatch.setattr(lm, "ask_places", lambda *a: dealt.append(a[4]) or ask(*a))
+    monkeypatch.setattr(lm, "NARROW", 2)
+    lm.score(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)).count()
+    assert lm.buckets_for(spark, 0) > 1 and dealt == [1]
